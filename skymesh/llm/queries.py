@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skymesh.llm import quality
+from skymesh.llm import quality, recompression
 from skymesh.llm.frames import documents
 
 QUERIES: dict = {}
@@ -17,6 +17,11 @@ def query(f):
     return f
 
 
+@query
+def op3_substring_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.remove_repeats(documents(spark, sf_dir))
+
+
 @query
 def op10_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir))
