@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skymesh.llm import quality, recompression
+from skymesh.llm import decontaminate, quality, recompression, suffix
 from skymesh.llm.frames import documents
 
 QUERIES: dict = {}
@@ -17,11 +17,21 @@ def query(f):
     return f
 
 
+@query
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 @query
 def op3_substring_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompression.remove_repeats(documents(spark, sf_dir))
 
 
+@query
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(documents(spark, sf_dir))
+
+
 @query
 def op10_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir))
