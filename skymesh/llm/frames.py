@@ -38,3 +38,8 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def apart(df: DataFrame) -> DataFrame:
+    """Dealt by all columns: a join has to deal it by its key again, and AQE can split a hot key there."""
+    return df.repartition(*df.columns)

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skymesh.llm.frames import apart
 from skymesh.llm.kernel import int64, mix
 
 #: at: start << 24 | number of windows
@@ -146,7 +147,7 @@ def judge(segments: DataFrame, same_doc: bool) -> DataFrame:
 def candidates(judged: DataFrame, most: int) -> DataFrame:
     """Of each document, its candidates; hot: the anchor has more than ``most`` of them."""
     own = judged.filter("not whole").select("anchor", "doc_id", "at")
-    hot = own.groupBy("anchor").count().filter(F.col("count") > most).select("anchor", F.lit(True).alias("hot")).repartition(F.rand(7))
+    hot = apart(own.groupBy("anchor").count().filter(F.col("count") > most).select("anchor", F.lit(True).alias("hot")))
     flagged = own.join(hot, "anchor", "left").select("doc_id", F.struct("anchor", "at", F.coalesce("hot", F.lit(False)).alias("hot")).alias("c"))
     return flagged.groupBy("doc_id").agg(F.collect_list("c").alias("cand"))
 
