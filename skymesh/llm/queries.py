@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skymesh.llm import decontaminate, neardup, quality, recompression, suffix
+from skymesh.llm import decontaminate, neardup, quality, recompression, suffix, toxicity
 from skymesh.llm.frames import documents
 
 QUERIES: dict = {}
@@ -17,6 +17,12 @@ def query(f):
     return f
 
 
+@query
+def op1_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 @query
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
