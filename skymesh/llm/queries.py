@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skymesh.llm import decontaminate, neardup, quality, recompression, suffix, toxicity
+from skymesh.llm import archive, decontaminate, neardup, quality, recompression, suffix, toxicity, urls
 from skymesh.llm.frames import documents
 
 QUERIES: dict = {}
@@ -33,6 +33,16 @@ def op3_substring_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompression.remove_repeats(documents(spark, sf_dir))
 
 
+@query
+def op4_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive.converted(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+@query
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filtered(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 @query
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(documents(spark, sf_dir))
