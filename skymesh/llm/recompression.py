@@ -5,9 +5,12 @@ neighbouring pairs: a bit of each name's hash puts it on the left or right side,
 that stands before a right name forms a pair with it.  A pair's name is the hash of both names, so it is
 the same in every document and every task without any exchange.  Equal neighbours (runs) are on the
 same side and never pair; runs thus stay whole sequences of one name, wherever they are cut.  Whether
-two neighbours join depends on these two names alone: after two rounds (symbols of one to four words)
-the symbols between the third and the tenth word of a 13-word window are the same in every occurrence
-of the window.  The window's anchor is the rarest looking of them (longest in bytes, then least hash).
+two neighbours join depends on these two names alone: after r rounds (symbols of up to 2^r words) all
+symbols inside a window, but for 2^r - 1 words at either edge, are the same in every occurrence of the
+window.  One more level names every phrase of three symbols.  The anchor of a window is the phrase inside
+it whose name has the least hash.  One round leaves 11 of 13 words, room enough
+for a phrase in every window (two rounds leave 7, and anchors of one symbol, of which half are shared by
+unrelated texts).
 
 Symbols shared between documents reveal the long repeats and exact window names verify them; the steps
 are those of :mod:`skymesh.llm.repeats`.
@@ -48,17 +51,20 @@ def compress(name: np.ndarray, begin: np.ndarray, doc: np.ndarray, level: int) -
     return out, begin[first], doc[first]
 
 
-def anchors(words: Words, size: int, at: np.ndarray, rounds: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """The symbol that anchors each window ``at``, and its name."""
+def anchors(words: Words, size: int, at: np.ndarray, rounds: int = 1, span: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """The phrase of ``span`` symbols that anchors each window ``at``, and the names of all phrases."""
     name, begin, doc = words.hash, np.arange(len(words.start)), words.doc
     for level in range(rounds):
         name, begin, doc = compress(name, begin, doc, level)
     end = np.append(begin[1:], len(words.start))
     lost = (1 << rounds) - 1  # words at either edge whose symbols may depend on what stands outside
-    wide = np.minimum(words.end[end - 1] - words.start[begin], 63).astype(np.uint64)
-    order = (np.uint64(63) - wide) << np.uint64(58) | mix(name) >> np.uint64(6)
+    many = len(name) - span + 1
+    phrase, last = name[:many].copy(), end[span - 1 :]
+    for k in range(1, span):
+        phrase = mix(phrase * np.uint64(5) + name[k : many + k])
+    order = mix(phrase)
     low = np.searchsorted(begin, at + lost)
-    high = np.searchsorted(end, at + size - lost, "right")
+    high = np.searchsorted(last, at + size - lost, "right")
     pick, best = low.copy(), order[low]
     for k in range(1, size - 2 * lost):
         more = low + k < high
@@ -67,7 +73,7 @@ def anchors(words: Words, size: int, at: np.ndarray, rounds: int = 2) -> tuple[n
         there = np.where(more, low + k, low)
         less = more & (order[there] < best)
         pick[less], best[less] = there[less], order[there][less]
-    return pick, mix(name)
+    return pick, phrase
 
 
 def _segments(batches, size: int):
