@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skymesh.llm import archive, decontaminate, neardup, quality, recompression, suffix, toxicity, urls
+from skymesh.llm import archive, decontaminate, langid, mixing, neardup, quality, recompression, suffix, toxicity, urls
 from skymesh.llm.frames import documents
 
 QUERIES: dict = {}
@@ -53,6 +54,22 @@ def op7_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir))
 
 
+@query
+def op8_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return langid.languages(docs, langid.learn(docs))
+
+
+@query
+def op9_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(documents(spark, sf_dir).select("doc_id", "source", "n_chars"))
+
+
 @query
 def op10_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir))
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)

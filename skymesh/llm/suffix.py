@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skymesh.llm import repeats
-from skymesh.llm.frames import texts, written
+from skymesh.llm.frames import written
 from skymesh.llm.kernel import BYTE_CODE, int64, mix, prefix, slices, span_hash, text_bytes
 
 RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
@@ -284,7 +284,7 @@ def _sorted_shards(batches, size: int, limit: int):
         yield done.pop()
 
 
-def _remove(batches, size: int, text: bool):
+def _remove(batches, size: int, text: bool, carry: list[str]):
     for batch in batches:
         for part in slices(batch):
             flat, offsets = text_bytes(part.column("text"))
@@ -292,7 +292,7 @@ def _remove(batches, size: int, text: bool):
             spans = part.column("spans")
             cut = spans.offsets.to_numpy()
             at = spans.values.to_numpy(zero_copy_only=False)
-            known = part.column("doc_id").is_valid().to_pylist()
+            known, there = part.column("doc_id").is_valid().to_pylist(), part.column("text").is_valid().to_pylist()
             rows = []
             for i in range(part.num_rows):
                 own = data[offsets[i] : offsets[i + 1]]
@@ -307,20 +307,20 @@ def _remove(batches, size: int, text: bool):
                     begin, end = s[new], reach[np.append(np.flatnonzero(new)[1:] - 1, len(s) - 1)]
                 edges = [0, *np.stack([begin, end], 1).ravel().tolist(), len(own)]
                 kept = b"".join(own[edges[j] : edges[j + 1]] for j in range(0, len(edges), 2)) if len(begin) else own
-                rows.append((len(own), len(own) - len(kept), len(begin), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if text else ""))
+                rows.append((len(own), len(own) - len(kept), len(begin), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if text and there[i] else None))
             n, removed, m, digest, kept = zip(*rows, strict=True)
             out = {"doc_id": part.column("doc_id"), "n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(m, pa.int64()), "kept_sha256": pa.array(digest)}
-            yield pa.RecordBatch.from_pydict(out | ({"kept_text": pa.array(kept, pa.string())} if text else {}))
+            yield pa.RecordBatch.from_pydict(out | ({"kept_text": pa.array(kept, pa.string())} if text else {}) | {c: part.column(c) for c in carry})
 
 
-def remove_repeats(docs: DataFrame, size: int = 100, most: int = 4096, text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, size: int = 100, most: int = 4096, text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` (doc_id, text) without the bytes of ``size``-byte strings that also start earlier:
-    counts and the hash of the kept bytes; with ``text`` also these as a string (kept_text; bytes of a
-    character that was cut in two are left out)."""
-    own = texts(docs)
-    known = own.filter("doc_id is not null")
+    counts and the hash of the kept bytes; with ``text`` also these as a string (kept_text, null for a
+    null text; bytes of a character that was cut in two are left out); and the columns in ``carry``."""
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
+    known = own.select("doc_id", "text").filter("doc_id is not null")
     segments = known.mapInArrow(partial(_segments, size=size), repeats.SEGMENT)
     judged = written(repeats.judge(segments, same_doc=True), "suffix")
     shards = known.join(repeats.candidates(judged, most), "doc_id").mapInArrow(partial(_cut, size=size), SHARDED)
     later = shards.repartition("key").sortWithinPartitions("key", "doc_id", "at").mapInArrow(partial(_sorted_shards, size=size, limit=SHARD), "doc_id bigint, at bigint")
-    return repeats.with_spans(own, [judged.filter("whole").select("doc_id", "at"), later], partial(_remove, size=size, text=text), RESULT + ", kept_text string" * text)
+    return repeats.with_spans(own, [judged.filter("whole").select("doc_id", "at"), later], partial(_remove, size=size, text=text, carry=list(carry)), RESULT + ", kept_text string" * text + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry))

@@ -228,6 +228,18 @@ def _scored(batches, model: Model | None, least: float, show: int):
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(score), pa.array((score >= least).astype(np.int32)), pa.array(why, kind)], ["doc_id", "score", "predicted", "evidence"])
 
 
+def _acceptable(batches, model: Model | None, least: float):
+    for batch in batches:
+        plain = pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("text").cast(pa.string())], ["doc_id", "text"])
+        keep = [x < least for out in _scored([plain], model, least, 0) for x in out.column("score").to_pylist()]
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
+def acceptable(docs: DataFrame, model: Model | None, least: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` with a score under ``least``, filtered in place."""
+    return docs.mapInArrow(partial(_acceptable, model=model, least=least), docs.schema)
+
+
 def score(docs: DataFrame, model: Model | None, least: float = 0.7, show: int = 3) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): score, prediction and the nearest examples."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
