@@ -1,6 +1,578 @@
-"""The registered queries and, for each that SQL can express, the SQL that gives the same rows."""
+"""The registered queries and, for each that SQL can express, the SQL that gives the same rows.
+
+Values are rounded on both sides, after aggregation only.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skymesh.functions import columns as fn
+from skymesh.operators import attribution, folds, forest, grid, report, reshape, select, stats, temporal
+from skymesh.plans.inputs import CUBE, FEATURES, LATS, LONS, ML, OBS, ROW_KEY, SITES, VARIABLES, cube_hourly, ml_rows, site_hourly, station_obs, table, tiny_forest
+from skymesh.sources import manifests, tables
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+V = ", ".join(VARIABLES)
+OFFSET = "cast(floor(((case when lon >= 180 then lon - 360 else lon end) + 7.5) / 15) as integer)"
+SECONDS = "(hour(time) * 3600 + minute(time) * 60 + second(time))"
+BOX = {"lat": (-40, 20), "lon": (15, 195)}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes))
+
+
+def r6(names: str, prefix: str = "") -> str:
+    return ", ".join(f"round({prefix}{n.strip()}, 6) {n.strip()}" for n in names.split(","))
+
+
+def shared(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors see: under spark.checkpoint.dir, or a temporary one if local."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="skymesh-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+# -- choice of rows and columns -------------------------------------------------------------------
+@query(f"with {CUBE}, d as (select lat, lon, cast(time as date) as day, avg(momo_click) c, avg(momo_view) w from cube where lat between -40 and 20 and lon between 15 and 195 and {SECONDS} between 28800 and 54000 group by 1, 2, 3) select lat, lon, count(*) n, round(avg(c - w), 6) mean, round(stddev_pop(c - w), 6) std, round(min(c - w), 6) low, round(max(c - w), 6) high from d where c - w is not null group by 1, 2")
+def daily_target_summary(spark, sf_dir):
+    cube = select.sel_regions(cube_hourly(spark, sf_dir), {"box": BOX}, dropna=False)
+    days = temporal.daily(cube, (8, 15), ["momo_click", "momo_view"])
+    own = select.drop_incomplete(select.with_target(days, "(momo_click) - (momo_view)"), ["target"])
+    return rounded(own.groupBy("lat", "lon").agg(F.count("target").alias("n"), F.avg("target").alias("mean"), F.stddev_pop("target").alias("std"), F.min("target").alias("low"), F.max("target").alias("high")))
+
+
+@query(f"with {CUBE} select lat, lon, time, {r6(V)} from cube where lat between -40 and 0 and lon between 15 and 105")
+def sel_region_box(spark, sf_dir):
+    return rounded(select.sel_range(select.sel_range(cube_hourly(spark, sf_dir), "lat", (0, -40)), "lon", (15, 105)))
+
+
+@query(f"with {CUBE} select lat, lon, time, round(momo_click, 6) momo_click from cube where lon = 105")
+def sel_value_vars(spark, sf_dir):
+    return rounded(select.select_vars(select.sel_value(cube_hourly(spark, sf_dir), "lon", 105.0), ["momo_click"]))
+
+
+@query(f"with {CUBE} select lat, lon, time, {r6('momo_view, momo_purchase, momo_error')} from cube")
+def select_vars_pattern(spark, sf_dir):
+    return rounded(select.select_vars(cube_hourly(spark, sf_dir), "momo_(?!click|signup).*"))
+
+
+@query(f"with {ML} select count(*) n, round(avg(target), 4) mean from ml where month = 3")
+def sel_month(spark, sf_dir):
+    own = select.sel_month(ml_rows(spark, sf_dir), 3, "l_shipdate")
+    return rounded(own.agg(F.count(F.lit(1)).alias("n"), F.avg("target").alias("mean")), 4)
+
+
+@query(f"with {ML} select cast(year as integer) as year, count(*) n from ml where not (month = 2 and day(l_shipdate) = 29) group by 1")
+def drop_date(spark, sf_dir):
+    return select.drop_date(ml_rows(spark, sf_dir), month=2, day=29, time="l_shipdate").groupBy("year").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"with {CUBE}, ok as (select distinct lat, lon from cube where momo_purchase > 250) select lat, lon, time, {r6(V)} from cube semi join ok using (lat, lon)")
+def sel_pairs_semi(spark, sf_dir):
+    cube = cube_hourly(spark, sf_dir)
+    return rounded(select.sel_cells(cube, cube.filter("momo_purchase > 250")))
+
+
+@query(f"with {CUBE}, ok as (select distinct lat, lon from cube where momo_purchase > 250) select lat, lon, time, {r6(V)} from cube anti join ok using (lat, lon)")
+def sel_pairs_anti(spark, sf_dir):
+    cube = cube_hourly(spark, sf_dir)
+    return rounded(select.sel_cells(cube, cube.filter("momo_purchase > 250"), remove=True))
+
+
+@query(f"with {CUBE}, ok as (select distinct lat, lon from cube where momo_error is not null) select lat, lon, count(*) n from cube semi join ok using (lat, lon) group by 1, 2")
+def use_locations_of(spark, sf_dir):
+    cube = cube_hourly(spark, sf_dir)
+    return select.sel_cells(cube, select.cells_with(cube, "momo_error")).groupBy("lat", "lon").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"with {CUBE} select lat, lon, time, {r6(V)} from cube where ((lat between 0 and 40 and lon between 15 and 105) or (lat between -20 and 20 and lon between 105 and 195)) and momo_click is not null and momo_view is not null and momo_purchase is not null and momo_signup is not null and momo_error is not null")
+def predict_regions(spark, sf_dir):
+    return rounded(select.sel_regions(cube_hourly(spark, sf_dir), {"a": {"lat": (0, 40), "lon": (15, 105)}, "b": {"lat": (-20, 20), "lon": (105, 195)}}))
+
+
+@query(f"with {CUBE} select lat, lon, time, round(case when momo_click between 20 and 60 then 0 else momo_click end, 6) zeroed, round(case when momo_view between 20 and 60 or momo_view is null then null else momo_view end, 6) cleared from cube")
+def replace_vals(spark, sf_dir):
+    return rounded(cube_hourly(spark, sf_dir).select("lat", "lon", "time", fn.replace_values("momo_click", 20, 60, 0.0).alias("zeroed"), fn.replace_values("momo_view", 20, 60).alias("cleared")))
+
+
+@query(f"with {CUBE} select lat, lon, time, round(momo_purchase, 6) momo_purchase, round(momo_signup, 6) momo_signup, round(momo_error, 6) momo_error, round(momo_click - 2 * momo_view, 6) target from cube")
+def calc_expr_target(spark, sf_dir):
+    return rounded(select.with_target(cube_hourly(spark, sf_dir), "(momo_click) - 2 * (momo_view)"))
+
+
+@query(f"with {CUBE} select lat, lon, time, round(momo_click / nullif(momo_view, 0), 6) ratio, round(momo_click / nullif(momo_view, 0) + momo_error, 6) both from cube".replace(" both ", " total "))
+def calc_features(spark, sf_dir):
+    own = select.with_calculated(cube_hourly(spark, sf_dir), {"ratio": "(momo_click) / (momo_view)", "total": "(ratio) + (momo_error)"})
+    return rounded(own.select("lat", "lon", "time", "ratio", "total"))
+
+
+@query(f"with {CUBE} select lat, lon, time, round(coalesce(momo_click, momo_view), 6) combined from cube")
+def combine_first(spark, sf_dir):
+    return rounded(cube_hourly(spark, sf_dir).select("lat", "lon", "time", F.coalesce("momo_click", "momo_view").alias("combined")))
+
+
+@query("select event_id, case when event_id % 7 = 0 or event_id % 11 = 0 then null else round(value, 6) end x from events")
+def finite_or_null(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    x = F.when(F.col("event_id") % 7 == 0, F.lit(float("nan"))).when(F.col("event_id") % 11 == 0, F.lit(float("-inf"))).otherwise(F.col("value"))
+    return rounded(fn.all_finite(e.select("event_id", x.alias("x")), ["x"]))
+
+
+@query(f"with {CUBE} select lat, lon, time, round(momo_click, 6) momo_click, round(momo_view, 6) momo_view from cube where momo_click is not null and momo_view is not null")
+def drop_incomplete(spark, sf_dir):
+    return rounded(select.drop_incomplete(cube_hourly(spark, sf_dir).select("lat", "lon", "time", "momo_click", "momo_view"), ["momo_click"], "momo_view"))
+
+
+@query(f"with {CUBE} " + " union all ".join(f"select '{v}' variable, count({v}) n, count({v}) = 0 as empty from cube" for v in VARIABLES))
+def null_feature_counts(spark, sf_dir):
+    return stats.non_null_counts(cube_hourly(spark, sf_dir), VARIABLES)
+
+
+@query(f"with {CUBE} select distinct lon, case when lon >= 180 then lon - 360 else lon end signed, case when (case when lon >= 180 then lon - 360 else lon end) < 0 then (case when lon >= 180 then lon - 360 else lon end) + 360 else lon end east, {OFFSET} off from cube")
+def lon_wrap(spark, sf_dir):
+    own = cube_hourly(spark, sf_dir).select("lon").distinct().withColumn("signed", fn.to_signed(F.col("lon")))
+    return own.select("lon", "signed", fn.to_east(F.col("signed")).alias("east"), fn.utc_offset_hours(F.col("lon")).alias("off"))
+
+
+@query(f"with {CUBE} select time, round(momo_click, 6) momo_click from cube where lat = (select lat from cube order by abs(lat - 7), lat limit 1) and lon = (select lon from cube order by abs(lon - 120), lon limit 1)")
+def nearest_point_series(spark, sf_dir):
+    cube = cube_hourly(spark, sf_dir)
+    lat, lon = (select.nearest_coord(cube, d, v).first()[0] for d, v in (("lat", 7.0), ("lon", 120.0)))
+    return rounded(select.point_series(cube, lat, lon, "momo_click"))
+
+
+# -- reshape and joins ----------------------------------------------------------------------------
+@query(f"with {CUBE} " + " union all ".join(f"select lat, lon, time, '{v}' variable, round({v}, 6) as value from cube" for v in VARIABLES))
+def unpivot_long(spark, sf_dir):
+    return rounded(reshape.to_long(cube_hourly(spark, sf_dir), VARIABLES))
+
+
+@query(f"with {CUBE} select lat, lon, time, {r6(V)} from cube")
+def pivot_wide(spark, sf_dir):
+    return rounded(reshape.to_wide(reshape.to_long(cube_hourly(spark, sf_dir), VARIABLES), VARIABLES))
+
+
+@query(f"with {CUBE}, s as (select cast((n_nationkey % 5) * 20 - 40 as double) lat, count(*) nations, max(n_name) label from nation group by 1) select cube.lat, lon, time, round(momo_click, 6) momo_click, nations, label from cube left join s on cube.lat = s.lat")
+def broadcast_static(spark, sf_dir):
+    static = table(spark, sf_dir, "nation").groupBy(((F.col("n_nationkey") % 5) * 20 - 40).cast("double").alias("lat")).agg(F.count(F.lit(1)).alias("nations"), F.max("n_name").alias("label"))
+    return rounded(reshape.with_static(cube_hourly(spark, sf_dir).select("lat", "lon", "time", "momo_click"), static, ["lat"]))
+
+
+@query(f"with {CUBE}, d as (select lat, lon, cast(time as date) as day, avg(momo_error) momo_error from cube where momo_error is not null group by 1, 2, 3), g as (select * from (select distinct lat from cube), (select distinct lon from cube), (select distinct cast(time as date) as day from cube)) select g.lat, g.lon, g.day, round(momo_error, 6) momo_error from g left join d on g.lat = d.lat and g.lon = d.lon and g.day = d.day")
+def reindex_grid(spark, sf_dir):
+    cube = cube_hourly(spark, sf_dir).withColumn("day", F.to_date("time"))
+    days = cube.filter("momo_error is not null").groupBy("lat", "lon", "day").agg(F.avg("momo_error").alias("momo_error"))
+    return rounded(reshape.reindex(days, reshape.full_grid(cube, ["lat", "lon", "day"]), ["lat", "lon", "day"]))
+
+
+@query(f"with {CUBE} select lat, lon, time, round(a.momo_click, 6) momo_click, round(b.momo_view, 6) momo_view from (select * from cube where momo_click is not null) a join (select * from cube where momo_view is not null) b using (lat, lon, time)")
+def align_inner(spark, sf_dir):
+    cube = cube_hourly(spark, sf_dir)
+    return rounded(reshape.align(cube.filter("momo_click is not null").select("lat", "lon", "time", "momo_click"), cube.filter("momo_view is not null").select("lat", "lon", "time", "momo_view")))
+
+
+@query(f"with {CUBE}, a as (select lat, lon, time, momo_click, momo_error from cube where lat <= 0), b as (select lat, lon, time, momo_view, momo_error from cube where lat >= 0) select coalesce(a.lat, b.lat) lat, coalesce(a.lon, b.lon) lon, coalesce(a.time, b.time) as time, round(momo_click, 6) momo_click, round(coalesce(a.momo_error, b.momo_error), 6) momo_error, round(momo_view, 6) momo_view, cast(0 as integer) conflicts from a full join b on a.lat = b.lat and a.lon = b.lon and a.time = b.time")
+def merge_outer(spark, sf_dir):
+    cube = cube_hourly(spark, sf_dir)
+    return rounded(reshape.merge(cube.filter("lat <= 0").select("lat", "lon", "time", "momo_click", "momo_error"), cube.filter("lat >= 0").select("lat", "lon", "time", "momo_view", "momo_error")))
+
+
+@query(f"with {CUBE} select lat, lon, time, round(momo_click, 6) momo_click, cast(null as double) momo_view from cube where lat < 0 union all select lat, lon, time, round(momo_click, 6), round(momo_view, 6) from cube where lat >= 0")
+def concat_union(spark, sf_dir):
+    cube = cube_hourly(spark, sf_dir)
+    return rounded(reshape.concat(cube.filter("lat < 0").select("lat", "lon", "time", "momo_click"), cube.filter("lat >= 0").select("lat", "lon", "time", "momo_click", "momo_view")))
+
+
+# -- stations on a grid ---------------------------------------------------------------------------
+_LAT = "(case " + " ".join(f"when lat < {hi} then {lo}" for lo, hi in zip(LATS, LATS[1:], strict=False)) + f" else {LATS[-1]} end)"
+_LON = "(case " + " ".join(f"when lon < {hi} then {hi}" for hi in LONS[:-1]) + f" else {LONS[-1]} end)"
+_MATCHED = f"{OBS}, m as (select date, cast({_LAT} as double) lat, cast({_LON} as double) lon, value from obs where lat between -80 and 90 and lon between -180 and 180)"
+
+
+@query(f"with {_MATCHED} select date, lat, lon, round(avg(value), 6) obs_mean, round(quantile_cont(value, 0.5), 6) obs_median, round(stddev_pop(value), 6) obs_std, round(min(value), 6) obs_min, round(max(value), 6) obs_max from m group by 1, 2, 3")
+def match_grid_mean_median_std(spark, sf_dir):
+    return rounded(grid.match_to_grid(station_obs(spark, sf_dir), LATS, LONS, ["mean", "median", "std", "min", "max"]))
+
+
+_AXES = f"(select cast(unnest([{', '.join(map(str, LATS))}]) as double) lat), (select cast(unnest([{', '.join(map(str, LONS))}]) as double) lon)"
+
+
+@query(f"with {_MATCHED}, g as (select date, lat, lon from (select distinct date from obs), {_AXES}), c as (select date, lat, lon, count(value) obs_count, sum(value) obs_sum from m group by 1, 2, 3) select g.date, g.lat, g.lon, coalesce(obs_count, 0) obs_count, round(coalesce(obs_sum, 0), 6) obs_sum from g left join c on g.date = c.date and g.lat = c.lat and g.lon = c.lon")
+def match_grid_count_dense(spark, sf_dir):
+    obs = station_obs(spark, sf_dir)
+    return rounded(grid.dense(grid.match_to_grid(obs, LATS, LONS, ["count", "sum"]), obs, LATS, LONS, ["obs_count", "obs_sum"]))
+
+
+@query(f"with {OBS} select date_trunc('month', date)::date as month, count(value) + count(lat) n from obs group by 1")
+def month_data_counts(spark, sf_dir):
+    return temporal.month_counts(station_obs(spark, sf_dir), ["value", "lat"])
+
+
+# -- time -----------------------------------------------------------------------------------------
+@query(f"with {CUBE} select lat, lon, cast(time as date) as day, " + ", ".join(f"round(avg({v}), 6) {v}" for v in VARIABLES) + f" from cube where {SECONDS} between 28800 and 54000 group by 1, 2, 3")
+def daily_range_mean(spark, sf_dir):
+    return rounded(temporal.daily(cube_hourly(spark, sf_dir), (8, 15), VARIABLES))
+
+
+@query(f"with {CUBE} select lat, lon, cast(time as date) as day, {r6(V)} from cube where {SECONDS} = 46800")
+def daily_hour_pick(spark, sf_dir):
+    return rounded(temporal.daily(cube_hourly(spark, sf_dir), 13, VARIABLES))
+
+
+_LOCAL = f"(({SECONDS} + {OFFSET} * 3600 + 86400) % 86400)"
+
+
+@query(f"with {CUBE} select lat, lon, cast(time as date) as day, " + ", ".join(f"round(avg({v}), 6) {v}" for v in VARIABLES) + f" from cube where {_LOCAL} between 28800 and 54000 group by 1, 2, 3")
+def daily_local_tz(spark, sf_dir):
+    return rounded(temporal.daily(cube_hourly(spark, sf_dir), (8, 15), VARIABLES, local=True))
+
+
+@query(f"with {CUBE} select lat, lon, cast(time + to_hours({OFFSET}) as date) as day, round(avg(momo_click), 6) momo_click from cube where {_LOCAL} between 28800 and 54000 group by 1, 2, 3")
+def daily_local_label(spark, sf_dir):
+    return rounded(temporal.daily(cube_hourly(spark, sf_dir), (8, 15), ["momo_click"], local=True, label="local"))
+
+
+@query(f"with {CUBE} select lat, lon, cast(time as date) as day, round(avg(momo_click) filter ({_LOCAL} between 28800 and 54000), 6) momo_click, round(max(momo_view) filter ({SECONDS} = 46800), 6) momo_view, round(avg(momo_purchase) filter ({SECONDS} between 0 and 82800), 6) momo_purchase, round(avg(momo_signup) filter ({SECONDS} between 0 and 82800), 6) momo_signup from cube group by 1, 2, 3")
+def daily_sections(spark, sf_dir):
+    sections = [{"vars": ["momo_click"], "time": (8, 15), "local": True}, {"vars": ["momo_view", "not_there"], "time": 13}, {"vars": "momo_(purchase|signup)", "time": (0, 23)}]
+    return rounded(temporal.daily_sections(cube_hourly(spark, sf_dir), sections))
+
+
+_BINS = "f as (select min(cast(time as date)) a, max(cast(time as date)) b from cube), bins as (select cast(unnest(generate_series(a, b, interval {d} day)) as date) bin from f), cells as (select distinct lat, lon from cube)"
+
+
+@query(f"with {CUBE}, {_BINS.format(d=3)} select cells.lat, cells.lon, bins.bin, round(avg(momo_click), 9) momo_click, round(avg(momo_view), 9) momo_view from cells cross join bins left join cube on cube.lat = cells.lat and cube.lon = cells.lon and cast(time as date) >= bin and cast(time as date) < bin + 3 group by 1, 2, 3")
+def resample_3d_mean(spark, sf_dir):
+    return rounded(temporal.resample(cube_hourly(spark, sf_dir), 3, "mean", ["momo_click", "momo_view"]), 9)
+
+
+@query(f"with {CUBE} select lat, lon, last_day(cast(time as date)) bin, count(momo_click) momo_click from cube group by 1, 2, 3")
+def resample_month_count(spark, sf_dir):
+    return temporal.resample_calendar(cube_hourly(spark, sf_dir), "month", "count", ["momo_click"])
+
+
+@query(f"with {CUBE}, {_BINS.format(d=7)}, r as (select cells.lat, cells.lon, bins.bin, count(momo_click) momo_click from cells cross join bins left join cube on cube.lat = cells.lat and cube.lon = cells.lon and cast(time as date) >= bin and cast(time as date) < bin + 7 group by 1, 2, 3) select * from r where (select count(distinct cast(time as date)) from cube) % 7 = 0 or bin < (select max(bin) from bins)")
+def resample_drop_trailing(spark, sf_dir):
+    cube = cube_hourly(spark, sf_dir).withColumn("day", F.to_date("time"))
+    return temporal.without_short_end(temporal.resample(cube, 7, "count", ["momo_click"]), cube, 7, "day")
+
+
+@query(f"with {SITES}, w as (select a.site, cast(a.ts as date) as day, a.ts, avg(b.value) m, count(*) n from sites a join sites b on a.site = b.site and cast(a.ts as date) = cast(b.ts as date) and b.ts >= a.ts and b.ts < a.ts + interval 8 hour group by 1, 2, 3), s as (select *, first_value(n) over (partition by site, day order by ts) need from w), t as (select *, max(case when n <> need then 1 else 0 end) over (partition by site, day order by ts rows unbounded preceding) stopped from s) select site, day, round(max(case when stopped = 0 then m end), 9) mda8 from t group by 1, 2")
+def mda8(spark, sf_dir):
+    return rounded(temporal.max_daily_mean(site_hourly(spark, sf_dir)), 9)
+
+
+@query(f"with {SITES}, w as (select site, cast(ts as date) as day, case when count(value) over f = 8 then avg(value) over f end m from sites window f as (partition by site, cast(ts as date) order by ts rows between 7 preceding and current row)) select site, day, round(max(m), 6) rolling8 from w group by 1, 2")
+def rolling8_daily_max(spark, sf_dir):
+    return rounded(temporal.rolling_daily_max(site_hourly(spark, sf_dir)))
+
+
+@query(f"with {CUBE}, a as (select time, row_number() over (order by time) n from (select distinct time from cube)) select lat, lon, time, round(momo_click, 6) momo_click from cube semi join (select time from a where n % 5 <> 0) using (time)")
+def subsample_every_nth(spark, sf_dir):
+    return rounded(temporal.every_nth_dropped(cube_hourly(spark, sf_dir), "time", 5).select("lat", "lon", "time", "momo_click"))
+
+
+# -- statistics -----------------------------------------------------------------------------------
+@query(f"with {CUBE} select lat, lon, time, " + ", ".join(f"round(({v} - avg({v}) over ()) / nullif(stddev_pop({v}) over (), 0), 5) {v}" for v in VARIABLES[:2]) + " from cube")
+def zscore(spark, sf_dir):
+    return rounded(stats.zscore(cube_hourly(spark, sf_dir).select("lat", "lon", "time", *VARIABLES[:2]), VARIABLES[:2]), 5)
+
+
+@query(f"with {CUBE} select lat, lon, time, " + ", ".join(f"round(({v} - avg({v}) over (partition by lat)) / nullif(stddev_pop({v}) over (partition by lat), 0), 5) {v}" for v in VARIABLES[:2]) + " from cube")
+def zscore_by_lat(spark, sf_dir):
+    return rounded(stats.zscore(cube_hourly(spark, sf_dir).select("lat", "lon", "time", *VARIABLES[:2]), VARIABLES[:2], ["lat"]), 5)
+
+
+@query(f"with {CUBE} select lat, lon, round(avg(momo_click), 6) momo_click, round(avg(momo_view), 6) momo_view from cube group by 1, 2")
+def time_mean_map(spark, sf_dir):
+    return rounded(stats.time_mean(cube_hourly(spark, sf_dir), VARIABLES[:2]))
+
+
+_PRED = f"{ML}, p as (select *, l_extendedprice * 0.988 as predict from ml)"
+
+
+def predicted(spark, sf_dir):
+    return ml_rows(spark, sf_dir).withColumn("predict", F.col("l_extendedprice") * 0.988)
+
+
+@query(f"with {_PRED} select cast(year as integer) as year, round(avg(abs(target - predict) / greatest(abs(target), 2.220446049250313e-16)), 6) mape, round(sqrt(avg((target - predict) * (target - predict))), 4) rmse, round(1 - sum((target - predict) * (target - predict)) / (var_pop(target) * count(*)), 6) r2, round(corr(target, predict), 6) r, count(*) n from p group by 1")
+def scores_by_fold(spark, sf_dir):
+    return stats.scores(predicted(spark, sf_dir), by=["year"]).select("year", F.round("mape", 6).alias("mape"), F.round("rmse", 4).alias("rmse"), F.round("r2", 6).alias("r2"), F.round("r", 6).alias("r"), "n")
+
+
+# -- folds ----------------------------------------------------------------------------------------
+@query(f"with {ML}, y as (select year as fold, count(*) n from ml group by 1) select cast(a.fold as integer) fold, case when a.fold = b.fold then 'test' else 'train' end side, cast(sum(b.n) as bigint) n_rows, string_agg(cast(b.fold as varchar), ',' order by b.fold) as years from y a cross join y b group by 1, 2")
+def group_kfold_report(spark, sf_dir):
+    return folds.year_sides(ml_rows(spark, sf_dir))
+
+
+@query(f"with {ML} select cast(fold as integer) fold, count(*) n, cast(min(l_orderkey) as bigint) first_key, cast(max(l_orderkey) as bigint) last_key from (select l_orderkey, ntile(7) over (order by year, month, l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 fold from ml) group by 1")
+def kfold_blocks(spark, sf_dir):
+    own = folds.block_folds(ml_rows(spark, sf_dir), 7, ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], ["year", "month"])
+    return own.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.min("l_orderkey").alias("first_key"), F.max("l_orderkey").alias("last_key"))
+
+
+@query(f"with {ML} select case when year < 1998 then 'train' else 'test' end side, count(*) n, round(avg(target), 4) mean from ml where year < 1998 or (year >= 2000 and p_size > 25) group by 1")
+def external_test_set(spark, sf_dir):
+    rows = ml_rows(spark, sf_dir)
+    train, test = rows.filter("year < 1998"), rows.filter("year >= 2000 and p_size > 25")
+    own = reshape.concat(train.withColumn("side", F.lit("train")), test.withColumn("side", F.lit("test")))
+    return rounded(own.groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.avg("target").alias("mean")), 4)
+
+
+# -- sources and manifests ------------------------------------------------------------------------
+def series(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("network_name"))
+    s = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    return s.select(F.col("s_suppkey").alias("id"), "network_name", F.col("s_name").alias("station_id"), "s_acctbal")
+
+
+_SERIES = "series as (select s_suppkey id, n_name network_name, s_name station_id, s_acctbal from supplier join nation on s_nationkey = n_nationkey)"
+
+
+@query(f"with {_SERIES} select id, network_name, station_id from series where network_name in (select n_name from nation where n_regionkey <= 2) and id % 3 <> 0 and s_acctbal >= 0")
+def manifest_plan(spark, sf_dir):
+    own = series(spark, sf_dir)
+    networks = table(spark, sf_dir, "nation").filter("n_regionkey <= 2").select(F.col("n_name").alias("network_name"))
+    return manifests.plan(own, networks, own.filter("id % 3 <> 0").select("station_id"), own.filter("s_acctbal < 0").select("id")).select("id", "network_name", "station_id")
+
+
+@query(f"with {_SERIES} select network_name as parameter, row_number() over (partition by network_name order by id) as no, id, 'balance ' || cast(cast(floor(s_acctbal) as bigint) as varchar) message, count(*) over (partition by network_name) n_errors from series where s_acctbal < 5000")
+def error_report(spark, sf_dir):
+    bad = series(spark, sf_dir).filter("s_acctbal < 5000")
+    errors = bad.select(F.col("network_name").alias("parameter"), "id", F.concat(F.lit("balance "), F.floor("s_acctbal").cast("string")).alias("message"))
+    return manifests.error_report(errors).withColumn("no", F.col("no").cast("bigint"))
+
+
+@query(f"with {_SERIES} select id, network_name from series where not (s_acctbal < 0)")
+def incremental_inputs(spark, sf_dir):
+    own = series(spark, sf_dir)
+    return manifests.pending(own, own.filter("s_acctbal < 0"), "id").select("id", "network_name")
+
+
+@query(f"with {CUBE} select lat, lon, time, {r6(V)} from cube")
+def variable_file_merge(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    lat, lon = (F.col("user_id") % 5) * 20 - 40, (F.floor(F.col("user_id") / 5) % 4) * 90 + 15
+    long = e.groupBy(lat.cast("double").alias("lat"), lon.cast("double").alias("lon"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("time"), F.concat(F.lit("momo_"), "event_type").alias("variable")).agg(F.avg("value").alias("value"))
+    return rounded(tables.merge_variables(long, ["lat", "lon", "time"], VARIABLES))
+
+
+@query("select cast(year(l_shipdate) as integer) as year, cast(month(l_shipdate) as integer) as month, count(*) n, round(sum(l_quantity), 2) quantity from lineitem group by 1, 2")
+def save_by_month_counts(spark, sf_dir):
+    path = shared(spark, "by-month")
+    tables.save_by_month(table(spark, sf_dir, "lineitem").select("l_shipdate", "l_quantity"), path, "l_shipdate")
+    return spark.read.parquet(path).groupBy("year", "month").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+
+
+@query(f"with {SITES} select 'net' network, site station, cast(10.5 as double) lon, cast(length(site) as double) lat, ts datetime, round(value, 6) as mean from sites")
+def station_json_rows(spark, sf_dir):
+    path = shared(spark, "station-json")
+    rows = site_hourly(spark, sf_dir).groupBy("site").agg(F.sort_array(F.collect_list(F.struct("ts", "value"))).alias("r"))
+    meta = F.struct(F.lit("net").alias("network_name"), F.col("site").alias("station_id"), F.lit(10.5).alias("station_lon"), F.length("site").cast("double").alias("station_lat"))
+    # a file for each station, with arrays of equal length, besides one broken and one with too few keys
+    good = rows.select(F.to_json(F.struct(F.transform("r", lambda x: x["ts"].cast("string")).alias("datetime"), F.transform("r", lambda x: x["value"]).alias("mean"), meta.alias("metadata"))).alias("value"))
+    others = spark.createDataFrame([('{"datetime": ["2024',), ('{"datetime": [], "mean": []}',)], "value string")
+    good.unionByName(others).repartition(8).write.option("maxRecordsPerFile", 1).text(path)
+    got, _ = tables.read_station_json(spark, path)
+    return rounded(got)
+
+
+# -- models ---------------------------------------------------------------------------------------
+_LEVELS = forest.interval_quantiles([95, 90, 50, 0])
+
+
+@query(f"with {ML} " + " union all ".join(f"select cast(year as integer) as year, cast({q} as double) quantile, round(quantile_cont(target, {q}), 4) as value from ml group by 1" for q in _LEVELS))
+def interval_quantiles(spark, sf_dir):
+    levels = F.array(*(F.lit(q) for q in _LEVELS))
+    bounds = ml_rows(spark, sf_dir).groupBy("year").agg(F.percentile("target", levels).alias("v"))
+    return bounds.select("year", F.explode(F.arrays_zip(levels.alias("q"), "v")).alias("x")).select("year", F.col("x.q").alias("quantile"), F.round("x.v", 4).alias("value"))
+
+
+_T0 = "case when l_quantity <= 25 then 30.0 when l_discount <= 0.05 then 60.0 else 80.0 end"
+_T1 = "case when l_discount <= 0.03 then 40.0 when l_quantity <= 10 then 44.0 else 58.0 end"
+_C0 = "case when l_quantity <= 25 then -20.0 else 20.0 end"
+_C1 = "case when l_discount <= 0.03 then -8.0 else 8.0 end"
+TREE = ["l_quantity", "l_discount"]
+
+
+def reached(spark, sf_dir):
+    return attribution.reach_by_rules(ml_rows(spark, sf_dir), tiny_forest(spark), TREE, ROW_KEY)
+
+
+@query(f"with {ML}, t as (select *, {_T0} t0, {_T1} t1, {_C0} c0, {_C1} c1 from ml) select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, round((t0 + t1) / 2, 6) predict, cast(49 as double) bias, round((c0 + (t1 - 48 - c1)) / 2, 6) contrib_quantity, round(((t0 - 50 - c0) + c1) / 2, 6) contrib_discount from t")
+def ti_literal_forest(spark, sf_dir):
+    whole, long = attribution.interpret(reached(spark, sf_dir), attribution.leaf_paths(tiny_forest(spark)), ROW_KEY, 2)
+    wide = long.groupBy(*ROW_KEY).pivot("feature", [0, 1]).agg(F.first("contribution")).withColumnsRenamed({"0": "contrib_quantity", "1": "contrib_discount"})
+    return rounded(whole.join(wide, ROW_KEY))
+
+
+@query("select count(*) n, cast(0 as bigint) violations from lineitem join part on l_partkey = p_partkey")
+def ti_additivity(spark, sf_dir):
+    whole, long = attribution.interpret(reached(spark, sf_dir), attribution.leaf_paths(tiny_forest(spark)), ROW_KEY, 2)
+    total = long.groupBy(*ROW_KEY).agg(F.sum("contribution").alias("total"))
+    off = F.abs(F.col("predict") - F.col("bias") - F.col("total")) > 1e-9
+    return whole.join(total, ROW_KEY).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(off.cast("bigint")), F.lit(0)).alias("violations"))
+
+
+_LEAF0 = "case when l_quantity <= 25 then 0 when l_discount <= 0.05 then 1 else 2 end"
+_LEAF1 = "case when l_discount <= 0.03 then 0 when l_quantity <= 10 then 1 else 2 end"
+
+
+@query(f"with {ML}, s as (select *, {_LEAF0} a, {_LEAF1} b from ml), tr as (select 0 tree, a leaf, p_size y from s where year < 1998 union all select 1, b, p_size from s where year < 1998), w as (select tree, leaf, y, count(*) / sum(count(*)) over (partition by tree, leaf) w from tr group by 1, 2, 3), te as (select distinct a, b from s where year >= 1998), m as (select a, b, y, sum(w) / 2 w from te join w on (tree = 0 and leaf = a) or (tree = 1 and leaf = b) group by 1, 2, 3), c as (select a, b, y, sum(w) over (partition by a, b order by y) cum from m), q as (select a, b, min(y) filter (cum >= 0.25 - 1e-9) q_0_25, min(y) filter (cum >= 0.5 - 1e-9) q_0_5, min(y) filter (cum >= 0.9 - 1e-9) q_0_9 from c group by 1, 2) select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, q_0_25, q_0_5, q_0_9 from s join q using (a, b) where year >= 1998")
+def quantile_forest_literal(spark, sf_dir):
+    got = reached(spark, sf_dir).join(ml_rows(spark, sf_dir).select(*ROW_KEY, "year", "p_size"), ROW_KEY)
+    samples = got.filter("year < 1998").select("tree", "leaf", F.col("p_size").alias("target"))
+    # rows that reach the same leaves have the same quantiles: these are found once
+    where = got.filter("year >= 1998").groupBy(*ROW_KEY).agg(F.sort_array(F.collect_list(F.struct("tree", "leaf"))).alias("leaves"))
+    kinds = where.select("leaves").distinct().select("leaves", F.explode("leaves").alias("x")).select("leaves", "x.tree", "x.leaf")
+    return where.join(forest.quantiles(samples, kinds, ["leaves"], [0.25, 0.5, 0.9]), "leaves").drop("leaves")
+
+
+# Shapley values of the two trees with their covers, written out
+_V0 = {"": "49.0", "q": "case when l_quantity <= 25 then 30.0 else 68.0 end", "d": "case when l_discount <= 0.05 then 45.0 else 55.0 end", "qd": _T0}
+_V1 = {"": "49.12", "q": "case when l_quantity <= 10 then 42.4 else 50.8 end", "d": "case when l_discount <= 0.03 then 40.0 else 55.2 end", "qd": _T1}
+
+
+def _shapley(v: dict, own: str, other: str) -> str:
+    return f"((({v[own]}) - ({v['']})) + (({v['qd']}) - ({v[other]}))) / 2"
+
+
+_SHAP = f"shap as (select *, ({_shapley(_V0, 'q', 'd')} + {_shapley(_V1, 'q', 'd')}) / 2 sq, ({_shapley(_V0, 'd', 'q')} + {_shapley(_V1, 'd', 'q')}) / 2 sd, (49.0 + 49.12) / 2 base from ml)"
+
+
+def explained(spark, sf_dir):
+    return attribution.tree_shap(ml_rows(spark, sf_dir), tiny_forest(spark), TREE, ROW_KEY)
+
+
+@query(f"with {ML}, {_SHAP} select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, 'l_quantity' feature, round(sq, 6) shap_value, l_quantity feature_value, round(base, 6) base_value from shap union all select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, 'l_discount', round(sd, 6), l_discount, round(base, 6) from shap")
+def shap_exact_literal(spark, sf_dir):
+    return rounded(explained(spark, sf_dir))
+
+
+@query(f"with {ML}, {_SHAP}, s as (select 'l_quantity' feature, avg(abs(sq)) mean_abs, avg(sq) m from shap union all select 'l_discount', avg(abs(sd)), avg(sd) from shap) select feature, round(mean_abs, 6) mean_abs, round(m, 6) as mean, cast(row_number() over (order by mean_abs desc, feature) as integer) as rank from s")
+def shap_summary(spark, sf_dir):
+    return rounded(report.shap_summary(explained(spark, sf_dir)))
+
+
+@query(f"with {ML}, {_SHAP} select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity x, round(sq, 6) shap, l_discount colour from shap")
+def shap_dependence(spark, sf_dir):
+    return rounded(report.shap_dependence(explained(spark, sf_dir), "l_quantity", "l_discount", ROW_KEY))
+
+
+@query(f"with {ML}, {_SHAP}, l as (select *, abs(round(sq, 9)) > abs(round(sd, 9)) qfirst from shap where l_orderkey % 10 = 0) select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, k as rank, case when (k = 1) = qfirst then 'l_quantity' else 'l_discount' end feature, round(case when (k = 1) = qfirst then sq else sd end, 6) shap_value, round(base, 6) base_value, round(case when k = 2 then base + sq + sd when qfirst then base + sq else base + sd end, 6) upto from l, (values (1), (2)) t(k)".replace(" where l_orderkey % 10 = 0", ""))
+def waterfall(spark, sf_dir):
+    own = explained(spark, sf_dir).withColumn("shap_value", F.round("shap_value", 9))
+    return rounded(report.waterfall(own, ROW_KEY))
+
+
+@query(f"with {ML}, {_SHAP} select 'l_quantity' feature, round(avg(sq), 6) shap_value, round(avg(l_quantity), 6) feature_value, round(avg(base), 6) base_value from shap where l_suppkey < 50 union all select 'l_discount', round(avg(sd), 6), round(avg(l_discount), 6), round(avg(base), 6) from shap where l_suppkey < 50")
+def mean_explanation(spark, sf_dir):
+    points = table(spark, sf_dir, "supplier").filter("s_suppkey < 50").select(F.col("s_suppkey").alias("l_suppkey"))
+    return rounded(report.mean_explanation(explained(spark, sf_dir), points, ["l_suppkey"]))
+
+
+@query(f"with {ML}, {_SHAP} select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, round(sq, 6) l_quantity, round(sd, 6) l_discount from shap")
+def shap_heatmap(spark, sf_dir):
+    return rounded(reshape.explanation_wide(explained(spark, sf_dir), TREE, ROW_KEY))
+
+
+# -- report tables --------------------------------------------------------------------------------
+@query(f"with {ML}, i as (" + " union all ".join(f"select '{f}' feature, abs(corr({f}, target)) importance, stddev_pop({f}) / (avg({f}) * 100) as std from ml" for f in FEATURES) + ") select feature, round(importance / max(importance) over (), 6) importance, round(std / max(importance) over (), 6) as std from i order by importance desc limit 4")
+def importance_topk(spark, sf_dir):
+    rows = ml_rows(spark, sf_dir)
+    facts = rows.agg(*(F.struct(F.lit(f).alias("feature"), F.abs(F.corr(f, "target")).alias("importance"), (F.stddev_pop(f) / (F.avg(f) * 100)).alias("std")).alias(f) for f in FEATURES))
+    importance = facts.select(F.explode(F.array(*FEATURES)).alias("x")).select("x.*")
+    return rounded(report.importance_bars(importance, top=4))
+
+
+@query(f"with {_PRED}, m as (select cast(l_suppkey % 10 as double) lat, cast(l_partkey % 10 as double) lon, avg(target) target, avg(predict) predict from p group by 1, 2) select lat, lon, round(target, 4) target, round(predict, 4) predict, round(target - predict, 4) residual, round(min(least(target, predict)) over (), 4) low, round(max(greatest(target, predict)) over (), 4) high from m")
+def residual_map(spark, sf_dir):
+    own = predicted(spark, sf_dir).withColumns({"lat": (F.col("l_suppkey") % 10).cast("double"), "lon": (F.col("l_partkey") % 10).cast("double")})
+    return rounded(report.residual_maps(own), 4)
+
+
+@query(f"with {_PRED} select cast(least(floor(target / 5000), 19) as bigint) bin_x, cast(least(floor(predict / 5000), 19) as bigint) bin_y, count(*) n from p where target between 0 and 100000 and predict between 0 and 100000 group by 1, 2")
+def density_2d(spark, sf_dir):
+    return report.density(predicted(spark, sf_dir), 0.0, 100000.0, 20)
+
+
+@query(f"with {_PRED}, e as (select min(least(target, predict)) a, max(greatest(target, predict)) b from p) select round(a - abs(a) * 0.05, 4) low, round(b + abs(b) * 0.05, 4) high from e")
+def axis_limits(spark, sf_dir):
+    return rounded(report.axis_limits(predicted(spark, sf_dir)), 4)
+
+
+# -- trained models (no SQL trains a forest: rows and invariants are tested instead) -----------------
+def training(spark, sf_dir):
+    rows, _ = forest.prepare(ml_rows(spark, sf_dir), FEATURES)
+    return rows
+
+
+FOREST = {"numTrees": 10, "maxDepth": 5}
+
+
+@query()
+def rf_fold_scores(spark, sf_dir):
+    rows = training(spark, sf_dir).cache()
+    parts = [stats.scores(p, by=["fold"]) for _, _, p in forest.by_year(rows, range(1995, 2002), **FOREST)]
+    return reshape.concat(*parts)
+
+
+@query()
+def rf_importance(spark, sf_dir):
+    model = forest.estimator(**FOREST).fit(training(spark, sf_dir).filter("year <> 1998"))
+    return report.importance_bars(forest.model_importance(model, spark, FEATURES))
+
+
+@query()
+def rf_attribution(spark, sf_dir):
+    rows = training(spark, sf_dir)
+    model = forest.estimator(**FOREST).fit(rows.filter("year <> 1998"))
+    paths = attribution.leaf_paths(attribution.node_table(model, shared(spark, "forest")))
+    got = forest.leaves(model, rows.filter("year = 1998"), ROW_KEY)
+    whole, long = attribution.interpret(got, paths, ROW_KEY, len(FEATURES))
+    return whole.join(long, ROW_KEY)
+
+
+@query()
+def rf_quantiles(spark, sf_dir):
+    rows = training(spark, sf_dir)
+    model = forest.estimator(numTrees=5, maxDepth=5, minInstancesPerNode=20).fit(rows.filter("year <> 1998"))
+    samples = forest.leaves(model, rows.filter("year <> 1998"), ["target"])
+    # targets to the nearest thousand: a leaf then has few different ones
+    samples = samples.withColumn("target", F.round("target", -3))
+    return forest.quantiles(samples, forest.leaves(model, rows.filter("year = 1998"), ROW_KEY), ROW_KEY, forest.interval_quantiles([90, 0]))
+
+
+@query()
+def perm_importance(spark, sf_dir):
+    rows = training(spark, sf_dir)
+    model = forest.estimator(**FOREST).fit(rows.filter("year <> 1998"))
+    return forest.permutation_importance(rows.filter("year = 1998"), model, FEATURES, ROW_KEY, repeats=3)
+
+
+@query()
+def grid_search(spark, sf_dir):
+    rows = training(spark, sf_dir).withColumn("fold", (F.col("year") % 2).cast("int")).cache()
+    return forest.best_model(rows, {"maxDepth": [3, 5]}, numTrees=5)[1]
