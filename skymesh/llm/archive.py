@@ -60,7 +60,10 @@ def arc_record(version: int, page_id: int | None, url: str | None, html: bytes)
 
 
 def read_arc(data: bytes):
-    """(url, ip, date, type, http head, payload) of each record, by the declared lengths."""
+    """(url, ip, date, type, http head, payload) of each record, by the declared lengths; an empty file
+    has none."""
+    if not data:
+        return
     end = data.index(b"\n")
     length = int(data[:end].rsplit(b" ", 1)[1])
     version = int(data[end + 1 :].split(b" ", 1)[0])
