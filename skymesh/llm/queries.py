@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from skymesh.llm import archive, decontaminate, langid, mixing, neardup, quality, recompression, suffix, toxicity, urls
 from skymesh.llm.frames import documents
+from skymesh.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES: dict = {}
-ORACLES: dict = {}
 
 
 def query(f):
@@ -26,7 +25,8 @@ def op1_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = decontaminate.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.drop("longest_words", "longest_item", "longest_start")
 
 
 @query
@@ -36,7 +36,7 @@ def op3_substring_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archive.converted(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return archive.converted(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("record_id", "target_uri", "date")
 
 
 @query
