@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from skymesh.functions import columns as fn
 from skymesh.operators import attribution, folds, forest, grid, report, reshape, select, stats, temporal
+from skymesh.plans import workflow
 from skymesh.plans.inputs import CUBE, FEATURES, LATS, LONS, ML, OBS, ROW_KEY, SITES, VARIABLES, cube_hourly, ml_rows, site_hourly, station_obs, table, tiny_forest
 from skymesh.sources import manifests, tables
 
@@ -523,6 +524,17 @@ def axis_limits(spark, sf_dir):
     return rounded(report.axis_limits(predicted(spark, sf_dir)), 4)
 
 
+@query(f"with {CUBE}, r as (select lat, lon, time, case when momo_view between 0 and 5 then null else momo_view end v, momo_click c, momo_error e from cube where lat between -20 and 40 and not (day(time) = 29)), d as (select lat, lon, cast(time as date) time, avg(c) filter ({_LOCAL} between 28800 and 54000) c, max(v) filter ({SECONDS} = 46800) v, avg(e - 2 * c) x from r group by 1, 2, 3), t as (select lat, lon, time, v, x, c - x target from d), z as (select *, (v - avg(v) over ()) / nullif(stddev_pop(v) over (), 0) zv from t) select lat, lon, count(*) n, round(avg(zv), 5) v, round(avg(target), 5) target from z group by 1, 2")
+def workflow_rows(spark, sf_dir):
+    spec = workflow.Spec(
+        target="(momo_click) - (x)", variables=["momo_view"], ranges={"lat": (-20, 40)}, drop={"day": 29}, replace={"momo_view": (0, 5, None)},
+        calc={"x": "(momo_error) - 2 * (momo_click)"}, scale=True,
+        sections=[{"vars": ["momo_click"], "time": (8, 15), "local": True}, {"vars": ["momo_view"], "time": 13}, {"vars": ["x"], "time": (0, 24)}],
+    )
+    rows, _ = workflow.load(spark, spec, cube_hourly(spark, sf_dir))
+    return rounded(rows.groupBy("lat", "lon").agg(F.count(F.lit(1)).alias("n"), F.avg("momo_view").alias("v"), F.avg("target").alias("target")), 5)
+
+
 # -- trained models (no SQL trains a forest: rows and invariants are tested instead) -----------------
 def training(spark, sf_dir):
     rows, _ = forest.prepare(ml_rows(spark, sf_dir), FEATURES)

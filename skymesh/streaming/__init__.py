@@ -1 +1 @@
-"""Incremental versions of the daily and grid aggregates."""
+"""Daily values and grid cells of unbounded streams."""
