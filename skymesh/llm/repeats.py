@@ -131,6 +131,8 @@ def _judge(batches: Iterator[pa.RecordBatch], same_doc: bool) -> Iterator[pa.Rec
         out = later | (first & many[group])
         yield batch(JUDGED, a[out], d[out], p[out], later[out])
         last = group == group[-1]
+        if new_anchor.any():
+            held = []
         if not many[group[-1]]:
             held += list(zip(a[last & first].tolist(), d[last & first].tolist(), p[last & first].tolist(), strict=True))
         several = bool(many[group[-1]])

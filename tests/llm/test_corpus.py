@@ -348,3 +348,34 @@ def test_pipeline_stages(spark, docs):
 
 def test_each_operator_has_one_query():
     assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in queries.QUERIES if k.startswith("op")) == list(range(1, 11))
+
+
+def test_segments_are_judged_alike_however_the_rows_are_cut():
+    import random
+
+    import pyarrow as pa
+
+    from skymesh.llm import repeats
+
+    rng = random.Random(5)
+    for _ in range(500):
+        same_doc = rng.random() < 0.5
+        rows = sorted(tuple(rng.randrange(k) for k in (4, 3, 4, 3)) for _ in range(rng.randrange(1, 30)))
+        whole = [rng.random() < 0.1 for _ in rows]
+        lead, names, want = {}, defaultdict(set), set()
+        for (a, m, d, p), w in zip(rows, whole, strict=True):
+            if not w:
+                lead[a, m] = min(lead.get((a, m), (d, p)), (d, p))
+                names[a].add(m)
+        for (a, m, d, p), w in zip(rows, whole, strict=True):
+            if w or ((d, p) > lead[a, m] if same_doc else d > lead[a, m][0]):
+                want.add((a, d, p, True))
+            elif len(names[a]) > 1:
+                want.add((a, d, p, False))
+        batches, i = [], 0
+        while i < len(rows):
+            k = i + rng.randrange(1, 6)
+            batches.append(pa.RecordBatch.from_arrays([*(pa.array([r[j] for r in rows[i:k]], pa.int64()) for j in range(4)), pa.array(whole[i:k])], repeats.columns(repeats.SEGMENT)))
+            i = k
+        got = {row for b in repeats._judge(iter(batches), same_doc) for row in zip(*(c.to_pylist() for c in b.columns), strict=True)}
+        assert got == want
