@@ -75,22 +75,20 @@ def interpret(reached: DataFrame, paths: DataFrame, keys: Sequence[str], feature
 
 
 def reach_by_rules(df: DataFrame, nodes: DataFrame, features: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    """(keys, tree, leaf) of rows in a forest given as a small node table, by descending level by level."""
-    x = F.array(*(F.col(f).cast("double") for f in features))
-    table = nodes.select("tree", "node", "feature", "threshold", "left", "right")
-    roots = table.join(table.select("tree", F.explode(F.array("left", "right")).alias("node")), ["tree", "node"], "left_anti").select("tree", "node")
-    at = df.select(*keys, x.alias("__x")).crossJoin(F.broadcast(roots))  # rows x trees
-    found = []
-    for _ in range(depth_of(nodes) + 1):
-        met = at.join(F.broadcast(table), ["tree", "node"])
-        found.append(met.filter("feature < 0").select(*keys, "tree", "node"))
-        inner = met.filter("feature >= 0")
-        left = F.col("__x")[F.col("feature")] <= F.col("threshold")
-        at = inner.select(*keys, "tree", F.when(left, F.col("left")).otherwise(F.col("right")).alias("node"), "__x")
-    out = found[0]
-    for p in found[1:]:
-        out = out.unionByName(p)
-    return out.join(F.broadcast(leaf_ordinals(nodes)), ["tree", "node"]).select(*keys, "tree", "leaf")
+    """(keys, tree, leaf) of rows in a forest given as a node table, by one nested condition for each tree
+    (for small forests; a fitted model gives its leaves itself).  A missing value goes right."""
+
+    def leaf_of(tree: dict, node: int, first: int):
+        r = tree[node]
+        if r.feature < 0:
+            return F.lit(first), first + 1
+        left, n = leaf_of(tree, r.left, first)
+        right, n = leaf_of(tree, r.right, n)
+        return F.when(F.col(features[r.feature]) <= r.threshold, left).otherwise(right), n
+
+    trees = sorted(_walk(nodes).items())
+    reached = F.array(*(F.struct(F.lit(k).alias("tree"), leaf_of(t, _root(t), 0)[0].alias("leaf")) for k, t in trees))
+    return df.select(*keys, F.explode(reached).alias("at")).select(*keys, "at.tree", "at.leaf")
 
 
 def _walk(nodes: DataFrame) -> dict[int, dict]:
@@ -105,14 +103,6 @@ def _root(tree: dict) -> int:
     return (set(tree) - {c for r in tree.values() for c in (r.left, r.right)}).pop()
 
 
-def depth_of(nodes: DataFrame) -> int:
-    def depth(tree, node):
-        r = tree[node]
-        return 0 if r.feature < 0 else 1 + max(depth(tree, r.left), depth(tree, r.right))
-
-    return max(depth(t, _root(t)) for t in _walk(nodes).values())
-
-
 def leaf_ordinals(nodes: DataFrame) -> DataFrame:
     rows = []
 
