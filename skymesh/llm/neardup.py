@@ -3,14 +3,17 @@
 Each document's set of word shingles is hashed under ``permutations`` permutations, and both the least
 and the greatest value under each are kept, so half the hash evaluations give a signature of twice the
 length.  The signature is cut into bands; documents that share a band are candidates, and every link is
-confirmed on full sets.  With the defaults (36 permutations, 72 values, 24 bands of 3) a pair with
-similarity 0.85 shares no band with probability (1 - 0.85^3)^24 < 2e-10.
+confirmed on full sets.  With the defaults (90 permutations, 180 values, 36 bands of 5) a pair with
+similarity 0.85 shares no band with probability (1 - 0.85^5)^36 < 1e-9.
 
 Documents with equal sets are one class and only its first document goes on.  A band shared by many
 classes isn't expanded into pairs: its most connected class is compared with all others (a star), what is
 linked is put into one component, and only where a band still holds several components the next star
-is drawn among those that no star has reached.  After ``stars`` rounds all pairs of components
-that are still apart in some band are compared, so no link is lost, however a group is built.
+is drawn among those that no star has reached.  After ``stars`` rounds every pair of classes that share a
+band and are in different components is looked at, in the first band that both have: a second, longer
+min-max sketch (four bits of each of 1024 values), which only these classes get, rules out the pairs whose
+estimated similarity is 6 standard deviations below what a link needs, and all others are confirmed on
+full sets.  So no link is lost, however a group is built.
 
 Components are found by repeated least-label steps; labels, links and sets stay in Spark.
 
@@ -66,7 +69,7 @@ def _signed(batches, size: int, permutations: int, rows: int):
                 cut = begin[full]
                 values = np.empty((2 * permutations, len(full)), np.uint64)
                 for i, salt in enumerate(salts):
-                    own = mix(name ^ salt)
+                    own = (name ^ salt) * (salt << np.uint64(1) | np.uint64(1))
                     values[2 * i] = np.minimum.reduceat(own, cut)
                     values[2 * i + 1] = np.maximum.reduceat(own, cut)
                 # the two ends of one permutation go to different bands
@@ -88,6 +91,52 @@ def _sets(batches, size: int):
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), int64(name))], ["doc_id", "items"])
 
 
+SKETCH = 512  # permutations: 1024 values of four bits, 64 longs
+
+
+def _sketched(batches):
+    salts = np.random.default_rng(8).integers(1, 1 << 63, SKETCH, dtype=np.uint64)
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            sets = part.column("items")
+            name, cut = sets.flatten().to_numpy().view(np.uint64), (sets.offsets.to_numpy() - sets.offsets[0].as_py())[:-1]
+            values = np.empty((2 * SKETCH, part.num_rows), np.uint64)
+            for i, salt in enumerate(salts):
+                own = (name ^ salt) * (salt << np.uint64(1) | np.uint64(1))
+                values[i], values[SKETCH + i] = np.minimum.reduceat(own, cut), np.maximum.reduceat(own, cut)
+            four = (mix(values) & np.uint64(15)).reshape(-1, 16, part.num_rows)
+            packed = np.zeros((len(four), part.num_rows), np.uint64)
+            for k in range(16):
+                packed |= four[:, k] << np.uint64(4 * k)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * len(four)), int64(packed.T.ravel()))
+            yield pa.RecordBatch.from_arrays([part.column("node"), lists], ["node", "sketch"])
+
+
+def differing(x: str, y: str) -> str:
+    """SQL: how many of the sixteen four-bit values of two longs differ."""
+    d = f"({x} ^ {y})"
+    pairs = f"({d} | shiftrightunsigned({d}, 1))"
+    return f"bit_count(({pairs} | shiftrightunsigned({pairs}, 2)) & 1229782938247303441L)"
+
+
+def apart_pairs(open_: DataFrame, bands: DataFrame, items: DataFrame, similar: int, n_bands: int) -> DataFrame:
+    """(a, b): classes of different components with a common band that their sketches don't rule out."""
+    nodes = written(open_.select("node").distinct(), "minmax-apart")
+    own = items.withColumnRenamed("doc_id", "node").join(nodes, "node").select("node", "items").mapInArrow(_sketched, "node bigint, sketch array<bigint>")
+    wide = own.join(bands, "node").select("node", *(F.col("bands")[i].alias(f"b{i}") for i in range(n_bands)), *(F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH // 8)))
+    side = open_.select("band", "node", "n_shingles", "label").join(wide, "node")
+    side = written(side.withColumn("nth", F.array_position(F.array(*(f"b{i}" for i in range(n_bands))), F.col("band"))), "minmax-sides")
+    other = side.select("band", *(F.col(c).alias(f"{c}_o") for c in side.columns if c != "band"))
+    values = 2 * SKETCH
+    p = similar / 100 + (1 - similar / 100) / 16
+    least = p * values - 6 * (values * p * (1 - p)) ** 0.5
+    earlier = " or ".join(f"(nth > {i + 1} and b{i} = b{i}_o)" for i in range(n_bands - 1))
+    far = " + ".join(differing(f"s{i}", f"s{i}_o") for i in range(SKETCH // 8))
+    rule = f"node < node_o and label != label_o and 100 * least(n_shingles, n_shingles_o) >= {similar} * greatest(n_shingles, n_shingles_o) and not ({earlier}) and {far} <= {values - least}"
+    return side.join(other, "band").filter(rule).select(F.col("node").alias("a"), F.col("node_o").alias("b"))
+
+
 def components(nodes: DataFrame, links: DataFrame, name: str = "components") -> DataFrame:
     """The least node reachable from each of ``nodes`` (node) over ``links`` (a, b): (node, label)."""
     both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), name)
@@ -104,7 +153,7 @@ def components(nodes: DataFrame, links: DataFrame, name: str = "components") ->
             return labels
 
 
-def near_duplicates(docs: DataFrame, size: int = 3, similar: int = 85, permutations: int = 36, rows: int = 3, stars: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 3, similar: int = 85, permutations: int = 90, rows: int = 5, stars: int = 2) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): the size of its shingle set, the least doc_id
     reachable over links of Jaccard similarity ``similar`` per cent, and whether that is its own."""
     own = texts(docs)
@@ -152,11 +201,9 @@ def near_duplicates(docs: DataFrame, size: int = 3, similar: int = 85, permutati
         if open_.isEmpty():
             break
     else:
-        # whatever is still apart in a band, pair by pair
-        rest = open_.select("band", "node", "n_shingles", "label")
-        other = rest.select("band", F.col("node").alias("b"), F.col("n_shingles").alias("m"), F.col("label").alias("label_b"))
-        pairs = rest.join(other, "band").filter((F.col("node") < F.col("b")) & (F.col("label") != F.col("label_b")) & sizes("n_shingles", "m"))
-        new = written(confirmed(pairs.select(F.col("node").alias("a"), "b").distinct()), "minmax-links")
+        bands = signed.select(F.col("doc_id").alias("node"), "bands").dropDuplicates(["node"])
+        pairs = apart_pairs(open_, bands, items, similar, 2 * permutations // rows)
+        new = written(confirmed(pairs), "minmax-links")
         if not new.isEmpty():
             labels = components(nodes, new if links is None else links.unionByName(new), "minmax-labels")
     placed = classes.join(labels, "node", "left").select("set_a", "set_b", F.col("n_shingles").alias("n"), F.coalesce("label", "node").alias("least"))
