@@ -55,11 +55,11 @@ def shared(spark: SparkSession, name: str) -> str:
 
 
 # -- choice of rows and columns -------------------------------------------------------------------
-@query(f"with {CUBE}, d as (select lat, lon, cast(time as date) as day, avg(momo_click) c, avg(momo_view) w from cube where lat between -40 and 20 and lon between 15 and 195 and {SECONDS} between 28800 and 54000 group by 1, 2, 3) select lat, lon, count(*) n, round(avg(c - w), 6) mean, round(stddev_pop(c - w), 6) std, round(min(c - w), 6) low, round(max(c - w), 6) high from d where c - w is not null group by 1, 2")
+@query(f"with {CUBE}, d as (select lat, lon, cast(time as date) as day, avg(gas_click) c, avg(gas_view) w from cube where lat between -40 and 20 and lon between 15 and 195 and {SECONDS} between 28800 and 54000 group by 1, 2, 3) select lat, lon, count(*) n, round(avg(c - w), 6) mean, round(stddev_pop(c - w), 6) std, round(min(c - w), 6) low, round(max(c - w), 6) high from d where c - w is not null group by 1, 2")
 def daily_target_summary(spark, sf_dir):
     cube = select.sel_regions(cube_hourly(spark, sf_dir), {"box": BOX}, dropna=False)
-    days = temporal.daily(cube, (8, 15), ["momo_click", "momo_view"])
-    own = select.drop_incomplete(select.with_target(days, "(momo_click) - (momo_view)"), ["target"])
+    days = temporal.daily(cube, (8, 15), ["gas_click", "gas_view"])
+    own = select.drop_incomplete(select.with_target(days, "(gas_click) - (gas_view)"), ["target"])
     return rounded(own.groupBy("lat", "lon").agg(F.count("target").alias("n"), F.avg("target").alias("mean"), F.stddev_pop("target").alias("std"), F.min("target").alias("low"), F.max("target").alias("high")))
 
 
@@ -68,14 +68,14 @@ def sel_region_box(spark, sf_dir):
     return rounded(select.sel_range(select.sel_range(cube_hourly(spark, sf_dir), "lat", (0, -40)), "lon", (15, 105)))
 
 
-@query(f"with {CUBE} select lat, lon, time, round(momo_click, 6) momo_click from cube where lon = 105")
+@query(f"with {CUBE} select lat, lon, time, round(gas_click, 6) gas_click from cube where lon = 105")
 def sel_value_vars(spark, sf_dir):
-    return rounded(select.select_vars(select.sel_value(cube_hourly(spark, sf_dir), "lon", 105.0), ["momo_click"]))
+    return rounded(select.select_vars(select.sel_value(cube_hourly(spark, sf_dir), "lon", 105.0), ["gas_click"]))
 
 
-@query(f"with {CUBE} select lat, lon, time, {r6('momo_view, momo_purchase, momo_error')} from cube")
+@query(f"with {CUBE} select lat, lon, time, {r6('gas_view, gas_purchase, gas_error')} from cube")
 def select_vars_pattern(spark, sf_dir):
-    return rounded(select.select_vars(cube_hourly(spark, sf_dir), "momo_(?!click|signup).*"))
+    return rounded(select.select_vars(cube_hourly(spark, sf_dir), "gas_(?!click|signup).*"))
 
 
 @query(f"with {ML} select count(*) n, round(avg(target), 4) mean from ml where month = 3")
@@ -89,48 +89,48 @@ def drop_date(spark, sf_dir):
     return select.drop_date(ml_rows(spark, sf_dir), month=2, day=29, time="l_shipdate").groupBy("year").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"with {CUBE}, ok as (select distinct lat, lon from cube where momo_purchase > 250) select lat, lon, time, {r6(V)} from cube semi join ok using (lat, lon)")
+@query(f"with {CUBE}, ok as (select distinct lat, lon from cube where gas_purchase > 250) select lat, lon, time, {r6(V)} from cube semi join ok using (lat, lon)")
 def sel_pairs_semi(spark, sf_dir):
     cube = cube_hourly(spark, sf_dir)
-    return rounded(select.sel_cells(cube, cube.filter("momo_purchase > 250")))
+    return rounded(select.sel_cells(cube, cube.filter("gas_purchase > 250")))
 
 
-@query(f"with {CUBE}, ok as (select distinct lat, lon from cube where momo_purchase > 250) select lat, lon, time, {r6(V)} from cube anti join ok using (lat, lon)")
+@query(f"with {CUBE}, ok as (select distinct lat, lon from cube where gas_purchase > 250) select lat, lon, time, {r6(V)} from cube anti join ok using (lat, lon)")
 def sel_pairs_anti(spark, sf_dir):
     cube = cube_hourly(spark, sf_dir)
-    return rounded(select.sel_cells(cube, cube.filter("momo_purchase > 250"), remove=True))
+    return rounded(select.sel_cells(cube, cube.filter("gas_purchase > 250"), remove=True))
 
 
-@query(f"with {CUBE}, ok as (select distinct lat, lon from cube where momo_error is not null) select lat, lon, count(*) n from cube semi join ok using (lat, lon) group by 1, 2")
+@query(f"with {CUBE}, ok as (select distinct lat, lon from cube where gas_error is not null) select lat, lon, count(*) n from cube semi join ok using (lat, lon) group by 1, 2")
 def use_locations_of(spark, sf_dir):
     cube = cube_hourly(spark, sf_dir)
-    return select.sel_cells(cube, select.cells_with(cube, "momo_error")).groupBy("lat", "lon").agg(F.count(F.lit(1)).alias("n"))
+    return select.sel_cells(cube, select.cells_with(cube, "gas_error")).groupBy("lat", "lon").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"with {CUBE} select lat, lon, time, {r6(V)} from cube where ((lat between 0 and 40 and lon between 15 and 105) or (lat between -20 and 20 and lon between 105 and 195)) and momo_click is not null and momo_view is not null and momo_purchase is not null and momo_signup is not null and momo_error is not null")
+@query(f"with {CUBE} select lat, lon, time, {r6(V)} from cube where ((lat between 0 and 40 and lon between 15 and 105) or (lat between -20 and 20 and lon between 105 and 195)) and gas_click is not null and gas_view is not null and gas_purchase is not null and gas_signup is not null and gas_error is not null")
 def predict_regions(spark, sf_dir):
     return rounded(select.sel_regions(cube_hourly(spark, sf_dir), {"a": {"lat": (0, 40), "lon": (15, 105)}, "b": {"lat": (-20, 20), "lon": (105, 195)}}))
 
 
-@query(f"with {CUBE} select lat, lon, time, round(case when momo_click between 20 and 60 then 0 else momo_click end, 6) zeroed, round(case when momo_view between 20 and 60 or momo_view is null then null else momo_view end, 6) cleared from cube")
+@query(f"with {CUBE} select lat, lon, time, round(case when gas_click between 20 and 60 then 0 else gas_click end, 6) zeroed, round(case when gas_view between 20 and 60 or gas_view is null then null else gas_view end, 6) cleared from cube")
 def replace_vals(spark, sf_dir):
-    return rounded(cube_hourly(spark, sf_dir).select("lat", "lon", "time", fn.replace_values("momo_click", 20, 60, 0.0).alias("zeroed"), fn.replace_values("momo_view", 20, 60).alias("cleared")))
+    return rounded(cube_hourly(spark, sf_dir).select("lat", "lon", "time", fn.replace_values("gas_click", 20, 60, 0.0).alias("zeroed"), fn.replace_values("gas_view", 20, 60).alias("cleared")))
 
 
-@query(f"with {CUBE} select lat, lon, time, round(momo_purchase, 6) momo_purchase, round(momo_signup, 6) momo_signup, round(momo_error, 6) momo_error, round(momo_click - 2 * momo_view, 6) target from cube")
+@query(f"with {CUBE} select lat, lon, time, round(gas_purchase, 6) gas_purchase, round(gas_signup, 6) gas_signup, round(gas_error, 6) gas_error, round(gas_click - 2 * gas_view, 6) target from cube")
 def calc_expr_target(spark, sf_dir):
-    return rounded(select.with_target(cube_hourly(spark, sf_dir), "(momo_click) - 2 * (momo_view)"))
+    return rounded(select.with_target(cube_hourly(spark, sf_dir), "(gas_click) - 2 * (gas_view)"))
 
 
-@query(f"with {CUBE} select lat, lon, time, round(momo_click / nullif(momo_view, 0), 6) ratio, round(momo_click / nullif(momo_view, 0) + momo_error, 6) both from cube".replace(" both ", " total "))
+@query(f"with {CUBE} select lat, lon, time, round(gas_click / nullif(gas_view, 0), 6) ratio, round(gas_click / nullif(gas_view, 0) + gas_error, 6) both from cube".replace(" both ", " total "))
 def calc_features(spark, sf_dir):
-    own = select.with_calculated(cube_hourly(spark, sf_dir), {"ratio": "(momo_click) / (momo_view)", "total": "(ratio) + (momo_error)"})
+    own = select.with_calculated(cube_hourly(spark, sf_dir), {"ratio": "(gas_click) / (gas_view)", "total": "(ratio) + (gas_error)"})
     return rounded(own.select("lat", "lon", "time", "ratio", "total"))
 
 
-@query(f"with {CUBE} select lat, lon, time, round(coalesce(momo_click, momo_view), 6) combined from cube")
+@query(f"with {CUBE} select lat, lon, time, round(coalesce(gas_click, gas_view), 6) combined from cube")
 def combine_first(spark, sf_dir):
-    return rounded(cube_hourly(spark, sf_dir).select("lat", "lon", "time", F.coalesce("momo_click", "momo_view").alias("combined")))
+    return rounded(cube_hourly(spark, sf_dir).select("lat", "lon", "time", F.coalesce("gas_click", "gas_view").alias("combined")))
 
 
 @query("select event_id, case when event_id % 7 = 0 or event_id % 11 = 0 then null else round(value, 6) end x from events")
@@ -140,9 +140,9 @@ def finite_or_null(spark, sf_dir):
     return rounded(fn.all_finite(e.select("event_id", x.alias("x")), ["x"]))
 
 
-@query(f"with {CUBE} select lat, lon, time, round(momo_click, 6) momo_click, round(momo_view, 6) momo_view from cube where momo_click is not null and momo_view is not null")
+@query(f"with {CUBE} select lat, lon, time, round(gas_click, 6) gas_click, round(gas_view, 6) gas_view from cube where gas_click is not null and gas_view is not null")
 def drop_incomplete(spark, sf_dir):
-    return rounded(select.drop_incomplete(cube_hourly(spark, sf_dir).select("lat", "lon", "time", "momo_click", "momo_view"), ["momo_click"], "momo_view"))
+    return rounded(select.drop_incomplete(cube_hourly(spark, sf_dir).select("lat", "lon", "time", "gas_click", "gas_view"), ["gas_click"], "gas_view"))
 
 
 @query(f"with {CUBE} " + " union all ".join(f"select '{v}' variable, count({v}) n, count({v}) = 0 as empty from cube" for v in VARIABLES))
@@ -156,11 +156,11 @@ def lon_wrap(spark, sf_dir):
     return own.select("lon", "signed", fn.to_east(F.col("signed")).alias("east"), fn.utc_offset_hours(F.col("lon")).alias("off"))
 
 
-@query(f"with {CUBE} select time, round(momo_click, 6) momo_click from cube where lat = (select lat from cube order by abs(lat - 7), lat limit 1) and lon = (select lon from cube order by abs(lon - 120), lon limit 1)")
+@query(f"with {CUBE} select time, round(gas_click, 6) gas_click from cube where lat = (select lat from cube order by abs(lat - 7), lat limit 1) and lon = (select lon from cube order by abs(lon - 120), lon limit 1)")
 def nearest_point_series(spark, sf_dir):
     cube = cube_hourly(spark, sf_dir)
     lat, lon = (select.nearest_coord(cube, d, v).first()[0] for d, v in (("lat", 7.0), ("lon", 120.0)))
-    return rounded(select.point_series(cube, lat, lon, "momo_click"))
+    return rounded(select.point_series(cube, lat, lon, "gas_click"))
 
 
 # -- reshape and joins ----------------------------------------------------------------------------
@@ -174,35 +174,35 @@ def pivot_wide(spark, sf_dir):
     return rounded(reshape.to_wide(reshape.to_long(cube_hourly(spark, sf_dir), VARIABLES), VARIABLES))
 
 
-@query(f"with {CUBE}, s as (select cast((n_nationkey % 5) * 20 - 40 as double) lat, count(*) nations, max(n_name) label from nation group by 1) select cube.lat, lon, time, round(momo_click, 6) momo_click, nations, label from cube left join s on cube.lat = s.lat")
+@query(f"with {CUBE}, s as (select cast((n_nationkey % 5) * 20 - 40 as double) lat, count(*) nations, max(n_name) label from nation group by 1) select cube.lat, lon, time, round(gas_click, 6) gas_click, nations, label from cube left join s on cube.lat = s.lat")
 def broadcast_static(spark, sf_dir):
     static = table(spark, sf_dir, "nation").groupBy(((F.col("n_nationkey") % 5) * 20 - 40).cast("double").alias("lat")).agg(F.count(F.lit(1)).alias("nations"), F.max("n_name").alias("label"))
-    return rounded(reshape.with_static(cube_hourly(spark, sf_dir).select("lat", "lon", "time", "momo_click"), static, ["lat"]))
+    return rounded(reshape.with_static(cube_hourly(spark, sf_dir).select("lat", "lon", "time", "gas_click"), static, ["lat"]))
 
 
-@query(f"with {CUBE}, d as (select lat, lon, cast(time as date) as day, avg(momo_error) momo_error from cube where momo_error is not null group by 1, 2, 3), g as (select * from (select distinct lat from cube), (select distinct lon from cube), (select distinct cast(time as date) as day from cube)) select g.lat, g.lon, g.day, round(momo_error, 6) momo_error from g left join d on g.lat = d.lat and g.lon = d.lon and g.day = d.day")
+@query(f"with {CUBE}, d as (select lat, lon, cast(time as date) as day, avg(gas_error) gas_error from cube where gas_error is not null group by 1, 2, 3), g as (select * from (select distinct lat from cube), (select distinct lon from cube), (select distinct cast(time as date) as day from cube)) select g.lat, g.lon, g.day, round(gas_error, 6) gas_error from g left join d on g.lat = d.lat and g.lon = d.lon and g.day = d.day")
 def reindex_grid(spark, sf_dir):
     cube = cube_hourly(spark, sf_dir).withColumn("day", F.to_date("time"))
-    days = cube.filter("momo_error is not null").groupBy("lat", "lon", "day").agg(F.avg("momo_error").alias("momo_error"))
+    days = cube.filter("gas_error is not null").groupBy("lat", "lon", "day").agg(F.avg("gas_error").alias("gas_error"))
     return rounded(reshape.reindex(days, reshape.full_grid(cube, ["lat", "lon", "day"]), ["lat", "lon", "day"]))
 
 
-@query(f"with {CUBE} select lat, lon, time, round(a.momo_click, 6) momo_click, round(b.momo_view, 6) momo_view from (select * from cube where momo_click is not null) a join (select * from cube where momo_view is not null) b using (lat, lon, time)")
+@query(f"with {CUBE} select lat, lon, time, round(a.gas_click, 6) gas_click, round(b.gas_view, 6) gas_view from (select * from cube where gas_click is not null) a join (select * from cube where gas_view is not null) b using (lat, lon, time)")
 def align_inner(spark, sf_dir):
     cube = cube_hourly(spark, sf_dir)
-    return rounded(reshape.align(cube.filter("momo_click is not null").select("lat", "lon", "time", "momo_click"), cube.filter("momo_view is not null").select("lat", "lon", "time", "momo_view")))
+    return rounded(reshape.align(cube.filter("gas_click is not null").select("lat", "lon", "time", "gas_click"), cube.filter("gas_view is not null").select("lat", "lon", "time", "gas_view")))
 
 
-@query(f"with {CUBE}, a as (select lat, lon, time, momo_click, momo_error from cube where lat <= 0), b as (select lat, lon, time, momo_view, momo_error from cube where lat >= 0) select coalesce(a.lat, b.lat) lat, coalesce(a.lon, b.lon) lon, coalesce(a.time, b.time) as time, round(momo_click, 6) momo_click, round(coalesce(a.momo_error, b.momo_error), 6) momo_error, round(momo_view, 6) momo_view, cast(0 as integer) conflicts from a full join b on a.lat = b.lat and a.lon = b.lon and a.time = b.time")
+@query(f"with {CUBE}, a as (select lat, lon, time, gas_click, gas_error from cube where lat <= 0), b as (select lat, lon, time, gas_view, gas_error from cube where lat >= 0) select coalesce(a.lat, b.lat) lat, coalesce(a.lon, b.lon) lon, coalesce(a.time, b.time) as time, round(gas_click, 6) gas_click, round(coalesce(a.gas_error, b.gas_error), 6) gas_error, round(gas_view, 6) gas_view, cast(0 as integer) conflicts from a full join b on a.lat = b.lat and a.lon = b.lon and a.time = b.time")
 def merge_outer(spark, sf_dir):
     cube = cube_hourly(spark, sf_dir)
-    return rounded(reshape.merge(cube.filter("lat <= 0").select("lat", "lon", "time", "momo_click", "momo_error"), cube.filter("lat >= 0").select("lat", "lon", "time", "momo_view", "momo_error")))
+    return rounded(reshape.merge(cube.filter("lat <= 0").select("lat", "lon", "time", "gas_click", "gas_error"), cube.filter("lat >= 0").select("lat", "lon", "time", "gas_view", "gas_error")))
 
 
-@query(f"with {CUBE} select lat, lon, time, round(momo_click, 6) momo_click, cast(null as double) momo_view from cube where lat < 0 union all select lat, lon, time, round(momo_click, 6), round(momo_view, 6) from cube where lat >= 0")
+@query(f"with {CUBE} select lat, lon, time, round(gas_click, 6) gas_click, cast(null as double) gas_view from cube where lat < 0 union all select lat, lon, time, round(gas_click, 6), round(gas_view, 6) from cube where lat >= 0")
 def concat_union(spark, sf_dir):
     cube = cube_hourly(spark, sf_dir)
-    return rounded(reshape.concat(cube.filter("lat < 0").select("lat", "lon", "time", "momo_click"), cube.filter("lat >= 0").select("lat", "lon", "time", "momo_click", "momo_view")))
+    return rounded(reshape.concat(cube.filter("lat < 0").select("lat", "lon", "time", "gas_click"), cube.filter("lat >= 0").select("lat", "lon", "time", "gas_click", "gas_view")))
 
 
 # -- stations on a grid ---------------------------------------------------------------------------
@@ -249,34 +249,34 @@ def daily_local_tz(spark, sf_dir):
     return rounded(temporal.daily(cube_hourly(spark, sf_dir), (8, 15), VARIABLES, local=True))
 
 
-@query(f"with {CUBE} select lat, lon, cast(time + to_hours({OFFSET}) as date) as day, round(avg(momo_click), 6) momo_click from cube where {_LOCAL} between 28800 and 54000 group by 1, 2, 3")
+@query(f"with {CUBE} select lat, lon, cast(time + to_hours({OFFSET}) as date) as day, round(avg(gas_click), 6) gas_click from cube where {_LOCAL} between 28800 and 54000 group by 1, 2, 3")
 def daily_local_label(spark, sf_dir):
-    return rounded(temporal.daily(cube_hourly(spark, sf_dir), (8, 15), ["momo_click"], local=True, label="local"))
+    return rounded(temporal.daily(cube_hourly(spark, sf_dir), (8, 15), ["gas_click"], local=True, label="local"))
 
 
-@query(f"with {CUBE} select lat, lon, cast(time as date) as day, round(avg(momo_click) filter ({_LOCAL} between 28800 and 54000), 6) momo_click, round(max(momo_view) filter ({SECONDS} = 46800), 6) momo_view, round(avg(momo_purchase) filter ({SECONDS} between 0 and 82800), 6) momo_purchase, round(avg(momo_signup) filter ({SECONDS} between 0 and 82800), 6) momo_signup from cube group by 1, 2, 3")
+@query(f"with {CUBE} select lat, lon, cast(time as date) as day, round(avg(gas_click) filter ({_LOCAL} between 28800 and 54000), 6) gas_click, round(max(gas_view) filter ({SECONDS} = 46800), 6) gas_view, round(avg(gas_purchase) filter ({SECONDS} between 0 and 82800), 6) gas_purchase, round(avg(gas_signup) filter ({SECONDS} between 0 and 82800), 6) gas_signup from cube group by 1, 2, 3")
 def daily_sections(spark, sf_dir):
-    sections = [{"vars": ["momo_click"], "time": (8, 15), "local": True}, {"vars": ["momo_view", "not_there"], "time": 13}, {"vars": "momo_(purchase|signup)", "time": (0, 23)}]
+    sections = [{"vars": ["gas_click"], "time": (8, 15), "local": True}, {"vars": ["gas_view", "not_there"], "time": 13}, {"vars": "gas_(purchase|signup)", "time": (0, 23)}]
     return rounded(temporal.daily_sections(cube_hourly(spark, sf_dir), sections))
 
 
 _BINS = "f as (select min(cast(time as date)) a, max(cast(time as date)) b from cube), bins as (select cast(unnest(generate_series(a, b, interval {d} day)) as date) bin from f), cells as (select distinct lat, lon from cube)"
 
 
-@query(f"with {CUBE}, {_BINS.format(d=3)} select cells.lat, cells.lon, bins.bin, round(avg(momo_click), 9) momo_click, round(avg(momo_view), 9) momo_view from cells cross join bins left join cube on cube.lat = cells.lat and cube.lon = cells.lon and cast(time as date) >= bin and cast(time as date) < bin + 3 group by 1, 2, 3")
+@query(f"with {CUBE}, {_BINS.format(d=3)} select cells.lat, cells.lon, bins.bin, round(avg(gas_click), 9) gas_click, round(avg(gas_view), 9) gas_view from cells cross join bins left join cube on cube.lat = cells.lat and cube.lon = cells.lon and cast(time as date) >= bin and cast(time as date) < bin + 3 group by 1, 2, 3")
 def resample_3d_mean(spark, sf_dir):
-    return rounded(temporal.resample(cube_hourly(spark, sf_dir), 3, "mean", ["momo_click", "momo_view"]), 9)
+    return rounded(temporal.resample(cube_hourly(spark, sf_dir), 3, "mean", ["gas_click", "gas_view"]), 9)
 
 
-@query(f"with {CUBE} select lat, lon, last_day(cast(time as date)) bin, count(momo_click) momo_click from cube group by 1, 2, 3")
+@query(f"with {CUBE} select lat, lon, last_day(cast(time as date)) bin, count(gas_click) gas_click from cube group by 1, 2, 3")
 def resample_month_count(spark, sf_dir):
-    return temporal.resample_calendar(cube_hourly(spark, sf_dir), "month", "count", ["momo_click"])
+    return temporal.resample_calendar(cube_hourly(spark, sf_dir), "month", "count", ["gas_click"])
 
 
-@query(f"with {CUBE}, {_BINS.format(d=7)}, r as (select cells.lat, cells.lon, bins.bin, count(momo_click) momo_click from cells cross join bins left join cube on cube.lat = cells.lat and cube.lon = cells.lon and cast(time as date) >= bin and cast(time as date) < bin + 7 group by 1, 2, 3) select * from r where (select count(distinct cast(time as date)) from cube) % 7 = 0 or bin < (select max(bin) from bins)")
+@query(f"with {CUBE}, {_BINS.format(d=7)}, r as (select cells.lat, cells.lon, bins.bin, count(gas_click) gas_click from cells cross join bins left join cube on cube.lat = cells.lat and cube.lon = cells.lon and cast(time as date) >= bin and cast(time as date) < bin + 7 group by 1, 2, 3) select * from r where (select count(distinct cast(time as date)) from cube) % 7 = 0 or bin < (select max(bin) from bins)")
 def resample_drop_trailing(spark, sf_dir):
     cube = cube_hourly(spark, sf_dir).withColumn("day", F.to_date("time"))
-    return temporal.without_short_end(temporal.resample(cube, 7, "count", ["momo_click"]), cube, 7, "day")
+    return temporal.without_short_end(temporal.resample(cube, 7, "count", ["gas_click"]), cube, 7, "day")
 
 
 @query(f"with {SITES}, w as (select a.site, cast(a.ts as date) as day, a.ts, avg(b.value) m, count(*) n from sites a join sites b on a.site = b.site and cast(a.ts as date) = cast(b.ts as date) and b.ts >= a.ts and b.ts < a.ts + interval 8 hour group by 1, 2, 3), s as (select *, first_value(n) over (partition by site, day order by ts) need from w), t as (select *, max(case when n <> need then 1 else 0 end) over (partition by site, day order by ts rows unbounded preceding) stopped from s) select site, day, round(max(case when stopped = 0 then m end), 9) mda8 from t group by 1, 2")
@@ -289,9 +289,9 @@ def rolling8_daily_max(spark, sf_dir):
     return rounded(temporal.rolling_daily_max(site_hourly(spark, sf_dir)))
 
 
-@query(f"with {CUBE}, a as (select time, row_number() over (order by time) n from (select distinct time from cube)) select lat, lon, time, round(momo_click, 6) momo_click from cube semi join (select time from a where n % 5 <> 0) using (time)")
+@query(f"with {CUBE}, a as (select time, row_number() over (order by time) n from (select distinct time from cube)) select lat, lon, time, round(gas_click, 6) gas_click from cube semi join (select time from a where n % 5 <> 0) using (time)")
 def subsample_every_nth(spark, sf_dir):
-    return rounded(temporal.every_nth_dropped(cube_hourly(spark, sf_dir), "time", 5).select("lat", "lon", "time", "momo_click"))
+    return rounded(temporal.every_nth_dropped(cube_hourly(spark, sf_dir), "time", 5).select("lat", "lon", "time", "gas_click"))
 
 
 # -- statistics -----------------------------------------------------------------------------------
@@ -305,7 +305,7 @@ def zscore_by_lat(spark, sf_dir):
     return rounded(stats.zscore(cube_hourly(spark, sf_dir).select("lat", "lon", "time", *VARIABLES[:2]), VARIABLES[:2], ["lat"]), 5)
 
 
-@query(f"with {CUBE} select lat, lon, round(avg(momo_click), 6) momo_click, round(avg(momo_view), 6) momo_view from cube group by 1, 2")
+@query(f"with {CUBE} select lat, lon, round(avg(gas_click), 6) gas_click, round(avg(gas_view), 6) gas_view from cube group by 1, 2")
 def time_mean_map(spark, sf_dir):
     return rounded(stats.time_mean(cube_hourly(spark, sf_dir), VARIABLES[:2]))
 
@@ -376,7 +376,7 @@ def incremental_inputs(spark, sf_dir):
 def variable_file_merge(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     lat, lon = (F.col("user_id") % 5) * 20 - 40, (F.floor(F.col("user_id") / 5) % 4) * 90 + 15
-    long = e.groupBy(lat.cast("double").alias("lat"), lon.cast("double").alias("lon"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("time"), F.concat(F.lit("momo_"), "event_type").alias("variable")).agg(F.avg("value").alias("value"))
+    long = e.groupBy(lat.cast("double").alias("lat"), lon.cast("double").alias("lon"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("time"), F.concat(F.lit("gas_"), "event_type").alias("variable")).agg(F.avg("value").alias("value"))
     return rounded(tables.merge_variables(long, ["lat", "lon", "time"], VARIABLES))
 
 
@@ -524,15 +524,15 @@ def axis_limits(spark, sf_dir):
     return rounded(report.axis_limits(predicted(spark, sf_dir)), 4)
 
 
-@query(f"with {CUBE}, r as (select lat, lon, time, case when momo_view between 0 and 5 then null else momo_view end v, momo_click c, momo_error e from cube where lat between -20 and 40 and not (day(time) = 29)), d as (select lat, lon, cast(time as date) time, avg(c) filter ({_LOCAL} between 28800 and 54000) c, max(v) filter ({SECONDS} = 46800) v, avg(e - 2 * c) x from r group by 1, 2, 3), t as (select lat, lon, time, v, x, c - x target from d), z as (select *, (v - avg(v) over ()) / nullif(stddev_pop(v) over (), 0) zv from t) select lat, lon, count(*) n, round(avg(zv), 5) v, round(avg(target), 5) target from z group by 1, 2")
+@query(f"with {CUBE}, r as (select lat, lon, time, case when gas_view between 0 and 5 then null else gas_view end v, gas_click c, gas_error e from cube where lat between -20 and 40 and not (day(time) = 29)), d as (select lat, lon, cast(time as date) time, avg(c) filter ({_LOCAL} between 28800 and 54000) c, max(v) filter ({SECONDS} = 46800) v, avg(e - 2 * c) x from r group by 1, 2, 3), t as (select lat, lon, time, v, x, c - x target from d), z as (select *, (v - avg(v) over ()) / nullif(stddev_pop(v) over (), 0) zv from t) select lat, lon, count(*) n, round(avg(zv), 5) v, round(avg(target), 5) target from z group by 1, 2")
 def workflow_rows(spark, sf_dir):
     spec = workflow.Spec(
-        target="(momo_click) - (x)", variables=["momo_view"], ranges={"lat": (-20, 40)}, drop={"day": 29}, replace={"momo_view": (0, 5, None)},
-        calc={"x": "(momo_error) - 2 * (momo_click)"}, scale=True,
-        sections=[{"vars": ["momo_click"], "time": (8, 15), "local": True}, {"vars": ["momo_view"], "time": 13}, {"vars": ["x"], "time": (0, 24)}],
+        target="(gas_click) - (x)", variables=["gas_view"], ranges={"lat": (-20, 40)}, drop={"day": 29}, replace={"gas_view": (0, 5, None)},
+        calc={"x": "(gas_error) - 2 * (gas_click)"}, scale=True,
+        sections=[{"vars": ["gas_click"], "time": (8, 15), "local": True}, {"vars": ["gas_view"], "time": 13}, {"vars": ["x"], "time": (0, 24)}],
     )
     rows, _ = workflow.load(spark, spec, cube_hourly(spark, sf_dir))
-    return rounded(rows.groupBy("lat", "lon").agg(F.count(F.lit(1)).alias("n"), F.avg("momo_view").alias("v"), F.avg("target").alias("target")), 5)
+    return rounded(rows.groupBy("lat", "lon").agg(F.count(F.lit(1)).alias("n"), F.avg("gas_view").alias("v"), F.avg("target").alias("target")), 5)
 
 
 # -- trained models (no SQL trains a forest: rows and invariants are tested instead) -----------------

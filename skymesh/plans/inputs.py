@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-VARIABLES = ["momo_click", "momo_view", "momo_purchase", "momo_signup", "momo_error"]
+VARIABLES = ["gas_click", "gas_view", "gas_purchase", "gas_signup", "gas_error"]
 LATS = [float(v) for v in range(-80, 81, 20)]
 LONS = [float(v) for v in range(-150, 181, 30)]
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "p_size"]
@@ -24,12 +24,12 @@ def cube_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A gridded hourly cube of five variables from the event stream."""
     e = table(spark, sf_dir, "events")
     lat, lon = (F.col("user_id") % 5) * 20 - 40, (F.floor(F.col("user_id") / 5) % 4) * 90 + 15
-    values = (F.avg(F.when(F.col("event_type") == v.removeprefix("momo_"), F.col("value"))).alias(v) for v in VARIABLES)
+    values = (F.avg(F.when(F.col("event_type") == v.removeprefix("gas_"), F.col("value"))).alias(v) for v in VARIABLES)
     return e.groupBy(lat.cast("double").alias("lat"), lon.cast("double").alias("lon"), hour_of("ts").alias("time")).agg(*values)
 
 
 CUBE = """cube as (select cast((user_id % 5) * 20 - 40 as double) lat, cast((user_id // 5 % 4) * 90 + 15 as double) lon,
- date_trunc('hour', ts) as time, """ + ", ".join(f"avg(value) filter (event_type = '{v.removeprefix('momo_')}') {v}" for v in VARIABLES) + " from events group by 1, 2, 3)"
+ date_trunc('hour', ts) as time, """ + ", ".join(f"avg(value) filter (event_type = '{v.removeprefix('gas_')}') {v}" for v in VARIABLES) + " from events group by 1, 2, 3)"
 
 
 def site_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:

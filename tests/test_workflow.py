@@ -11,13 +11,13 @@ SF = "/root/testdata/sf0.01"
 
 
 def test_files_to_explanations(spark, tmp_path):
-    cube = cube_hourly(spark, SF).withColumn("y", F.col("momo_click") * 2 + F.col("momo_view"))
+    cube = cube_hourly(spark, SF).withColumn("y", F.col("gas_click") * 2 + F.col("gas_view"))
     years = F.explode(F.array(*(F.lit(y) for y in (2021, 2022, 2023))))
     many = cube.withColumn("year", years).withColumn("time", F.col("time") - F.make_ym_interval(F.lit(2024) - F.col("year")))
     many.repartition(2).write.partitionBy("year").parquet(str(tmp_path / "cube"))
-    spec = workflow.Spec(target="y", globs=[str(tmp_path / "cube" / "year=202[1-3]")], variables=["momo_(click|view)"], sections=[{"vars": "momo_.*|y", "time": (0, 24)}])
+    spec = workflow.Spec(target="y", globs=[str(tmp_path / "cube" / "year=202[1-3]")], variables=["gas_(click|view)"], sections=[{"vars": "gas_.*|y", "time": (0, 24)}])
     rows, features = workflow.load(spark, spec)
-    assert features == ["momo_click", "momo_view"] and rows.count() == 1800
+    assert features == ["gas_click", "gas_view"] and rows.count() == 1800
     scores = workflow.train(rows, features, [2021, 2022, 2030], str(tmp_path / "out"), "r1", numTrees=10, maxDepth=7)
     got = {r.fold_year: r for r in scores.collect()}
     assert set(got) == {2021, 2022} and all(r.r2 > 0.6 for r in got.values())
@@ -36,13 +36,13 @@ def test_streams_agree_with_tables(spark, tmp_path):
     cube = cube_hourly(spark, SF).withColumn("time", F.col("time").cast("timestamp"))
     cube.repartition(3).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(cube.schema).parquet(str(tmp_path / "in"))
-    query = streaming.daily(stream, (8, 15), ["momo_click"]).writeStream.outputMode("complete").format("memory").queryName("days").start()
+    query = streaming.daily(stream, (8, 15), ["gas_click"]).writeStream.outputMode("complete").format("memory").queryName("days").start()
     query.processAllAvailable()
     query.stop()
-    table = temporal.daily(cube, (8, 15), ["momo_click"])
-    key = lambda df: sorted((r.lat, r.lon, str(r.day), None if r.momo_click is None else round(r.momo_click, 9)) for r in df.collect())
+    table = temporal.daily(cube, (8, 15), ["gas_click"])
+    key = lambda df: sorted((r.lat, r.lon, str(r.day), None if r.gas_click is None else round(r.gas_click, 9)) for r in df.collect())
     assert [str(x) for x in key(spark.table("days"))] == [str(x) for x in key(table)]
-    obs = cube.select("time", "lat", (F.col("lon") - 180).alias("lon"), F.col("momo_view").alias("value"))
+    obs = cube.select("time", "lat", (F.col("lon") - 180).alias("lon"), F.col("gas_view").alias("value"))
     obs.write.parquet(str(tmp_path / "obs"))
     stream = spark.readStream.schema(obs.schema).parquet(str(tmp_path / "obs"))
     query = streaming.grid_counts(stream, [-40.0, 0.0], [0.0, 180.0]).writeStream.outputMode("complete").format("memory").queryName("cells").start()
