@@ -49,11 +49,11 @@ def load(spark: SparkSession, spec: Spec, cube: DataFrame | None = None) -> tupl
     df = cube if cube is not None else tables.read_cube(spark, *spec.globs)
     if df is None:
         raise FileNotFoundError(f"no file matches {spec.globs}")
-    needed = [n for text in spec.calc.values() for n in formula(text)[1] if n in df.columns]
-    wanted = [*([spec.variables] if isinstance(spec.variables, str) else spec.variables), *needed]
-    made = set(spec.calc)
-    target = None if spec.target in made or spec.target not in df.columns and set(formula(spec.target)[1]) & made else spec.target
-    df = select.select_vars(df, wanted, target)
+    plain = spec.target in df.columns or spec.target in spec.calc
+    inputs = [spec.target] if plain else formula(spec.target)[1]
+    inputs += [n for text in spec.calc.values() for n in formula(text)[1]]
+    wanted = [spec.variables] if isinstance(spec.variables, str) else list(spec.variables)
+    df = select.select_vars(df, [*wanted, *(n for n in inputs if n in df.columns)])
     for dim, bounds in spec.ranges.items():
         df = select.sel_range(df, dim, bounds)
     if spec.month:
