@@ -10,8 +10,8 @@ block is computed from it in Spark.  A source whose blocks run out starts again
 
 By default weights follow the sources' document counts to the power ``temperature``, and the mix is just
 as long as it takes for every source to come through once: no document is left out, and small sources
-repeat.  The index of a document in its source is a running count inside hashed bins, of at most about
-``bin_rows`` documents each, plus the sizes of the bins before, so that no source meets in one task.
+repeat.  The index of a document in its source is a running count inside hashed bins, of about ``bin_rows``
+documents each, plus the sizes of the bins before, so that no source meets in one task.
 
 Defined results: rows without a source form a source of their own (null); repeated rows are different
 documents of the mix (in the order of their ids); an empty table gives an empty mix; other columns are
@@ -62,7 +62,7 @@ def one_period(slots: Mapping) -> list[tuple[object, int]]:
     return out
 
 
-def mixed(docs: DataFrame, weights: Mapping | None = None, block: int = 16, period: int = 1000, slots: int | None = None, temperature: float = 0.7, seed: int = 11, bin_rows: int = 5000) -> DataFrame:
+def mixed(docs: DataFrame, weights: Mapping | None = None, block: int = 16, period: int = 1000, slots: int | None = None, temperature: float = 0.7, seed: int = 11, bin_rows: int = 1000) -> DataFrame:
     """The mix: a row for each document and epoch, with its ``slot`` and its ``place`` (a dense order of
     whole blocks is slot, place)."""
     spark = docs.sparkSession
@@ -79,11 +79,12 @@ def mixed(docs: DataFrame, weights: Mapping | None = None, block: int = 16, peri
     if slots is None:
         slots = max(-(-blocks[k] * length // share[k]) for k in share)
 
-    # the index of each document in its source
-    bins = max(1, -(-sum(count.values()) // bin_rows))
-    # bins are ranges of the hashed order; the shift makes them even
-    own = own.filter(F.col("source").isin([k for k in share if k is not None]) | (F.col("source").isNull() & F.lit(None in share)))
-    bin_no = F.floor((F.shiftrightunsigned("__key", 33).cast("double") / F.lit(float(1 << 31))) * bins).cast("bigint")
+    # what holds for each source of the mix: as many rows as it has sources
+    facts = spark.createDataFrame([(k, share[k], blocks[k], -(-slots * share[k] // length), -(-count[k] // bin_rows)) for k in share], "__source string, __share bigint, __blocks bigint, __most bigint, __bins bigint")
+    own = own.join(F.broadcast(facts), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+
+    # the index of each document in its source; bins are ranges of the hashed order
+    bin_no = F.floor((F.shiftrightunsigned("__key", 33).cast("double") / F.lit(float(1 << 31))) * F.col("__bins")).cast("bigint")
     own = own.withColumn("__bin", bin_no)
     sizes = written(own.groupBy("source", "__bin").agg(F.count(F.lit(1)).alias("n")), "mix-bins")
     before = sizes.select("source", "__bin", (F.sum("n").over(Window.partitionBy("source").orderBy("__bin")) - F.col("n")).alias("__before"))
@@ -94,9 +95,7 @@ def mixed(docs: DataFrame, weights: Mapping | None = None, block: int = 16, peri
     # the period, with what each of its blocks needs: at most ``period`` rows
     plan = one_period(share)
     table = spark.createDataFrame([(k, j, t, share[k], blocks[k]) for t, (k, j) in enumerate(plan)], "__source string, __j bigint, __t bigint, __share bigint, __blocks bigint")
-    facts = spark.createDataFrame([(k, share[k], blocks[k], -(-slots * share[k] // length)) for k in share], "__source string, __share bigint, __blocks bigint, __most bigint")
-    out = numbered.join(F.broadcast(facts), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    out = out.withColumn("block_no", F.floor(index / block).cast("bigint")).withColumn("place", index % block)
+    out = numbered.withColumn("block_no", F.floor(index / block).cast("bigint")).withColumn("place", index % block)
     out = out.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("__most") / F.col("__blocks")).cast("bigint"))))
     turn = F.col("epoch") * F.col("__blocks") + F.col("block_no")
     out = out.withColumn("__turn", turn).withColumn("__at", F.col("__turn") % F.col("__share"))
