@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skymesh.llm.frames import apart, scratch, written
+from skymesh.llm.frames import apart, scratch, small_batches, written
 
 #: fields of the header line of an ARC record, by version (fixed values of the format)
 ARC_FIELDS = {
@@ -206,7 +206,7 @@ def _files(spark: SparkSession, *paths: str) -> DataFrame:
 
 def write_arcs(pages: DataFrame, path: str, version: int, per_file: int = PER_FILE) -> None:
     """``pages`` (page_id, url, html) as ARC files of a version."""
-    own = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    own = small_batches(pages).select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     _write(own.mapInArrow(partial(_arcs, version=version, per_file=per_file), "value binary"), path, "\n", per_file)
 
 

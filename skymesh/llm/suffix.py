@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skymesh.llm import repeats
-from skymesh.llm.frames import written
+from skymesh.llm.frames import small_batches, written
 from skymesh.llm.kernel import BYTE_CODE, int64, mix, prefix, slices, span_hash, text_bytes
 
 RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
@@ -317,7 +317,7 @@ def remove_repeats(docs: DataFrame, size: int = 100, most: int = 4096, text: boo
     """``docs`` (doc_id, text) without the bytes of ``size``-byte strings that also start earlier:
     counts and the hash of the kept bytes; with ``text`` also these as a string (kept_text, null for a
     null text; bytes of a character that was cut in two are left out); and the columns in ``carry``."""
-    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
+    own = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
     known = own.select("doc_id", "text").filter("doc_id is not null")
     segments = known.mapInArrow(partial(_segments, size=size), repeats.SEGMENT)
     judged = written(repeats.judge(segments, same_doc=True), "suffix")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skymesh.llm.frames import texts, written
+from skymesh.llm.frames import small_batches, texts, written
 from skymesh.llm.kernel import BYTE_CODE, LOWER, powers, prefix, slices, text_bytes, _BASE
 
 GRAMS = (4, 5, 6, 7)
@@ -237,7 +237,7 @@ def _acceptable(batches, model: Model | None, least: float):
 
 def acceptable(docs: DataFrame, model: Model | None, least: float = 0.7) -> DataFrame:
     """The rows of ``docs`` with a score under ``least``, filtered in place."""
-    return docs.mapInArrow(partial(_acceptable, model=model, least=least), docs.schema)
+    return small_batches(docs).mapInArrow(partial(_acceptable, model=model, least=least), docs.schema)
 
 
 def score(docs: DataFrame, model: Model | None, least: float = 0.7, show: int = 3) -> DataFrame:
