@@ -34,7 +34,7 @@ from skymesh.llm.kernel import BYTE_CODE, int64, mix, prefix, slices, span_hash,
 
 RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 ANCHOR = 24  # bytes
-SHARD = 1 << 20  # bytes of segments that are sorted together
+SHARD = 1 << 18  # bytes of segments that are sorted together
 
 
 # -- suffix array ---------------------------------------------------------------------------------
