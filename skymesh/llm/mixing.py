@@ -4,9 +4,9 @@ Documents of a source are put in a hashed order and cut into blocks of ``block``
 w, the source's j-th block (from 0) is released at slot floor(j / w) and due by slot ceil((j + 1) / w);
 each slot goes to the released block with the earliest deadline (then of the heavier source, then by
 name), so after any number t of slots a source has had less than one block more or less than w * t.
-Weights are rounded to multiples of 1 / ``period``, so the schedule repeats after ``period`` slots.  Only
-this one period, a few thousand rows at most whatever the corpus, is made on the driver; the slot of every
-block is computed from it in Spark.  A source whose blocks run out starts again (epoch 1, 2, ...).
+Weights are exact, in whole numbers of any size; only with ``period`` they are first rounded to multiples
+of 1 / ``period``.  The schedule is written as a table by one task, as a stream: it holds one entry for each
+source, whatever the number of blocks.  A source whose blocks run out starts again (epoch 1, 2, ...).
 
 By default weights follow the sources' document counts to the power ``temperature``, and the mix is just
 as long as it takes for every source to come through once: no document is left out, and small sources
@@ -21,15 +21,23 @@ carried along, but those named slot, epoch, block_no or place, which are replace
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping, Sequence
 from fractions import Fraction
+from functools import partial
+from heapq import heapify, heappop, heappush
+from itertools import islice
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skymesh.llm.frames import written
 
 ADDED = ["slot", "epoch", "block_no", "place"]
+PLAN = "__no bigint, block_no bigint, epoch bigint, __far bigint, slot bigint"
+#: epochs of a block that are joined by one key
+TOGETHER = 64
 
 
 def shares(weights: Mapping, period: int) -> dict:
@@ -48,21 +56,42 @@ def shares(weights: Mapping, period: int) -> dict:
     return slots
 
 
-def one_period(slots: Mapping) -> list[tuple[object, int]]:
-    """(source, number of its block) of each slot of a period, earliest deadline first among released."""
-    period = sum(slots.values())
-    weight = {k: Fraction(n, period) for k, n in slots.items()}
-    done = dict.fromkeys(slots, 0)
-    out = []
-    for t in range(period):
-        ready = [k for k in slots if done[k] < slots[k] and math.floor(done[k] / weight[k]) <= t]
-        k = min(ready, key=lambda k: (math.ceil((done[k] + 1) / weight[k]), -slots[k], str(k)))
-        out.append((k, done[k]))
-        done[k] += 1
-    return out
-
-
-def mixed(docs: DataFrame, weights: Mapping | None = None, block: int = 16, period: int = 1000, slots: int | None = None, temperature: float = 0.7, seed: int = 11, bin_rows: int = 1000) -> DataFrame:
+def whole(weights: Mapping) -> dict:
+    """Whole numbers in exactly the proportions of ``weights``; the heaviest source first, then by name."""
+    exact = {k: Fraction(v) for k, v in weights.items()}
+    unit = math.lcm(*(v.denominator for v in exact.values()))
+    return {k: int(exact[k] * unit) for k in sorted(exact, key=lambda k: (-exact[k], k is not None, str(k)))}
+
+
+def schedule(weight: Sequence[int], slots: int) -> Iterator[tuple[int, int]]:
+    """(number of the source, turn) of each slot: the earliest deadline among released turns."""
+    total = sum(weight)
+    ready = [(-(-total // w), i, 0) for i, w in enumerate(weight)]
+    heapify(ready)
+    waiting: list = []
+    for t in range(slots):
+        while waiting and waiting[0][0] <= t:
+            heappush(ready, heappop(waiting)[1:])
+        _, i, j = heappop(ready)
+        yield i, j
+        j += 1
+        due = -(-(j + 1) * total // weight[i])
+        heappush(waiting, (j * total // weight[i], due, i, j))
+
+
+def _planned(batches, weight: list[int], blocks: list[int], slots: int):
+    for _ in batches:
+        pass
+    own, t, count = schedule(weight, slots), 0, np.array(blocks, np.int64)
+    while part := list(islice(own, 1 << 16)):
+        source, turn = np.array(part, np.int64).T
+        epoch = turn // count[source]
+        values = (source, turn % count[source], epoch, epoch // TOGETHER, np.arange(t, t + len(part)))
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in values], [x.split()[0] for x in PLAN.split(", ")])
+        t += len(part)
+
+
+def mixed(docs: DataFrame, weights: Mapping | None = None, block: int = 16, period: int | None = None, slots: int | None = None, temperature: float = 0.7, seed: int = 11, bin_rows: int = 1000) -> DataFrame:
     """The mix: a row for each document and epoch, with its ``slot`` and its ``place`` (a dense order of
     whole blocks is slot, place)."""
     spark = docs.sparkSession
@@ -73,32 +102,34 @@ def mixed(docs: DataFrame, weights: Mapping | None = None, block: int = 16, peri
     weights = {k: w for k, w in weights.items() if w > 0 and count.get(k)}
     if not weights:
         return own.drop("__key").limit(0).select("*", *(F.lit(0).cast("bigint").alias(x) for x in ADDED))
-    share = shares(weights, max(period, len(weights)))
-    length = sum(share.values())
-    blocks = {k: -(-count[k] // block) for k in share}
+    if period is not None:
+        if period < len(weights):
+            raise ValueError(f"a period of {period} slots can't hold {len(weights)} sources")
+        weights = shares(weights, period)
+    weight = whole(weights)
+    total = sum(weight.values())
+    blocks = {k: -(-count[k] // block) for k in weight}
     if slots is None:
-        slots = max(-(-blocks[k] * length // share[k]) for k in share)
+        slots = max(-(-blocks[k] * total // weight[k]) for k in weight)
 
     # what holds for each source of the mix: as many rows as it has sources
-    facts = spark.createDataFrame([(k, share[k], blocks[k], -(-slots * share[k] // length), -(-count[k] // bin_rows)) for k in share], "__source string, __share bigint, __blocks bigint, __most bigint, __bins bigint")
+    epochs = {k: -(-slots * weight[k] // total) // blocks[k] for k in weight}
+    facts = spark.createDataFrame([(k, i, epochs[k] // TOGETHER, -(-count[k] // bin_rows)) for i, k in enumerate(weight)], "__source string, __no bigint, __most bigint, __bins bigint")
     own = own.join(F.broadcast(facts), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
 
     # the index of each document in its source; bins are ranges of the hashed order
     bin_no = F.floor((F.shiftrightunsigned("__key", 33).cast("double") / F.lit(float(1 << 31))) * F.col("__bins")).cast("bigint")
     own = own.withColumn("__bin", bin_no)
-    sizes = written(own.groupBy("source", "__bin").agg(F.count(F.lit(1)).alias("n")), "mix-bins")
-    before = sizes.select("source", "__bin", (F.sum("n").over(Window.partitionBy("source").orderBy("__bin")) - F.col("n")).alias("__before"))
-    ordered = Window.partitionBy("source", "__bin").orderBy("__key", "doc_id")
-    numbered = own.withColumn("__n", F.row_number().over(ordered)).join(before.withColumnsRenamed({"source": "__s", "__bin": "__b"}), F.col("source").eqNullSafe(F.col("__s")) & (F.col("__bin") == F.col("__b")))
+    sizes = written(own.groupBy("__no", "__bin").agg(F.count(F.lit(1)).alias("n")), "mix-bins")
+    before = sizes.select("__no", "__bin", (F.sum("n").over(Window.partitionBy("__no").orderBy("__bin")) - F.col("n")).alias("__before"))
+    ordered = Window.partitionBy("__no", "__bin").orderBy("__key", "doc_id")
+    numbered = own.withColumn("__n", F.row_number().over(ordered)).join(before, ["__no", "__bin"])
     index = F.col("__before") + F.col("__n") - 1
 
-    # the period, with what each of its blocks needs: at most ``period`` rows
-    plan = one_period(share)
-    table = spark.createDataFrame([(k, j, t, share[k], blocks[k]) for t, (k, j) in enumerate(plan)], "__source string, __j bigint, __t bigint, __share bigint, __blocks bigint")
+    # a row for each slot, met by the documents of its block
+    one = spark.range(0, 1, 1, 1).mapInArrow(partial(_planned, weight=list(weight.values()), blocks=list(blocks.values()), slots=slots), PLAN)
+    plan = written(one, "mix-plan")
     out = numbered.withColumn("block_no", F.floor(index / block).cast("bigint")).withColumn("place", index % block)
-    out = out.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("__most") / F.col("__blocks")).cast("bigint"))))
-    turn = F.col("epoch") * F.col("__blocks") + F.col("block_no")
-    out = out.withColumn("__turn", turn).withColumn("__at", F.col("__turn") % F.col("__share"))
-    out = out.join(F.broadcast(table.select("__source", "__j", "__t")), F.col("source").eqNullSafe(F.col("__source")) & (F.col("__at") == F.col("__j")))
-    out = out.withColumn("slot", F.floor(F.col("__turn") / F.col("__share")).cast("bigint") * length + F.col("__t")).filter(F.col("slot") < slots)
+    out = out.withColumn("__far", F.explode(F.sequence(F.lit(0).cast("bigint"), "__most")))
+    out = out.join(plan, ["__no", "block_no", "__far"])
     return out.select(*(f"`{c}`" for c in docs.columns if c not in ADDED), *ADDED)

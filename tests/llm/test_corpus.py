@@ -313,6 +313,38 @@ def test_mixing(spark, odd):
     assert mixing.mixed(odd).select("doc_id").distinct().count() == odd.count()
 
 
+@pytest.mark.parametrize("weights", [[0.618034, 0.2, 0.17, 1e-5], [1e6, *range(1, 1500)]])
+def test_schedule_keeps_exact_weights(weights):
+    """At every slot each source is less than one block from its weight, also over a long mix."""
+    w = list(mixing.whole(dict(enumerate(weights))).values())
+    order = np.array(list(mixing.schedule(w, 60_000)))
+    for i in range(min(len(w), 40)):
+        had = np.cumsum(order[:, 0] == i)
+        assert np.abs(had - (np.arange(len(had)) + 1) * (w[i] / sum(w))).max() < 1 + 1e-6
+        assert (order[order[:, 0] == i, 1] == np.arange(had[-1])).all()
+
+
+def test_mixing_of_more_than_a_thousand_sources(spark):
+    """A hot source with a third of the rows gets its weight, and nobody is left out."""
+    docs = spark.range(4500).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 1500, "hot").otherwise(F.concat(F.lit("s"), (F.col("id") % 1500).cast("string"))).alias("source"))
+    got = mixing.mixed(docs, block=2).toPandas()
+    assert set(got.doc_id) == set(range(4500)) and not got.duplicated(["slot", "place"]).any()
+    order = got.drop_duplicates("slot").sort_values("slot").source.to_numpy()
+    share = 1500**0.7 / (1500**0.7 + 1500 * 2**0.7)
+    assert len(order) == got.slot.max() + 1 == np.ceil(750 / share)
+    had = np.cumsum(order == "hot")
+    assert np.abs(had - (np.arange(len(had)) + 1) * share).max() < 1
+    with pytest.raises(ValueError):
+        mixing.mixed(docs, period=1000)
+
+
+def test_mixing_of_many_epochs(spark):
+    docs = spark.createDataFrame([(0, "a"), (1, "a"), (2, "a"), (3, "b")], "doc_id long, source string")
+    got = mixing.mixed(docs, weights={"a": 1, "b": 1}, block=2, slots=600).toPandas()
+    assert sorted(got.slot.unique()) == list(range(600)) and got[got.source == "b"].epoch.tolist() and set(got[got.source == "b"].epoch) == set(range(300))
+    assert (got[got.source == "a"].groupby("epoch").doc_id.nunique() == 3).all()
+
+
 def test_empty_and_odd_tables(spark, odd):
     empty, none = odd.limit(0), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     bench = spark.createDataFrame([], "item_id long, text string")
