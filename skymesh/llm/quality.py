@@ -2,7 +2,7 @@
 
 Every document gets four plain counts and two Jensen-Shannon distances (base 2, 0 to 1): of its
 character-class histogram and of its common-word histogram from the nearest language reference.
-References come from all documents of the language: pass one finds each language's common words,
+References come from all documents of the language: pass one counts every word of every row and takes each language's most common ones,
 pass two sums both histograms over the whole corpus; only these sums (a few hundred numbers for each
 language) reach the driver.  Pass three judges each document by itself, so no row is ever shuffled.
 
@@ -18,13 +18,15 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skymesh.llm.frames import small_batches
 from skymesh.llm.kernel import NOT_SPACE, Words, int64, mix, slices, span_hash, text_bytes
 
 CLASSES = 8
+#: words whose totals a task holds
+HELD = 1 << 18
 #: symbols 0, lower 1, upper 2, digit 3, space 4, punctuation 5, other ASCII 6, beyond ASCII 7; continuation bytes 8
 CHAR_CLASS = np.full(256, 6, np.int64)
 CHAR_CLASS[97:123], CHAR_CLASS[65:91], CHAR_CLASS[48:58] = 1, 2, 3
@@ -54,17 +56,37 @@ def _lower(flat: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(flat, offsets, NOT_SPACE, lower=True)
 
 
-def _frequent(batches, share: float):
-    """Words that make up ``share`` of a language's words in a slice.  A word that has this share in
-    the corpus has it in some slice, so none is missed."""
+def _word_totals(batches):
+    """(lang, word, n) of all words, added up in the task; totals go out whenever more than ``HELD`` words are held."""
+    held: dict[str, list] = {}
+    size = 0
+
+    def add_up() -> int:
+        for lang, parts in held.items():
+            word, at = np.unique(np.concatenate([w for w, _ in parts]), return_inverse=True)
+            n = np.zeros(len(word), np.int64)
+            np.add.at(n, at, np.concatenate([n for _, n in parts]))
+            held[lang] = [(word, n)]
+        return sum(len(parts[0][0]) for parts in held.values())
+
+    def out():
+        for lang, [(word, n)] in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(word), pa.string()), int64(word), int64(n)], ["lang", "word", "n"])
+        held.clear()
+
     for batch in batches:
         for part in slices(batch):
             words = _lower(*text_bytes(part.column("text")))
             langs = np.array(part.column("lang").to_pylist(), object)
             for lang in {x for x in langs if x is not None}:
-                own, n = np.unique(words.hash[(langs == lang)[words.doc]], return_counts=True)
-                keep = n >= share * n.sum()
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * int(keep.sum()), pa.string()), int64(own[keep]), int64(n[keep])], ["lang", "word", "n"])
+                own = np.unique(words.hash[(langs == lang)[words.doc]], return_counts=True)
+                held.setdefault(lang, []).append(own)
+                size += len(own[0])
+            if size > HELD and (size := add_up()) > HELD // 2:
+                yield from out()
+                size = 0
+    add_up()
+    yield from out()
 
 
 def _sums(batches, common: np.ndarray):
@@ -80,12 +102,12 @@ def _sums(batches, common: np.ndarray):
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(v), pa.string()), pa.array(np.arange(len(v), dtype=np.int32)), int64(v)], ["lang", "bin", "n"])
 
 
-def references(docs: DataFrame, share: float = 0.002, most: int = 64) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+def references(docs: DataFrame, most: int = 64) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     """The common words (sorted hashes) and each language's two histograms, over all rows of (text, lang)."""
-    frequent = docs.mapInArrow(partial(_frequent, share=share), "lang string, word bigint, n bigint")
-    ranked = frequent.groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = ranked.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.col("n"), F.col("word"))), asc=False), 1, most).alias("top"))
-    common = np.unique(np.array([w["word"] for row in top.collect() for w in row["top"]], np.int64).view(np.uint64))
+    counted = docs.mapInArrow(_word_totals, "lang string, word bigint, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), F.desc("word")))
+    top = counted.withColumn("place", place).filter(F.col("place") <= most).select("word").distinct()
+    common = np.unique(np.array([r.word for r in top.collect()], np.int64).view(np.uint64))
     rows = docs.mapInArrow(partial(_sums, common=common), "lang string, bin int, n bigint").groupBy("lang", "bin").agg(F.sum("n").alias("n")).collect()
     found: dict[str, np.ndarray] = {}
     for lang, at, n in rows:

@@ -74,6 +74,42 @@ def test_quality_counts(docs, odd):
         assert g.base_failed == failed and not (failed and g.kept)
 
 
+def word_hash(word):
+    b = word.encode()
+    return int(quality._lower(np.frombuffer(b, np.uint8), np.array([0, len(b)])).hash[0])
+
+
+def test_common_words_are_counted_over_all_rows(spark, docs):
+    """Also words under 0.2 % of each slice, and a word that is frequent in one source only."""
+    rare = [f"r{i}" for i in range(62)]
+    rows = [("q", " ".join(["the"] * 940 + rare[k % 2 :: 2] + ["hot"] * 2 * (k < 8))) for k in range(40)]
+    own = docs.select("lang", "text").unionByName(spark.createDataFrame(rows, "lang string, text string"))
+    count = defaultdict(Counter)
+    for r in own.collect():
+        if r.lang is not None:
+            count[r.lang].update(re.findall(SPACED, lower(r.text)))
+    want = set()
+    for c in count.values():
+        ranked = sorted(((n, int(np.uint64(word_hash(w)).view(np.int64))) for w, n in c.items()), reverse=True)
+        want |= {w for _, w in ranked[:64]}
+    common, _ = quality.references(own.select("text", "lang"))
+    assert set(common.view(np.int64).tolist()) == want
+
+
+@pytest.mark.parametrize("held", [1 << 18, 3])
+def test_word_totals_lose_nothing(monkeypatch, held):
+    import pyarrow as pa
+
+    monkeypatch.setattr(quality, "HELD", held)
+    rows = [("a b a", "x"), ("a c", "y"), ("d e f g A", "x"), (None, "x"), ("a", None), ("b b", "y")]
+    want = Counter((lang, word_hash(w)) for t, lang in rows if lang for w in re.findall(SPACED, lower(t)))
+    got = Counter()
+    for b in quality._word_totals(pa.RecordBatch.from_pylist([{"text": t, "lang": x}], pa.schema({"text": pa.string(), "lang": pa.string()})) for t, x in rows):
+        for x, w, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            got[x, w % (1 << 64)] += n
+    assert got == want
+
+
 def test_js_distance():
     p, q = np.array([[4, 4, 0], [0, 0, 2], [0, 0, 0]]), np.array([1.0, 1.0, 0.0])
     assert np.allclose(quality.js_distance(p, q), [0, 1, 0])
