@@ -55,7 +55,8 @@ def runs(pick: np.ndarray, at: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray,
 
 
 def joined(doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spans of windows (in any order), with those that touch in one document put together."""
+    """Spans of windows (in any order), with those that touch in one document put together.
+    A longer run than ``MASK`` windows becomes several spans, one after the other."""
     order = np.lexsort((start, doc))
     doc, start, n = doc[order], start[order], n[order]
     if not len(doc):
@@ -63,8 +64,11 @@ def joined(doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarra
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + n[:-1])
     first = np.flatnonzero(new)
-    end = np.maximum.reduceat(start + n, first)
-    return doc[first], start[first], np.minimum(end - start[first], MASK)
+    doc, begin, end = doc[first], start[first], np.maximum.reduceat(start + n, first)
+    pieces = np.maximum(1, -(-(end - begin) // MASK))
+    nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    begin = np.repeat(begin, pieces) + nth * MASK
+    return np.repeat(doc, pieces), begin, np.minimum(np.repeat(end, pieces) - begin, MASK)
 
 
 def collapse(anchor, name, doc, start, n, same_doc: bool) -> Iterator[pa.RecordBatch]:

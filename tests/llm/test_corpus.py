@@ -190,6 +190,23 @@ def test_suffix_dedup(docs, odd, most):
         assert (got[k].n_bytes, got[k].n_removed, got[k].n_spans, got[k].kept_sha256) == (len(b), int(gone.sum()), spans, sha(kept)), k
 
 
+def test_runs_longer_than_a_span_are_cut_not_lost(monkeypatch):
+    """A document that repeats itself over more windows than one span can name."""
+    import pyarrow as pa
+
+    from skymesh.llm import repeats
+
+    monkeypatch.setattr(repeats, "MASK", 1023)
+    doc, start, n = repeats.joined(np.array([1, 1, 0, 1]), np.array([5, 1000, 3, 9000]), np.array([1000, 3000, 2, 1]))
+    assert list(zip(doc.tolist(), start.tolist(), n.tolist())) == [(0, 3, 2), (1, 5, 1023), (1, 1028, 1023), (1, 2051, 1023), (1, 3074, 926), (1, 9000, 1)]
+    text = bytes(np.random.default_rng(3).integers(97, 123, 500, dtype=np.uint8)).decode() * 20
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([7], pa.int64()), "text": [text]})
+    at = [x for b in suffix._segments(iter([batch]), size=100) for x, w in zip(b.column(3).to_pylist(), b.column(4).to_pylist()) if w]
+    own = batch.append_column("spans", pa.array([at], pa.list_(pa.int64())))
+    (got,) = next(suffix._remove(iter([own]), 100, False, [])).to_pylist()
+    assert got["n_spans"] == 1 and got["n_removed"] > len(text) - 1200
+
+
 def groups(texts, size, similar):
     sets = {}
     for k, t in texts.items():
