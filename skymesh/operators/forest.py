@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressionModel, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -119,15 +120,34 @@ def leaves(model, df: DataFrame, keep: Sequence[str]) -> DataFrame:
     return model.transform(df).select(*keep, F.posexplode(vector_to_array("leaf")).alias("tree", "leaf"))
 
 
-def quantiles(samples: DataFrame, reached: DataFrame, keys: Sequence[str], at: Sequence[float]) -> DataFrame:
+def quantiles(samples: DataFrame, reached: DataFrame, keys: Sequence[str], at: Sequence[float], bins: int = 256) -> DataFrame:
     """Quantiles of the training targets in the leaves that a row reaches.
 
     ``samples`` (tree, leaf, target) of the training rows, ``reached`` (keys, tree, leaf).  A sample weighs
-    1 / (trees x size of its leaf); a quantile is the least target whose cumulative weight reaches it."""
+    1 / (trees x size of its leaf); a quantile is the least target whose cumulative weight reaches it.
+    Rows that reach the same leaves share their quantiles.  For these the bin of targets that holds a
+    quantile is found first, and then only its targets are looked at: the result is exact."""
+    where = reached.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("tree", "leaf"))).alias("__leaves"))
+    kinds = where.select("__leaves").distinct().select("__leaves", F.explode("__leaves").alias("x")).select("__leaves", "x.tree", "x.leaf")
     size = samples.groupBy("tree", "leaf").agg(F.count(F.lit(1)).alias("size"))
     values = samples.groupBy("tree", "leaf", "target").agg(F.count(F.lit(1)).alias("c")).join(size, ["tree", "leaf"])
-    values = values.select("tree", "leaf", F.col("target").alias("y"), (F.col("c") / F.col("size")).alias("w"))
-    met = reached.join(values, ["tree", "leaf"]).groupBy(*keys, "y").agg(F.sum("w").alias("w"))
-    run = Window.partitionBy(*keys).orderBy("y").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    part = met.select(*keys, "y", (F.sum("w").over(run) / F.sum("w").over(Window.partitionBy(*keys))).alias("cum"))
-    return part.groupBy(*keys).agg(*(F.min(F.when(F.col("cum") >= q - 1e-9, F.col("y"))).alias("q_" + f"{q:g}".replace(".", "_")) for q in at))
+    values = values.select("tree", "leaf", F.col("target").alias("y"), F.col("target").cast("double").alias("__y"), (F.col("c") / F.col("size")).alias("w"))
+    edges = sorted(set(samples.select(F.col("target").cast("double").alias("__y")).approxQuantile("__y", [i / bins for i in range(1, bins)], 0.001))) if bins > 1 else []
+    values = Bucketizer(splits=[-math.inf, *edges, math.inf], inputCol="__y", outputCol="bin", handleInvalid="keep").transform(values) if edges else values.withColumn("bin", F.lit(0.0))
+
+    met = kinds.join(values.groupBy("tree", "leaf", "bin").agg(F.sum("w").alias("w")), ["tree", "leaf"]).groupBy("__leaves", "bin").agg(F.sum("w").alias("w"))
+    to_bin = Window.partitionBy("__leaves").orderBy("bin")
+    upto = F.sum("w").over(to_bin.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    before = F.coalesce(F.sum("w").over(to_bin.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    part = met.select("__leaves", "bin", upto.alias("upto"), before.alias("before"), F.sum("w").over(Window.partitionBy("__leaves")).alias("whole"))
+    wanted = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q")) for i, q in enumerate(at))))
+    part = part.withColumn("x", wanted).select("__leaves", "bin", "before", "whole", "upto", "x.*")
+    part = part.filter((F.col("upto") / F.col("whole") >= F.col("q") - 1e-9) & ((F.col("before") == 0) | (F.col("before") / F.col("whole") < F.col("q") - 1e-9)))
+
+    inside = part.join(kinds, "__leaves").join(values, ["tree", "leaf", "bin"]).groupBy("__leaves", "i", "q", "before", "whole", "y").agg(F.sum("w").alias("w"))
+    run = Window.partitionBy("__leaves", "i").orderBy("y").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cum = inside.select("__leaves", "i", "q", "y", ((F.col("before") + F.sum("w").over(run)) / F.col("whole")).alias("cum"))
+    # the last target of the bin reaches the quantile, whatever the order of the sums rounds to
+    found = cum.groupBy("__leaves", "i").agg(F.coalesce(F.min(F.when(F.col("cum") >= F.col("q") - 1e-9, F.col("y"))), F.max("y")).alias("y"))
+    found = found.groupBy("__leaves").agg(*(F.max(F.when(F.col("i") == i, F.col("y"))).alias("q_" + f"{q:g}".replace(".", "_")) for i, q in enumerate(at)))
+    return where.join(found, "__leaves").drop("__leaves")

@@ -542,12 +542,23 @@ def training(spark, sf_dir):
 
 
 FOREST = {"numTrees": 10, "maxDepth": 5}
+#: each of these years is held out once
+YEARS = range(1995, 2002)
+
+
+def by_fold(spark, parts) -> DataFrame:
+    """The (year, rows) of ``parts``, each written once it is made, so that no plan holds all folds."""
+    paths = []
+    for year, df in parts:
+        paths.append(shared(spark, "fold"))
+        df.withColumn("fold", F.lit(year)).write.parquet(paths[-1])
+    return spark.read.parquet(*paths)
 
 
 @query()
 def rf_fold_scores(spark, sf_dir):
     rows = training(spark, sf_dir).cache()
-    parts = [stats.scores(p, by=["fold"]) for _, _, p in forest.by_year(rows, range(1995, 2002), **FOREST)]
+    parts = [stats.scores(p, by=["fold"]) for _, _, p in forest.by_year(rows, YEARS, **FOREST)]
     return reshape.concat(*parts)
 
 
@@ -559,29 +570,40 @@ def rf_importance(spark, sf_dir):
 
 @query()
 def rf_attribution(spark, sf_dir):
-    rows = training(spark, sf_dir)
-    model = forest.estimator(**FOREST).fit(rows.filter("year <> 1998"))
-    paths = attribution.leaf_paths(attribution.node_table(model, shared(spark, "forest")))
-    got = forest.leaves(model, rows.filter("year = 1998"), ROW_KEY)
-    whole, long = attribution.interpret(got, paths, ROW_KEY, len(FEATURES))
-    return whole.join(long, ROW_KEY)
+    rows = training(spark, sf_dir).cache()
+
+    def parts():
+        for year, model, _ in forest.by_year(rows, YEARS, **FOREST):
+            paths = attribution.leaf_paths(attribution.node_table(model, shared(spark, "forest")))
+            got = forest.leaves(model, rows.filter(F.col("year") == year), ROW_KEY)
+            whole, long = attribution.interpret(got, paths, ROW_KEY, len(FEATURES))
+            yield year, whole.join(long, ROW_KEY)
+
+    return by_fold(spark, parts())
 
 
 @query()
 def rf_quantiles(spark, sf_dir):
-    rows = training(spark, sf_dir)
-    model = forest.estimator(numTrees=5, maxDepth=5, minInstancesPerNode=20).fit(rows.filter("year <> 1998"))
-    samples = forest.leaves(model, rows.filter("year <> 1998"), ["target"])
-    # targets to the nearest thousand: a leaf then has few different ones
-    samples = samples.withColumn("target", F.round("target", -3))
-    return forest.quantiles(samples, forest.leaves(model, rows.filter("year = 1998"), ROW_KEY), ROW_KEY, forest.interval_quantiles([90, 0]))
+    rows = training(spark, sf_dir).cache()
+
+    def parts():
+        for year, model, _ in forest.by_year(rows, YEARS, numTrees=5, maxDepth=5, minInstancesPerNode=20):
+            samples = forest.leaves(model, rows.filter(F.col("year") != year), ["target"])
+            reached = forest.leaves(model, rows.filter(F.col("year") == year), ROW_KEY)
+            yield year, forest.quantiles(samples, reached, ROW_KEY, forest.interval_quantiles([90, 0]))
+
+    return by_fold(spark, parts())
 
 
 @query()
 def perm_importance(spark, sf_dir):
-    rows = training(spark, sf_dir)
-    model = forest.estimator(**FOREST).fit(rows.filter("year <> 1998"))
-    return forest.permutation_importance(rows.filter("year = 1998"), model, FEATURES, ROW_KEY, repeats=3)
+    rows = training(spark, sf_dir).cache()
+
+    def parts():
+        for year, model, _ in forest.by_year(rows, YEARS, **FOREST):
+            yield year, forest.permutation_importance(rows.filter(F.col("year") == year), model, FEATURES, ROW_KEY, repeats=3)
+
+    return by_fold(spark, parts())
 
 
 @query()

@@ -282,3 +282,17 @@ def test_plan_and_pending(spark):
     assert values(manifests.plan(s, net, None, have), "id") == [(1,)]
     assert values(manifests.plan(s, net, None, have, overwrite=True), "id") == [(1,), (3,)]
     assert values(manifests.pending(s, have, "id"), "id") == [(1,), (2,)]
+
+
+def test_quantiles_are_exact(spark):
+    """Of many different targets, by brute force, with few and many bins."""
+    rng = np.random.default_rng(4)
+    target, leaf = rng.normal(size=400), rng.integers(0, 4, (400, 3))
+    reach = rng.integers(0, 4, (30, 3))
+    samples = spark.createDataFrame([(t, int(leaf[i, t]), float(target[i])) for i in range(400) for t in range(3)], "tree int, leaf int, target double")
+    reached = spark.createDataFrame([(k, t, int(reach[k, t])) for k in range(30) for t in range(3)], "k int, tree int, leaf int")
+    order = np.argsort(target)
+    for bins in (1, 2, 50):
+        for r in forest.quantiles(samples, reached, ["k"], [0.05, 0.5, 0.95], bins=bins).collect():
+            w = sum((leaf[:, t] == reach[r.k, t]) / (leaf[:, t] == reach[r.k, t]).sum() for t in range(3))[order] / 3
+            assert [r.q_0_05, r.q_0_5, r.q_0_95] == [target[order][np.argmax(np.cumsum(w) >= q - 1e-9)] for q in (0.05, 0.5, 0.95)]

@@ -44,3 +44,16 @@ def test_entry_has_rows(spark):
 
 def test_oracles_belong_to_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["rf_attribution", "rf_quantiles", "perm_importance"])
+def test_every_held_out_year_is_done(spark, name):
+    got = catalog.QUERIES[name](spark, SF).toPandas()
+    rows = catalog.ml_rows(spark, SF).toPandas()
+    years = set(rows.year) & set(range(1995, 2002))
+    assert set(got.fold) == years
+    if name != "perm_importance":
+        each = got.drop_duplicates([*catalog.ROW_KEY, "fold"])
+        assert each.groupby("fold").size().to_dict() == rows[rows.year.isin(years)].groupby("year").size().to_dict()
+    if name == "rf_quantiles":
+        assert len(got) == len(each) and got[["q_0_05", "q_0_5", "q_0_95"]].isin(set(rows.target)).all().all()
