@@ -31,12 +31,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """``df``, in a session that sends at most ``rows`` of these long rows to Python at once."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(df.sparkSession.conf.get(key))
-    if now <= 0 or now > rows:
-        df.sparkSession.conf.set(key, str(rows))
+#: bytes of an Arrow batch of long rows
+BATCH_BYTES = 2 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session that sends at most about ``BATCH_BYTES`` to Python at once.  The bound is in bytes,
+    so batches of short rows are what they were."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = df.sparkSession.conf.get(key, None)
+    if not now or not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        df.sparkSession.conf.set(key, str(BATCH_BYTES))
     return df
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 CHUNK = 1 << 18
 
@@ -57,6 +58,52 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix(raw + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+_STEP = np.uint64(0x9FB21C651E98DF25)
+LONG = 512  # bytes; longer spans are hashed one by one
+
+
+def byte_hash(flat: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each span of bytes, eight at a time through ``mix``: not a polynomial, so no pair of texts is
+    known to share it whatever the constants.  With ``span_hash`` it makes a name of 128 bits."""
+    size = end - start
+    out = mix(size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(0x1B873593CC9E2D51))
+    order = np.argsort(-size, kind="stable")
+    long = int(np.searchsorted(-size[order], -LONG, "left"))
+    data = memoryview(np.ascontiguousarray(flat))
+    for i in order[:long].tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]], 0x2F0B4C47)
+    order = order[long:]
+    size, at = size[order], start[order]
+    padded = np.append(flat, np.zeros(8, np.uint8))
+    eight = np.ndarray((len(padded) - 7,), "<u8", padded.data, 0, (1,))  # from every byte
+    own = out[order]
+    for k in range(-(-int(size[0]) // 8) if len(size) else 0):
+        m = int(np.searchsorted(-size, -8 * k, "left"))  # longer than 8 k bytes
+        rest = np.minimum(size[:m] - 8 * k, 8).astype(np.uint64)
+        word = eight[at[:m] + 8 * k] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * rest))
+        own[:m] = mix(own[:m] ^ word) * _STEP
+    out[order] = own
+    return out
+
+
+def chain_hash(values: np.ndarray, start: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+    """A hash of ``size`` neighbouring values from each ``start``, each value through ``mix`` in turn."""
+    if np.isscalar(size):
+        own = np.full(len(start), int(size) * int(_STEP) & (1 << 64) - 1, np.uint64)
+        for k in range(int(size)):
+            own = mix(own ^ values[start + k]) * _STEP
+        return own
+    order = np.argsort(-size, kind="stable")
+    size, at = size[order], start[order]
+    own = size.astype(np.uint64) * _STEP
+    for k in range(int(size[0]) if len(size) else 0):
+        m = int(np.searchsorted(-size, -k, "left"))
+        own[:m] = mix(own[:m] ^ values[at[:m] + k]) * _STEP
+    out = np.empty(len(own), np.uint64)
+    out[order] = own
+    return out
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a text column (null: empty) and the offsets of its rows."""
     if isinstance(column, pa.ChunkedArray):
@@ -87,7 +134,9 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK):
 
 
 class Words:
-    """The words of a slice: byte range, document and 64-bit hash of each."""
+    """The words of a slice: byte range, document and 64-bit hash of each.
+
+    ``hash`` tells words apart; ``sequence`` sums a second, independent one, by which windows are checked."""
 
     def __init__(self, flat: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, lower: bool):
         self.flat = LOWER[flat] if lower else flat
@@ -106,21 +155,30 @@ class Words:
         self.doc = np.searchsorted(offsets, self.start, "right") - 1
         self.first = np.searchsorted(self.start, offsets)  # of the words of each document; the last is their number
         self.count = np.diff(self.first)
-        self.sums = prefix(BYTE_CODE[self.flat])
-        self.hash = span_hash(self.sums, self.start, self.end)
-        self._sequence = None
+        self.hash = byte_hash(self.flat, self.start, self.end)
+        self._sums = self._sequence = None
+
+    @property
+    def sums(self) -> np.ndarray:
+        if self._sums is None:
+            self._sums = prefix(BYTE_CODE[self.flat])
+        return self._sums
 
     @property
     def sequence(self) -> np.ndarray:
         if self._sequence is None:
-            self._sequence = prefix(mix(self.hash + np.uint64(0x2545F4914F6CDD1D)))
+            self._sequence = prefix(mix(span_hash(self.sums, self.start, self.end) + np.uint64(0x2545F4914F6CDD1D)))
         return self._sequence
 
+    def starts(self, size: int) -> np.ndarray:
+        """First word of every run of ``size`` words inside a document."""
+        at = np.arange(max(0, len(self.start) - size + 1))
+        return at[at + size <= self.first[self.doc[at] + 1]]
+
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """First word and hash of every run of ``size`` words inside a document."""
-        at = np.arange(max(0, len(self.start) - size + 1))
-        at = at[at + size <= self.first[self.doc[at] + 1]]
-        return at, span_hash(self.sequence, at, at + size)
+        at = self.starts(size)
+        return at, chain_hash(self.hash, at, size)
 
 
 def int64(x: np.ndarray) -> pa.Array:

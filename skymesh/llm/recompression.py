@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from skymesh.llm import repeats
 from skymesh.llm.frames import texts, written
-from skymesh.llm.kernel import NOT_SPACE, Words, int64, mix, slices, span_hash, text_bytes
+from skymesh.llm.kernel import NOT_SPACE, Words, chain_hash, mix, slices, span_hash, text_bytes
 
 RESULT = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
 
@@ -80,19 +80,20 @@ def _segments(batches, size: int):
     for batch in batches:
         for part in slices(batch):
             words = Words(*text_bytes(part.column("text")), NOT_SPACE, lower=False)
-            at, _ = words.windows(size)
+            at = words.starts(size)
             if not len(at):
                 continue
             ids = part.column("doc_id").to_numpy(zero_copy_only=False)
             pick, names = anchors(words, size, at)
             first, n = repeats.runs(pick, at, words.doc[at])
             begin = at[first]
-            name = span_hash(words.sequence, begin, begin + n - 1 + size) + n.astype(np.uint64)
+            name = chain_hash(words.hash, begin, n - 1 + size)
+            check = span_hash(words.sequence, begin, begin + n - 1 + size)
             doc = words.doc[begin]
-            yield from repeats.collapse(names[pick[first]], name, ids[doc], begin - words.first[doc], n, same_doc=False)
+            yield from repeats.collapse(names[pick[first]], name, check, ids[doc], begin - words.first[doc], n, same_doc=False)
 
 
-PLACED = "key bigint, doc_id bigint, start bigint, later boolean"
+PLACED = "key bigint, check bigint, doc_id bigint, start bigint, later boolean"
 
 
 def _windows(batches, size: int):
@@ -111,18 +112,16 @@ def _windows(batches, size: int):
             begin = start + words.first[doc]
             fits = begin + size <= words.first[doc + 1]  # always, but for rows that share a doc_id
             begin, start, doc = begin[fits], start[fits], doc[fits]
-            key, owner, start, later = repeats.collapse_windows(span_hash(words.sequence, begin, begin + size), ids[doc], start, same_doc=False)
-            key = np.where(later, mix(owner.astype(np.uint64) + mix(start.astype(np.uint64))), key)
-            yield repeats.batch(PLACED, key, owner, start, later)
+            yield repeats.batch(PLACED, *repeats.collapse_windows(chain_hash(words.hash, begin, size), span_hash(words.sequence, begin, begin + size), ids[doc], start, same_doc=False))
 
 
 def _later(batches):
     def parts():
         for b in batches:
-            k, d, s = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            w = b.column(3).to_numpy(zero_copy_only=False)
+            k, c, d, s = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            w = b.column(4).to_numpy(zero_copy_only=False)
             done.append((d[w], s[w]))
-            yield k[~w], d[~w], s[~w]
+            yield k[~w], c[~w], d[~w], s[~w]
 
     done: list = []
     emit = lambda d, s: repeats.batch("doc_id bigint, at bigint", d, s << repeats.BITS | 1)
@@ -169,5 +168,5 @@ def remove_repeats(docs: DataFrame, size: int = 13, text: bool = False) -> DataF
     judged = written(repeats.judge(segments, same_doc=False), "recompression")
     cand = judged.filter("not whole").groupBy("doc_id").agg(F.collect_list(F.struct("at")).alias("cand"))
     windows = known.join(cand, "doc_id").mapInArrow(partial(_windows, size=size), PLACED)
-    later = windows.repartition("key").sortWithinPartitions("key", "doc_id", "start").mapInArrow(_later, "doc_id bigint, at bigint")
+    later = windows.repartition("key").sortWithinPartitions("key", "check", "doc_id", "start").mapInArrow(_later, "doc_id bigint, at bigint")
     return repeats.with_spans(own, [judged.filter("whole").select("doc_id", "at"), later], partial(_remove, size=size, text=text), RESULT + ", kept_text string" * text)

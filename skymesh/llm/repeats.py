@@ -4,9 +4,10 @@ A *window* is a fixed number of units (words or bytes) of one document.  Each wi
 chosen from the window's own content, so equal windows have equal anchors; neighbouring windows of a
 document that share an anchor occurrence form a *segment*.  The steps are
 
-1. every slice of documents names its segments; equal segments of a slice are collapsed at once, so a
+1. every slice of documents names its segments by two independent hashes of 64 bits (name, check), of which
+   the first isn't a polynomial; equal segments of a slice are collapsed at once, so a
    passage that a third of all rows share sends one row for each slice instead of one for each document;
-2. segments are dealt by anchor and read in order of (anchor, name, document, start).  A later copy of
+2. segments are dealt by anchor and read in order of (anchor, name, check, document, start).  A later copy of
    a segment is a repeat as a whole.  Of the other segments only those whose anchor also has a
    differently named segment can hold a window that exists elsewhere: the candidates;
 3. candidates meet their texts again (one join on doc_id) and their windows are compared exactly;
@@ -30,7 +31,7 @@ from skymesh.llm.frames import apart
 from skymesh.llm.kernel import int64, mix
 
 #: at: start << 24 | number of windows
-SEGMENT = "anchor bigint, name bigint, doc_id bigint, at bigint, whole boolean"
+SEGMENT = "anchor bigint, name bigint, check bigint, doc_id bigint, at bigint, whole boolean"
 JUDGED = "anchor bigint, doc_id bigint, at bigint, whole boolean"
 BITS = 24
 MASK = (1 << BITS) - 1
@@ -71,11 +72,11 @@ def joined(doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarra
     return np.repeat(doc, pieces), begin, np.minimum(np.repeat(end, pieces) - begin, MASK)
 
 
-def collapse(anchor, name, doc, start, n, same_doc: bool) -> Iterator[pa.RecordBatch]:
+def collapse(anchor, name, check, doc, start, n, same_doc: bool) -> Iterator[pa.RecordBatch]:
     """The segments of a slice: the first of each name goes on, later copies are repeats already."""
-    key = mix(anchor ^ mix(name))
+    key = mix(anchor ^ mix(name ^ mix(check)))
     order = np.lexsort((start, doc, key))
-    key, anchor, name, doc, start, n = (x[order] for x in (key, anchor, name, doc, start, n))
+    key, anchor, name, check, doc, start, n = (x[order] for x in (key, anchor, name, check, doc, start, n))
     if not len(key):
         return
     new = np.append(True, key[1:] != key[:-1])
@@ -86,31 +87,31 @@ def collapse(anchor, name, doc, start, n, same_doc: bool) -> Iterator[pa.RecordB
         keep = new
     else:
         keep = ~later
-    yield batch(SEGMENT, anchor[keep], name[keep], doc[keep], start[keep] << BITS | n[keep], np.zeros(int(keep.sum()), bool))
+    yield batch(SEGMENT, anchor[keep], name[keep], check[keep], doc[keep], start[keep] << BITS | n[keep], np.zeros(int(keep.sum()), bool))
     if later.any():
         d, s, m = joined(doc[later], start[later], n[later])
         # a repeat already: dealt by its place, so that no task gets all copies of one passage
         place = mix(mix(d.astype(np.uint64)) + s.astype(np.uint64))
-        yield batch(SEGMENT, place, place, d, s << BITS | m, np.ones(len(d), bool))
+        yield batch(SEGMENT, place, place, place, d, s << BITS | m, np.ones(len(d), bool))
 
 
 def _judge(batches: Iterator[pa.RecordBatch], same_doc: bool) -> Iterator[pa.RecordBatch]:
     """Segments in order: later copies are repeats (whole); of the rest, those whose anchor has
     another name as well are candidates.  Holds back the segments of at most one name."""
-    anchor = name = doc = at = None  # of the newest name
+    anchor = name = check = doc = at = None  # of the newest name
     several = False  # the newest anchor has several names
     held: list[tuple[int, int, int]] = []  # its segments, while it has but one name
     for b in batches:
-        a, m, d, p = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-        w = b.column(4).to_numpy(zero_copy_only=False)
+        a, m, c, d, p = (b.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+        w = b.column(5).to_numpy(zero_copy_only=False)
         if w.any():
             yield batch(JUDGED, a[w], d[w], p[w], w[w])
-            a, m, d, p = a[~w], m[~w], d[~w], p[~w]
+            a, m, c, d, p = a[~w], m[~w], c[~w], d[~w], p[~w]
         k = len(a)
         if not k:
             continue
         new_anchor = np.append(a[0] != anchor, a[1:] != a[:-1])
-        new = new_anchor | np.append(m[0] != name, m[1:] != m[:-1])
+        new = new_anchor | np.append(m[0] != name or c[0] != check, (m[1:] != m[:-1]) | (c[1:] != c[:-1]))
         lead = np.maximum.accumulate(np.where(new, np.arange(k), -1))
         lead_doc = np.where(lead >= 0, d[lead], doc if doc is not None else 0)
         lead_at = np.where(lead >= 0, p[lead], at if at is not None else 0)
@@ -140,13 +141,13 @@ def _judge(batches: Iterator[pa.RecordBatch], same_doc: bool) -> Iterator[pa.Rec
         if not many[group[-1]]:
             held += list(zip(a[last & first].tolist(), d[last & first].tolist(), p[last & first].tolist(), strict=True))
         several = bool(many[group[-1]])
-        anchor, name = a[-1], m[-1]
+        anchor, name, check = a[-1], m[-1], c[-1]
         doc, at = lead_doc[-1], lead_at[-1]
 
 
 def judge(segments: DataFrame, same_doc: bool) -> DataFrame:
     """Repeats (whole) and candidates of ``segments``; dealt by anchor, sorted, read as a stream."""
-    dealt = segments.repartition("anchor").sortWithinPartitions("anchor", "name", "doc_id", "at")
+    dealt = segments.repartition("anchor").sortWithinPartitions("anchor", "name", "check", "doc_id", "at")
     return dealt.mapInArrow(partial(_judge, same_doc=same_doc), JUDGED)
 
 
@@ -167,30 +168,28 @@ def with_spans(docs: DataFrame, spans: list[DataFrame], apply: Callable, schema:
     return docs.join(grouped, "doc_id", "left").mapInArrow(apply, schema)
 
 
-WINDOW = "key bigint, doc_id bigint, start bigint"
-
-
-def collapse_windows(key: np.ndarray, doc: np.ndarray, start: np.ndarray, same_doc: bool):
-    """Single windows of a slice: those that may be the first of their content, and the places of the rest."""
-    order = np.lexsort((start, doc, key))
-    key, doc, start = key[order], doc[order], start[order]
+def collapse_windows(key: np.ndarray, check: np.ndarray, doc: np.ndarray, start: np.ndarray, same_doc: bool):
+    """Single windows of a slice, in order of content and place, and which of them come after the first of
+    their content.  These get a key of their own place, so that no task gets all copies of one window."""
+    order = np.lexsort((start, doc, check, key))
+    key, check, doc, start = key[order], check[order], doc[order], start[order]
     if not len(key):
-        return key, doc, start, np.zeros(0, bool)
-    new = np.append(True, key[1:] != key[:-1])
+        return key, check, doc, start, np.zeros(0, bool)
+    new = np.append(True, (key[1:] != key[:-1]) | (check[1:] != check[:-1]))
     lead = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
     later = doc > doc[lead]
     if same_doc:
         later |= (doc == doc[lead]) & (start > start[lead])
-    return key, doc, start, later
+    return np.where(later, mix(doc.astype(np.uint64) + mix(start.astype(np.uint64))), key), check, doc, start, later
 
 
 def later_windows(batches: Iterator, same_doc: bool, emit: Callable) -> Iterator[pa.RecordBatch]:
-    """Of windows in order of (key, document, start), those that come after the first of their key."""
-    key = doc = start = None
-    for k, d, s in batches:
+    """Of windows in order of (key, check, document, start), those that come after the first of their content."""
+    key = check = doc = start = None
+    for k, c, d, s in batches:
         if not len(k):
             continue
-        new = np.append(k[0] != key, k[1:] != k[:-1])
+        new = np.append(k[0] != key or c[0] != check, (k[1:] != k[:-1]) | (c[1:] != c[:-1]))
         lead = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
         lead_doc = np.where(lead >= 0, d[lead], doc if doc is not None else 0)
         lead_start = np.where(lead >= 0, s[lead], start if start is not None else 0)
@@ -198,4 +197,4 @@ def later_windows(batches: Iterator, same_doc: bool, emit: Callable) -> Iterator
         if same_doc:
             later |= (d == lead_doc) & (s > lead_start)
         yield emit(d[later], s[later])
-        key, doc, start = k[-1], lead_doc[-1], lead_start[-1]
+        key, check, doc, start = k[-1], c[-1], lead_doc[-1], lead_start[-1]

@@ -2,15 +2,15 @@
 
 ``suffix_array`` classifies suffixes as smaller or larger than their right neighbour, takes the
 leftmost-smaller (LMS) positions, sorts the LMS substrings by one induced pass, names them, orders the
-reduced string recursively (names of pairs of names, until all differ) and induces the order of all
-suffixes.  The two induced passes visit the buckets of the first byte in order and move a whole bucket at
+reduced string of these names in the same way (recursively, until all names differ) and induces the order of
+all suffixes.  The two induced passes visit the buckets of the first byte in order and move a whole bucket at
 a time, so each suffix is moved once.  ``common_prefixes`` gives the permuted LCP array (in text order,
 against the suffix that precedes in the array), as far as ``limit``.
 
 The corpus is sharded by content: only segments that may hold a repeated window (see
 :mod:`skymesh.llm.repeats`) go to the shards, all with one anchor to the same shard, so no two shards hold
 equal windows.  Anchors with more than ``most`` differing segments would make one shard grow with the
-corpus; their windows are dealt one by one, by their own content, and compared by 64-bit names.
+corpus; their windows are dealt one by one, by their own content, and compared by two independent 64-bit names.
 
 Defined results: a null or empty text has 0 bytes, 0 removed, and the hash of the empty string; texts
 shorter than a window lose nothing; rows without doc_id take no part in comparisons and stay whole; rows
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from skymesh.llm import repeats
 from skymesh.llm.frames import small_batches, written
-from skymesh.llm.kernel import BYTE_CODE, int64, mix, prefix, slices, span_hash, text_bytes
+from skymesh.llm.kernel import BYTE_CODE, byte_hash, chain_hash, int64, mix, prefix, slices, span_hash, text_bytes
 
 RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 ANCHOR = 24  # bytes
@@ -86,20 +86,58 @@ def _induce(text, smaller, lms: np.ndarray, size: int) -> np.ndarray:
     return np.concatenate([[len(text) - 1], *(x for c in range(size) for x in (larger[c], small[c][::-1]))])
 
 
+def _named(text: np.ndarray, lms: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Names of the LMS substrings in order of the text: the ranks of their contents in ``order``."""
+    mark = np.full(len(text), -1, np.int64)
+    mark[lms] = np.arange(len(lms))
+    found = mark[order]
+    found = found[found >= 0]
+    end = np.append(lms[1:] + 1, len(text))  # each up to and with the next LMS position
+    own = chain_hash(text.astype(np.uint64), lms, end - lms)[found]
+    names = np.empty(len(lms), np.int64)
+    names[found] = np.append(0, np.cumsum(own[1:] != own[:-1]))
+    return names
+
+
 def _order_of_names(names: np.ndarray) -> np.ndarray:
-    """The suffixes of the reduced string in order: pairs of names are named until all differ."""
-    rank, step, n = names.astype(np.int64), 1, len(names)
-    while True:
-        key = (rank + 1) << 32
-        key[: n - step] |= rank[step:] + 1
-        order = np.argsort(key, kind="stable")
-        own = key[order]
-        new = np.append(0, np.cumsum(own[1:] != own[:-1]))
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        step *= 2
-        if new[-1] == n - 1 or step >= n:
-            return order
+    """The suffixes of the reduced string in order, by induced sorting of its own leftmost-smaller
+    substrings, and so on.  Its last name is less than all others.
+
+    The reduced string has many letters and is short: here positions are moved one by one."""
+    n = len(names)
+    smaller = is_smaller(names)
+    lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
+    edge = np.append(0, np.cumsum(np.bincount(names))).tolist()
+    letter = names.tolist()
+    # of each position, the letter of the one before it if that is of the type that a pass brings, else -1
+    before = np.append(np.append(-1, names[:-1]), -1)
+    type_before = np.append(np.append(False, smaller[:-1]), False)
+    larger, small = np.where(type_before, -1, before).tolist(), np.where(type_before, before, -1).tolist()
+
+    def induced(seeds: list[int]) -> list[int]:
+        order, tail = [-1] * n, edge[1:]
+        for i in reversed(seeds):
+            c = letter[i]
+            tail[c] -= 1
+            order[tail[c]] = i
+        head = edge[:-1]
+        for i in order:  # also what this loop puts further right
+            c = larger[i]
+            if c >= 0:
+                order[head[c]] = i - 1
+                head[c] += 1
+        tail = edge[1:]
+        for i in reversed(order):
+            c = small[i]
+            if c >= 0:
+                tail[c] -= 1
+                order[tail[c]] = i - 1
+        return order
+
+    if len(lms) > 1:
+        own = _named(names, lms, np.array(induced(lms.tolist())))
+        lms = lms[np.argsort(own) if own.max() == len(lms) - 1 else _order_of_names(own)]
+    return np.array(induced(lms.tolist()))
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -111,19 +149,8 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     smaller = is_smaller(text)
     lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
     if len(lms) > 1:
-        every = _induce(text, smaller, lms, size)
-        mark = np.zeros(len(text), bool)
-        mark[lms] = True
-        found = every[mark[every]]
-        # names of the LMS substrings, each up to and with the next LMS position
-        end = np.append(lms[1:] + 1, len(text))
-        own = span_hash(prefix(mix(text.astype(np.uint64) + np.uint64(1))), lms, end)
-        rank = np.empty(len(text), np.int64)
-        rank[lms] = np.arange(len(lms))
-        there = own[rank[found]]
-        names = np.empty(len(lms), np.int64)
-        names[rank[found]] = np.append(0, np.cumsum(there[1:] != there[:-1]))
-        lms = found if names.max() == len(lms) - 1 else lms[_order_of_names(names)]
+        names = _named(text, lms, _induce(text, smaller, lms, size))
+        lms = lms[np.argsort(names) if names.max() == len(lms) - 1 else _order_of_names(names)]
     return _induce(text, smaller, lms, size)
 
 
@@ -181,12 +208,12 @@ def _segments(batches, size: int):
             if not len(begin):
                 continue
             ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-            label = span_hash(sums, begin, begin + m - 1 + size) + m.astype(np.uint64)
-            yield from repeats.collapse(name[pick[begin]], label, ids[doc[begin]], begin - offsets[doc[begin]], m, same_doc=True)
+            end = begin + m - 1 + size
+            yield from repeats.collapse(name[pick[begin]], byte_hash(flat, begin, end), span_hash(sums, begin, end), ids[doc[begin]], begin - offsets[doc[begin]], m, same_doc=True)
 
 
 #: data: the bytes of a segment for a shard; null for a single window. later: a repeat already
-SHARDED = "key bigint, doc_id bigint, at bigint, later boolean, data binary"
+SHARDED = "key bigint, check bigint, doc_id bigint, at bigint, later boolean, data binary"
 
 
 def _cut(batches, size: int):
@@ -203,15 +230,15 @@ def _cut(batches, size: int):
             begin = (start + offsets[doc])[cold]
             data = flat.tobytes()
             pieces = [data[b:e] for b, e in zip(begin.tolist(), (begin + n[cold] - 1 + size).tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([int64(anchor[cold]), int64(ids[doc[cold]]), int64(at[cold]), pa.array(np.zeros(len(begin), bool)), pa.array(pieces, pa.binary())], repeats.columns(SHARDED))
+            yield pa.RecordBatch.from_arrays([int64(anchor[cold]), int64(anchor[cold]), int64(ids[doc[cold]]), int64(at[cold]), pa.array(np.zeros(len(begin), bool)), pa.array(pieces, pa.binary())], repeats.columns(SHARDED))
             if (warm := fits & hot).any():
                 m = n[warm]
                 step = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
                 s, d = np.repeat(start[warm], m) + step, np.repeat(doc[warm], m)
                 begin = s + offsets[d]
-                key, owner, s, later = repeats.collapse_windows(span_hash(prefix(BYTE_CODE[flat]), begin, begin + size), ids[d], s, same_doc=True)
-                key = np.where(later, mix(owner.astype(np.uint64) + mix(s.astype(np.uint64))), key)
-                yield pa.RecordBatch.from_arrays([int64(key), int64(owner), int64(s << repeats.BITS | 1), pa.array(later), pa.nulls(len(key), pa.binary())], repeats.columns(SHARDED))
+                names = byte_hash(flat, begin, begin + size), span_hash(prefix(BYTE_CODE[flat]), begin, begin + size)
+                key, check, owner, s, later = repeats.collapse_windows(*names, ids[d], s, same_doc=True)
+                yield pa.RecordBatch.from_arrays([int64(key), int64(check), int64(owner), int64(s << repeats.BITS | 1), pa.array(later), pa.nulls(len(key), pa.binary())], repeats.columns(SHARDED))
 
 
 def repeated_windows(doc: np.ndarray, at: np.ndarray, pieces: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -257,8 +284,8 @@ def _sorted_shards(batches, size: int, limit: int):
 
     def singles():
         for b in batches:
-            k, d, a, later = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            data = b.column(4)
+            k, c, d, a, later = (b.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            data = b.column(5)
             if later.any():
                 done.append(repeats.batch(schema, d[later], a[later]))
             single = data.is_null().to_numpy(zero_copy_only=False) & ~later
@@ -272,7 +299,7 @@ def _sorted_shards(batches, size: int, limit: int):
                         done.append(shard())
                         held.clear()
                     held.append((k2[lo], d2[lo:hi], a2[lo:hi], pieces[lo:hi], sum(map(len, pieces[lo:hi]))))
-            yield k[single], d[single], a[single] >> repeats.BITS
+            yield k[single], c[single], d[single], a[single] >> repeats.BITS
 
     for out in repeats.later_windows(singles(), True, emit):
         yield out
@@ -322,5 +349,5 @@ def remove_repeats(docs: DataFrame, size: int = 100, most: int = 4096, text: boo
     segments = known.mapInArrow(partial(_segments, size=size), repeats.SEGMENT)
     judged = written(repeats.judge(segments, same_doc=True), "suffix")
     shards = known.join(repeats.candidates(judged, most), "doc_id").mapInArrow(partial(_cut, size=size), SHARDED)
-    later = shards.repartition("key").sortWithinPartitions("key", "doc_id", "at").mapInArrow(partial(_sorted_shards, size=size, limit=SHARD), "doc_id bigint, at bigint")
+    later = shards.repartition("key").sortWithinPartitions("key", "check", "doc_id", "at").mapInArrow(partial(_sorted_shards, size=size, limit=SHARD), "doc_id bigint, at bigint")
     return repeats.with_spans(own, [judged.filter("whole").select("doc_id", "at"), later], partial(_remove, size=size, text=text, carry=list(carry)), RESULT + ", kept_text string" * text + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry))
