@@ -60,4 +60,28 @@ pieces as (select doc_id, b + 1 a, lead(a) over (partition by doc_id order by a)
 kept as (select d.doc_id, string_agg(substr(h, 2 * a - 1, 2 * (coalesce(z, n) - a + 1)), '' order by a) k from pieces join d on d.doc_id = pieces.doc_id where a <= coalesce(z, n) group by 1)
 select d.doc_id, n n_bytes, n - cast(coalesce(length(k), 0) // 2 as bigint) n_removed, coalesce(m, 0) n_spans, sha256(unhex(coalesce(k, ''))) kept_sha256
 from d left join kept on kept.doc_id = d.doc_id left join (select doc_id, count(*) m from gone group by 1) g on g.doc_id = d.doc_id""",
+    "op10_quality_divergence": f"""
+with d as (select doc_id, lang, coalesce(text, '') t, {_words(_SPACED, False)} w, {_words(_SPACED, True)} v from documents),
+five as (select doc_id, i, array_to_string(w[i:i + 4], ' ') s from (select doc_id, w, unnest(range(1, len(w) - 3)) i from d)),
+again as (select doc_id, s from five group by 1, 2 having count(*) > 1),
+covered as (select doc_id, count(distinct p) n from (select doc_id, unnest(range(i, i + 5)) p from five semi join again using (doc_id, s)) group by 1),
+c as (select *, {", ".join(f"cast(length(regexp_replace(t, '[^{x}]', '', 'g')) as bigint) k{i}" for i, x in enumerate(("#*$%&|<>", "a-z", "A-Z", "0-9", r"\x20\x09-\x0D", ".,;:!?''\"()\\-")))},
+ cast(length(regexp_replace(t, '[\x00-\x7F]', '', 'g')) as bigint) k7, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, {_SPACED})) lines from d),
+chars as (select doc_id, lang, unnest(range(0, 8)) bin, unnest([k0, k1, k2, k3, k4, k5, length(t) - k0 - k1 - k2 - k3 - k4 - k5 - k7, k7]) n from c),
+totals as (select lang, x, count(*) n from (select lang, unnest(v) x from d where lang is not null) group by 1, 2),
+common as (select distinct x from (select x, row_number() over (partition by lang order by n desc, x) r from totals) where r <= 64),
+counts as (select doc_id, lang, coalesce(common.x, '') bin, count(*) n from (select doc_id, lang, unnest(v) x from d) u left join common on common.x = u.x group by 1, 2, 3),
+langs as (select distinct lang from d where lang is not null),
+hist as (select 'c' kind, doc_id, lang, cast(bin as varchar) bin, n from chars union all select 'w', doc_id, lang, bin, n from counts),
+q as (select kind, lang, bin, n / sum(n) over (partition by kind, lang) q from (select kind, lang, bin, sum(n) n from hist where lang is not null group by 1, 2, 3)),
+p as (select kind, doc_id, bin, n / sum(n) over (partition by kind, doc_id) p from hist where n > 0),
+met as (select p.kind, doc_id, langs.lang, p, coalesce(q, 0) q from p cross join langs left join q on q.kind = p.kind and q.lang = langs.lang and q.bin = p.bin),
+js as (select kind, doc_id, lang, sqrt(least(1, greatest(0, (sum(p * log2(2 * p / (p + q))) + sum(case when q > 0 then q * log2(2 * q / (p + q)) else 0 end) + 1 - sum(q)) / 2))) j from met group by 1, 2, 3),
+near as (select d.doc_id, langs.lang, coalesce(a.j, 0) a, coalesce(b.j, 0) b, row_number() over (partition by d.doc_id order by coalesce(a.j, 0) + coalesce(b.j, 0), langs.lang) r
+ from d cross join langs left join js a on a.kind = 'c' and a.doc_id = d.doc_id and a.lang = langs.lang left join js b on b.kind = 'w' and b.doc_id = d.doc_id and b.lang = langs.lang),
+o as (select c.doc_id, cast(len(w) as bigint) n_words, cast(length(array_to_string(w, '')) as bigint) word_chars, k0 n_symbols, cast(len(lines) - len(list_distinct(lines)) as bigint) n_dup_lines, coalesce(n, 0) n_repeat_words,
+ near.lang ref_lang, coalesce(a, 0) a, coalesce(b, 0) b, length(t) chars from c left join covered on covered.doc_id = c.doc_id left join near on near.doc_id = c.doc_id and r = 1)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 or 100 * n_repeat_words > 20 * n_words base_failed,
+ not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and (n_words < 50 or chars < 200 or (a <= 0.28 and b <= 0.5)) kept, ref_lang, round(a, 6) js_chars, round(b, 6) js_words
+from o""",
 }

@@ -2,9 +2,14 @@
 
 Every document gets four plain counts and two Jensen-Shannon distances (base 2, 0 to 1): of its
 character-class histogram and of its common-word histogram from the nearest language reference.
-References come from all documents of the language: pass one counts every word of every row and takes each language's most common ones,
-pass two sums both histograms over the whole corpus; only these sums (a few hundred numbers for each
-language) reach the driver.  Pass three judges each document by itself, so no row is ever shuffled.
+References come from all documents of the language: pass one counts every word of every row and takes each
+language's ``most`` common ones (of equally common ones the first by their UTF-8 bytes), pass two sums both
+histograms over the whole corpus; only these sums (a few hundred numbers for each language) reach the driver.
+Pass three judges each document by itself, so no row is ever shuffled.  ``most`` belongs to the method: it is
+the number of bins of the word histogram, whose last bin holds all other words.
+
+Counts of words don't depend on how rows are batched: a task adds up what it has seen and gives it out by word.
+Words, lines and windows are told apart by ``kernel.byte_hash``, lines by a second hash as well.
 
 Defined results: a null or empty text has zero counts and fails the base rule; texts under
 ``min_words`` words or ``min_chars`` characters are too short to be judged by a histogram and only meet
@@ -22,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skymesh.llm.frames import small_batches
-from skymesh.llm.kernel import NOT_SPACE, Words, int64, mix, slices, span_hash, text_bytes
+from skymesh.llm.kernel import NOT_SPACE, Words, byte_hash, int64, mix, slices, span_hash, text_bytes
 
 CLASSES = 8
 #: words whose totals a task holds
@@ -58,34 +63,33 @@ def _lower(flat: np.ndarray, offsets: np.ndarray) -> Words:
 
 def _word_totals(batches):
     """(lang, word, n) of all words, added up in the task; totals go out whenever more than ``HELD`` words are held."""
-    held: dict[str, list] = {}
-    size = 0
-
-    def add_up() -> int:
-        for lang, parts in held.items():
-            word, at = np.unique(np.concatenate([w for w, _ in parts]), return_inverse=True)
-            n = np.zeros(len(word), np.int64)
-            np.add.at(n, at, np.concatenate([n for _, n in parts]))
-            held[lang] = [(word, n)]
-        return sum(len(parts[0][0]) for parts in held.values())
+    held: dict[tuple, list] = {}  # (lang, hash): word, count
 
     def out():
-        for lang, [(word, n)] in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(word), pa.string()), int64(word), int64(n)], ["lang", "word", "n"])
+        key = list(held)
+        while key:
+            part, size = [], 0
+            while key and size < 1 << 20:
+                part.append(key.pop())
+                size += len(held[part[-1]][0]) + 16
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in part], pa.string()), pa.array([held[k][0] for k in part], pa.binary()).cast(pa.string()), pa.array([held[k][1] for k in part], pa.int64())], ["lang", "word", "n"])
         held.clear()
 
     for batch in batches:
         for part in slices(batch):
             words = _lower(*text_bytes(part.column("text")))
             langs = np.array(part.column("lang").to_pylist(), object)
+            data = memoryview(np.ascontiguousarray(words.flat))
             for lang in {x for x in langs if x is not None}:
-                own = np.unique(words.hash[(langs == lang)[words.doc]], return_counts=True)
-                held.setdefault(lang, []).append(own)
-                size += len(own[0])
-            if size > HELD and (size := add_up()) > HELD // 2:
+                there = np.flatnonzero((langs == lang)[words.doc])
+                own, place, n = np.unique(words.hash[there], return_index=True, return_counts=True)
+                for h, i, c in zip(own.tolist(), there[place].tolist(), n.tolist(), strict=True):
+                    if (lang, h) in held:
+                        held[lang, h][1] += c
+                    else:
+                        held[lang, h] = [bytes(data[words.start[i] : words.end[i]]), c]
+            if len(held) > HELD:
                 yield from out()
-                size = 0
-    add_up()
     yield from out()
 
 
@@ -104,10 +108,11 @@ def _sums(batches, common: np.ndarray):
 
 def references(docs: DataFrame, most: int = 64) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     """The common words (sorted hashes) and each language's two histograms, over all rows of (text, lang)."""
-    counted = docs.mapInArrow(_word_totals, "lang string, word bigint, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), F.desc("word")))
+    counted = docs.mapInArrow(_word_totals, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
     top = counted.withColumn("place", place).filter(F.col("place") <= most).select("word").distinct()
-    common = np.unique(np.array([r.word for r in top.collect()], np.int64).view(np.uint64))
+    found = b" ".join(r.word.encode() for r in top.collect())
+    common = np.unique(_lower(np.frombuffer(found, np.uint8), np.array([0, len(found)])).hash)
     rows = docs.mapInArrow(partial(_sums, common=common), "lang string, bin int, n bigint").groupBy("lang", "bin").agg(F.sum("n").alias("n")).collect()
     found: dict[str, np.ndarray] = {}
     for lang, at, n in rows:
@@ -143,8 +148,10 @@ def _counts(flat: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     has = np.searchsorted(words.start, end) > np.searchsorted(words.start, begin)
     begin, end = begin[has], end[has]
     doc = np.searchsorted(offsets, begin, "right") - 1
-    line = mix(span_hash(words.sums, begin, end) ^ mix(doc.astype(np.uint64)))
-    _, first = np.unique(line, return_index=True)
+    line, check = byte_hash(flat, begin, end), span_hash(words.sums, begin, end)
+    order = np.lexsort((check, line, doc))
+    same = (doc[order][1:] == doc[order][:-1]) & (line[order][1:] == line[order][:-1]) & (check[order][1:] == check[order][:-1])
+    first = order[np.append(True, ~same)] if len(order) else order
     dup = np.bincount(doc, minlength=docs) - np.bincount(doc[first], minlength=docs)
     # words inside a window of five that the same document has again
     at, five = words.windows(5)

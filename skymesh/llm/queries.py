@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from skymesh.llm import archive, decontaminate, langid, mixing, neardup, quality, recompression, suffix, toxicity, urls
 from skymesh.llm.frames import documents
@@ -67,7 +68,8 @@ def op9_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality(documents(spark, sf_dir))
+    own = quality.quality(documents(spark, sf_dir))
+    return own.withColumns({c: F.round(c, 6) for c in ("js_chars", "js_words")})
 
 
 @query

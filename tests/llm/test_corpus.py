@@ -90,10 +90,11 @@ def test_common_words_are_counted_over_all_rows(spark, docs):
             count[r.lang].update(re.findall(SPACED, lower(r.text)))
     want = set()
     for c in count.values():
-        ranked = sorted(((n, int(np.uint64(word_hash(w)).view(np.int64))) for w, n in c.items()), reverse=True)
-        want |= {w for _, w in ranked[:64]}
-    common, _ = quality.references(own.select("text", "lang"))
-    assert set(common.view(np.int64).tolist()) == want
+        ranked = sorted(c, key=lambda w: (-c[w], w.encode()))
+        want |= {word_hash(w) for w in ranked[:64]}
+    for parts in (1, 4, 211):
+        common, _ = quality.references(own.select("text", "lang").repartition(parts))
+        assert set(common.tolist()) == want
 
 
 @pytest.mark.parametrize("held", [1 << 18, 3])
@@ -102,14 +103,44 @@ def test_word_totals_lose_nothing(monkeypatch, held):
 
     monkeypatch.setattr(quality, "HELD", held)
     rows = [("a b a", "x"), ("a c", "y"), ("d e f g A", "x"), (None, "x"), ("a", None), ("b b", "y")]
-    want = Counter((lang, word_hash(w)) for t, lang in rows if lang for w in re.findall(SPACED, lower(t)))
+    want = Counter((lang, w) for t, lang in rows if lang for w in re.findall(SPACED, lower(t)))
     got = Counter()
     for b in quality._word_totals(pa.RecordBatch.from_pylist([{"text": t, "lang": x}], pa.schema({"text": pa.string(), "lang": pa.string()})) for t, x in rows):
         for x, w, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            got[x, w % (1 << 64)] += n
+            got[x, w] += n
     assert got == want
 
 
+def thue_morse(rounds=10):
+    word = "a"
+    for _ in range(rounds):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_a_polynomial_confuses(spark):
+    """Different words of 1024 letters, whose polynomial hashes modulo 2^64 agree, stay different."""
+    from skymesh.llm.kernel import NOT_SPACE, Words
+
+    a, b = thue_morse()
+    for x, y in ((a, b), (a[:500], b[:500])):
+        data = np.frombuffer(f"{x} {y}".encode(), np.uint8)
+        w = Words(data, np.array([0, len(data)]), NOT_SPACE, lower=False)
+        assert len(set(w.hash.tolist())) == 2
+    rows = [(1, " ".join([a, *"cdefghijklmn"])), (2, " ".join([b, *"cdefghijklmn"])), (3, " ".join([*a])), (4, " ".join([*b]))]
+    rows += [(5, a + "\n" + b + "\n" + a), (6, (a + " x ") * 5)]
+    own = spark.createDataFrame(rows, "doc_id long, text string")
+    got = by_id(recompression.remove_repeats(own))
+    seen, want = set(), {}
+    for k, t in rows:
+        w = re.findall(SPACED, t)
+        at = [tuple(w[i : i + 13]) for i in range(len(w) - 12)]
+        want[k] = len({j for i, x in enumerate(at) if x in seen for j in range(i, i + 13)})
+        seen |= set(at)
+    assert {k: r.n_removed for k, r in got.items()} == want
+    assert by_id(quality.quality(own.withColumn("lang", F.lit("x"))))[5].n_dup_lines == 1
+
+
 def test_js_distance():
     p, q = np.array([[4, 4, 0], [0, 0, 2], [0, 0, 0]]), np.array([1.0, 1.0, 0.0])
     assert np.allclose(quality.js_distance(p, q), [0, 1, 0])
@@ -201,7 +232,7 @@ def test_runs_longer_than_a_span_are_cut_not_lost(monkeypatch):
     assert list(zip(doc.tolist(), start.tolist(), n.tolist())) == [(0, 3, 2), (1, 5, 1023), (1, 1028, 1023), (1, 2051, 1023), (1, 3074, 926), (1, 9000, 1)]
     text = bytes(np.random.default_rng(3).integers(97, 123, 500, dtype=np.uint8)).decode() * 20
     batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([7], pa.int64()), "text": [text]})
-    at = [x for b in suffix._segments(iter([batch]), size=100) for x, w in zip(b.column(3).to_pylist(), b.column(4).to_pylist()) if w]
+    at = [x for b in suffix._segments(iter([batch]), size=100) for x, w in zip(b.column("at").to_pylist(), b.column("whole").to_pylist()) if w]
     own = batch.append_column("spans", pa.array([at], pa.list_(pa.int64())))
     (got,) = next(suffix._remove(iter([own]), 100, False, [])).to_pylist()
     assert got["n_spans"] == 1 and got["n_removed"] > len(text) - 1200
@@ -460,7 +491,9 @@ def test_segments_are_judged_alike_however_the_rows_are_cut():
         batches, i = [], 0
         while i < len(rows):
             k = i + rng.randrange(1, 6)
-            batches.append(pa.RecordBatch.from_arrays([*(pa.array([r[j] for r in rows[i:k]], pa.int64()) for j in range(4)), pa.array(whole[i:k])], repeats.columns(repeats.SEGMENT)))
+            names_of = [[r[1] // 2 for r in rows[i:k]], [r[1] % 2 for r in rows[i:k]]]  # a name and its check
+            part = [[r[0] for r in rows[i:k]], *names_of, [r[2] for r in rows[i:k]], [r[3] for r in rows[i:k]]]
+            batches.append(pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in part), pa.array(whole[i:k])], repeats.columns(repeats.SEGMENT)))
             i = k
         got = {row for b in repeats._judge(iter(batches), same_doc) for row in zip(*(c.to_pylist() for c in b.columns), strict=True)}
         assert got == want
