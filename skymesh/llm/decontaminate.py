@@ -1,14 +1,17 @@
 """Benchmark decontamination with suffix arrays of the training text (operator 2).
 
-Each slice of documents is a shard.  Its words become benchmark vocabulary ids (0: a word that no item
-has) and its suffix array holds the positions at which some test window can begin, in order of the
-words that follow.  Every test suffix that begins a window is found by binary search in every shard: its
-matches are one range of the array, at whose positions the document words are hit.  Matches on one
-diagonal that touch are put together to the longest verbatim match and its place.
-
-The test side is checked: it is cut into blocks of about ``block_bytes`` by a hash of the item, each of
-which is sent to all tasks and searched against all rows; documents are never exchanged.  (With more
-than one block the hits of a document are put together by doc_id and text.)
+Each slice of documents is a shard.  Its words become letters, in order of their hashes, and all its suffixes
+(each up to the end of its document) are sorted by prefix doubling, as deep as the longest item.  Every test
+suffix that begins a window is searched in every shard by bisection; its matches are one range of the array,
+at whose positions the document words are hit.  A suffix with a word that a shard doesn't have can't match
+there and isn't searched; a shard that has all words of no window needs no array.  Matches on one diagonal
+that touch are put together to the longest verbatim match and its place (of equally long ones the first in the
+document, then the item first in order of the ids as strings).
+
+Words are told apart by two independent hashes of 64 bits.  The test side is checked: up to ``block_bytes`` it
+is sent to all tasks as a whole; beyond, it is cut into blocks of about that size by a hash of the item, each
+of which is searched against all rows, and its matches written, before the next one is collected.  Documents
+are never exchanged (with more than one block the hits of a document are put together by doc_id and text).
 
 Defined results: null or empty texts have no words, no hits, no items and the hash of the empty string;
 items without a word or without item_id have no windows; items that share an item_id count once; an
@@ -25,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skymesh.llm.frames import texts
-from skymesh.llm.kernel import ALNUM, Words, mix, prefix, slices, span_hash, text_bytes
+from skymesh.llm.frames import texts, written
+from skymesh.llm.kernel import ALNUM, Words, slices, text_bytes
 
 BITS = 24
-MATCHED = "doc_id bigint, text_key bigint, n_words bigint, spans array<bigint>, items array<string>, longest struct<words: bigint, item: string, start: bigint>"
+MATCHED = "doc_id bigint, text_key bigint, n_words bigint, spans array<bigint>, items array<string>, longest struct<less: bigint, start: bigint, item: string>"
 RESULT = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, longest_words bigint, longest_item string, longest_start bigint"
 
 
@@ -41,8 +44,25 @@ def _rows(ids: np.ndarray, at: np.ndarray, end: np.ndarray, width: int) -> np.nd
     return np.ascontiguousarray(grid.astype(">u4")).view(f"S{4 * width}").ravel()
 
 
+def sorted_suffixes(letter: np.ndarray, end: np.ndarray, depth: int) -> np.ndarray:
+    """The positions of a shard in order of the letters (from 1) that follow, each up to its ``end``: names of
+    1, 2, 4, ... letters, until they differ or name at least ``depth``."""
+    rank, step, place = letter.astype(np.int64), 1, np.arange(len(letter))
+    while True:
+        inside = np.flatnonzero(place + step < end)
+        key = rank << 32
+        key[inside] |= rank[inside + step]
+        order = np.argsort(key, kind="stable")
+        own = key[order]
+        new = np.append(0, np.cumsum(own[1:] != own[:-1]))
+        step *= 2
+        if new[-1] == len(letter) - 1 or step >= depth:
+            return order
+        rank[order] = new + 1
+
+
 class TestSuffixes:
-    """The windows of a block of items, as sorted keys with the items that have them."""
+    """The windows of a block of items: distinct ones, and the items and places that have each."""
 
     __test__ = False
 
@@ -50,49 +70,46 @@ class TestSuffixes:
         self.size = size
         words = Words(*text_bytes(pa.array([x for _, x in items], pa.string())), ALNUM, lower=True)
         self.names = [x for x, _ in items]
-        self.vocabulary = np.unique(words.hash)
+        self.vocabulary, first = np.unique(words.hash, return_index=True)
+        self.check = words.check[first]
         ids = np.searchsorted(self.vocabulary, words.hash) + 1
+        self.depth = int(words.count.max(initial=0))
         length = np.minimum(words.count, size)[words.doc]
         end = words.first[words.doc + 1]
         at = np.flatnonzero(np.arange(len(ids)) + length <= end)
         at = at[(words.count[words.doc[at]] >= size) | (at == words.first[words.doc[at]])]
-        self.gram = int(min(3, length[at].min())) if len(at) else 1
-        self.grams = np.unique(span_hash(prefix(mix(ids.astype(np.uint64))), at, at + self.gram)) if len(at) else np.zeros(0, np.uint64)
-        low = _rows(ids, at, at + length[at], size)
+        there = at[:, None] + np.arange(size)
+        grid = np.where(there < (at + length[at])[:, None], ids[np.minimum(there, max(0, len(ids) - 1))], 0) if len(at) else np.zeros((0, size), np.int64)
         # one entry for each different window; windows that differ in length are different
-        order = np.lexsort((length[at], low))
-        new = np.ones(len(order), bool)
-        new[1:] = (low[order][1:] != low[order][:-1]) | (length[at][order][1:] != length[at][order][:-1])
-        self.low, self.length = low[order][new], length[at][order][new]
-        grid = np.frombuffer(self.low.tobytes(), ">u4").reshape(-1, size).copy() if len(at) else np.zeros((0, size), ">u4")
-        grid[np.arange(size) >= self.length[:, None]] = 0xFFFFFFFF
-        self.high = grid.view(f"S{4 * size}").ravel()
+        order = np.lexsort(grid.T[::-1])
+        new = np.append(True, (grid[order][1:] != grid[order][:-1]).any(1))[: len(order)]
+        self.grid, self.length = grid[order][new], length[at][order][new]
         self.entry = np.cumsum(new) - 1  # of each (item, place) in order
         self.item, self.place = words.doc[at][order], (at - words.first[words.doc[at]])[order]
-        self.begin = np.searchsorted(self.entry, np.arange(len(self.low) + 1))
+        self.begin = np.searchsorted(self.entry, np.arange(len(self.grid) + 1))
 
     def match(self, words: Words):
         """(position, entry) of every window that begins in a shard."""
         none = np.zeros(0, np.int64)
-        if not len(self.low) or len(words.hash) < self.gram:
+        if not len(self.grid) or not len(words.hash):
             return none, none
-        at = np.minimum(np.searchsorted(self.vocabulary, words.hash), len(self.vocabulary) - 1)
-        ids = np.where(self.vocabulary[at] == words.hash, at + 1, 0)
-        known = np.concatenate([[0], np.cumsum(ids > 0)])
-        pos = np.arange(len(ids) - self.gram + 1)
-        pos = pos[(known[pos + self.gram] - known[pos] == self.gram) & (pos + self.gram <= words.first[words.doc[pos] + 1])]
-        gram = span_hash(prefix(mix(ids.astype(np.uint64))), pos, pos + self.gram)
-        found = np.minimum(np.searchsorted(self.grams, gram), len(self.grams) - 1)
-        pos = pos[self.grams[found] == gram]
-        if not len(pos):
+        letters, first, letter = np.unique(words.hash, return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(letters, self.vocabulary), len(letters) - 1)
+        has = (letters[at] == self.vocabulary) & (words.check[first[at]] == self.check)
+        here = np.append(0, np.where(has, at + 1, -1))[self.grid]  # the windows in letters of the shard
+        entry = np.flatnonzero((here >= 0).all(1))
+        if not len(entry):
             return none, none
-        keys = _rows(ids, pos, words.first[words.doc[pos] + 1], self.size)
-        order = np.argsort(keys, kind="stable")
-        suffixes = keys[order]
-        lo, hi = np.searchsorted(suffixes, self.low, "left"), np.searchsorted(suffixes, self.high, "right")
+        here, end = here[entry], words.first[words.doc + 1]
+        array = sorted_suffixes(letter + 1, end, max(self.size, self.depth))
+        suffixes = _rows(letter + 1, array, end[array], self.size)
+        low = np.ascontiguousarray(here.astype(">u4")).view(f"S{4 * self.size}").ravel()
+        here[np.arange(self.size) >= self.length[entry][:, None]] = 0xFFFFFFFF
+        high = np.ascontiguousarray(here.astype(">u4")).view(f"S{4 * self.size}").ravel()
+        lo, hi = np.searchsorted(suffixes, low, "left"), np.searchsorted(suffixes, high, "right")
         n = hi - lo
         step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return pos[order[np.repeat(lo, n) + step]], np.repeat(np.arange(len(n)), n)
+        return array[np.repeat(lo, n) + step], np.repeat(entry, n)
 
 
 def _match(batches, items, size: int):
@@ -124,13 +141,13 @@ def _match(batches, items, size: int):
                 run = p[last] + m[last] - p[first]
                 for d, i, n, s in zip(d[first].tolist(), item[first].tolist(), run.tolist(), (p[first] - words.first[d[first]]).tolist(), strict=True):
                     found[d].add(tests.names[i])
-                    best = {"words": n, "item": tests.names[i], "start": s}
-                    if longest[d] is None or (n, -s) > (longest[d]["words"], -longest[d]["start"]):
+                    best = (-n, s, tests.names[i])
+                    if longest[d] is None or best < longest[d]:
                         longest[d] = best
-            types = {"spans": pa.list_(pa.int64()), "items": pa.list_(pa.string()), "longest": pa.struct([("words", pa.int64()), ("item", pa.string()), ("start", pa.int64())])}
+            types = {"spans": pa.list_(pa.int64()), "items": pa.list_(pa.string()), "longest": pa.struct([("less", pa.int64()), ("start", pa.int64()), ("item", pa.string())])}
             yield pa.RecordBatch.from_pydict(
                 {"doc_id": part.column("doc_id"), "text_key": part.column("text_key"), "n_words": pa.array(words.count, pa.int64())}
-                | {k: pa.array(v, types[k]) for k, v in (("spans", spans), ("items", [sorted(x) for x in found]), ("longest", longest))}
+                | {k: pa.array(v, types[k]) for k, v in (("spans", spans), ("items", [sorted(x) for x in found]), ("longest", [x and dict(zip(("less", "start", "item"), x, strict=True)) for x in longest]))}
             )
 
 
@@ -148,9 +165,9 @@ def _finish(batches):
             own = sorted(set(items))
             rows.append((hit, len(own), hashlib.sha256(",".join(own).encode()).hexdigest(), hit > 0 and 20 * hit >= n))
         hit, m, digest, bad = zip(*rows, strict=True) if rows else ((), (), (), ())
-        longest = b.column("longest")
+        longest = b.column("longest").to_pylist()
         yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), b.column("n_words"), pa.array(hit, pa.int64()), pa.array(m, pa.int64()), pa.array(digest, pa.string()), pa.array(bad, pa.bool_()), *(pa.array([x and x[k] for x in longest.to_pylist()], t) for k, t in (("words", pa.int64()), ("item", pa.string()), ("start", pa.int64())))],
+            [b.column("doc_id"), b.column("n_words"), pa.array(hit, pa.int64()), pa.array(m, pa.int64()), pa.array(digest, pa.string()), pa.array(bad, pa.bool_()), pa.array([x and -x["less"] for x in longest], pa.int64()), pa.array([x and x["item"] for x in longest], pa.string()), pa.array([x and x["start"] for x in longest], pa.int64())],
             [x.split()[0] for x in RESULT.split(", ")],
         )
 
@@ -165,8 +182,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, block_b
     for k in range(blocks):
         items = [(r.item_id, r.text) for r in tests.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()]
         one = own.mapInArrow(partial(_match, items=items, size=size), MATCHED)
+        if blocks > 1:
+            one = written(one, "decontamination")
         found = one if found is None else found.unionByName(one)
     if blocks > 1:
-        merged = found.groupBy("doc_id", "text_key", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"), F.max("longest").alias("longest"), (F.count(F.lit(1)) / blocks).cast("int").alias("copies"))
+        merged = found.groupBy("doc_id", "text_key", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"), F.min("longest").alias("longest"), (F.count(F.lit(1)) / blocks).cast("int").alias("copies"))
         found = merged.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).drop("copy", "copies")
     return found.mapInArrow(_finish, RESULT)

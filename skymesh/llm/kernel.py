@@ -136,7 +136,8 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK):
 class Words:
     """The words of a slice: byte range, document and 64-bit hash of each.
 
-    ``hash`` tells words apart; ``sequence`` sums a second, independent one, by which windows are checked."""
+    ``hash`` tells words apart, ``check`` is a second, independent hash; ``sequence`` sums the second, so that
+    windows are checked by it."""
 
     def __init__(self, flat: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, lower: bool):
         self.flat = LOWER[flat] if lower else flat
@@ -156,7 +157,7 @@ class Words:
         self.first = np.searchsorted(self.start, offsets)  # of the words of each document; the last is their number
         self.count = np.diff(self.first)
         self.hash = byte_hash(self.flat, self.start, self.end)
-        self._sums = self._sequence = None
+        self._sums = self._sequence = self._check = None
 
     @property
     def sums(self) -> np.ndarray:
@@ -164,10 +165,16 @@ class Words:
             self._sums = prefix(BYTE_CODE[self.flat])
         return self._sums
 
+    @property
+    def check(self) -> np.ndarray:
+        if self._check is None:
+            self._check = mix(span_hash(self.sums, self.start, self.end) + np.uint64(0x2545F4914F6CDD1D))
+        return self._check
+
     @property
     def sequence(self) -> np.ndarray:
         if self._sequence is None:
-            self._sequence = prefix(mix(span_hash(self.sums, self.start, self.end) + np.uint64(0x2545F4914F6CDD1D)))
+            self._sequence = prefix(self.check)
         return self._sequence
 
     def starts(self, size: int) -> np.ndarray:

@@ -14,17 +14,22 @@ def _words(pattern: str, lower: bool) -> str:
 
 ORACLES = {
     "op2_benchmark_decontamination": f"""
-with b as (select cast(item_id as varchar) item_id, {_words(_ALNUM, True)} w from benchmark where item_id is not null),
-bw as (select item_id, w, least(13, len(w)) n, unnest(range(1, len(w) - least(13, len(w)) + 2)) i from b where len(w) > 0),
-bs as (select distinct item_id, n, array_to_string(w[i:i + n - 1], ' ') s from bw),
+with b as (select row_number() over () item, cast(item_id as varchar) item_id, {_words(_ALNUM, True)} w from benchmark where item_id is not null),
+bw as (select item, item_id, w, least(13, len(w)) n, unnest(range(1, len(w) - least(13, len(w)) + 2)) i from b where len(w) > 0),
+bp as (select item, item_id, n, i, array_to_string(w[i:i + n - 1], ' ') s from bw),
+bs as (select distinct item_id, n, s from bp),
 d as (select doc_id, {_words(_ALNUM, True)} w from documents),
 dw as (select doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') s from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) i from d, (select distinct n from bs))),
 hit as (select doc_id, i, dw.n, item_id from dw join bs on dw.n = bs.n and dw.s = bs.s),
 cov as (select doc_id, count(distinct p) n_hit from (select doc_id, unnest(range(i, i + n)) p from hit) group by 1),
+met as (select doc_id, item, item_id, dw.i - bp.i diagonal, dw.i, dw.n from dw join bp on dw.n = bp.n and dw.s = bp.s),
+runs as (select *, i - row_number() over (partition by doc_id, item, diagonal order by i) run from met),
+matches as (select doc_id, item_id, min(i) - 1 a, max(i) + n - min(i) words from runs group by doc_id, item, item_id, diagonal, run, n),
+best as (select *, row_number() over (partition by doc_id order by words desc, a, item_id) r from matches),
 it as (select doc_id, count(*) n_items, string_agg(item_id, ',' order by item_id) ids from (select distinct doc_id, item_id from hit) group by 1)
 select d.doc_id, len(w) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(ids, '')) items_sha256,
- coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) contaminated
-from d left join cov on cov.doc_id = d.doc_id left join it on it.doc_id = d.doc_id""",
+ coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) contaminated, best.words longest_words, best.item_id longest_item, best.a longest_start
+from d left join cov on cov.doc_id = d.doc_id left join it on it.doc_id = d.doc_id left join best on best.doc_id = d.doc_id and best.r = 1""",
     "op3_substring_recompression": f"""
 with d as (select doc_id, {_words(_SPACED, False)} w from documents),
 win as (select doc_id, i, array_to_string(w[i:i + 12], ' ') s from (select doc_id, w, unnest(range(1, len(w) - 11)) i from d)),
