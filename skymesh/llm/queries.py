@@ -36,7 +36,7 @@ def op3_substring_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archive.converted(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("record_id", "target_uri", "date")
+    return archive.converted(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("record_id", "target_uri", "date", "refers_to_record")
 
 
 @query

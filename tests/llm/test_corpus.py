@@ -353,6 +353,34 @@ def test_arc_to_warc(spark):
         assert (at[i].payload_bytes, at[i].payload_digest) == (len(b), hashlib.sha1(b).hexdigest())
     assert {i: at[i].refers_to for i in at if at[i].record_type == "revisit"} == {None: 2, 1: 2, 5: 6}
     assert at[1].target_uri == "http://a/b%20c" and at[2].target_uri is None
+    assert {i: at[i].refers_to_record for i in at if at[i].refers_to} == {None: at[2].record_id, 1: at[2].record_id, 5: at[6].record_id}
+
+
+def test_archives_are_cut_by_bytes_and_read_from_any_record(spark, tmp_path):
+    rows = [(i, f"http://x/{i}", "z" * (3000 if i else 50_000)) for i in range(12)]
+    archive.write_arcs(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), f"{tmp_path}/arc", 1, size=10_000)
+    files = [p for p in (tmp_path / "arc").iterdir() if p.name.startswith("part-")]
+    assert len(files) >= 4
+    for p in files:
+        data = p.read_bytes()
+        starts = [m.start() for m in re.finditer(rb"\x1f\x8b\x08", data)]
+        members = [zlib.decompressobj(31).decompress(data[i:]) for i in starts]
+        assert sum(map(len, members)) < 62_000 and members[0].startswith(b"filedesc:") and members[1].startswith(b"http://x/")
+    archive.to_warc(spark, [f"{tmp_path}/arc"], f"{tmp_path}/warc", size=10_000)
+    got = {r.page_id: r for r in archive.read_warcs(spark, f"{tmp_path}/warc").collect()}
+    assert len(got) == 12 and {r.record_type for i, r in got.items() if i in (0, 11)} == {"response"} and all(r.refers_to == 11 for i, r in got.items() if 0 < i < 11)
+
+
+def test_arcs_of_other_writers():
+    """Other closing lines, line ends and heads, no HTTP at all, bytes that are no UTF-8, an address with spaces."""
+    body = b"1 0 Other Archive\nURL IP-address Archive-date Content-type Archive-length\n"
+    data = b"filedesc://o.arc 0.0.0.0 19980101000000 text/plain %d\n" % len(body) + body + b"\n"
+    one = b"HTTP/1.0 200 OK\nServer: x\n\nhello\n\nworld"
+    two = b"only text, no head\r\n\r\nreally"
+    data += b"http://a/b c\xe9 1.2.3.4 19980102030405 text/html %d\n" % len(one) + one + b"\n\n"
+    data += b"dns:a.b 1.2.3.4 19980102030406 text/dns %d\r\n" % len(two) + two + b"\n"
+    got = list(archive.read_arc(data))
+    assert got == [("http://a/b c%E9", "1.2.3.4", "19980102030405", "text/html", one[: one.index(b"hello")], b"hello\n\nworld"), ("dns:a.b", "1.2.3.4", "19980102030406", "text/dns", b"", two)]
 
 
 def test_arc_versions_round_trip():
