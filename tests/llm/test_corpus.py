@@ -411,11 +411,39 @@ def test_url_rules_and_model(spark):
 
 
 def test_url_model_learns(spark):
-    rows = [(i, f"http://h{i % 7}.{'com' if i % 2 else 'org'}/{'de' if i % 2 else 'x'}/{i}") for i in range(200)] + [(1000, "http://q.com/en/5"), (1001, None)]
+    rows = [(i, f"http://h{i % 7}.{'com' if i % 2 else 'org'}/{'de' if i % 2 else 'x'}/{i}") for i in range(200)] + [(1000, "http://q.com/en/5"), (1001, None), (1002, "http://q.com/" + "xä" * 50_000), (1000, "http://q.com/en/5")]
     got = urls.filtered(spark.createDataFrame(rows, "page_id long, url string")).collect()
     assert len(got) == len(rows) and all((r.p_block is None) == (r.rule is not None) for r in got)
 
 
+def test_url_rules_over_a_whole_table(spark):
+    """Host, path and rule of every page by plain string work; and the model against hosts that it never saw."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r for r in urls.filtered(pages).collect()}
+    for r in pages.select("page_id", "url").collect():
+        rest = r.url.split("://", 1)[1] if "://" in (r.url or "") else ""
+        host = re.split("[/?#]", rest, maxsplit=1)[0]
+        path = re.split("[?#]", rest[len(host) :], maxsplit=1)[0]
+        host = lower(host)
+        fits = [(len(h + p), v == "block", h + p, v) for v, h, p in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        g = got[r.page_id]
+        assert (g.host, g.path, g.rule) == (host, path, max(fits)[2] if fits else None)
+        assert g.verdict == (max(fits)[3] if fits else "block" if g.p_block >= 0.5 else "allow")
+    (r,) = urls.accuracy(spark.read.parquet("/root/testdata/sf0.1/pages.parquet")).collect()
+    assert r.urls > 50 and r.accuracy > r.commoner + 0.1, r
+
+
+def test_entropy_is_of_all_characters(spark):
+    import math
+
+    rows = ["http://abc/日本日本", "", "aaaa", "http://x.y/%7E?q=1&r=éé"]
+    df = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    got = {r.page_id: r.entropy for r in urls.lexical(urls.judged(df)).collect()}
+    for i, u in enumerate(rows):
+        c = Counter(u.lower())
+        assert abs(got[i] + sum(n / len(u) * math.log2(n / len(u)) for n in c.values())) < 1e-9
+
+
 def test_mixing(spark, odd):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, F.concat(F.lit("b"), (F.col("id") % 5).cast("string"))).otherwise(None).alias("source"), F.lit("s").alias("slot"))
     got = mixing.mixed(docs, block=8, period=200, bin_rows=100).toPandas()
