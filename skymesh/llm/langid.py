@@ -4,14 +4,18 @@ Words are runs of letters.  A word's features are its first one to three and las
 byte pairs and triples inside it, and itself if the training sample has it at least three times (the
 lexicon); they index hashed weights for each language.  Learned transitions join neighbouring words, and
 forward-backward gives each word's probability of each language.  A document gets the language with the
-greatest mean over its words, and that mean as score.
+greatest mean over its words, and that mean as score; ``spans`` are its runs of words with one most likely
+language (first word, number of words, language), so code-switched text shows its switches.
+
+Labelled documents are of one language each.  So that transitions meet switches as well, part of the training
+text is dealt anew: chunks of ``chunk`` words, taken from all languages in random order, four to a document.
 
 Texts of any length are labelled exactly and without a long loop: a document is cut into pieces, the
 transfer matrices of all pieces are multiplied side by side, the messages at the cuts follow from them,
 and then all pieces run forward and backward at once.
 
 Only rows with a language whose ``crc32(doc_id as text) % 4`` isn't 2 are learned from, at most
-``per_language`` of each language (those with the least hash), trained on the driver; the model (hashed
+``per_language`` of each language (those with the least hash, in one pass), trained on the driver; the model (hashed
 weights of a fixed size for each language) goes to all tasks and documents are never exchanged.
 
 Defined results: a null text, or one without any letter, is ``und`` with score 0; so is every text if
@@ -25,7 +29,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skymesh.llm.frames import texts, written
@@ -35,7 +39,7 @@ BITS = 15
 PIECE = 128
 LETTER = np.zeros(256, bool)
 LETTER[0x61:0x7B] = LETTER[0x80:] = True
-LABELLED = "doc_id bigint, lang_pred string, score double"
+LABELLED = "doc_id bigint, lang_pred string, score double, spans array<struct<first: bigint, words: bigint, lang: string>>"
 
 
 def distinct_words(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -161,8 +165,21 @@ def _words(column: pa.Array) -> Words:
     return Words(*text_bytes(column), LETTER, lower=True)
 
 
-def fit(rows: list[tuple[str, str]], rounds: int = 40, rate: float = 0.15, ridge: float = 1e-6) -> Field | None:
-    """The field that best explains texts of known languages (text, lang), by Adam steps."""
+def switched(words: Words, share: float, chunk: int, seed: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Places of words, and their numbers by document, of texts that change language every ``chunk`` words."""
+    inside = np.arange(len(words.start)) - words.first[words.doc]
+    begin = np.flatnonzero(inside % chunk == 0)
+    size = np.minimum(begin + chunk, words.first[words.doc[begin] + 1]) - begin
+    rng = np.random.default_rng(seed)
+    pick = rng.permutation(len(begin))[: int(len(begin) * share)]
+    begin, size = begin[pick], size[pick]
+    place = np.repeat(begin, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    return place, np.add.reduceat(size, np.arange(0, len(size), 4)) if len(size) else size
+
+
+def fit(rows: list[tuple[str, str]], rounds: int = 40, rate: float = 0.15, ridge: float = 1e-6, share: float = 0.25, chunk: int = 12) -> Field | None:
+    """The field that best explains texts of known languages (text, lang), by Adam steps.  ``share`` of the words are
+    also learned in switched texts."""
     langs = sorted({lang for _, lang in rows})
     words = _words(pa.array([text for text, _ in rows], pa.string()))
     if not len(words.start):
@@ -171,16 +188,19 @@ def fit(rows: list[tuple[str, str]], rounds: int = 40, rate: float = 0.15, ridge
     lexicon = name[np.bincount(which) >= 3]
     who, what = features(words, name, place, lexicon)
     label = np.searchsorted(langs, np.array([lang for _, lang in rows]))[words.doc]
-    k, n = len(langs), len(label)
+    k = len(langs)
+    mixed, sizes = switched(words, share if k > 1 else 0.0, chunk)
+    which, label, count = np.concatenate([which, which[mixed]]), np.concatenate([label, label[mixed]]), np.concatenate([words.count, sizes])
+    n, doc = len(label), np.repeat(np.arange(len(count)), count)
     seen = np.stack([np.bincount(which, weights=label == j, minlength=len(name)) for j in range(k)], 1)
     joint = np.zeros((k, k))
-    follows = words.doc[1:] == words.doc[:-1]
+    follows = doc[1:] == doc[:-1]
     np.add.at(joint, (label[:-1][follows], label[1:][follows]), 1)
-    np.add.at(joint, (slice(None), label[words.first[:-1][words.count > 0]]), 1 / k)
+    np.add.at(joint, (slice(None), label[(np.cumsum(count) - count)[count > 0]]), 1 / k)
     w, t = np.zeros((k, 1 << BITS)), np.zeros((k, k))
     state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(t), np.zeros_like(t)]
     for i in range(1, rounds + 1):
-        p, expected = marginals(emissions(who, what, len(name), w)[which], words.count, t)
+        p, expected = marginals(emissions(who, what, len(name), w)[which], count, t)
         rest = seen - np.stack([np.bincount(which, weights=p[:, j], minlength=len(name)) for j in range(k)], 1)
         gw = np.stack([np.bincount(what, weights=rest[who, j], minlength=1 << BITS) for j in range(k)]) / n - ridge * w
         gt = (joint - expected) / n - ridge * t
@@ -196,6 +216,7 @@ def _labelled(batches, field: Field | None):
         for part in slices(batch):
             n = part.num_rows
             lang, score = ["und"] * n, np.zeros(n)
+            first, many, label, cut = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(n + 1, np.int64)
             words = _words(part.column("text"))
             if field and len(words.start):
                 name, place, which = distinct_words(words)
@@ -204,28 +225,30 @@ def _labelled(batches, field: Field | None):
                 share = np.stack([np.bincount(words.doc, weights=p[:, j], minlength=n) for j in range(p.shape[1])], 1) / np.maximum(words.count, 1)[:, None]
                 best = share.argmax(1)
                 ascii_letter = np.bincount(words.doc, weights=words.flat[words.start] < 0x80, minlength=n) > 0
+                label = p.argmax(1)
+                new = np.flatnonzero(np.append(True, (label[1:] != label[:-1]) | (words.doc[1:] != words.doc[:-1])))
+                many, label, first = np.diff(np.append(new, len(p))), label[new], new - words.first[words.doc[new]]
+                cut = np.searchsorted(words.doc[new], np.arange(n + 1))
                 for i in np.flatnonzero(words.count).tolist():
                     if ascii_letter[i] or any(map(str.isalpha, part.column("text")[i].as_py())):
                         lang[i], score[i] = field.langs[best[i]], min(1.0, share[i, best[i]])
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
+            names = pa.array(field.langs if field else [], pa.string()).take(pa.array(label))
+            spans = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.StructArray.from_arrays([pa.array(first), pa.array(many), names], ["first", "words", "lang"]))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lang, pa.string()), pa.array(score), spans], ["doc_id", "lang_pred", "score", "spans"])
 
 
 def learn(docs: DataFrame, per_language: int = 200) -> Field | None:
     """The field from at most ``per_language`` documents of each language."""
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     usable = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang")).filter("doc_id is not null and lang is not null").filter(crc % 4 != 2)
-    langs = [r.lang for r in usable.select("lang").distinct().collect()]
-    if not langs:
-        return None
-    chosen = None
-    for lang in sorted(langs):
-        own = usable.filter(F.col("lang") == lang).orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(per_language)
-        chosen = own if chosen is None else chosen.unionByName(own)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id"))
+    chosen = usable.withColumn("place", place).filter(F.col("place") <= per_language).drop("place")
     sample = written(texts(docs).join(F.broadcast(chosen), "doc_id").filter("text is not null"), "language-sample")
-    return fit([(r.text, r.lang) for r in sample.orderBy("doc_id", "text").collect()])
+    rows = [(r.text, r.lang) for r in sample.orderBy("doc_id", "text", "lang").collect()]
+    return fit(rows) if rows else None
 
 
 def languages(docs: DataFrame, field: Field | None) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): language and score."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
-    return texts(docs).mapInArrow(partial(_labelled, field=field), LABELLED).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+    return texts(docs).mapInArrow(partial(_labelled, field=field), LABELLED).select("doc_id", held.alias("held_out"), "lang_pred", "score", "spans")

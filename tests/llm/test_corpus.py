@@ -341,6 +341,23 @@ def test_languages(spark, odd):
     assert all(r.lang_pred == "und" for r in langid.languages(odd, None).collect())
 
 
+def test_switches_inside_a_text(spark):
+    """Words of held-out texts, twenty of each language in turn."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    field = langid.learn(docs, per_language=60)
+    held = docs.filter("lang is not null and crc32(cast(cast(doc_id as string) as binary)) % 4 = 2").orderBy("doc_id").collect()
+    plain = defaultdict(list)
+    for r in held:
+        plain[r.lang] += re.findall(r"[a-z\x80-\U0010ffff]+", lower(r.text))
+    langs = sorted(plain)
+    want = [lang for k in range(60) for lang in [langs[k % len(langs)]] * 20]
+    text = " ".join(w for k in range(60) for w in plain[langs[k % len(langs)]][k // len(langs) * 20 :][:20])
+    (r,) = langid.languages(spark.createDataFrame([(1, text)], "doc_id long, text string"), field).collect()
+    got = [s.lang for s in r.spans for _ in range(s.words)]
+    assert [s.first for s in r.spans] == list(itertools.accumulate((s.words for s in r.spans), initial=0))[:-1] and len(got) == len(want)
+    assert sum(a == b for a, b in zip(got, want)) >= 0.9 * len(want), sum(a == b for a, b in zip(got, want)) / len(want)
+
+
 def test_arc_to_warc(spark):
     big, other = "x" * 1500 + "\r\n\r\n", "é" * 700
     rows = [(1, "http://a/b c", big), (2, None, big), (3, "http://q", None), (4, "u", ""), (5, "v", other), (6, "w", other), (7, "y", "small"), (8, "z", "small"), (9, "http://n\nl", "WARC/1.1\r\n\r\n" * 100), (None, "nil", big)]
