@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skymesh.llm.frames import texts, written
+from skymesh.llm.frames import small_batches, texts, written
 from skymesh.llm.kernel import ALNUM, Words, slices, text_bytes
 
 BITS = 24
@@ -172,16 +172,39 @@ def _finish(batches):
         )
 
 
+def _clean(batches, items, size: int):
+    for batch in batches:
+        plain = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column("text").cast(pa.string()), pa.nulls(batch.num_rows, pa.int64())], ["doc_id", "text", "text_key"])
+        yield batch.filter(pa.array([not x for out in _finish(_match([plain], items, size)) for x in out.column("contaminated").to_pylist()], pa.bool_()))
+
+
+def blocks_of(benchmark: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
+    tests = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null")
+    return tests, -(-(tests.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] + 1) // block_bytes)
+
+
+def items_of(tests: DataFrame, k: int, blocks: int) -> list[tuple[str, str]]:
+    return [(r.item_id, r.text) for r in tests.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()]
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, size: int = 13, block_bytes: int = 4 << 20) -> DataFrame:
+    """The rows of ``docs`` that aren't contaminated.  With a benchmark of one block they are filtered in place, row by
+    row; else rows without doc_id stay, and rows that share one go together."""
+    tests, blocks = blocks_of(benchmark, block_bytes)
+    if blocks == 1:
+        return small_batches(docs).mapInArrow(partial(_clean, items=items_of(tests, 0, 1), size=size), docs.schema)
+    found = contamination(docs, benchmark, size, block_bytes).filter("contaminated").select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, block_bytes: int = 4 << 20) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): hits by windows of ``benchmark`` (item_id, text),
     the verdict, and the longest verbatim match with its item and first word."""
     own = texts(docs).withColumn("text_key", F.xxhash64("text"))
-    tests = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null")
-    blocks = -(-(tests.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] + 1) // block_bytes)
+    tests, blocks = blocks_of(benchmark, block_bytes)
     found = None
     for k in range(blocks):
-        items = [(r.item_id, r.text) for r in tests.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()]
-        one = own.mapInArrow(partial(_match, items=items, size=size), MATCHED)
+        one = own.mapInArrow(partial(_match, items=items_of(tests, k, blocks), size=size), MATCHED)
         if blocks > 1:
             one = written(one, "decontamination")
         found = one if found is None else found.unionByName(one)

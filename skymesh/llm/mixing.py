@@ -13,8 +13,10 @@ as long as it takes for every source to come through once: no document is left o
 repeat.  The index of a document in its source is a running count inside hashed bins, of about ``bin_rows``
 documents each, plus the sizes of the bins before, so that no source meets in one task.
 
+The hashed order is that of all columns (but maps), so rows that share a doc_id, or have none, are spread as well.
+
 Defined results: rows without a source form a source of their own (null); repeated rows are different
-documents of the mix (in the order of their ids); an empty table gives an empty mix; other columns are
+documents of the mix; an empty table gives an empty mix; other columns are
 carried along, but those named slot, epoch, block_no or place, which are replaced.
 """
 
@@ -38,6 +40,8 @@ ADDED = ["slot", "epoch", "block_no", "place"]
 PLAN = "__no bigint, block_no bigint, epoch bigint, __far bigint, slot bigint"
 #: epochs of a block that are joined by one key
 TOGETHER = 64
+#: sources whose facts (four small values each) are sent to all tasks; those of more are joined
+FEW = 100_000
 
 
 def shares(weights: Mapping, period: int) -> dict:
@@ -95,7 +99,8 @@ def mixed(docs: DataFrame, weights: Mapping | None = None, block: int = 16, peri
     """The mix: a row for each document and epoch, with its ``slot`` and its ``place`` (a dense order of
     whole blocks is slot, place)."""
     spark = docs.sparkSession
-    own = docs.drop(*ADDED).withColumn("__key", F.xxhash64(F.col("doc_id"), F.lit(seed)))
+    own = docs.drop(*ADDED)
+    own = own.withColumn("__key", F.xxhash64(*(F.col(f"`{f.name}`") for f in own.schema if "map<" not in f.dataType.simpleString()), F.lit(seed)))
     count = {r.source: r.n for r in own.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
     if weights is None:
         weights = {k: n**temperature for k, n in count.items()}
@@ -115,7 +120,9 @@ def mixed(docs: DataFrame, weights: Mapping | None = None, block: int = 16, peri
     # what holds for each source of the mix: as many rows as it has sources
     epochs = {k: -(-slots * weight[k] // total) // blocks[k] for k in weight}
     facts = spark.createDataFrame([(k, i, epochs[k] // TOGETHER, -(-count[k] // bin_rows)) for i, k in enumerate(weight)], "__source string, __no bigint, __most bigint, __bins bigint")
-    own = own.join(F.broadcast(facts), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+    if len(weight) <= FEW:
+        facts = F.broadcast(facts)
+    own = own.join(facts, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
 
     # the index of each document in its source; bins are ranges of the hashed order
     bin_no = F.floor((F.shiftrightunsigned("__key", 33).cast("double") / F.lit(float(1 << 31))) * F.col("__bins")).cast("bigint")

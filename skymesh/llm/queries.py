@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
+import importlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,7 +63,7 @@ def op8_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed(documents(spark, sf_dir).select("doc_id", "source", "n_chars"))
+    return mixing.mixed(documents(spark, sf_dir))
 
 
 @query
@@ -73,4 +74,4 @@ def op10_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_pipeline.run(spark, sf_dir)
+    return importlib.import_module("corpus_pipeline").run(spark, sf_dir)

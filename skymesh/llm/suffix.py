@@ -311,7 +311,7 @@ def _sorted_shards(batches, size: int, limit: int):
         yield done.pop()
 
 
-def _remove(batches, size: int, text: bool, carry: list[str]):
+def _remove(batches, size: int, text: bool, carry: bool):
     for batch in batches:
         for part in slices(batch):
             flat, offsets = text_bytes(part.column("text"))
@@ -337,17 +337,18 @@ def _remove(batches, size: int, text: bool, carry: list[str]):
                 rows.append((len(own), len(own) - len(kept), len(begin), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if text and there[i] else None))
             n, removed, m, digest, kept = zip(*rows, strict=True)
             out = {"doc_id": part.column("doc_id"), "n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(m, pa.int64()), "kept_sha256": pa.array(digest)}
-            yield pa.RecordBatch.from_pydict(out | ({"kept_text": pa.array(kept, pa.string())} if text else {}) | {c: part.column(c) for c in carry})
+            yield pa.RecordBatch.from_pydict(out | ({"kept_text": pa.array(kept, pa.string())} if text else {}) | ({"carried": part.column("carried")} if carry else {}))
 
 
 def remove_repeats(docs: DataFrame, size: int = 100, most: int = 4096, text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` (doc_id, text) without the bytes of ``size``-byte strings that also start earlier:
     counts and the hash of the kept bytes; with ``text`` also these as a string (kept_text, null for a
-    null text; bytes of a character that was cut in two are left out); and the columns in ``carry``."""
-    own = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
+    null text; bytes of a character that was cut in two are left out); and the columns in ``carry`` as one struct
+    (carried), so that their names can't clash."""
+    own = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.struct(*(F.col(f"`{c}`") for c in carry)).alias("carried")] if carry else []))
     known = own.select("doc_id", "text").filter("doc_id is not null")
     segments = known.mapInArrow(partial(_segments, size=size), repeats.SEGMENT)
     judged = written(repeats.judge(segments, same_doc=True), "suffix")
     shards = known.join(repeats.candidates(judged, most), "doc_id").mapInArrow(partial(_cut, size=size), SHARDED)
     later = shards.repartition("key").sortWithinPartitions("key", "check", "doc_id", "at").mapInArrow(partial(_sorted_shards, size=size, limit=SHARD), "doc_id bigint, at bigint")
-    return repeats.with_spans(own, [judged.filter("whole").select("doc_id", "at"), later], partial(_remove, size=size, text=text, carry=list(carry)), RESULT + ", kept_text string" * text + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry))
+    return repeats.with_spans(own, [judged.filter("whole").select("doc_id", "at"), later], partial(_remove, size=size, text=text, carry=bool(carry)), RESULT + ", kept_text string" * text + (f", carried {own.schema['carried'].dataType.simpleString()}" if carry else ""))

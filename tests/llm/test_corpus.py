@@ -242,7 +242,7 @@ def test_runs_longer_than_a_span_are_cut_not_lost(monkeypatch):
     batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([7], pa.int64()), "text": [text]})
     at = [x for b in suffix._segments(iter([batch]), size=100) for x, w in zip(b.column("at").to_pylist(), b.column("whole").to_pylist()) if w]
     own = batch.append_column("spans", pa.array([at], pa.list_(pa.int64())))
-    (got,) = next(suffix._remove(iter([own]), 100, False, [])).to_pylist()
+    (got,) = next(suffix._remove(iter([own]), 100, False, False)).to_pylist()
     assert got["n_spans"] == 1 and got["n_removed"] > len(text) - 1200
 
 
@@ -543,6 +543,25 @@ def test_pipeline_stages(spark, docs):
     assert own.count() > 0.6 * docs.count()
 
 
+def test_pipeline_of_odd_rows(spark, odd):
+    """Nulls, repeated rows and ids, very long texts, names that the operators use themselves, an empty table."""
+    extra = {"n_bytes": F.lit(1), "n_removed": F.lit("r"), "kept_text": F.lit("k"), "carried": F.lit(None).cast("string"), "band": F.lit(1), "hub": F.lit(2), "text_key": F.lit(4), "a.b": F.lit(5), "held_out": F.lit(True)}
+    odd = odd.unionByName(odd.filter("doc_id = 13")).unionByName(odd.filter("doc_id = 5").withColumn("text", F.lit("another text of the same id")))
+    for own in (odd.withColumns(extra), odd.withColumns(extra).limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, own, SF)
+            assert out.schema.simpleString() == own.schema.simpleString(), name
+            own = spark.createDataFrame(out.collect(), own.schema)
+        final = corpus_pipeline.STAGES[-1][1](spark, own, SF)
+        assert final.select("doc_id").distinct().count() == own.select("doc_id").distinct().count()
+
+
+def test_rows_of_one_id_are_spread_over_bins(spark):
+    docs = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("s").alias("source"), F.col("id").cast("string").alias("text"))
+    got = mixing.mixed(docs, block=4, bin_rows=100)
+    assert got.select("text").distinct().count() == got.count() == 4000
+
+
 def test_each_operator_has_one_query():
     assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in queries.QUERIES if k.startswith("op")) == list(range(1, 11))
 
