@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skymesh.llm.frames import small_batches, texts, written
+from skymesh.llm.frames import filtered_in_place, texts, written
 from skymesh.llm.kernel import ALNUM, Words, slices, text_bytes
 
 BITS = 24
@@ -172,10 +172,8 @@ def _finish(batches):
         )
 
 
-def _clean(batches, items, size: int):
-    for batch in batches:
-        plain = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column("text").cast(pa.string()), pa.nulls(batch.num_rows, pa.int64())], ["doc_id", "text", "text_key"])
-        yield batch.filter(pa.array([not x for out in _finish(_match([plain], items, size)) for x in out.column("contaminated").to_pylist()], pa.bool_()))
+def _judged(batches, items, size: int):
+    return _finish(_match(batches, items, size))
 
 
 def blocks_of(benchmark: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
@@ -192,7 +190,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, size: int = 13, block_bytes: in
     row; else rows without doc_id stay, and rows that share one go together."""
     tests, blocks = blocks_of(benchmark, block_bytes)
     if blocks == 1:
-        return small_batches(docs).mapInArrow(partial(_clean, items=items_of(tests, 0, 1), size=size), docs.schema)
+        return filtered_in_place(docs, partial(_judged, items=items_of(tests, 0, 1), size=size), "contaminated")
     found = contamination(docs, benchmark, size, block_bytes).filter("contaminated").select("doc_id").distinct()
     return docs.join(found, "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))
 

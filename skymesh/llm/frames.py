@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import partial
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +53,31 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return small_batches(docs).select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
+def _filtered(batches, judge: Callable, column: str, id_at: int, text_at: int):
+    held: list = []  # the batch that is being judged
+
+    def plain():
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                yield pa.RecordBatch.from_arrays([b.column(id_at).cast(pa.int64()), b.column(text_at).cast(pa.string()), pa.nulls(b.num_rows, pa.int64())], ["doc_id", "text", "text_key"])
+
+    bad: list = []
+    for out in judge(plain()):  # slices of a batch, in order
+        bad += out.column(column).to_pylist()
+        if len(bad) == held[0].num_rows:
+            yield held.pop(0).filter(pa.array([not x for x in bad], pa.bool_()))
+            bad = []
+
+
+def filtered_in_place(docs: DataFrame, judge: Callable, column: str) -> DataFrame:
+    """The rows of ``docs`` for which ``judge``, a generator over (doc_id, text) batches, gives false or 0 in ``column``;
+    in place and with all their columns, whatever these are called."""
+    names = docs.columns
+    plain = small_batches(docs).toDF(*(f"c{i}" for i in range(len(names))))
+    return plain.mapInArrow(partial(_filtered, judge=judge, column=column, id_at=names.index("doc_id"), text_at=names.index("text")), plain.schema).toDF(*names)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

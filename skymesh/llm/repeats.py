@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from skymesh.llm.frames import apart
 from skymesh.llm.kernel import int64, mix
@@ -159,7 +160,7 @@ def candidates(judged: DataFrame, most: int) -> DataFrame:
     return flagged.groupBy("doc_id").agg(F.collect_list("c").alias("cand"))
 
 
-def with_spans(docs: DataFrame, spans: list[DataFrame], apply: Callable, schema: str) -> DataFrame:
+def with_spans(docs: DataFrame, spans: list[DataFrame], apply: Callable, schema: str | StructType) -> DataFrame:
     """``docs`` (doc_id, text) with the spans (doc_id, at) of each document, through ``apply``."""
     every = spans[0]
     for x in spans[1:]:

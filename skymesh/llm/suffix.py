@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from skymesh.llm import repeats
 from skymesh.llm.frames import small_batches, written
@@ -345,10 +346,13 @@ def remove_repeats(docs: DataFrame, size: int = 100, most: int = 4096, text: boo
     counts and the hash of the kept bytes; with ``text`` also these as a string (kept_text, null for a
     null text; bytes of a character that was cut in two are left out); and the columns in ``carry`` as one struct
     (carried), so that their names can't clash."""
+    schema = StructType.fromDDL(RESULT + ", kept_text string" * text)
     own = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.struct(*(F.col(f"`{c}`") for c in carry)).alias("carried")] if carry else []))
+    if carry:
+        schema = schema.add("carried", own.schema["carried"].dataType)
     known = own.select("doc_id", "text").filter("doc_id is not null")
     segments = known.mapInArrow(partial(_segments, size=size), repeats.SEGMENT)
     judged = written(repeats.judge(segments, same_doc=True), "suffix")
     shards = known.join(repeats.candidates(judged, most), "doc_id").mapInArrow(partial(_cut, size=size), SHARDED)
     later = shards.repartition("key").sortWithinPartitions("key", "check", "doc_id", "at").mapInArrow(partial(_sorted_shards, size=size, limit=SHARD), "doc_id bigint, at bigint")
-    return repeats.with_spans(own, [judged.filter("whole").select("doc_id", "at"), later], partial(_remove, size=size, text=text, carry=bool(carry)), RESULT + ", kept_text string" * text + (f", carried {own.schema['carried'].dataType.simpleString()}" if carry else ""))
+    return repeats.with_spans(own, [judged.filter("whole").select("doc_id", "at"), later], partial(_remove, size=size, text=text, carry=bool(carry)), schema)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skymesh.llm.frames import small_batches, texts, written
+from skymesh.llm.frames import filtered_in_place, texts, written
 from skymesh.llm.kernel import BYTE_CODE, LOWER, powers, prefix, slices, text_bytes, _BASE
 
 GRAMS = (4, 5, 6, 7)
@@ -149,7 +149,9 @@ def learn(docs: DataFrame, labels: DataFrame, toxic: int = 2000, other: int = 40
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     usable = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)").filter(crc % 3 != 1).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = [usable.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id", F.lit(41)), "doc_id").limit(n) for y, n in ((1, toxic), (0, other))]
-    sample = texts(docs).join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").filter("length(text) > 0").dropDuplicates(["text"])
+    sample = texts(docs).join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").filter("length(text) > 0")
+    # equal texts are one example, toxic if any of them is, whichever rows come first
+    sample = sample.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
     sample = written(sample, "toxic-sample")  # at most toxic + other rows
     count = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not count:
@@ -228,16 +230,9 @@ def _scored(batches, model: Model | None, least: float, show: int):
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(score), pa.array((score >= least).astype(np.int32)), pa.array(why, kind)], ["doc_id", "score", "predicted", "evidence"])
 
 
-def _acceptable(batches, model: Model | None, least: float):
-    for batch in batches:
-        plain = pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("text").cast(pa.string())], ["doc_id", "text"])
-        keep = [x < least for out in _scored([plain], model, least, 0) for x in out.column("score").to_pylist()]
-        yield batch.filter(pa.array(keep, pa.bool_()))
-
-
 def acceptable(docs: DataFrame, model: Model | None, least: float = 0.7) -> DataFrame:
     """The rows of ``docs`` with a score under ``least``, filtered in place."""
-    return small_batches(docs).mapInArrow(partial(_acceptable, model=model, least=least), docs.schema)
+    return filtered_in_place(docs, partial(_scored, model=model, least=least, show=0), "predicted")
 
 
 def score(docs: DataFrame, model: Model | None, least: float = 0.7, show: int = 3) -> DataFrame:
