@@ -18,7 +18,7 @@ ORACLE_SQL = None
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``docs`` but for those with one of ``ids`` (doc_id)."""
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,13 +33,13 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     other = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    out = suffix.remove_repeats(docs, text=True, carry=tuple(other)).withColumnRenamed("kept_text", "text")
-    return out.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    out = suffix.remove_repeats(docs, text=True, carry=tuple(other))
+    new = {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": F.length("kept_text")}
+    return out.select(*(new.get(f.name, F.col(f"carried.`{f.name}`")).cast(f.dataType).alias(f.name) for f in docs.schema))
 
 
 def not_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return without(docs, found.filter("contaminated"))
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
