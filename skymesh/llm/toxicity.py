@@ -142,10 +142,10 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.features(near, cosine, strength) @ self.fit, -30, 30))))
 
 
-def learn(docs: DataFrame, labels: DataFrame, toxic: int = 2000, other: int = 4000, most_terms: int = 4096, least_chi2: float = 40.0, least_share: float = 0.8, k: int = 15) -> Model | None:
+def learn(docs: DataFrame, labels: DataFrame, toxic: int = 2000, other: int = 4000, least_chi2: float = 40.0, least_share: float = 0.8, k: int = 15) -> Model | None:
     """The model from a sample of at most ``toxic`` and ``other`` labelled documents.  A term is selected
     if its chi-square is at least ``least_chi2`` and ``least_share`` of its documents are toxic, where
-    both labels count alike."""
+    both labels count alike: as many as pass, which the sample's size bounds."""
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     usable = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)").filter(crc % 3 != 1).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = [usable.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id", F.lit(41)), "doc_id").limit(n) for y, n in ((1, toxic), (0, other))]
@@ -161,7 +161,7 @@ def learn(docs: DataFrame, labels: DataFrame, toxic: int = 2000, other: int = 40
     seen = sample.select("text", "toxic").mapInArrow(_frequencies, "term bigint, n bigint, p bigint").groupBy("term").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
     n, p, e = F.col("n"), F.col("p"), F.col("n") * F.lit(rate)
     chi2 = F.pow(p - e, F.lit(2)) / (e * F.lit(max(1e-9, 1 - rate)) * F.greatest(F.lit(1e-9), (1 - n / F.lit(rows + 1.0))))
-    picked = seen.filter((n >= 4) & (p * F.lit(1 - rate) >= least_share * (p * F.lit(1 - rate) + (n - p) * F.lit(rate)))).withColumn("chi2", chi2).filter(F.col("chi2") >= least_chi2).orderBy(F.desc("chi2"), "term").limit(most_terms).collect()
+    picked = seen.filter((n >= 4) & (p * F.lit(1 - rate) >= least_share * (p * F.lit(1 - rate) + (n - p) * F.lit(rate)))).withColumn("chi2", chi2).filter(F.col("chi2") >= least_chi2).collect()
     picked.sort(key=lambda r: r.term)
     term = np.array([r.term for r in picked], np.int64)
     idf = np.log(rows / np.array([r.n for r in picked], float)) + 1
