@@ -12,15 +12,15 @@ from math import factorial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NODES = "tree int, node int, value double, cover double, feature int, threshold double, left int, right int"
 
 
-def node_table(model, path: str) -> DataFrame:
+def node_table(model, path: str, spark: SparkSession | None = None) -> DataFrame:
     """The nodes of a fitted forest, saved to ``path`` and read as a table."""
-    spark = SparkSession.getActiveSession()
+    spark = spark or SparkSession.getActiveSession()  # a thread of its own has no active session
     model.write().overwrite().save(path)
     n = F.col("nodeData")
     return spark.read.parquet(f"{path}/data").select(
@@ -35,43 +35,63 @@ def node_table(model, path: str) -> DataFrame:
     )
 
 
-def leaf_paths(nodes: DataFrame, max_depth: int = 30) -> DataFrame:
-    """One row for each leaf: its ordinal in the tree (left first) and, for each step of its path, the
-    parent's feature and the change of value."""
-    nodes = nodes.cache()
-    roots = nodes.join(nodes.select("tree", F.explode(F.array("left", "right")).alias("node")).filter("node >= 0"), ["tree", "node"], "left_anti")
-    steps = F.array().cast("array<struct<feature:int,delta:double>>")
-    level = roots.select("tree", "node", "value", "feature", "left", "right", F.lit("").alias("code"), steps.alias("steps"), F.col("value").alias("bias"))
-    done = level.filter("feature < 0")
-    child = nodes.select("tree", F.col("node").alias("c_node"), F.col("value").alias("c_value"), F.col("feature").alias("c_feature"), F.col("left").alias("c_left"), F.col("right").alias("c_right"))
-    for _ in range(max_depth):
-        inner = level.filter("feature >= 0").select("*", F.explode(F.array(F.struct(F.col("left").alias("c_node"), F.lit("0").alias("side")), F.struct(F.col("right").alias("c_node"), F.lit("1").alias("side")))).alias("go")).select("tree", "value", "feature", "code", "steps", "bias", "go.*")
-        step = F.struct("feature", (F.col("c_value") - F.col("value")).alias("delta"))
-        level = inner.join(child, ["tree", "c_node"]).select("tree", F.col("c_node").alias("node"), F.col("c_value").alias("value"), F.col("c_feature").alias("feature"), F.col("c_left").alias("left"), F.col("c_right").alias("right"), F.concat("code", "side").alias("code"), F.concat("steps", F.array(step)).alias("steps"), "bias")
-        done = done.unionByName(level.filter("feature < 0"))
-        level = level.filter("feature >= 0")
-        if level.isEmpty():
-            break
-    order = Window.partitionBy("tree").orderBy("code")  # the leaves of one tree
-    return done.select("tree", (F.row_number().over(order) - 1).alias("leaf"), "bias", "value", "steps")
-
-
-def leaf_contributions(paths: DataFrame) -> DataFrame:
-    """(tree, leaf, feature, delta): path differences summed by the parent's feature, once for each leaf."""
-    return paths.select("tree", "leaf", F.explode("steps").alias("s")).groupBy("tree", "leaf", F.col("s.feature").alias("feature")).agg(F.sum("s.delta").alias("delta"))
-
-
-def interpret(reached: DataFrame, paths: DataFrame, keys: Sequence[str], features: int) -> tuple[DataFrame, DataFrame]:
-    """Of rows that reach leaves (keys, tree, leaf): (keys, predict, bias) and the long table (keys,
-    feature, contribution), 0 for features that no path uses; averages over the trees."""
-    trees = F.count(F.lit(1))
-    whole = reached.join(paths.select("tree", "leaf", "bias", "value"), ["tree", "leaf"]).groupBy(*keys).agg(F.avg("value").alias("predict"), F.avg("bias").alias("bias"), trees.alias("trees"))
-    # one dense array for each leaf: the join then gives one row for each row and tree, not one for each step
-    table = leaf_contributions(paths).groupBy("tree", "leaf").agg(*(F.coalesce(F.sum(F.when(F.col("feature") == i, F.col("delta"))), F.lit(0.0)).alias(f"d{i}") for i in range(features)))
-    table = paths.select("tree", "leaf").join(table, ["tree", "leaf"], "left").fillna(0.0)
-    part = reached.join(table, ["tree", "leaf"]).groupBy(*keys).agg(*(F.avg(f"d{i}").alias(f"d{i}") for i in range(features)))
-    long = part.select(*keys, F.posexplode(F.array(*(f"d{i}" for i in range(features)))).alias("feature", "contribution"))
-    return whole.drop("trees"), long
+LEAVES = "tree int, leaf int, bias double, value double, contributions array<double>"
+
+
+def _leaves_of_tree(pdf: pd.DataFrame, features: int) -> pd.DataFrame:
+    """The leaves of one tree, left first: the parts of their path's changes of value by the parent's feature."""
+    pdf = pdf.sort_values("node")
+    node, value = pdf["node"].to_numpy(), pdf["value"].to_numpy(float)
+    inner = pdf["feature"].to_numpy() >= 0
+    at = lambda c: np.where(inner, np.searchsorted(node, pdf[c].to_numpy()), -1)
+    left, right, feature = at("left"), at("right"), pdf["feature"].to_numpy()
+    below = np.ones(len(node), bool)
+    below[left[inner]] = below[right[inner]] = False
+    root = int(np.flatnonzero(below)[0])
+    parts = np.zeros((len(node), features))
+    levels, level = [], np.array([root])
+    while len(level):
+        levels.append(level)
+        own = level[inner[level]]
+        for child in (left[own], right[own]):
+            parts[child] = parts[own]
+            parts[child, feature[own]] += value[child] - value[own]
+        level = np.concatenate([left[own], right[own]])
+    # how many leaves stand below each node, bottom up; then each leaf's ordinal, top down
+    many = (~inner).astype(np.int64)
+    for level in reversed(levels):
+        own = level[inner[level]]
+        many[own] = many[left[own]] + many[right[own]]
+    first = np.zeros(len(node), np.int64)
+    for level in levels:
+        own = level[inner[level]]
+        first[left[own]], first[right[own]] = first[own], first[own] + many[left[own]]
+    leaf = np.flatnonzero(~inner)
+    leaf = leaf[np.argsort(first[leaf])]
+    return pd.DataFrame({"tree": int(pdf["tree"].iloc[0]), "leaf": first[leaf], "bias": value[root], "value": value[leaf], "contributions": list(parts[leaf])})
+
+
+def leaf_paths(nodes: DataFrame, features: int) -> DataFrame:
+    """One row for each leaf: its ordinal in the tree (left first), the tree's bias, its value, and of each feature
+    the change of value along the path.  A tree is one group, whose size the training parameters bound."""
+
+    def leaves(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _leaves_of_tree(pdf, features)
+
+    return nodes.groupBy("tree").applyInPandas(leaves, LEAVES)
+
+
+def interpret(reached: DataFrame, paths: DataFrame, keys: Sequence[str], features: int) -> DataFrame:
+    """Of rows that reach leaves (keys, tree, leaf): (keys, predict, bias, contributions), an array with 0 for features
+    that no path uses; averages over the trees.  One join with the leaves and one aggregation."""
+    flat = paths.select("tree", "leaf", "bias", "value", *(F.col("contributions")[i].alias(f"d{i}") for i in range(features)))
+    met = reached.join(flat, ["tree", "leaf"]).groupBy(*keys).agg(F.avg("value").alias("predict"), F.avg("bias").alias("bias"), *(F.avg(f"d{i}").alias(f"d{i}") for i in range(features)))
+    return met.select(*keys, "predict", "bias", F.array(*(f"d{i}" for i in range(features))).alias("contributions"))
+
+
+def long_contributions(interpreted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, predict, bias, feature, contribution): a row for each feature."""
+    return interpreted.select(*keys, "predict", "bias", F.posexplode("contributions").alias("feature", "contribution"))
 
 
 def reach_by_rules(df: DataFrame, nodes: DataFrame, features: Sequence[str], keys: Sequence[str]) -> DataFrame:
@@ -103,21 +123,6 @@ def _root(tree: dict) -> int:
     return (set(tree) - {c for r in tree.values() for c in (r.left, r.right)}).pop()
 
 
-def leaf_ordinals(nodes: DataFrame) -> DataFrame:
-    rows = []
-
-    def visit(k, tree, node, n):
-        r = tree[node]
-        if r.feature < 0:
-            rows.append((k, node, n))
-            return n + 1
-        return visit(k, tree, r.right, visit(k, tree, r.left, n))
-
-    for k, tree in _walk(nodes).items():
-        visit(k, tree, _root(tree), 0)
-    return nodes.sparkSession.createDataFrame(rows, "tree int, node int, leaf int")
-
-
 def _leaf_boxes(tree: dict) -> list[tuple[float, list[tuple[int, float, float, float]]]]:
     """Of each leaf: its value and, for each feature of its path, the interval (low, high] that leads to
     it and the share of cover that goes its way."""

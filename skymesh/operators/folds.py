@@ -17,10 +17,6 @@ def year_sides(df: DataFrame, year: str = "year") -> DataFrame:
     return pairs.groupBy("fold", "side").agg(F.sum("n").alias("n_rows"), F.array_join(F.sort_array(F.collect_set(F.col(year).cast("string"))), ",").alias("years"))
 
 
-def split_year(df: DataFrame, held: int, year: str = "year") -> tuple[DataFrame, DataFrame]:
-    return df.filter(F.col(year) != held), df.filter(F.col(year) == held)
-
-
 def block_folds(df: DataFrame, k: int, order: Sequence[str], bins: Sequence[str]) -> DataFrame:
     """Contiguous folds in stack order; the first ``n % k`` folds are one larger.
 

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressionModel, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skymesh.functions.columns import all_finite
@@ -45,10 +47,22 @@ def prepare(df: DataFrame, features: Sequence[str], target: str = "target") -> t
     return (None, empty) if not used or out.isEmpty() else (assemble(out, used), empty)
 
 
-def by_year(df: DataFrame, years: Sequence[int], year: str = "year", **params):
-    """(year, model, predictions) with each year held out once; the vectors are made once."""
-    for y in years:
-        model = estimator(**params).fit(df.filter(F.col(year) != y))
+def leaf_cap(rows: int, leaves: int) -> dict:
+    """The parameter that keeps a tree under ``leaves`` leaves: each must hold its part of the rows (and a little more, as
+    a bootstrap sample can be larger than the table)."""
+    return {"minInstancesPerNode": max(1, math.ceil((rows + 6 * math.sqrt(rows)) / leaves))}
+
+
+def side_by_side(spark: SparkSession, jobs: Sequence[Callable], at_once: int = 4) -> Iterator:
+    """What the jobs give, in their order, ``at_once`` of them running at a time."""
+    with ThreadPoolExecutor(at_once) as pool:
+        yield from pool.map(lambda job: job(), [inheritable_thread_target(spark)(job) for job in jobs])
+
+
+def by_year(df: DataFrame, years: Sequence[int], year: str = "year", at_once: int = 4, **params):
+    """(year, model, predictions) with each year held out once; the vectors are made once, folds are fitted side by side."""
+    fit = lambda y: lambda: estimator(**params).fit(df.filter(F.col(year) != y))
+    for y, model in zip(years, side_by_side(df.sparkSession, [fit(y) for y in years], at_once), strict=True):
         yield y, model, model.transform(df.filter(F.col(year) == y)).withColumn("fold", F.lit(y))
 
 
@@ -75,30 +89,24 @@ def model_importance(model: RandomForestRegressionModel, spark, features: Sequen
 def permutation_importance(df: DataFrame, model, features: Sequence[str], keys: Sequence[str], repeats: int = 5, seed: int = 1) -> DataFrame:
     """Mean and deviation of the drop of R2 when a feature's values are permuted.
 
-    Rows are numbered once in the order of their keys' hash; a repeat's permutation moves number i to
-    i + shift (mod n) of another hashed order.  All features of a repeat share it: one join for each."""
+    Rows are numbered once, in the order of their keys' hash: a random order, so that moving every row on by the same
+    number of places is a random pairing.  Each repeat has its own number; all repeats and features share one join."""
     own = df.select(*keys, "target", *features)
     n = own.count()
-    # numbers by hashed bins, so that no window takes all rows
-    def numbered(salt: int) -> DataFrame:
-        h = F.xxhash64(*keys, F.lit(salt))
-        binned = own.withColumn("__h", h).withColumn("__b", F.pmod(h, F.lit(max(1, n // 20_000))))
-        sizes = binned.groupBy("__b").agg(F.count(F.lit(1)).alias("__c"))
-        before = sizes.select("__b", (F.sum("__c").over(Window.orderBy("__b")) - F.col("__c")).alias("__s"))
-        at = F.row_number().over(Window.partitionBy("__b").orderBy("__h", *keys)) - 1 + F.col("__s")
-        return binned.join(F.broadcast(before), "__b").withColumn("at", at)
-
-    base = numbered(0).select("at", "target", *features)
-    parts = []
-    for r in range(repeats):
-        moved = numbered(seed * 1000 + r + 1).select("at", *(F.col(f).alias(f"__{f}") for f in features))
-        both = base.join(moved, "at")
-        rows = F.array(*(F.struct(F.lit(g).alias("permuted"), *((F.col(f"__{f}") if f == g else F.col(f)).alias(f) for f in features)) for g in ["", *features]))
-        parts.append(both.select("target", F.explode(rows).alias("x")).select("target", "x.*").withColumn("rep", F.lit(r)))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    scored = model.transform(assemble(every, features))
+    # numbers by hashed bins, so that no window takes all rows; at most 10,000 bins, so their offsets stay small
+    binned = own.withColumn("__h", F.xxhash64(*keys, F.lit(seed))).withColumn("__b", F.pmod("__h", F.lit(min(10_000, max(1, n // 20_000)))))
+    sizes = binned.groupBy("__b").agg(F.count(F.lit(1)).alias("__c"))
+    before = sizes.select("__b", (F.sum("__c").over(Window.orderBy("__b")) - F.col("__c")).alias("__s"))
+    at = F.row_number().over(Window.partitionBy("__b").orderBy("__h", *keys)) - 1 + F.col("__s")
+    base = binned.join(F.broadcast(before), "__b").select(at.alias("at"), "target", *features)
+
+    rng = np.random.default_rng(seed)
+    steps = F.array(*(F.struct(F.lit(r).alias("rep"), F.lit(int(x)).alias("by")) for r, x in enumerate(rng.integers(1, max(2, n), repeats))))
+    moved = base.select("at", *(F.col(f).alias(f"__{f}") for f in features)).withColumn("x", F.explode(steps))
+    moved = moved.select(((F.col("at") + F.col("x.by")) % n).alias("at"), "x.rep", *(f"__{f}" for f in features))
+    both = base.join(moved, "at")
+    rows = F.array(*(F.struct(F.lit(g).alias("permuted"), *((F.col(f"__{f}") if f == g else F.col(f)).alias(f) for f in features)) for g in ["", *features]))
+    scored = model.transform(assemble(both.select("rep", "target", F.explode(rows).alias("x")).select("rep", "target", "x.*"), features))
     e = (F.col("target") - F.col("predict")) ** 2
     r2 = scored.groupBy("rep", "permuted").agg((1 - F.sum(e) / (F.var_pop("target") * F.count(F.lit(1)))).alias("r2"))
     plain = r2.filter("permuted = ''").select("rep", F.col("r2").alias("plain"))

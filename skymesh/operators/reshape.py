@@ -55,9 +55,12 @@ def concat(*parts: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def to_explanation(bias: DataFrame, contributions: DataFrame, data: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One long table (keys, feature, shap_value, feature_value, base_value)."""
-    return contributions.join(data, [*keys, "feature"]).join(bias, list(keys)).select(*keys, "feature", "shap_value", "feature_value", F.col("bias").alias("base_value"))
+def to_explanation(interpreted: DataFrame, data: DataFrame, features: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Contributions (keys, bias, contributions) and the data they explain as one long table (keys, feature, shap_value,
+    feature_value, base_value); the bias is the base."""
+    met = interpreted.select(*keys, "bias", "contributions").join(data.select(*keys, *features), list(keys))
+    rows = F.array(*(F.struct(F.lit(f).alias("feature"), F.col("contributions")[i].alias("shap_value"), F.col(f).cast("double").alias("feature_value"), F.col("bias").alias("base_value")) for i, f in enumerate(features)))
+    return met.select(*keys, F.explode(rows).alias("x")).select(*keys, "x.*")
 
 
 def explanation_wide(explanation: DataFrame, features: Sequence[str], keys: Sequence[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skymesh.functions.columns import formula, matching
+from skymesh.functions.columns import column_of, formula, matching
 
 #: latitude and longitude bounds of the named regions (fixed values)
 REGIONS = {
@@ -23,7 +23,7 @@ def select_vars(df: DataFrame, wanted: Sequence[str] | str, target: str | None =
     """Key columns and the wanted variables (exact names or patterns); what the target needs stays."""
     names = [c for w in ([wanted] if isinstance(wanted, str) else wanted) for c in matching(df, w)]
     if target:
-        names += [target] if target in df.columns else formula(target)[1]
+        names += [column_of(target, df.columns)] if column_of(target, df.columns) in df.columns else formula(target, df.columns)[1]
     keep = [c for c in df.columns if c in keys or c in names]
     return df.select(*(f"`{c}`" for c in keep))
 
@@ -85,14 +85,14 @@ def point_series(df: DataFrame, lat: float, lon: float, variable: str) -> DataFr
 
 def with_target(df: DataFrame, target: str, features: Sequence[str] | None = None) -> DataFrame:
     """``target`` is a column, or a formula whose inputs are then dropped from the features."""
-    if target in df.columns:
-        return df.withColumnRenamed(target, "target")
-    value, names = formula(target)
+    if column_of(target, df.columns) in df.columns:
+        return df.withColumnRenamed(column_of(target, df.columns), "target")
+    value, names = formula(target, df.columns)
     return df.withColumn("target", value).drop(*names)
 
 
 def with_calculated(df: DataFrame, formulas: Mapping[str, str]) -> DataFrame:
     """New columns by formulas, in order: a later one may use an earlier one."""
     for name, text in formulas.items():
-        df = df.withColumn(name, formula(text)[0])
+        df = df.withColumn(name, formula(text, df.columns)[0])
     return df

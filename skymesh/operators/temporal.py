@@ -43,15 +43,18 @@ def daily(df: DataFrame, rule: int | Sequence[int], variables: Sequence[str], lo
     return own if isinstance(rule, int) else own.groupBy(*keys, "day").agg(*(F.avg(v).alias(v) for v in variables))
 
 
-def daily_sections(df: DataFrame, sections: Sequence[Mapping], keys: Sequence[str] = ("lat", "lon")) -> DataFrame:
+def daily_sections(df: DataFrame, sections: Sequence[Mapping], keys: Sequence[str] = ("lat", "lon"), static: Sequence[str] = ()) -> DataFrame:
     """Several daily rules for different variables, in one pass: each section has ``vars`` (names or a
-    pattern), ``time`` (an hour or two) and ``local``.  Names that aren't there are skipped."""
+    pattern), ``time`` (an hour or two) and ``local``.  Names that aren't there are skipped.  ``static`` variables
+    have no time: each day of a cell has their value."""
     own, values = _clocks(df), {}
     for s in sections:
         for v in (c for k in ([s["vars"]] if isinstance(s["vars"], str) else s["vars"]) for c in matching(df, k)):
-            value = F.when(in_hours(s["time"], s.get("local", False)), F.col(v))
+            if v in keys or v in static or v in ("time", "__utc", "__local"):
+                continue
+            value = F.when(in_hours(s["time"], s.get("local", False)), F.col(f"`{v}`"))
             values[v] = (F.max if isinstance(s["time"], int) else F.avg)(value).alias(v)
-    return own.groupBy(*keys, F.to_date("time").alias("day")).agg(*values.values())
+    return own.groupBy(*keys, F.to_date("time").alias("day")).agg(*values.values(), *(F.first(v, ignorenulls=True).alias(v) for v in static))
 
 
 def resample(df: DataFrame, days: int, how: str, variables: Sequence[str], time: str = "time", keys: Sequence[str] = ("lat", "lon")) -> DataFrame:
@@ -59,17 +62,38 @@ def resample(df: DataFrame, days: int, how: str, variables: Sequence[str], time:
     first = df.agg(F.min(F.to_date(time)).alias("__first"), F.max(F.to_date(time)).alias("__last"))
     step = F.floor(F.datediff(F.to_date(time), F.col("__first")) / days)
     binned = df.crossJoin(F.broadcast(first)).select(*keys, F.date_add("__first", (step * days).cast("int")).alias("bin"), *variables)
-    got = binned.groupBy(*keys, "bin").agg(*(REDUCERS[how](v).alias(v) for v in variables))
     bins = first.select(F.explode(F.sequence("__first", "__last", F.expr(f"interval {days} days"))).alias("bin"))
+    return _in_bins(df, binned, bins, how, variables, keys)
+
+
+def _in_bins(df: DataFrame, binned: DataFrame, bins: DataFrame, how: str, variables: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """One value for each cell and bin; bins without samples are null, or 0 for sums and counts."""
+    got = binned.groupBy(*keys, "bin").agg(*(REDUCERS[how](v).alias(v) for v in variables))
     out = df.select(*keys).distinct().crossJoin(F.broadcast(bins)).join(got, [*keys, "bin"], "left")
     return out.fillna(0, subset=list(variables)) if how in ("sum", "count") else out
 
 
+def resample_hours(df: DataFrame, hours: int, how: str, variables: Sequence[str], time: str = "time", keys: Sequence[str] = ("lat", "lon")) -> DataFrame:
+    """Bins of ``hours`` from midnight of the first sample of the cube to the last sample; each cell has all bins."""
+    seconds = lambda c: F.unix_timestamp(c.cast("timestamp"))  # noqa: E731  both sides in the session's zone
+    midnight = F.date_trunc("day", F.col("__a")).cast("timestamp_ntz")
+    ends = df.agg(F.min(time).cast("timestamp_ntz").alias("__a"), F.max(time).cast("timestamp_ntz").alias("__b")).select(midnight.alias("__first"), "__b")
+    step = F.floor((seconds(F.col(time)) - seconds(F.col("__first"))) / (hours * 3600)) * hours
+    at = lambda h: F.col("__first") + F.make_dt_interval(F.lit(0), h.cast("int"))
+    binned = df.crossJoin(F.broadcast(ends)).select(*keys, at(step).alias("bin"), *variables)
+    n = F.floor((seconds(F.col("__b")) - seconds(F.col("__first"))) / (hours * 3600))
+    bins = ends.select("__first", F.explode(F.sequence(F.lit(0).cast("bigint"), n)).alias("__k")).select(at(F.col("__k") * hours).alias("bin"))
+    return _in_bins(df, binned, bins, how, variables, keys)
+
+
 def resample_calendar(df: DataFrame, unit: str, how: str, variables: Sequence[str], time: str = "time", keys: Sequence[str] = ("lat", "lon")) -> DataFrame:
-    """Calendar months (labelled by their last day) or weeks (by their Sunday) that have samples."""
-    start = F.date_trunc(unit, F.col(time)).cast("date")
-    label = F.last_day(start) if unit == "month" else F.date_add(start, 6)
-    return df.groupBy(*keys, label.alias("bin")).agg(*(REDUCERS[how](v).alias(v) for v in variables))
+    """Calendar months (labelled by their last day) or weeks (by their Sunday); each cell has all of them from the
+    cube's first to its last."""
+    start = lambda c: F.date_trunc(unit, c).cast("date")
+    label = lambda c: F.last_day(c) if unit == "month" else F.date_add(c, 6)
+    ends = df.agg(start(F.min(time)).alias("a"), start(F.max(time)).alias("b"))
+    bins = ends.select(F.explode(F.sequence("a", "b", F.expr(f"interval 1 {unit}"))).alias("s")).select(label(F.col("s")).alias("bin"))
+    return _in_bins(df, df.select(*keys, label(start(F.col(time))).alias("bin"), *variables), bins, how, variables, keys)
 
 
 def without_short_end(df: DataFrame, source: DataFrame, days: int, time: str = "time") -> DataFrame:
@@ -80,12 +104,13 @@ def without_short_end(df: DataFrame, source: DataFrame, days: int, time: str = "
 
 def max_daily_mean(df: DataFrame, hours: int = 8, value: str = "value", keys: Sequence[str] = ("site",), inclusive: bool = False) -> DataFrame:
     """Daily maximum of forward means over ``hours``, inside the day.  The first window's number of samples
-    is what all need; the first window with another number ends the day."""
+    is what all need; the first window with another number ends the day.  Samples without a value count as samples,
+    and means are of those that have one."""
     span = f"{hours:02d}:00:00" if inclusive else f"{hours - 1:02d}:59:59.999999"
     own = df.withColumn("day", F.to_date("ts"))
     names, by = ", ".join(keys), ", ".join([*keys, "day"])
     frame = f"(partition by {by} order by ts range between current row and interval '{span}' hour to second following)"
-    moving = own.selectExpr(*keys, "day", "ts", f"avg({value}) over {frame} as m", f"count({value}) over {frame} as n")
+    moving = own.selectExpr(*keys, "day", "ts", f"avg({value}) over {frame} as m", f"count(*) over {frame} as n")
     order = Window.partitionBy(*keys, "day").orderBy("ts")
     need = F.first("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     stopped = F.max((F.col("n") != F.col("need")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))

@@ -9,7 +9,8 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skymesh.functions import columns as fn
@@ -422,19 +423,31 @@ def reached(spark, sf_dir):
     return attribution.reach_by_rules(ml_rows(spark, sf_dir), tiny_forest(spark), TREE, ROW_KEY)
 
 
+def interpreted(spark, sf_dir):
+    return attribution.interpret(reached(spark, sf_dir), attribution.leaf_paths(tiny_forest(spark), 2), ROW_KEY, 2)
+
+
+def off_balance(got: DataFrame, by: tuple = ()) -> DataFrame:
+    """Rows, and those whose prediction isn't bias plus contributions."""
+    total = F.aggregate("contributions", F.lit(0.0), lambda a, x: a + x)
+    off = F.abs(F.col("predict") - F.col("bias") - total) > 1e-9 * F.greatest(F.lit(1.0), F.abs("predict"))
+    return got.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(off.cast("bigint")), F.lit(0)).alias("violations"))
+
+
 @query(f"with {ML}, t as (select *, {_T0} t0, {_T1} t1, {_C0} c0, {_C1} c1 from ml) select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, round((t0 + t1) / 2, 6) predict, cast(49 as double) bias, round((c0 + (t1 - 48 - c1)) / 2, 6) contrib_quantity, round(((t0 - 50 - c0) + c1) / 2, 6) contrib_discount from t")
 def ti_literal_forest(spark, sf_dir):
-    whole, long = attribution.interpret(reached(spark, sf_dir), attribution.leaf_paths(tiny_forest(spark)), ROW_KEY, 2)
-    wide = long.groupBy(*ROW_KEY).pivot("feature", [0, 1]).agg(F.first("contribution")).withColumnsRenamed({"0": "contrib_quantity", "1": "contrib_discount"})
-    return rounded(whole.join(wide, ROW_KEY))
+    got = interpreted(spark, sf_dir)
+    return rounded(got.select(*ROW_KEY, "predict", "bias", F.col("contributions")[0].alias("contrib_quantity"), F.col("contributions")[1].alias("contrib_discount")))
 
 
 @query("select count(*) n, cast(0 as bigint) violations from lineitem join part on l_partkey = p_partkey")
 def ti_additivity(spark, sf_dir):
-    whole, long = attribution.interpret(reached(spark, sf_dir), attribution.leaf_paths(tiny_forest(spark)), ROW_KEY, 2)
-    total = long.groupBy(*ROW_KEY).agg(F.sum("contribution").alias("total"))
-    off = F.abs(F.col("predict") - F.col("bias") - F.col("total")) > 1e-9
-    return whole.join(total, ROW_KEY).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(off.cast("bigint")), F.lit(0)).alias("violations"))
+    return off_balance(interpreted(spark, sf_dir))
+
+
+@query(f"with {ML}, t as (select *, {_C0} c0, {_T0} t0, {_C1} c1, {_T1} t1 from ml) select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, 'l_quantity' feature, round((c0 + (t1 - 48 - c1)) / 2, 6) shap_value, l_quantity feature_value, cast(49 as double) base_value from t union all select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, 'l_discount', round(((t0 - 50 - c0) + c1) / 2, 6), l_discount, 49 from t")
+def contributions_to_explanation(spark, sf_dir):
+    return rounded(reshape.to_explanation(interpreted(spark, sf_dir), ml_rows(spark, sf_dir), TREE, ROW_KEY))
 
 
 _LEAF0 = "case when l_quantity <= 25 then 0 when l_discount <= 0.05 then 1 else 2 end"
@@ -546,20 +559,39 @@ FOREST = {"numTrees": 10, "maxDepth": 5}
 YEARS = range(1995, 2002)
 
 
-def by_fold(spark, parts) -> DataFrame:
-    """The (year, rows) of ``parts``, each written once it is made, so that no plan holds all folds."""
-    paths = []
-    for year, df in parts:
-        paths.append(shared(spark, "fold"))
-        df.withColumn("fold", F.lit(year)).write.parquet(paths[-1])
-    return spark.read.parquet(*paths)
+def by_fold(spark, jobs) -> DataFrame:
+    """The rows that each job gives for its year (year, job), each written once, a few at a time, so that no plan holds all
+    folds."""
+    def stored(year, job):
+        def run():
+            path = shared(spark, "fold")
+            job().withColumn("fold", F.lit(year)).write.parquet(path)
+            return path
+
+        return run
+
+    return spark.read.parquet(*forest.side_by_side(spark, [stored(y, j) for y, j in jobs], 3))
+
+
+def folds_of_models(spark, sf_dir, give, **params) -> DataFrame:
+    """What ``give(rows, year, model)`` gives for each held-out year, over one cached table of vectors."""
+    rows = training(spark, sf_dir).cache()
+    out = by_fold(spark, [(y, lambda y=y, m=m: give(rows, y, m)) for y, m, _ in forest.by_year(rows, YEARS, **params)])
+    rows.unpersist()
+    return out
+
+
+def held(rows: DataFrame, year: int) -> DataFrame:
+    return rows.filter(F.col("year") == year)
+
+
+def fold_scores(spark, sf_dir, **params) -> DataFrame:
+    return folds_of_models(spark, sf_dir, lambda rows, y, m: stats.scores(m.transform(held(rows, y))), **params)
 
 
 @query()
 def rf_fold_scores(spark, sf_dir):
-    rows = training(spark, sf_dir).cache()
-    parts = [stats.scores(p, by=["fold"]) for _, _, p in forest.by_year(rows, YEARS, **FOREST)]
-    return reshape.concat(*parts)
+    return fold_scores(spark, sf_dir, **FOREST)
 
 
 @query()
@@ -568,45 +600,349 @@ def rf_importance(spark, sf_dir):
     return report.importance_bars(forest.model_importance(model, spark, FEATURES))
 
 
-@query()
-def rf_attribution(spark, sf_dir):
-    rows = training(spark, sf_dir).cache()
+def attributed(spark, rows, model, keys) -> DataFrame:
+    paths = attribution.leaf_paths(attribution.node_table(model, shared(spark, "forest"), spark), len(FEATURES))
+    return attribution.interpret(forest.leaves(model, rows, keys), paths, keys, len(FEATURES))
 
-    def parts():
-        for year, model, _ in forest.by_year(rows, YEARS, **FOREST):
-            paths = attribution.leaf_paths(attribution.node_table(model, shared(spark, "forest")))
-            got = forest.leaves(model, rows.filter(F.col("year") == year), ROW_KEY)
-            whole, long = attribution.interpret(got, paths, ROW_KEY, len(FEATURES))
-            yield year, whole.join(long, ROW_KEY)
 
-    return by_fold(spark, parts())
+@query()
+def rf_attribution(spark, sf_dir):
+    return folds_of_models(spark, sf_dir, lambda rows, y, m: attribution.long_contributions(attributed(spark, held(rows, y), m, ROW_KEY), ROW_KEY), **FOREST)
 
 
 @query()
 def rf_quantiles(spark, sf_dir):
-    rows = training(spark, sf_dir).cache()
-
-    def parts():
-        for year, model, _ in forest.by_year(rows, YEARS, numTrees=5, maxDepth=5, minInstancesPerNode=20):
-            samples = forest.leaves(model, rows.filter(F.col("year") != year), ["target"])
-            reached = forest.leaves(model, rows.filter(F.col("year") == year), ROW_KEY)
-            yield year, forest.quantiles(samples, reached, ROW_KEY, forest.interval_quantiles([90, 0]))
+    def give(rows, year, model):
+        samples = forest.leaves(model, rows.filter(F.col("year") != year), ["target"])
+        return forest.quantiles(samples, forest.leaves(model, held(rows, year), ROW_KEY), ROW_KEY, forest.interval_quantiles([90, 0]))
 
-    return by_fold(spark, parts())
+    return folds_of_models(spark, sf_dir, give, numTrees=5, maxDepth=5, minInstancesPerNode=20)
 
 
 @query()
 def perm_importance(spark, sf_dir):
+    return folds_of_models(spark, sf_dir, lambda rows, y, m: forest.permutation_importance(held(rows, y), m, FEATURES, ROW_KEY, repeats=5), **FOREST)
+
+
+@query()
+def grid_search(spark, sf_dir):
+    rows = training(spark, sf_dir).withColumn("fold", (F.col("year") % 2).cast("int")).cache()
+    out = forest.best_model(rows, {"maxDepth": [3, 5]}, numTrees=5)[1]
+    rows.unpersist()
+    return out
+
+
+# what holds for every trained model, whatever its trees: SQL says which rows there are and what is true of them
+_FOLDS = f"with {ML} select cast(year as integer) fold, count(*) n"
+_HELD = f"from ml where year between {YEARS[0]} and {YEARS[-1]} group by 1"
+
+
+@query(f"{_FOLDS}, true as good {_HELD}")
+def rf_scores_are_good(spark, sf_dir):
+    """Of each held-out year: its rows, all predicted, and whether R2 is over 0.9 and r over 0.95."""
+    return fold_scores(spark, sf_dir, **FOREST).select("fold", "n", ((F.col("r2") > 0.9) & (F.col("r") > 0.95) & (F.col("rmse") > 0)).alias("good"))
+
+
+@query(f"{_FOLDS}, true as good {_HELD}")
+def gbt_scores_are_good(spark, sf_dir):
+    def give(rows, y, _):
+        model = forest.estimator("GradientBoostingRegressor", maxIter=5, maxDepth=4).fit(rows.filter(F.col("year") != y))
+        return stats.scores(model.transform(held(rows, y)))
+
     rows = training(spark, sf_dir).cache()
+    got = by_fold(spark, [(y, lambda y=y: give(rows, y, None)) for y in YEARS])
+    rows.unpersist()
+    return got.select("fold", "n", (F.col("r2") > 0.9).alias("good"))
 
-    def parts():
-        for year, model, _ in forest.by_year(rows, YEARS, **FOREST):
-            yield year, forest.permutation_importance(rows.filter(F.col("year") == year), model, FEATURES, ROW_KEY, repeats=3)
 
-    return by_fold(spark, parts())
+@query(f"{_FOLDS}, cast(0 as bigint) violations {_HELD}")
+def rf_additivity(spark, sf_dir):
+    """Of each held-out year: its rows, and those whose prediction isn't bias plus contributions."""
+    got = folds_of_models(spark, sf_dir, lambda rows, y, m: attributed(spark, held(rows, y), m, ROW_KEY), **FOREST)
+    return off_balance(got, ("fold",))
 
 
-@query()
-def grid_search(spark, sf_dir):
+@query(f"{_FOLDS}, cast(0 as bigint) violations {_HELD}")
+def rf_shap_local_accuracy(spark, sf_dir):
+    """Of each held-out year: its rows, and those whose prediction isn't the base value plus the Shapley values."""
+    def give(rows, y, m):
+        nodes = attribution.node_table(m, shared(spark, "forest"), spark)
+        long = attribution.tree_shap(held(rows, y), nodes, FEATURES, ROW_KEY)
+        total = long.groupBy(*ROW_KEY).agg((F.sum("shap_value") + F.max("base_value")).alias("total"))
+        both = total.join(m.transform(held(rows, y)).select(*ROW_KEY, "predict"), ROW_KEY)
+        off = F.abs(F.col("total") - F.col("predict")) > 1e-9 * F.greatest(F.lit(1.0), F.abs("predict"))
+        return both.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(off.cast("bigint")), F.lit(0)).alias("violations"))
+
+    return folds_of_models(spark, sf_dir, give, numTrees=3, maxDepth=4)
+
+
+@query(f"{_FOLDS}, cast(0 as bigint) crossed, true as covered {_HELD}")
+def rf_interval_coverage(spark, sf_dir):
+    """Of each held-out year: its rows, those with quantiles out of order, and whether 90 % intervals hold 80 % or more."""
+    def give(rows, year, model):
+        samples = forest.leaves(model, rows.filter(F.col("year") != year), ["target"])
+        q = forest.quantiles(samples, forest.leaves(model, held(rows, year), ROW_KEY), ROW_KEY, forest.interval_quantiles([90, 0]))
+        met = q.join(held(rows, year).select(*ROW_KEY, "target"), ROW_KEY)
+        crossed = ((F.col("q_0_05") > F.col("q_0_5")) | (F.col("q_0_5") > F.col("q_0_95"))).cast("bigint")
+        inside = F.avg(F.col("target").between(F.col("q_0_05"), F.col("q_0_95")).cast("double"))
+        return met.agg(F.count(F.lit(1)).alias("n"), F.sum(crossed).alias("crossed"), (inside >= 0.8).alias("covered"))
+
+    return folds_of_models(spark, sf_dir, give, numTrees=5, maxDepth=5, minInstancesPerNode=20)
+
+
+@query(f"{_FOLDS}, 5 as features, 1.0::double as total, 'l_extendedprice' as best {_HELD}")
+def rf_importance_sums(spark, sf_dir):
+    """Of each held-out year: its rows, the number and sum of importances, and the feature with the greatest."""
+    def give(rows, y, m):
+        bars = forest.model_importance(m, spark, FEATURES)
+        facts = bars.agg(F.count(F.lit(1)).cast("int").alias("features"), F.round(F.sum("importance"), 9).alias("total"), F.max_by("feature", "importance").alias("best"))
+        return facts.crossJoin(held(rows, y).agg(F.count(F.lit(1)).alias("n")))
+
+    return folds_of_models(spark, sf_dir, give, **FOREST)
+
+
+@query(f"{_FOLDS}, 5 as features, 'l_extendedprice' as best, true as sound {_HELD}")
+def perm_importance_order(spark, sf_dir):
+    """Of each held-out year: the feature whose permutation costs most, and whether features that the target doesn't
+    depend on cost nothing."""
+    def give(rows, y, m):
+        own = forest.permutation_importance(held(rows, y), m, FEATURES, ROW_KEY, repeats=3)
+        facts = own.agg(F.count(F.lit(1)).cast("int").alias("features"), F.max_by("feature", "importance").alias("best"), (F.max(F.when(F.col("feature").isin("p_size", "l_quantity"), F.col("importance"))) < 0.2).alias("sound"))
+        return facts.crossJoin(held(rows, y).agg(F.count(F.lit(1)).alias("n")))
+
+    return folds_of_models(spark, sf_dir, give, **FOREST)
+
+
+@query("select 2 as tried, 5 as best_depth, true as ordered")
+def grid_search_choice(spark, sf_dir):
+    """The deeper trees have the lesser error over the folds."""
     rows = training(spark, sf_dir).withColumn("fold", (F.col("year") % 2).cast("int")).cache()
-    return forest.best_model(rows, {"maxDepth": [3, 5]}, numTrees=5)[1]
+    model, tried = forest.best_model(rows, {"maxDepth": [2, 5]}, numTrees=5)
+    rows.unpersist()
+    return tried.agg(F.count(F.lit(1)).cast("int").alias("tried"), F.lit(model.getMaxDepth()).alias("best_depth"), (F.min_by("maxDepth", "rmse") == model.getMaxDepth()).alias("ordered"))
+
+
+@query(f"with {ML} select 6 as trees, cast(0 as bigint) over_cap, count(*) n from ml")
+def leaf_capped_forest(spark, sf_dir):
+    """No tree of a forest with a cap of 24 leaves has more of them."""
+    rows = training(spark, sf_dir).cache()
+    n = rows.count()
+    model = forest.estimator(numTrees=6, maxDepth=10, **forest.leaf_cap(n, 24)).fit(rows)
+    nodes = attribution.node_table(model, shared(spark, "forest"), spark)
+    rows.unpersist()
+    per = nodes.groupBy("tree").agg(F.count_if(F.col("feature") < 0).alias("leaves"))
+    return per.agg(F.count(F.lit(1)).cast("int").alias("trees"), F.coalesce(F.sum((F.col("leaves") > 24).cast("bigint")), F.lit(0)).alias("over_cap"), F.lit(n).cast("bigint").alias("n"))
+
+
+@query(f"with {ML} select count(*) n, true as good from ml where year >= 2000 and p_size > 25")
+def external_test_scores(spark, sf_dir):
+    """A model of the years before 1998 on another selection of rows."""
+    rows = training(spark, sf_dir)
+    model = forest.estimator(**FOREST).fit(rows.filter("year < 1998"))
+    return stats.scores(model.transform(rows.filter("year >= 2000 and p_size > 25"))).select("n", (F.col("r2") > 0.9).alias("good"))
+
+
+@query(f"with {ML} select count(*) n, cast(0 as bigint) different from ml where year = 1998")
+def model_round_trip(spark, sf_dir):
+    """A stored model, read back, predicts what it did."""
+    rows = training(spark, sf_dir)
+    model = forest.estimator(numTrees=3, maxDepth=4).fit(rows.filter("year <> 1998"))
+    path = shared(spark, "run")
+    model.write().save(f"{path}/model/run=a/month=all/fold_year=1998")
+    again = tables.load_objects(spark, path, ["model"], run="a", month="all", fold_year=1998)["model"]
+    both = model.transform(held(rows, 1998)).select(*ROW_KEY, "predict").join(again.transform(held(rows, 1998)).select(*ROW_KEY, F.col("predict").alias("p")), ROW_KEY)
+    return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("p") != F.col("predict")).alias("different"))
+
+
+@query(f"with {ML} select count(*) n, cast(5 as integer) size, round(sum(l_quantity + l_discount), 4) total from ml where l_quantity <> 7")
+def prepared_rows(spark, sf_dir):
+    """Complete rows as vectors: infinities and NaN drop a row, a feature without any value is left out, coordinates aren't
+    features."""
+    bad = F.when(F.col("l_quantity") == 7, F.lit(float("nan"))).otherwise(F.col("l_quantity"))
+    rows, empty = forest.prepare(ml_rows(spark, sf_dir).withColumns({"l_quantity": bad, "nothing": F.lit(None).cast("double")}), [*FEATURES, "nothing"])
+    v = vector_to_array("features")
+    return rows.groupBy(F.size(v).alias("size")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(v[0] + v[2]), 4).alias("total")).select("n", "size", "total") if empty == ["nothing"] else rows.limit(0)
+
+
+# -- whole runs: files of several sources to scored and explained folds -----------------------------
+def stored_sources(spark, sf_dir) -> list[str]:
+    """The cube as two files of one source, with dotted names, a second source and attributes of the cells."""
+    cube, path = cube_hourly(spark, sf_dir), shared(spark, "sources")
+    first = cube.filter("lat <= 20").select("lat", "lon", "time", *(F.col(f"gas_{v}").alias(f"momo.{v}") for v in ("click", "view")))
+    first.filter("lat <= 0").write.parquet(f"{path}/momo/2023")
+    first.filter("lat > 0").write.parquet(f"{path}/momo/2024")
+    cube.filter("lat >= -20 and gas_error is not null").select("lat", "lon", "time", F.col("gas_error").alias("toar.error")).write.parquet(f"{path}/toar")
+    nation = table(spark, sf_dir, "nation")
+    cells = cube.select("lat", "lon").distinct().crossJoin(nation.agg(F.count(F.lit(1)).cast("double").alias("nations"), F.max("n_nationkey").cast("double").alias("last")))
+    cells.select("lat", "lon", (F.col("nations") + F.col("lat")).alias("people")).write.parquet(f"{path}/cells")
+    return [f"{path}/momo/202[3-4]", f"{path}/toar", f"{path}/cells"]
+
+
+_SOURCES = f"{CUBE}, m as (select lat, lon, time, gas_click click, gas_view v from cube where lat <= 20), t as (select lat, lon, time, gas_error error from cube where lat >= -20 and gas_error is not null), j as (select coalesce(m.lat, t.lat) lat, coalesce(m.lon, t.lon) lon, coalesce(m.time, t.time) time, click, v, error from m full join t on m.lat = t.lat and m.lon = t.lon and m.time = t.time)"
+
+
+@query(f"with {_SOURCES} select lat, lon, time, round(click, 6) momo_click, round(v, 6) momo_view, round(error, 6) toar_error, (select count(*) from nation) + lat people from j")
+def read_cube_of_sources(spark, sf_dir):
+    return rounded(tables.read_cube(spark, *stored_sources(spark, sf_dir)).select("lat", "lon", "time", "momo_click", "momo_view", "toar_error", "people"))
+
+
+@query(f"with {_SOURCES}, d as (select lat, lon, cast(time as date) as time, avg(click) filter ({SECONDS} between 28800 and 54000) c, max(v) filter ({SECONDS} = 46800) v, avg(error) e from j group by 1, 2, 3) select lat, lon, time, round(v, 6) momo_view, (select count(*) from nation) + lat people, round(c - e, 6) target from d")
+def load_of_sources(spark, sf_dir):
+    """A target of dotted names from two sources, and an attribute that daily values carry along."""
+    spec = workflow.Spec(target="(momo.click) - (toar.error)", globs=stored_sources(spark, sf_dir), variables=["momo.view"], static=["people"], sections=[{"vars": "momo.click", "time": (8, 15)}, {"vars": "momo.view", "time": 13}, {"vars": "toar.*", "time": (0, 24)}])
+    return rounded(workflow.load(spark, spec)[0].select("lat", "lon", "time", "momo_view", "people", "target"))
+
+
+RUN_YEARS = (2022, 2023, 2024)
+
+
+def years_of_cube(spark, sf_dir) -> DataFrame:
+    """The cube in each of three years, with a variable that depends on two others."""
+    cube = cube_hourly(spark, sf_dir).withColumn("y", F.col("gas_click") * 2 + F.col("gas_view"))
+    return cube.withColumn("__y", F.explode(F.array(*(F.lit(y) for y in RUN_YEARS)))).withColumn("time", F.col("time") - F.make_ym_interval(F.lit(2024) - F.col("__y"))).drop("__y")
+
+
+RUN = workflow.Spec(target="y", variables=["gas_(click|view)"], sections=[{"vars": "gas_.*|y", "time": (0, 24)}])
+_DAYS = f"{CUBE}, days as (select lat, lon, cast(time as date) d, avg(gas_click) c, avg(gas_view) v, avg(gas_click * 2 + gas_view) y from cube group by 1, 2, 3), runs as (select cast(x as integer) fold_year, lat, lon, cast(d - to_years(cast(2024 - x as integer)) as date) d from days, (select unnest([{', '.join(map(str, RUN_YEARS))}]) x) where c is not null and v is not null and y is not null)"
+
+
+def stored_run(spark, sf_dir, **params) -> tuple[str, list[str], DataFrame]:
+    path = shared(spark, "run")
+    rows, features = workflow.load(spark, RUN, years_of_cube(spark, sf_dir))
+    return path, features, workflow.train(rows, features, RUN_YEARS, path, "r", numTrees=3, maxDepth=4, **params)
+
+
+@query(f"with {_DAYS} select fold_year, 'all' as month, count(*) n, true as same, true as numbers from runs group by 1")
+def run_scores(spark, sf_dir):
+    """Files to scored folds, and the scores once more from what was stored."""
+    path, _, scores = stored_run(spark, sf_dir)
+    again = workflow.rescore(spark, path, "r").select("month", "fold_year", F.col("r2").alias("r2_again"))
+    return scores.join(again, ["month", "fold_year"]).select("fold_year", "month", "n", (F.abs(F.col("r2") - F.col("r2_again")) < 1e-9).alias("same"), (F.col("rmse") >= 0).alias("numbers"))
+
+
+@query(f"with {_DAYS} " + " union all ".join(f"select '{m}' as mode, fold_year, 2 * count(*) n, cast(0 as bigint) violations from runs group by 2" for m in ("shap", "path")))
+def run_explanations(spark, sf_dir):
+    """Both explanations of stored folds: a row for each feature, which add up to the stored predictions."""
+    path, features, _ = stored_run(spark, sf_dir)
+    stored = spark.read.parquet(f"{path}/predict").select("lat", "lon", "time", "fold_year", "predict")
+    out = None
+    for mode in ("shap", "path"):
+        long = workflow.explain(spark, path, "r", features, mode, work=shared(spark, "nodes"))
+        total = long.groupBy("lat", "lon", "time", "fold_year").agg((F.sum("shap_value") + F.max("base_value")).alias("total"), F.count(F.lit(1)).alias("n"))
+        off = F.count_if(F.abs(F.col("total") - F.col("predict")) > 1e-9 * F.greatest(F.lit(1.0), F.abs("predict")))
+        one = total.join(stored, ["lat", "lon", "time", "fold_year"], "left").groupBy("fold_year").agg(F.sum("n").alias("n"), off.alias("violations")).withColumn("mode", F.lit(mode))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"with {_DAYS}, f as (select fold_year, min(d) a, max(d) b, count(distinct d) % 3 rest from runs group by 1), bins as (select runs.fold_year, lat, lon, datediff('day', a, d) // 3 k, datediff('day', a, b) // 3 last, rest from runs join f on f.fold_year = runs.fold_year) select fold_year, count(distinct (lat, lon, k)) * 2 n from bins where rest = 0 or k < last group by 1")
+def run_explanations_of_three_days(spark, sf_dir):
+    path, features, _ = stored_run(spark, sf_dir)
+    long = workflow.explain(spark, path, "r", features, "path", work=shared(spark, "nodes"), days=3)
+    return long.groupBy("fold_year").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"with {_DAYS}, both as (select fold_year, 'jan' as month, d from runs union all select fold_year, 'mar', d from runs) select fold_year, month, count(*) n from both group by 1, 2")
+def monthly_runs(spark, sf_dir):
+    """A run for each of the months 1-6:2 that has rows; the cube's days are in January, and again in March."""
+    cube = years_of_cube(spark, sf_dir)
+    march = cube.withColumn("time", F.col("time") + F.expr("interval 2 months"))
+    scores = workflow.train_months(spark, RUN, "1-6:2", RUN_YEARS, shared(spark, "run"), "m", cube.unionByName(march), numTrees=2, maxDepth=3)
+    return scores.select("fold_year", "month", "n")
+
+
+@query("select 'r' as run, m as month, y as fold_year, cast(row_number() over (order by k, y) as integer) as place from (values ('feb', 2), ('jul', 7), ('oct', 10)) a(m, k), (select distinct cast(year(o_orderdate) as integer) y from orders)")
+def fold_discovery(spark, sf_dir):
+    """The stored folds of a run, months in the order of the calendar."""
+    path = shared(spark, "run")
+    years = table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("fold_year"), F.col("o_orderkey").cast("double").alias("lon")).groupBy("fold_year").agg(F.max("lon").alias("lon"))
+    for month in ("oct", "feb", "jul"):
+        years.withColumns({"run": F.lit("r"), "month": F.lit(month)}).write.mode("append").partitionBy("run", "month", "fold_year").parquet(f"{path}/explanation")
+    found = tables.folds_of(tables.load_objects(spark, path, ["explanation"], run="r")["explanation"])
+    return found.select("run", "month", "fold_year", F.row_number().over(Window.partitionBy("run").orderBy("month_no", "fold_year")).alias("place"))
+
+
+# -- more of sources and sinks ---------------------------------------------------------------------
+@query("select year(l_shipdate)::integer as year_of, month(l_shipdate)::integer as month_of, count(*) n, count(distinct l_orderkey) orders from lineitem where year(l_shipdate) <> 1996 or month(l_shipdate) <> 2 or l_quantity > 25 group by 1, 2")
+def save_by_month_twice(spark, sf_dir):
+    """A second write replaces its own months only; a column named month stays as it is."""
+    path = shared(spark, "by-month")
+    own = table(spark, sf_dir, "lineitem").select("l_shipdate", "l_quantity", "l_orderkey", F.lit("m").alias("month"))
+    tables.save_by_month(own, path, "l_shipdate")
+    tables.save_by_month(own.filter("year(l_shipdate) = 1996 and month(l_shipdate) = 2 and l_quantity > 25"), path, "l_shipdate")
+    return spark.read.parquet(path).filter("month = 'm'").groupBy("year_of", "month_of").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("l_orderkey").alias("orders"))
+
+
+@query("select event_type as variable, count(*) n, round(sum(value), 4) total from events where event_type in ('click', 'view') group by 1".replace("select event_type as variable", "select case event_type when 'view' then 'seen' else event_type end as variable"))
+def consolidate_folders(spark, sf_dir):
+    """The files of two variables as partitions of one table, one renamed; done twice, with the same result."""
+    path, e = shared(spark, "folders"), table(spark, sf_dir, "events")
+    for v in ("click", "view"):
+        e.filter(F.col("event_type") == v).select("event_id", F.col("value").alias(v)).write.parquet(f"{path}/{v}")
+    for _ in range(2):
+        tables.consolidate(spark, {v: f"{path}/{v}" for v in ("click", "view")}, f"{path}/all", {"view": "seen"})
+    return spark.read.parquet(f"{path}/all").groupBy("variable").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query(f"with {CUBE}, d as (select lat, lon, avg(gas_click) c, avg(gas_view) v from cube where lat >= 0 group by 1, 2), g as (select * from (select distinct lat from cube), (select distinct lon from cube)) select g.lat, g.lon, round(c, 6) gas_click, round(v, 6) gas_view, 'r1' as run, 'test' as kind from g left join d on g.lat = d.lat and g.lon = d.lon")
+def saved_objects(spark, sf_dir):
+    """A long object made wide on the full grid, stored and read back by run and kind; objects that aren't there are left out."""
+    cube, path = cube_hourly(spark, sf_dir), shared(spark, "objects")
+    long = reshape.to_long(stats.time_mean(cube.filter("lat >= 0"), VARIABLES[:2]), VARIABLES[:2], ["lat", "lon"])
+    grid_ = reshape.full_grid(cube, ["lat", "lon"])
+    tables.save_object(long, path, "predict", {"run": "r1", "kind": "test"}, grid_, wide=VARIABLES[:2])
+    tables.save_objects(path, {"run": "r'2", "kind": "test"}, ["predict", "explanation"], predict=stats.time_mean(cube, VARIABLES[:2]), explanation=None)
+    got = tables.load_objects(spark, path, ["predict", "explanation"], run="r1", kind="test")
+    return rounded(got["predict"].select("lat", "lon", *VARIABLES[:2], "run", "kind")) if got["explanation"] is None else got["explanation"]
+
+
+@query("select s_suppkey station, s_name as name, round(s_acctbal, 2) lat, s_suppkey * 1.5::double lon from supplier")
+def csv_stations(spark, sf_dir):
+    """A station table from CSV, with the columns' names made those of a cube."""
+    path = shared(spark, "csv")
+    own = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("station"), F.col("s_name").alias("name"), F.round("s_acctbal", 2).alias("station_lat"), (F.col("s_suppkey") * 1.5).alias("station_lon"))
+    own.write.option("header", "true").csv(path)
+    return tables.station_table(tables.read_csv(spark, path, f"station {dict(own.dtypes)['station']}, name string, station_lat double, station_lon double"))
+
+
+@query(f"with {CUBE}, s as (select *, case when lon >= 180 then lon - 360 else lon end x from cube) select lat, x lon, count(*) n, case when lat between 35 and 65 and x between -10 and 25 then 'Europe' when lat between 20 and 50 and x between 100 and 145 then 'Asia' else 'NorthAmerica' end region from s where (lat between 35 and 65 and x between -10 and 25) or (lat between 20 and 50 and x between 100 and 145) or (lat between 20 and 55 and x between -125 and -70) group by all")
+def region_presets(spark, sf_dir):
+    cube = cube_hourly(spark, sf_dir).withColumn("lon", fn.to_signed(F.col("lon")))
+    return reshape.concat(*(select.sel_regions(cube, {r: box}, dropna=False).withColumn("region", F.lit(r)) for r, box in select.REGIONS.items())).groupBy("lat", "lon", "region").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"with {CUBE} select lat, lon, time, round(gas_click / nullif(gas_view - gas_view, 0), 6) never, round((gas_click + 1) / nullif(gas_error - 10, 0) * -2, 6) other from cube")
+def calc_divisions(spark, sf_dir):
+    """Divisors that are formulas themselves; by zero gives null."""
+    own = select.with_calculated(cube_hourly(spark, sf_dir), {"never": "(gas_click) / ((gas_view) - (gas_view))", "other": "((gas_click) + 1) / ((gas_error) - 10) * -2"})
+    return rounded(own.select("lat", "lon", "time", "never", "other"))
+
+
+_GAPS = f"{SITES}, gaps as (select site, ts, case when hour(ts) % 7 = 3 then null else value end as value from sites)"
+
+
+@query(f"with {_GAPS}, w as (select a.site, cast(a.ts as date) as day, a.ts, avg(b.value) m, count(*) n from gaps a join gaps b on a.site = b.site and cast(a.ts as date) = cast(b.ts as date) and b.ts >= a.ts and b.ts < a.ts + interval 8 hour group by 1, 2, 3), s as (select *, first_value(n) over (partition by site, day order by ts) need from w), t as (select *, max(case when n <> need then 1 else 0 end) over (partition by site, day order by ts rows unbounded preceding) stopped from s) select site, day, round(max(case when stopped = 0 then m end), 9) mda8 from t group by 1, 2")
+def mda8_gaps(spark, sf_dir):
+    """Samples without a value count as samples."""
+    own = site_hourly(spark, sf_dir).withColumn("value", F.when(F.hour("ts") % 7 != 3, F.col("value")))
+    return rounded(temporal.max_daily_mean(own), 9)
+
+
+@query(f"with {CUBE}, f as (select date_trunc('day', min(time)) a, max(time) b from cube), bins as (select unnest(generate_series(a, b, interval 6 hour)) bin from f), cells as (select distinct lat, lon from cube) select cells.lat, cells.lon, bin, round(avg(gas_click), 9) gas_click, round(max(gas_view), 9) gas_view from cells cross join bins left join cube on cube.lat = cells.lat and cube.lon = cells.lon and time >= bin and time < bin + interval 6 hour group by 1, 2, 3".replace("round(max(gas_view), 9) gas_view", "round(avg(gas_view), 9) gas_view"))
+def resample_6h_mean(spark, sf_dir):
+    return rounded(temporal.resample_hours(cube_hourly(spark, sf_dir), 6, "mean", ["gas_click", "gas_view"]), 9)
+
+
+_WEEKS = f"{CUBE}, own as (select * from cube where week(time) % 2 = 1), w as (select cast(unnest(generate_series(date_trunc('week', min(time)), date_trunc('week', max(time)), interval 7 day)) as date) + 6 bin from own), cells as (select distinct lat, lon from own)"
+
+
+@query(f"with {_WEEKS} select cells.lat, cells.lon, bin, count(gas_click) gas_click from cells cross join w left join own on own.lat = cells.lat and own.lon = cells.lon and cast(date_trunc('week', time) as date) + 6 = bin group by 1, 2, 3")
+def resample_week_with_gaps(spark, sf_dir):
+    """Weeks without a sample, between others, are there with a count of 0."""
+    return temporal.resample_calendar(cube_hourly(spark, sf_dir).filter("weekofyear(time) % 2 = 1"), "week", "count", ["gas_click"])
+
+
+@query("select event_id, user_id from events")
+def fixed_splits(spark, sf_dir):
+    """Rows dealt into seven ranges and put together again are the same rows."""
+    return table(spark, sf_dir, "events").select("event_id", "user_id").repartitionByRange(7, "event_id")

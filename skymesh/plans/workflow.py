@@ -9,14 +9,13 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
-from pyspark.ml.regression import RandomForestRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skymesh.functions.columns import formula, replace_values
-from skymesh.operators import attribution, forest, select, stats, temporal
+from skymesh.functions.columns import all_finite, column_of, formula, replace_values
+from skymesh.operators import attribution, folds, forest, reshape, select, stats, temporal
 from skymesh.sources import tables
 
 log = logging.getLogger(__name__)
@@ -42,6 +41,8 @@ class Spec:
     every: tuple[str, int] | None = None
     scale: bool = False
     scale_by: Sequence[str] = ()
+    #: variables without a time, which daily values carry along
+    static: Sequence[str] = ()
 
 
 def load(spark: SparkSession, spec: Spec, cube: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
@@ -49,10 +50,11 @@ def load(spark: SparkSession, spec: Spec, cube: DataFrame | None = None) -> tupl
     df = cube if cube is not None else tables.read_cube(spark, *spec.globs)
     if df is None:
         raise FileNotFoundError(f"no file matches {spec.globs}")
-    plain = spec.target in df.columns or spec.target in spec.calc
-    inputs = [spec.target] if plain else formula(spec.target)[1]
-    inputs += [n for text in spec.calc.values() for n in formula(text)[1]]
-    wanted = [spec.variables] if isinstance(spec.variables, str) else list(spec.variables)
+    known = [*df.columns, *spec.calc]
+    plain = column_of(spec.target, known) in known
+    inputs = [column_of(spec.target, known)] if plain else formula(spec.target, known)[1]
+    inputs += [n for text in spec.calc.values() for n in formula(text, known)[1]]
+    wanted = [*([spec.variables] if isinstance(spec.variables, str) else spec.variables), *spec.static]
     df = select.select_vars(df, [*wanted, *(n for n in inputs if n in df.columns)])
     for dim, bounds in spec.ranges.items():
         df = select.sel_range(df, dim, bounds)
@@ -64,7 +66,7 @@ def load(spark: SparkSession, spec: Spec, cube: DataFrame | None = None) -> tupl
         df = df.withColumn(name, replace_values(name, low, high, value))
     df = select.with_calculated(df, spec.calc)
     if spec.sections:
-        df = temporal.daily_sections(df, spec.sections).withColumnRenamed("day", "time")
+        df = temporal.daily_sections(df, spec.sections, static=spec.static).withColumnRenamed("day", "time")
     names = [c for c in df.columns if c not in select.KEYS]
     if spec.days:
         df = temporal.resample(df, spec.days, spec.how, names).withColumnRenamed("bin", "time")
@@ -77,49 +79,73 @@ def load(spark: SparkSession, spec: Spec, cube: DataFrame | None = None) -> tupl
     return df, names
 
 
-def train(rows: DataFrame, features: Sequence[str], years: Sequence[int], path: str, run: str, month: str = "all", **params) -> DataFrame:
-    """Fits and stores a model and the predictions of each held-out year; the scores of all folds."""
+def train(rows: DataFrame, features: Sequence[str], years: Sequence[int], path: str, run: str, month: str = "all", test: DataFrame | None = None, **params) -> DataFrame:
+    """Fits and stores a model and the predictions of each held-out year; the scores of all folds, from what is stored.
+    With ``test``, one model of all ``rows`` predicts the rows of another selection, and the fold's year is 0."""
     own, empty = forest.prepare(rows, features)
     if own is None:
         raise ValueError("no complete row")
     used = [f for f in features if f not in empty]
-    scores = None
-    for year, model, predicted in forest.by_year(own.withColumn("year", F.year("time")).cache(), years, **params):
+    own = own.withColumn("year", F.year("time")).cache()
+    if test is None:
+        folds_ = forest.by_year(own, years, **params)
+    else:
+        model = forest.estimator(**params).fit(own)
+        held = select.drop_incomplete(all_finite(test, [*used, "target"]), used, "target")
+        folds_ = [(0, model, model.transform(forest.assemble(held, used)))]
+    for year, model, predicted in folds_:
         if predicted.isEmpty():
             log.warning("no row of %s", year)
             continue
         where = {"run": run, "month": month, "fold_year": year, "kind": "test"}
         model.write().overwrite().save(f"{path}/model/run={run}/month={month}/fold_year={year}")
         tables.save_object(predicted.select(*select.KEYS, *used, "target", "predict"), path, "predict", where)
-        one = stats.scores(predicted).withColumn("fold_year", F.lit(year))
+    own.unpersist()
+    return rescore(own.sparkSession, path, run).filter(F.col("month").cast("string") == month)
+
+
+def train_months(spark: SparkSession, spec: Spec, months: str, years: Sequence[int], path: str, run: str, cube: DataFrame | None = None, **params) -> DataFrame:
+    """One run for each calendar month of ``months`` (``1-12``, ``1-12:2``, ``1,3,5``); the scores of all."""
+    scores = None
+    for m in folds.months(months):
+        rows, features = load(spark, replace(spec, month=m), cube)
+        if forest.prepare(rows, features)[0] is None:
+            log.warning("no complete row in month %s", m)
+            continue
+        one = train(rows, features, years, path, run, tables.MONTHS[m - 1], **params)
         scores = one if scores is None else scores.unionByName(one)
     return scores
 
 
-def explain(spark: SparkSession, path: str, run: str, features: Sequence[str], mode: str = "shap", work: str | None = None, regions: Mapping | None = None) -> DataFrame:
+def resampled_points(rows: DataFrame, features: Sequence[str], days: int = 3) -> DataFrame:
+    """Means over ``days`` of the rows to be explained, without cells that lack a value and, if the number of times is no
+    multiple of ``days``, without the last bin."""
+    bins = temporal.without_short_end(temporal.resample(rows, days, "mean", features), rows, days)
+    return bins.withColumn("time", F.col("bin").cast("timestamp_ntz")).drop("bin").dropna("any")
+
+
+def explain(spark: SparkSession, path: str, run: str, features: Sequence[str], mode: str = "shap", work: str | None = None, regions: Mapping | None = None, days: int | None = None) -> DataFrame:
     """Explanations of all stored folds of a run: (keys, fold_year, feature, shap_value, feature_value,
-    base_value).  ``mode``: shap (exact) or path (differences along the path)."""
+    base_value).  ``mode``: shap (exact) or path (differences along the path).  With ``days``, of means over as many."""
     if mode not in ("shap", "path"):
         raise ValueError(f"unknown mode {mode!r}")
     stored = tables.load_objects(spark, path, ["predict"], run=run)["predict"]
     if stored is None:
         raise FileNotFoundError(f"no predictions of {run} in {path}")
-    out = None
+    out, keys = None, list(select.KEYS)
     for r in tables.folds_of(stored).collect():
         rows = stored.filter((F.col("fold_year") == r.fold_year) & (F.col("month") == r.month)).dropna("any")
         if regions:
             rows = select.sel_regions(rows, regions)
-        rows = forest.assemble(rows.drop("predict"), features)
-        model = RandomForestRegressionModel.load(f"{path}/model/run={run}/month={r.month}/fold_year={r.fold_year}")
+        rows = resampled_points(rows, features, days) if days else rows
+        rows = forest.assemble(rows.select(*keys, *features), features)
+        model = tables.load_objects(spark, path, ["model"], run=run, month=r.month, fold_year=r.fold_year)["model"]
         nodes = attribution.node_table(model, f"{work or path}/nodes-{run}-{r.month}-{r.fold_year}")
         if mode == "shap":
-            one = attribution.tree_shap(rows, nodes, features, list(select.KEYS))
+            one = attribution.tree_shap(rows, nodes, features, keys)
         else:
-            whole, long = attribution.interpret(forest.leaves(model, rows, list(select.KEYS)), attribution.leaf_paths(nodes), list(select.KEYS), len(features))
-            at = F.array(*(F.lit(f) for f in features))
-            data = rows.unpivot(list(select.KEYS), [F.col(f).cast("double").alias(f) for f in features], "feature", "feature_value")
-            long = long.select(*select.KEYS, F.element_at(at, F.col("feature") + 1).alias("feature"), F.col("contribution").alias("shap_value"))
-            one = long.join(data, [*select.KEYS, "feature"]).join(whole.select(*select.KEYS, F.col("bias").alias("base_value")), list(select.KEYS)).select(*select.KEYS, "feature", "shap_value", "feature_value", "base_value")
+            got = attribution.interpret(forest.leaves(model, rows, keys), attribution.leaf_paths(nodes, len(features)), keys, len(features))
+            one = reshape.to_explanation(got, rows, features, keys)
         one = one.withColumn("fold_year", F.lit(r.fold_year))
         out = one if out is None else out.unionByName(one)
     return out

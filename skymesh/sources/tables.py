@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import logging
-import re
 from collections.abc import Mapping, Sequence
 
+from py4j.protocol import Py4JJavaError
+from pyspark.ml.regression import RandomForestRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
-from skymesh.functions.columns import finite_or_null
+from skymesh.functions.columns import finite_or_null, plain_name
 
 log = logging.getLogger(__name__)
 
@@ -25,25 +26,61 @@ STATION = T.StructType(
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 
 
-def plain_name(name: str) -> str:
-    """A column name without characters that need quoting."""
-    return re.sub(r"\W", "_", name)
+def plain_columns(df: DataFrame) -> DataFrame:
+    """``df`` with plain column names; two names with one plain form are an error."""
+    names = [plain_name(c) for c in df.columns]
+    if twice := {c for c, n in zip(df.columns, names, strict=True) if names.count(n) > 1}:
+        raise ValueError(f"these columns have the same plain name: {sorted(twice)}")
+    return df.toDF(*names)
 
 
-def read_cube(spark: SparkSession, *globs: str) -> DataFrame | None:
-    """The files that match (``{a,b}`` and ``[1-5]`` included) as one cube with plain column names and
-    missing values as null; None, with a log entry, if no file matches."""
+def read_source(spark: SparkSession, path: str) -> DataFrame | None:
+    """The files that match (``{a,b}`` and ``[1-5]`` included) one after the other, with plain column names and
+    missing values as null; None if no file matches."""
     try:
-        df = spark.read.option("mergeSchema", "true").parquet(*globs)
+        df = spark.read.option("mergeSchema", "true").parquet(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        log.error("no file matches %s", globs)
         return None
-    df = df.toDF(*map(plain_name, df.columns))
+    df = plain_columns(df)
     return df.withColumns({c: finite_or_null(c) for c, t in df.dtypes if t in ("double", "float")})
 
 
+def combine_by_coords(sources: Sequence[DataFrame], keys: Sequence[str] = ("lat", "lon", "time")) -> DataFrame:
+    """Sources aligned by their coordinates: a row for each coordinate that any of them has, a value from the
+    first source (in order) that has it.  Sources without a time are attributes of the cell, at each of its times."""
+    moving, static = ([s for s in sources if ("time" in s.columns) == t] for t in (True, False))
+    if not moving:
+        moving, static, keys = static, [], [k for k in keys if k != "time"]
+    out = moving[0]
+    if len(moving) > 1:
+        names = list(dict.fromkeys(c for s in moving for c in s.columns if c not in keys))
+        every = None
+        for i, s in enumerate(moving):
+            one = s.select(*keys, *(F.col(c) if c in s.columns else F.lit(None).cast("double").alias(c) for c in names), F.lit(i).alias("__from"))
+            every = one if every is None else every.unionByName(one)
+        have = lambda c: F.when(F.col(c).isNotNull(), F.col("__from"))
+        out = every.groupBy(*keys).agg(*(F.min_by(c, have(c)).alias(c) for c in names))
+    for s in static:
+        out = out.join(s, [k for k in keys if k in s.columns], "left")
+    return out
+
+
+def read_cube(spark: SparkSession, *globs: str) -> DataFrame | None:
+    """The cube that several globs make: each is a source, and sources with different variables are aligned by
+    coordinates.  None, with a log entry, if no file matches."""
+    sources = [s for g in globs if (s := read_source(spark, g)) is not None]
+    if not sources:
+        log.error("no file matches %s", globs)
+        return None
+    groups: dict[tuple, DataFrame] = {}
+    for s in sources:  # parts of one source, as years are
+        key = tuple(sorted(s.columns))
+        groups[key] = groups[key].unionByName(s) if key in groups else s
+    return combine_by_coords(list(groups.values())) if len(groups) > 1 else next(iter(groups.values()))
+
+
 def read_station_json(spark: SparkSession, path: str, values: Sequence[str] = ("mean",)) -> tuple[DataFrame, DataFrame]:
     """Station rows (network, station, lon, lat, datetime, values) of files with one document each, and the
     number of files, of those that can't be parsed, and of those with two keys or fewer."""
@@ -78,20 +115,33 @@ def variable_of_file(path=None):
     return F.array_join(F.slice(F.split(name, "_"), 2, 1000), "/")
 
 
+def overwrite_partitions(df: DataFrame, path: str, *by: str) -> None:
+    """Writes ``df`` by partition; of what is there, only its own partitions are replaced."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
 def consolidate(spark: SparkSession, folders: Mapping[str, str], out: str, rename: Mapping[str, str] | None = None) -> None:
-    """The files of each variable's folder as one partition of a table."""
+    """The files of each variable's folder as one partition of a table; a second run replaces them."""
     for name, path in folders.items():
         new = (rename or {}).get(name, name)
-        spark.read.parquet(path).withColumnRenamed(name, "value").withColumn("variable", F.lit(new)).write.mode("append").partitionBy("variable").parquet(out)
+        own = spark.read.parquet(path).withColumnRenamed(name, "value").withColumn("variable", F.lit(new))
+        overwrite_partitions(own, out, "variable")
 
 
 def save_by_month(df: DataFrame, path: str, time: str = "time") -> None:
-    df.withColumns({"year": F.year(time), "month": F.month(time)}).write.mode("overwrite").partitionBy("year", "month").parquet(path)
+    """One partition for each month that ``df`` has; other months stay as they are.  Columns of the table named year or
+    month are kept as they are and the partitions called by other names."""
+    year, month = ("year_of", "month_of") if {"year", "month"} & set(df.columns) else ("year", "month")
+    own = df.withColumns({year: F.year(time), month: F.month(time)})
+    overwrite_partitions(own.repartition(year, month), path, year, month)
 
 
-def save_object(df: DataFrame, path: str, name: str, where: Mapping[str, object], grid: DataFrame | None = None, dims: Sequence[str] = ("lat", "lon")) -> None:
+def save_object(df: DataFrame, path: str, name: str, where: Mapping[str, object], grid: DataFrame | None = None, dims: Sequence[str] = ("lat", "lon"), wide: Sequence[str] | None = None) -> None:
     """An object of a run, in the partition that run, month, fold and kind name, on the full grid if it is
-    given, in order of longitude."""
+    given, in order of longitude.  With ``wide``, a long object (keys, variable, value) becomes these columns."""
+    if wide is not None:
+        keys = [c for c in df.columns if c not in ("variable", "value")]
+        df = merge_variables(df, keys, wide)
     out = grid.join(df, list(dims), "left") if grid is not None else df
     at = "/".join(f"{k}={v}" for k, v in where.items())
     out.sortWithinPartitions("lon").write.mode("overwrite").parquet(f"{path}/{name}/{at}")
@@ -109,16 +159,27 @@ def save_objects(path: str, where: Mapping[str, object], enabled: Sequence[str],
     return done
 
 
-def load_objects(spark: SparkSession, path: str, names: Sequence[str], **where) -> dict[str, DataFrame | None]:
-    out: dict[str, DataFrame | None] = {}
+def load_objects(spark: SparkSession, path: str, names: Sequence[str], **where) -> dict[str, DataFrame | RandomForestRegressionModel | None]:
+    """The stored objects of a run, by partition; ``model`` is the fitted model of the fold that ``where`` names.
+    None for what isn't there."""
+    out: dict = {}
     for name in names:
         try:
+            if name == "model":
+                out[name] = RandomForestRegressionModel.load(f"{path}/model/" + "/".join(f"{k}={v}" for k, v in where.items() if k != "kind"))
+                continue
             df = spark.read.parquet(f"{path}/{name}")
-            out[name] = df.filter(" and ".join(f"{k} = '{v}'" for k, v in where.items())) if where else df
+            for k, v in where.items():
+                df = df.filter(F.col(k).cast("string") == str(v))
+            out[name] = df
         except AnalysisException as e:
             if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 raise
             out[name] = None
+        except Py4JJavaError as e:
+            if name != "model" or "InvalidInputException" not in str(e):
+                raise
+            out[name] = None
     return out
 
 

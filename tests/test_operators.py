@@ -209,7 +209,8 @@ def test_attribution_adds_up(spark, fitted, tmp_path):
     rows, model = fitted
     test = rows.filter("year = 1998")
     nodes = attribution.node_table(model, str(tmp_path / "forest"))
-    whole, long = attribution.interpret(forest.leaves(model, test, ROW_KEY), attribution.leaf_paths(nodes), ROW_KEY, len(FEATURES))
+    whole = attribution.interpret(forest.leaves(model, test, ROW_KEY), attribution.leaf_paths(nodes, len(FEATURES)), ROW_KEY, len(FEATURES))
+    long = attribution.long_contributions(whole, ROW_KEY)
     both = whole.join(long.groupBy(*ROW_KEY).agg(F.sum("contribution").alias("c")), ROW_KEY).join(model.transform(test).select(*ROW_KEY, F.col("predict").alias("p")), ROW_KEY)
     facts = both.agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("p") - F.col("bias") - F.col("c"))).alias("off"), F.max(F.abs(F.col("p") - F.col("predict"))).alias("same")).first()
     assert facts.n == test.count() and facts.off < 1e-8 and facts.same < 1e-8
@@ -240,8 +241,7 @@ def test_year_folds_cover_each_row_once(spark, fitted):
 
 
 def test_leaf_order_of_the_small_forest(spark):
-    assert values(attribution.leaf_ordinals(tiny_forest(spark)), "tree", "node", "leaf") == [(0, 1, 0), (0, 3, 1), (0, 4, 2), (1, 1, 0), (1, 3, 1), (1, 4, 2)]
-    paths = attribution.leaf_paths(tiny_forest(spark))
+    paths = attribution.leaf_paths(tiny_forest(spark), 2)
     assert values(paths, "tree", "leaf", "value") == sorted((t, k, v) for t in (0, 1) for k, v in enumerate(r[2] for r in TINY_FOREST if r[0] == t and r[4] < 0))
 
 
@@ -296,3 +296,37 @@ def test_quantiles_are_exact(spark):
         for r in forest.quantiles(samples, reached, ["k"], [0.05, 0.5, 0.95], bins=bins).collect():
             w = sum((leaf[:, t] == reach[r.k, t]) / (leaf[:, t] == reach[r.k, t]).sum() for t in range(3))[order] / 3
             assert [r.q_0_05, r.q_0_5, r.q_0_95] == [target[order][np.argmax(np.cumsum(w) >= q - 1e-9)] for q in (0.05, 0.5, 0.95)]
+
+
+def test_second_writes_replace_their_own_part_only(spark, tmp_path):
+    rows = spark.sql("select * from values (timestamp_ntz'2024-01-05', 1), (timestamp_ntz'2024-02-05', 2) t(time, x)")
+    tables.save_by_month(rows.filter("x = 1"), str(tmp_path / "m"))
+    tables.save_by_month(rows.filter("x = 2"), str(tmp_path / "m"))
+    assert values(spark.read.parquet(str(tmp_path / "m")), "month", "x") == [(1, 1), (2, 2)]
+
+
+def test_names_with_dots(spark, tmp_path):
+    df = spark.sql("select 1d lat, 2d lon, timestamp_ntz'2024-01-05' time, 6d `a.b`, 2d `c.d`")
+    df.write.parquet(str(tmp_path / "x"))
+    cube = tables.read_cube(spark, str(tmp_path / "x"))
+    assert values(select.with_target(cube, "(a.b) / ((c.d) - 2)"), "target") == [(None,)]
+    assert values(select.with_target(df, "-(a.b) / (c.d)"), "target") == [(-3.0,)]
+    df.withColumn("a_b", F.lit(1.0)).write.parquet(str(tmp_path / "y"))
+    with pytest.raises(ValueError):
+        tables.read_cube(spark, str(tmp_path / "y"))
+
+
+def test_sources_are_aligned(spark):
+    a = spark.sql("select * from values (0d, 0d, 1, 1d, cast(null as double)), (0d, 1d, 1, null, 5d) t(lat, lon, time, x, y)")
+    b = spark.sql("select * from values (0d, 0d, 1, 7d, 2d), (0d, 2d, 1, 8d, 3d) t(lat, lon, time, y, z)")
+    cells = spark.sql("select 0d lat, 1d lon, 9d people")
+    got = tables.combine_by_coords([a, b, cells])
+    assert values(got, "lon", "x", "y", "z", "people") == [(0.0, 1.0, 7.0, 2.0, None), (1.0, None, 5.0, None, 9.0), (2.0, None, 8.0, 3.0, None)]
+
+
+@pytest.mark.parametrize("edges", [[-80.0 + 20 * i for i in range(9)] + [90.0], [0.1 * i for i in range(-1800, 1801)], [0.0, 1.0, 1.5, 4.0, 9.0, 9.5, 20.0, 21.0, 22.0, 30.0, 31.0, 40.0]])
+def test_bins_of_regular_and_other_axes(spark, edges):
+    xs = [e + d for e in edges[:: max(1, len(edges) // 60)] for d in (-1e-9, 0.0, 1e-9)] + [edges[0], edges[-1], edges[-1] + 1]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", fn.edge_index(F.col("x"), edges).alias("i")).collect()
+    for r in got:
+        assert r.i == (None if not edges[0] <= r.x <= edges[-1] else sum(r.x >= e for e in edges[1:-1])), r
