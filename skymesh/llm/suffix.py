@@ -35,15 +35,15 @@ from skymesh.llm.kernel import BYTE_CODE, byte_hash, chain_hash, int64, mix, pre
 
 RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 ANCHOR = 24  # bytes
-SHARD = 1 << 18  # bytes of segments that are sorted together
+SHARD = 1 << 17  # bytes of segments that are sorted together
 
 
 # -- suffix array ---------------------------------------------------------------------------------
 def is_smaller(text: np.ndarray) -> np.ndarray:
     """Whether each suffix is smaller than the next one (S type); the last one, a sentinel, is."""
-    step = np.append(np.sign(np.diff(text)), 1)
-    there = np.flatnonzero(step)
-    return step[there[np.searchsorted(there, np.arange(len(text)))]] > 0
+    there = np.append(np.flatnonzero(text[1:] != text[:-1]), len(text) - 1)  # where the next value differs
+    up = np.append(text[there[:-1] + 1] > text[there[:-1]], True)
+    return np.repeat(up, np.diff(there, prepend=-1))
 
 
 def _scatter(to: list[list], at: np.ndarray, first: np.ndarray) -> None:
@@ -100,7 +100,7 @@ def _named(text: np.ndarray, lms: np.ndarray, order: np.ndarray) -> np.ndarray:
     return names
 
 
-def _order_of_names(names: np.ndarray) -> np.ndarray:
+def _induced_order(names: np.ndarray) -> np.ndarray:
     """The suffixes of the reduced string in order, by induced sorting of its own leftmost-smaller
     substrings, and so on.  Its last name is less than all others.
 
@@ -141,14 +141,29 @@ def _order_of_names(names: np.ndarray) -> np.ndarray:
     return np.array(induced(lms.tolist()))
 
 
+def _order_of_names(names: np.ndarray) -> np.ndarray:
+    """The suffixes of the reduced string in order.  A name that stands once ends every comparison that reaches it, so of
+    neighbours that all stand once the first is enough; the others are put between by their names."""
+    once = np.bincount(names)[names] == 1
+    drop = once & np.append(False, once[:-1])
+    drop[-1] = False
+    kept = np.flatnonzero(~drop)
+    if len(kept) == len(names):
+        return _induced_order(names)
+    order = np.append(kept[_induced_order(np.unique(names[kept], return_inverse=True)[1])], np.flatnonzero(drop))
+    return order[np.argsort(names[order], kind="stable")]
+
+
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Positions of all suffixes of ``text`` in order.  Its last value must be less than all others."""
-    text = np.asarray(text, np.int64)
+    text = np.asarray(text)
     if len(text) < 3:
         return np.argsort(text, kind="stable")
     size = int(text.max()) + 1
+    if size < 1 << 15:
+        text = text.astype(np.int16)  # sorted by digits, and more of it fits in a cache
     smaller = is_smaller(text)
-    lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
+    lms = (np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1).astype(np.int32 if len(text) < 1 << 31 else np.int64)
     if len(lms) > 1:
         names = _named(text, lms, _induce(text, smaller, lms, size))
         lms = lms[np.argsort(names) if names.max() == len(lms) - 1 else _order_of_names(names)]
@@ -249,7 +264,7 @@ def repeated_windows(doc: np.ndarray, at: np.ndarray, pieces: list[bytes], size:
     n = np.array([len(p) for p in pieces], np.int64)[order]
     data = np.frombuffer(b"\0".join(pieces[i] for i in order.tolist()) + b"\0", np.uint8)
     edge = np.cumsum(n + 1) - 1
-    text = np.append(data.astype(np.int64) + 2, 0)
+    text = np.append(data.astype(np.int16) + 2, 0).astype(np.int16)
     text[edge] = 1
     sa = suffix_array(text)
     equal = common_prefixes(data, sa[1:], size)[sa[1:]] >= size  # sa[0] is the sentinel
