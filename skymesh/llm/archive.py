@@ -22,7 +22,6 @@ page_id has their payload; rows with equal page_id and payload are of one type;
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import re
 import uuid
@@ -43,6 +42,7 @@ ARC_FIELDS = {
 }
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FILE = 16 << 20
+STEP = 1 << 13
 #: a gzip member without content: what the writer puts after each row (as Latin-1)
 NOTHING = bytes([31, 139, 8, 0, 0, 0, 0, 0, 0, 3, 3, 0, 0, 0, 0, 0, 0, 0, 0, 0]).decode("latin-1")
 FIRST = datetime(2004, 1, 1, tzinfo=UTC)
@@ -136,7 +136,7 @@ def read_warc(data: bytes):
 # -- tasks ----------------------------------------------------------------------------------------
 def _files_of(rows, head: bytes, close: bytes, size: int):
     """A row for each file: ``head`` and as many records as make ``size`` bytes, each a gzip member."""
-    pack = lambda x: zlib.compress(x + close, 1, 31)
+    pack = lambda x: zlib.compress(x + close, 6, 31)
     out, n = [], 0
     for row in rows:
         if out and n + len(row) > size:
@@ -159,8 +159,20 @@ def _arcs(batches, version: int, size: int):
 
 
 def unzipped(data: bytes) -> bytes:
-    """All members of a gzip file, or what isn't one as it is."""
-    return gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+    """All members of a gzip file, or what isn't one as it is.  Read in small steps: what a member leaves of a step is
+    copied, so a step must not be a whole file."""
+    if data[:2] != b"\x1f\x8b":
+        return data
+    out, view, at = [], memoryview(data), 0
+    while at < len(view):
+        member = zlib.decompressobj(31)
+        while not member.eof and at < len(view):
+            out.append(member.decompress(view[at : at + STEP]))
+            at += STEP
+        at = min(at, len(view)) - len(member.unused_data)
+        if not member.eof:
+            raise ValueError("a gzip member ends too early")
+    return b"".join(out)
 
 
 def iso(date: str) -> str:
