@@ -842,7 +842,7 @@ def run_explanations_of_three_days(spark, sf_dir):
     return long.groupBy("fold_year").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"with {_DAYS}, both as (select fold_year, 'jan' as month, d from runs union all select fold_year, 'mar', d from runs) select fold_year, month, count(*) n from both group by 1, 2")
+@query(f"with {_DAYS}, twice as (select fold_year, 'jan' as month, d from runs union all select fold_year, 'mar', d from runs) select fold_year, month, count(*) n from twice group by 1, 2")
 def monthly_runs(spark, sf_dir):
     """A run for each of the months 1-6:2 that has rows; the cube's days are in January, and again in March."""
     cube = years_of_cube(spark, sf_dir)
