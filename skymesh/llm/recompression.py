@@ -93,7 +93,7 @@ def _segments(batches, size: int):
             yield from repeats.collapse(names[pick[first]], name, check, ids[doc], begin - words.first[doc], n, same_doc=False)
 
 
-PLACED = "key bigint, check bigint, doc_id bigint, start bigint, later boolean"
+PLACED = "key bigint, check bigint, doc_id bigint, at bigint, later boolean"
 
 
 def _windows(batches, size: int):
@@ -112,7 +112,12 @@ def _windows(batches, size: int):
             begin = start + words.first[doc]
             fits = begin + size <= words.first[doc + 1]  # always, but for rows that share a doc_id
             begin, start, doc = begin[fits], start[fits], doc[fits]
-            yield repeats.batch(PLACED, *repeats.collapse_windows(chain_hash(words.hash, begin, size), span_hash(words.sequence, begin, begin + size), ids[doc], start, same_doc=False))
+            key, check, owner, start, later = repeats.collapse_windows(chain_hash(words.hash, begin, size), span_hash(words.sequence, begin, begin + size), ids[doc], start, same_doc=False)
+            # of one document, equal windows that touch go on as one row
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (check[1:] != check[:-1]) | (owner[1:] != owner[:-1])
+            row, begin, n = repeats.touching(np.cumsum(new), start, np.ones(len(key), np.int64))
+            yield repeats.batch(PLACED, key[row], check[row], owner[row], begin << repeats.BITS | n, later[row])
 
 
 def _later(batches):
@@ -124,7 +129,7 @@ def _later(batches):
             yield k[~w], c[~w], d[~w], s[~w]
 
     done: list = []
-    emit = lambda d, s: repeats.batch("doc_id bigint, at bigint", d, s << repeats.BITS | 1)
+    emit = lambda d, at: repeats.batch("doc_id bigint, at bigint", d, at)
     for out in repeats.later_windows(parts(), False, emit):
         yield out
         while done:
@@ -168,5 +173,5 @@ def remove_repeats(docs: DataFrame, size: int = 13, text: bool = False) -> DataF
     judged = written(repeats.judge(segments, same_doc=False), "recompression")
     cand = judged.filter("not whole").groupBy("doc_id").agg(F.collect_list(F.struct("at")).alias("cand"))
     windows = known.join(cand, "doc_id").mapInArrow(partial(_windows, size=size), PLACED)
-    later = windows.repartition("key").sortWithinPartitions("key", "check", "doc_id", "start").mapInArrow(_later, "doc_id bigint, at bigint")
+    later = windows.repartition("key").sortWithinPartitions("key", "check", "doc_id", "at").mapInArrow(_later, "doc_id bigint, at bigint")
     return repeats.with_spans(own, [judged.filter("whole").select("doc_id", "at"), later], partial(_remove, size=size, text=text), RESULT + ", kept_text string" * text)

@@ -6,10 +6,13 @@ document that share an anchor occurrence form a *segment*.  The steps are
 
 1. every slice of documents names its segments by two independent hashes of 64 bits (name, check), of which
    the first isn't a polynomial; equal segments of a slice are collapsed at once, so a
-   passage that a third of all rows share sends one row for each slice instead of one for each document;
-2. segments are dealt by anchor and read in order of (anchor, name, check, document, start).  A later copy of
-   a segment is a repeat as a whole.  Of the other segments only those whose anchor also has a
-   differently named segment can hold a window that exists elsewhere: the candidates;
+   passage that a third of all rows share sends one row for each slice instead of one for each document.
+   An anchor with ``SEVERAL`` names or more in one slice (the edge of a common passage, where every document
+   goes on differently) sends one mark for this slice, and its segments are dealt by name;
+2. all other segments are dealt by anchor.  Both are read in order of (anchor, kind, name, check, document,
+   start).  A later copy of a segment is a repeat as a whole.  Of the other segments only those whose anchor
+   also has a differently named segment, or a mark, can hold a window that exists elsewhere: the candidates.
+   Equal segments that are dealt in two ways all become candidates;
 3. candidates meet their texts again (one join on doc_id) and their windows are compared exactly;
 4. spans to remove are grouped by document and applied to the text (a second join on doc_id).
 
@@ -32,10 +35,13 @@ from skymesh.llm.frames import apart
 from skymesh.llm.kernel import int64, mix
 
 #: at: start << 24 | number of windows
-SEGMENT = "anchor bigint, name bigint, check bigint, doc_id bigint, at bigint, whole boolean"
+SEGMENT = "anchor bigint, name bigint, check bigint, doc_id bigint, at bigint, kind tinyint"
 JUDGED = "anchor bigint, doc_id bigint, at bigint, whole boolean"
 BITS = 24
 MASK = (1 << BITS) - 1
+#: kinds of rows: dealt by anchor; a repeat already; dealt by name, its anchor has several; says so of an anchor
+PLAIN, WHOLE, NAMED, MARK = range(4)
+SEVERAL = 4
 
 
 def columns(schema: str) -> list[str]:
@@ -43,7 +49,7 @@ def columns(schema: str) -> list[str]:
 
 
 def batch(schema: str, *values) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else int64(v) if v.dtype != bool else pa.array(v) for v in values], columns(schema))
+    return pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v) if v.dtype in (bool, np.int8) else int64(v) for v in values], columns(schema))
 
 
 def runs(pick: np.ndarray, at: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,21 +62,27 @@ def runs(pick: np.ndarray, at: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray,
     return first, np.diff(np.append(first, len(at)))
 
 
-def joined(doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spans of windows (in any order), with those that touch in one document put together.
-    A longer run than ``MASK`` windows becomes several spans, one after the other."""
-    order = np.lexsort((start, doc))
-    doc, start, n = doc[order], start[order], n[order]
-    if not len(doc):
-        return doc, start, n
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + n[:-1])
+def touching(group: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of windows, in order of group and start, with those that touch in one group put together: the first
+    row of each, where it starts, its windows.  A longer run than ``MASK`` windows becomes several spans, one
+    after the other."""
+    if not len(group):
+        return np.zeros(0, np.int64), start, n
+    new = np.ones(len(group), bool)
+    new[1:] = (group[1:] != group[:-1]) | (start[1:] > start[:-1] + n[:-1])
     first = np.flatnonzero(new)
-    doc, begin, end = doc[first], start[first], np.maximum.reduceat(start + n, first)
+    begin, end = start[first], np.maximum.reduceat(start + n, first)
     pieces = np.maximum(1, -(-(end - begin) // MASK))
     nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     begin = np.repeat(begin, pieces) + nth * MASK
-    return np.repeat(doc, pieces), begin, np.minimum(np.repeat(end, pieces) - begin, MASK)
+    return np.repeat(first, pieces), begin, np.minimum(np.repeat(end, pieces) - begin, MASK)
+
+
+def joined(doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of windows (in any order), with those that touch in one document put together."""
+    order = np.lexsort((start, doc))
+    row, begin, n = touching(doc[order], start[order], n[order])
+    return doc[order][row], begin, n
 
 
 def collapse(anchor, name, check, doc, start, n, same_doc: bool) -> Iterator[pa.RecordBatch]:
@@ -88,26 +100,39 @@ def collapse(anchor, name, check, doc, start, n, same_doc: bool) -> Iterator[pa.
         keep = new
     else:
         keep = ~later
-    yield batch(SEGMENT, anchor[keep], name[keep], check[keep], doc[keep], start[keep] << BITS | n[keep], np.zeros(int(keep.sum()), bool))
+    # names of each anchor in this slice
+    by_anchor, names = np.unique(anchor[new], return_counts=True)
+    marked = by_anchor[names >= SEVERAL]
+    # of one document, equal segments that touch (a word again and again) go on as one
+    own = np.cumsum(new | np.append(True, doc[1:] != doc[:-1]))
+    row, begin, length = touching(own[keep], start[keep], n[keep])
+    row = np.flatnonzero(keep)[row]
+    kind = np.where(np.isin(anchor[row], marked), NAMED, PLAIN).astype(np.int8)
+    yield batch(SEGMENT, anchor[row], name[row], check[row], doc[row], begin << BITS | length, kind)
+    if len(marked):
+        none = np.zeros(len(marked), np.int64)
+        yield batch(SEGMENT, marked, none, none, none, none, np.full(len(marked), MARK, np.int8))
     if later.any():
         d, s, m = joined(doc[later], start[later], n[later])
         # a repeat already: dealt by its place, so that no task gets all copies of one passage
         place = mix(mix(d.astype(np.uint64)) + s.astype(np.uint64))
-        yield batch(SEGMENT, place, place, place, d, s << BITS | m, np.ones(len(d), bool))
+        yield batch(SEGMENT, place, place, place, d, s << BITS | m, np.full(len(d), WHOLE, np.int8))
 
 
 def _judge(batches: Iterator[pa.RecordBatch], same_doc: bool) -> Iterator[pa.RecordBatch]:
     """Segments in order: later copies are repeats (whole); of the rest, those whose anchor has
-    another name as well are candidates.  Holds back the segments of at most one name."""
+    another name or a mark as well are candidates.  Holds back the segments of at most one name.
+    Marks and segments dealt by name come first in their anchor."""
     anchor = name = check = doc = at = None  # of the newest name
     several = False  # the newest anchor has several names
     held: list[tuple[int, int, int]] = []  # its segments, while it has but one name
     for b in batches:
         a, m, c, d, p = (b.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-        w = b.column(5).to_numpy(zero_copy_only=False)
+        kind = b.column(5).to_numpy(zero_copy_only=False)
+        w = kind == WHOLE
         if w.any():
             yield batch(JUDGED, a[w], d[w], p[w], w[w])
-            a, m, c, d, p = a[~w], m[~w], c[~w], d[~w], p[~w]
+            a, m, c, d, p, kind = a[~w], m[~w], c[~w], d[~w], p[~w], kind[~w]
         k = len(a)
         if not k:
             continue
@@ -125,7 +150,7 @@ def _judge(batches: Iterator[pa.RecordBatch], same_doc: bool) -> Iterator[pa.Rec
         names = np.bincount(group, weights=new, minlength=group[-1] + 1)
         if not new_anchor[0]:
             names[0] += 1  # the name that came before
-        many = names > 1
+        many = (names > 1) | (np.bincount(group, weights=kind >= NAMED, minlength=group[-1] + 1) > 0)
         if not new_anchor[0]:
             many[0] |= several
         if held and (new_anchor[0] or many[0]):
@@ -133,7 +158,8 @@ def _judge(batches: Iterator[pa.RecordBatch], same_doc: bool) -> Iterator[pa.Rec
                 h = np.array(held, np.int64)
                 yield batch(JUDGED, h[:, 0], h[:, 1], h[:, 2], np.zeros(len(h), bool))
             held = []
-        first = ~later & ~same
+        later &= kind != MARK
+        first = ~later & ~same & (kind != MARK)
         out = later | (first & many[group])
         yield batch(JUDGED, a[out], d[out], p[out], later[out])
         last = group == group[-1]
@@ -147,8 +173,9 @@ def _judge(batches: Iterator[pa.RecordBatch], same_doc: bool) -> Iterator[pa.Rec
 
 
 def judge(segments: DataFrame, same_doc: bool) -> DataFrame:
-    """Repeats (whole) and candidates of ``segments``; dealt by anchor, sorted, read as a stream."""
-    dealt = segments.repartition("anchor").sortWithinPartitions("anchor", "name", "check", "doc_id", "at")
+    """Repeats (whole) and candidates of ``segments``; dealt by anchor or name, sorted, read as a stream."""
+    by = F.when(F.col("kind") == NAMED, F.xxhash64("anchor", "name", "check")).otherwise(F.col("anchor"))
+    dealt = segments.repartition(by).sortWithinPartitions("anchor", F.desc("kind"), "name", "check", "doc_id", "at")
     return dealt.mapInArrow(partial(_judge, same_doc=same_doc), JUDGED)
 
 

@@ -182,8 +182,35 @@ def test_contamination(spark, docs, odd, block_bytes):
         assert (g.longest_words, g.longest_start, g.longest_item) == ((-best[0], best[1], best[2]) if best else (None, None, None)), r.doc_id
 
 
+def common_edges(spark):
+    """A passage that most rows share, between words of their own; some rows have a few of these in common."""
+    rng = np.random.default_rng(11)
+    some = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    passage, after = some(30), [some(4) for _ in range(5)]
+    rows = [(k, f"{some(20)} {passage} {after[k % 5] if k % 3 else ''} {some(20)}" if k % 4 else some(60)) for k in range(160)]
+    # one word or two again and again, alone and inside other texts
+    rows += [(200 + k, f"{some(k % 3)} {('la ' if k % 2 else 'do re ') * (5 + 7 * k)} {some(k % 4)}") for k in range(30)]
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id")
+
+
+def test_repeats_at_common_edges(spark):
+    own = common_edges(spark)
+    kinds = [r.kind for r in own.mapInArrow(lambda b: recompression._segments(b, 13), "anchor long, name long, check long, doc_id long, at long, kind tinyint").collect()]
+    assert 3 in kinds and 2 in kinds  # marks, and segments dealt by name
+    import pyarrow as pa
+
+    one = pa.RecordBatch.from_pydict({"doc_id": pa.array([1], pa.int64()), "text": ["la " * 500]})
+    assert sum(b.num_rows for b in recompression._segments(iter([one]), 13)) == 1  # touching, so one segment
+    check_words(own)
+    check_bytes(own, 4096)
+    check_bytes(own, 1)
+
+
 def test_recompression(docs, odd):
-    own = both(docs, odd)
+    check_words(both(docs, odd))
+
+
+def check_words(own):
     texts = {r.doc_id: re.findall(SPACED, r.text or "") for r in own.collect()}
     first = {}
     for k in sorted(texts):
@@ -211,7 +238,10 @@ def test_suffix_array_is_sorted():
 
 @pytest.mark.parametrize("most", [4096, 1])
 def test_suffix_dedup(docs, odd, most):
-    own = both(docs, odd)
+    check_bytes(both(docs, odd), most)
+
+
+def check_bytes(own, most):
     texts = {r.doc_id: (r.text or "").encode() for r in own.collect()}
     got = by_id(suffix.remove_repeats(own, most=most))
     seen = set()
@@ -240,7 +270,7 @@ def test_runs_longer_than_a_span_are_cut_not_lost(monkeypatch):
     assert list(zip(doc.tolist(), start.tolist(), n.tolist())) == [(0, 3, 2), (1, 5, 1023), (1, 1028, 1023), (1, 2051, 1023), (1, 3074, 926), (1, 9000, 1)]
     text = bytes(np.random.default_rng(3).integers(97, 123, 500, dtype=np.uint8)).decode() * 20
     batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([7], pa.int64()), "text": [text]})
-    at = [x for b in suffix._segments(iter([batch]), size=100) for x, w in zip(b.column("at").to_pylist(), b.column("whole").to_pylist()) if w]
+    at = [x for b in suffix._segments(iter([batch]), size=100) for x, w in zip(b.column("at").to_pylist(), b.column("kind").to_pylist()) if w == repeats.WHOLE]
     own = batch.append_column("spans", pa.array([at], pa.list_(pa.int64())))
     (got,) = next(suffix._remove(iter([own]), 100, False, False)).to_pylist()
     assert got["n_spans"] == 1 and got["n_removed"] > len(text) - 1200
@@ -576,24 +606,30 @@ def test_segments_are_judged_alike_however_the_rows_are_cut():
     rng = random.Random(5)
     for _ in range(500):
         same_doc = rng.random() < 0.5
-        rows = sorted(tuple(rng.randrange(k) for k in (4, 3, 4, 3)) for _ in range(rng.randrange(1, 30)))
-        whole = [rng.random() < 0.1 for _ in rows]
-        lead, names, want = {}, defaultdict(set), set()
-        for (a, m, d, p), w in zip(rows, whole, strict=True):
-            if not w:
-                lead[a, m] = min(lead.get((a, m), (d, p)), (d, p))
-                names[a].add(m)
-        for (a, m, d, p), w in zip(rows, whole, strict=True):
-            if w or ((d, p) > lead[a, m] if same_doc else d > lead[a, m][0]):
+        kind = lambda: rng.choices([repeats.PLAIN, repeats.WHOLE, repeats.NAMED], [8, 1, 1])[0]
+        rows = [(rng.randrange(4), -kind(), *(rng.randrange(k) for k in (3, 4, 3))) for _ in range(rng.randrange(1, 30))]
+        # a mark has no name; rows are in order of anchor, kind (the last first), name and place
+        rows = sorted(rows + [(rng.randrange(4), -repeats.MARK, -1, 0, 0) for _ in range(rng.randrange(3))])
+        names, want = defaultdict(set), set()
+        for a, k, m, _, _ in rows:
+            if -k != repeats.WHOLE:
+                names[a] |= {m} if -k == repeats.PLAIN else {m, "another"}
+        newest = lead = None  # a name's first row, of those that follow each other
+        for a, k, m, d, p in rows:
+            if -k == repeats.WHOLE:
                 want.add((a, d, p, True))
-            elif len(names[a]) > 1:
-                want.add((a, d, p, False))
+            elif -k != repeats.MARK:
+                if newest != (a, m):
+                    newest, lead = (a, m), (d, p)
+                if (d, p) > lead if same_doc else d > lead[0]:
+                    want.add((a, d, p, True))
+                elif len(names[a]) > 1:
+                    want.add((a, d, p, False))
         batches, i = [], 0
         while i < len(rows):
             k = i + rng.randrange(1, 6)
-            names_of = [[r[1] // 2 for r in rows[i:k]], [r[1] % 2 for r in rows[i:k]]]  # a name and its check
-            part = [[r[0] for r in rows[i:k]], *names_of, [r[2] for r in rows[i:k]], [r[3] for r in rows[i:k]]]
-            batches.append(pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in part), pa.array(whole[i:k])], repeats.columns(repeats.SEGMENT)))
+            part = [[r[0] for r in rows[i:k]], [r[2] // 2 for r in rows[i:k]], [r[2] % 2 for r in rows[i:k]], [r[3] for r in rows[i:k]], [r[4] for r in rows[i:k]]]
+            batches.append(pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in part), pa.array([-r[1] for r in rows[i:k]], pa.int8())], repeats.columns(repeats.SEGMENT)))
             i = k
         got = {row for b in repeats._judge(iter(batches), same_doc) for row in zip(*(c.to_pylist() for c in b.columns), strict=True)}
         assert got == want
