@@ -12,6 +12,14 @@ def _words(pattern: str, lower: bool) -> str:
     return f"regexp_extract_all({f'translate({text}, {_UPPER!r}, {_LOWER!r})' if lower else text}, {pattern})"
 
 
+# CRC-32 by a table of a byte's eight steps
+_CRC_TABLE = "list_transform(range(0, 256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda v, x: xor(v >> 1, (v & 1) * 3988292384)))"
+
+
+def _crc(items: str, byte: str) -> str:
+    return f"xor(list_reduce(list_prepend(4294967295, list_transform({items}, lambda x: cast({byte} as bigint))), lambda v, x: xor(v >> 8, tab[1 + (xor(v, x) & 255)])), 4294967295)"
+
+
 ORACLES = {
     "op2_benchmark_decontamination": f"""
 with b as (select row_number() over () item, cast(item_id as varchar) item_id, {_words(_ALNUM, True)} w from benchmark where item_id is not null),
@@ -89,4 +97,20 @@ o as (select c.doc_id, cast(len(w) as bigint) n_words, cast(length(array_to_stri
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 or 100 * n_repeat_words > 20 * n_words base_failed,
  not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and (n_words < 50 or chars < 200 or (a <= 0.28 and b <= 0.5)) kept, ref_lang, round(a, 6) js_chars, round(b, 6) js_words
 from o""",
+    "op13_euler_prefix_trie": f"""
+with crc as (select {_CRC_TABLE} tab),
+o as (select conv_id c, coalesce(role, '') role, coalesce(text, '') text, row_number() over (partition by conv_id order by turn nulls first, role, text) r from conversations where conv_id is not null),
+k as (select c, n, {_crc("string_split(cast(c as varchar), '')", "ascii(x)")} % 6 h, c - c % 100 b from (select c, count(*) n from o group by 1), crc),
+t as (select k.c, r p, role, text from k join o on o.c = k.b where r <= h
+ union all select k.c, least(h, coalesce(base.n, 0)) + r - h, role, text from k join o on o.c = k.c left join k base on base.c = k.b where r > h),
+mem as (select c, p d, string_agg(sha256(role) || sha256(text), '') over (partition by c order by p) q, length(text) size from t union all select c, 0, '', 0 from k),
+nd as (select d, q, min(c) rep, count(*) n, max(size) size from mem group by 1, 2),
+loc as (select mem.c, d, rep from mem join nd using (d, q)),
+par as (select nd.d, nd.rep, n, size, loc.rep parent from nd left join loc on loc.c = nd.rep and loc.d = nd.d - 1),
+kids as (select parent rep, d - 1 d, count(*) n from par where d > 0 group by 1, 2),
+sub as (select loc.rep, loc.d, sum((par.n - 1) * size) saved, count(*) filter (kids.n is null) leaves
+ from par join loc on loc.c = par.rep and loc.d <= par.d left join kids on kids.rep = par.rep and kids.d = par.d group by 1, 2),
+stop as (select rep, d, string_agg(cast(loc.c as varchar), ',' order by loc.c) ids from loc join (select c, max(d) d from mem group by 1) last using (c, d) group by 1, 2)
+select par.rep conv_id, cast(par.d as bigint) depth, parent parent_conv_id, par.n n_convs, coalesce(kids.n, 0) n_children, leaves n_leaves, cast(saved as bigint) saved_tokens, sha256(coalesce(ids, '')) ends_sha256
+from par join sub on sub.rep = par.rep and sub.d = par.d left join kids on kids.rep = par.rep and kids.d = par.d left join stop on stop.rep = par.rep and stop.d = par.d""",
 }

@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skymesh.llm import archive, decontaminate, langid, mixing, neardup, quality, recompression, suffix, tokens, toxicity, urls
+from skymesh.llm import archive, decontaminate, langid, mixing, neardup, quality, recompression, suffix, tokens, toxicity, trie, urls
 from skymesh.llm.frames import documents
 from skymesh.llm.oracles import ORACLES  # noqa: F401
 
@@ -77,6 +77,11 @@ def op12_elias_fano_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.binary_ids(documents(spark, sf_dir), importlib.import_module("public_tokenizers").path("byte_bpe_50k.json"))
 
 
+@query
+def op13_euler_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet")).drop("enter_at", "exit_at")
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
