@@ -46,7 +46,7 @@ HEADER = 128
 SAMPLE = 256
 FORMAT = "SKYMESH-IDS-1"
 #: pieces that a worker keeps with their ids, and the longest of them; more only costs time
-KEPT, KEPT_BYTES = 1 << 20, 32
+KEPT, KEPT_BYTES = 3 << 17, 32
 
 #: first bytes of characters that may stand beside a cut: no white space begins with them, nor is any of them ASCII white space
 _BESIDE = np.zeros(256, bool)
@@ -215,8 +215,10 @@ def encoded(texts_: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     if new:
         if len(kept) + len(new) > KEPT:
             kept.clear()
-        coded_new = tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        own = {w: np.array(x.ids, f"<u{width}").tobytes() for w, x in zip(new, coded_new, strict=True)}
+        own = {}
+        for i in range(0, len(new), 4096):  # the library's results are many times their ids
+            part = new[i : i + 4096]
+            own |= {w: np.array(x.ids, f"<u{width}").tobytes() for w, x in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True)}
         kept.update((w, x) for w, x in own.items() if len(w) <= KEPT_BYTES)
         ids = [own[w] if x is None else x for w, x in zip(words, ids, strict=True)]
 
