@@ -97,6 +97,19 @@ o as (select c.doc_id, cast(len(w) as bigint) n_words, cast(length(array_to_stri
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 or 100 * n_repeat_words > 20 * n_words base_failed,
  not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and (n_words < 50 or chars < 200 or (a <= 0.28 and b <= 0.5)) kept, ref_lang, round(a, 6) js_chars, round(b, 6) js_words
 from o""",
+    "op11_gram_variants": f"""
+with recursive crc as (select {_CRC_TABLE} tab),
+runs as (select r, count(*) k, concat(doc_id, ':', r) s from (select doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]{{7,}}')), {_UPPER!r}, {_LOWER!r}) r from documents) group by doc_id, r),
+hashed as (select r, k, {_crc("range(0, strlen(s))", "'0x' || substr(hex(encode(s)), 2 * x + 1, 2)")} h from runs, crc),
+known as (select w, cast(sum(k) as bigint) n from (select case when h % 31 = 0 then substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) else r end w, k from hashed) where length(w) >= 7 group by 1 having sum(k) >= 2),
+cut as (select w, n, i, substr(w, 1, i - 1) || substr(w, i + 1) d from (select w, n, unnest(range(1, length(w) + 1)) i from known)),
+near as (select distinct a.w, b.w v, b.n from cut a join cut b on a.i = b.i and a.d = b.d and a.w <> b.w
+ union select cut.w, k.w, k.n from cut join known k on k.w = cut.d union select k.w, cut.w, cut.n from cut join known k on k.w = cut.d),
+best as (select w, count(*) m, arg_min(v, (-n, v)) v, max(n) n from near group by 1),
+forms as (select known.w, known.n, coalesce(m, 0) m, case when best.n >= 10 * known.n then v end form, case when best.n >= 10 * known.n then best.n end form_n from known left join best on best.w = known.w),
+ways(w, r) as (select w, w from forms union all select ways.w, forms.form from ways join forms on forms.w = ways.r where forms.form is not null)
+select forms.w word, forms.form, r.r root, forms.n, m n_near, forms.form_n
+from forms join ways r on r.w = forms.w join forms last on last.w = r.r and last.form is null""",
     "op13_euler_prefix_trie": f"""
 with crc as (select {_CRC_TABLE} tab),
 o as (select conv_id c, coalesce(role, '') role, coalesce(text, '') text, row_number() over (partition by conv_id order by turn nulls first, role, text) r from conversations where conv_id is not null),

@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skymesh.llm import archive, decontaminate, langid, mixing, neardup, quality, recompression, suffix, tokens, toxicity, trie, urls
+from skymesh.llm import archive, decontaminate, langid, mixing, neardup, quality, recompression, suffix, tokens, toxicity, trie, urls, variants
 from skymesh.llm.frames import documents
 from skymesh.llm.oracles import ORACLES  # noqa: F401
 
@@ -72,6 +72,11 @@ def op10_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.withColumns({c: F.round(c, 6) for c in ("js_chars", "js_words")})
 
 
+@query
+def op11_gram_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(documents(spark, sf_dir))
+
+
 @query
 def op12_elias_fano_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.binary_ids(documents(spark, sf_dir), importlib.import_module("public_tokenizers").path("byte_bpe_50k.json"))
