@@ -108,14 +108,14 @@ near as (select distinct a.w, b.w v, b.n from cut a join cut b on a.i = b.i and
 best as (select w, count(*) m, arg_min(v, (-n, v)) v, max(n) n from near group by 1),
 forms as (select known.w, known.n, coalesce(m, 0) m, case when best.n >= 10 * known.n then v end form, case when best.n >= 10 * known.n then best.n end form_n from known left join best on best.w = known.w),
 ways(w, r) as (select w, w from forms union all select ways.w, forms.form from ways join forms on forms.w = ways.r where forms.form is not null)
-select forms.w word, forms.form, r.r root, forms.n, m n_near, forms.form_n
+select forms.w word, forms.form, r.r root, forms.n, forms.m n_near, forms.form_n
 from forms join ways r on r.w = forms.w join forms last on last.w = r.r and last.form is null""",
     "op13_euler_prefix_trie": f"""
 with crc as (select {_CRC_TABLE} tab),
 o as (select conv_id c, coalesce(role, '') role, coalesce(text, '') text, row_number() over (partition by conv_id order by turn nulls first, role, text) r from conversations where conv_id is not null),
 k as (select c, n, {_crc("string_split(cast(c as varchar), '')", "ascii(x)")} % 6 h, c - c % 100 b from (select c, count(*) n from o group by 1), crc),
 t as (select k.c, r p, role, text from k join o on o.c = k.b where r <= h
- union all select k.c, least(h, coalesce(base.n, 0)) + r - h, role, text from k join o on o.c = k.c left join k base on base.c = k.b where r > h),
+ union all select k.c, least(k.h, coalesce(base.n, 0)) + r - k.h, role, text from k join o on o.c = k.c left join k base on base.c = k.b where r > k.h),
 mem as (select c, p d, string_agg(sha256(role) || sha256(text), '') over (partition by c order by p) q, length(text) size from t union all select c, 0, '', 0 from k),
 nd as (select d, q, min(c) rep, count(*) n, max(size) size from mem group by 1, 2),
 loc as (select mem.c, d, rep from mem join nd using (d, q)),
