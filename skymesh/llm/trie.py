@@ -28,6 +28,7 @@ ignored; an empty table has no node.
 from __future__ import annotations
 
 import hashlib
+import math
 from functools import partial
 
 import numpy as np
@@ -253,7 +254,7 @@ def prefix_trie(conversations: DataFrame, small: int = SMALL) -> DataFrame:
 
     # chains that leave another chain at (chain, at), each with the one that leaves there next
     light = written(nodes.filter("conv_id <> parent").select("conv_id", F.col("parent").alias("chain"), (F.col("depth") - 1).alias("at")), "chains")
-    buckets = max(1, light.count() // BLOCK)
+    buckets = max(1, math.isqrt(light.count()))  # as many as there are chains in one of them at most, about
     bucket = F.pmod(F.xxhash64("conv_id"), F.lit(buckets))
     light = written(following(light, ["chain", "at"], bucket, F.col("conv_id"), F.col("conv_id"), "beside"), "siblings")
     opens = light.groupBy("chain", "at").agg(F.min(F.struct(bucket.alias("__b"), "conv_id"))["conv_id"].alias("opens"))
