@@ -45,8 +45,8 @@ LOT = 4 << 20
 HEADER = 128
 SAMPLE = 256
 FORMAT = "SKYMESH-IDS-1"
-#: pieces that a worker keeps with their ids, and the longest of them; more only costs time
-KEPT, KEPT_BYTES = 3 << 17, 32
+#: pieces of either age that a worker keeps with their ids, and the longest of them; others only cost time
+KEPT, KEPT_BYTES = 3 << 16, 32
 
 #: first bytes of characters that may stand beside a cut: no white space begins with them, nor is any of them ASCII white space
 _BESIDE = np.zeros(256, bool)
@@ -175,7 +175,7 @@ def loaded(path: str):
     tokenizer = Tokenizer.from_str(json.dumps(own))
     width = 2 if max(tokenizer.get_vocab_size(True), END + 1) <= 1 << 16 else 4
     plain = plain and " " not in inside and "\n" not in inside
-    return tokenizer, apart if plain else None, width, {}
+    return tokenizer, apart if plain else None, width, [{}, {}]
 
 
 def cuts(flat: np.ndarray, apart: np.ndarray) -> np.ndarray:
@@ -201,6 +201,7 @@ def cuts(flat: np.ndarray, apart: np.ndarray) -> np.ndarray:
 def encoded(texts_: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts, one after another and each closed by ``END``, and the number of ids of each text."""
     tokenizer, apart, width, kept = loaded(path)
+    kind = np.dtype(f"<u{width}")
     flat, offsets = kernel.text_bytes(texts_)
     edge = np.zeros(len(flat) + 1, bool)
     edge[offsets] = True
@@ -210,17 +211,25 @@ def encoded(texts_: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     pieces = pa.Array.from_buffers(pa.large_string(), len(places) - 1, [None, pa.py_buffer(places), pa.py_buffer(np.ascontiguousarray(flat))]) if len(flat) else pa.array([], pa.large_string())
     coded = pieces.dictionary_encode()
     words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-    ids: list = [kept.get(w) for w in words]
-    new = [w for w, x in zip(words, ids, strict=True) if x is None]
-    if new:
-        if len(kept) + len(new) > KEPT:
-            kept.clear()
-        own = {}
-        for i in range(0, len(new), 4096):  # the library's results are many times their ids
-            part = new[i : i + 4096]
-            own |= {w: np.array(x.ids, f"<u{width}").tobytes() for w, x in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True)}
-        kept.update((w, x) for w, x in own.items() if len(w) <= KEPT_BYTES)
-        ids = [own[w] if x is None else x for w, x in zip(words, ids, strict=True)]
+    young, old = kept
+    ids: list = [young.get(w) for w in words]
+    missing = [i for i, x in enumerate(ids) if x is None]
+    new = []
+    for i in missing:
+        w = words[i]
+        x = ids[i] = old.get(w)
+        if x is None:
+            new.append(i)
+        else:
+            young[w] = x
+    for a in range(0, len(new), 4096):  # the library's results are many times their ids
+        part = new[a : a + 4096]
+        for i, x in zip(part, tokenizer.encode_batch_fast([words[i] for i in part], add_special_tokens=False), strict=True):
+            own = ids[i] = np.array(x.ids, kind).tobytes()
+            if len(words[i]) <= KEPT_BYTES:
+                young[words[i]] = own
+    if len(young) > KEPT:  # what hasn't been met since the last time goes
+        kept[:] = {}, young
 
     # gather: the ids of each piece in turn, then the end id of each text
     size = np.array([len(x) for x in ids], np.int64) // width
