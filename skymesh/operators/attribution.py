@@ -6,15 +6,15 @@ leaves.  The table of a Spark model is read from what its writer saves.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from functools import partial
-from math import factorial
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skymesh.operators import trees
+
 NODES = "tree int, node int, value double, cover double, feature int, threshold double, left int, right int"
 
 
@@ -40,35 +40,8 @@ LEAVES = "tree int, leaf int, bias double, value double, contributions array<dou
 
 def _leaves_of_tree(pdf: pd.DataFrame, features: int) -> pd.DataFrame:
     """The leaves of one tree, left first: the parts of their path's changes of value by the parent's feature."""
-    pdf = pdf.sort_values("node")
-    node, value = pdf["node"].to_numpy(), pdf["value"].to_numpy(float)
-    inner = pdf["feature"].to_numpy() >= 0
-    at = lambda c: np.where(inner, np.searchsorted(node, pdf[c].to_numpy()), -1)
-    left, right, feature = at("left"), at("right"), pdf["feature"].to_numpy()
-    below = np.ones(len(node), bool)
-    below[left[inner]] = below[right[inner]] = False
-    root = int(np.flatnonzero(below)[0])
-    parts = np.zeros((len(node), features))
-    levels, level = [], np.array([root])
-    while len(level):
-        levels.append(level)
-        own = level[inner[level]]
-        for child in (left[own], right[own]):
-            parts[child] = parts[own]
-            parts[child, feature[own]] += value[child] - value[own]
-        level = np.concatenate([left[own], right[own]])
-    # how many leaves stand below each node, bottom up; then each leaf's ordinal, top down
-    many = (~inner).astype(np.int64)
-    for level in reversed(levels):
-        own = level[inner[level]]
-        many[own] = many[left[own]] + many[right[own]]
-    first = np.zeros(len(node), np.int64)
-    for level in levels:
-        own = level[inner[level]]
-        first[left[own]], first[right[own]] = first[own], first[own] + many[left[own]]
-    leaf = np.flatnonzero(~inner)
-    leaf = leaf[np.argsort(first[leaf])]
-    return pd.DataFrame({"tree": int(pdf["tree"].iloc[0]), "leaf": first[leaf], "bias": value[root], "value": value[leaf], "contributions": list(parts[leaf])})
+    own = trees.Tree.of(*(pdf[c].to_numpy(float if c in ("threshold", "value", "cover") else np.int64) for c in trees.COLUMNS))
+    return pd.DataFrame({"tree": int(pdf["tree"].iloc[0]), "leaf": own.leaf[own.leaves], "bias": own.value[0], "value": own.value[own.leaves], "contributions": list(own.changes(features))})
 
 
 def leaf_paths(nodes: DataFrame, features: int) -> DataFrame:
@@ -83,12 +56,31 @@ def leaf_paths(nodes: DataFrame, features: int) -> DataFrame:
 
 def interpret(reached: DataFrame, paths: DataFrame, keys: Sequence[str], features: int) -> DataFrame:
     """Of rows that reach leaves (keys, tree, leaf): (keys, predict, bias, contributions), an array with 0 for features
-    that no path uses; averages over the trees.  One join with the leaves and one aggregation."""
+    that no path uses; averages over the trees.  One join with the leaves and one aggregation, for leaves that come as a
+    table; rows whose features are known take ``interpret_rows``."""
     flat = paths.select("tree", "leaf", "bias", "value", *(F.col("contributions")[i].alias(f"d{i}") for i in range(features)))
     met = reached.join(flat, ["tree", "leaf"]).groupBy(*keys).agg(F.avg("value").alias("predict"), F.avg("bias").alias("bias"), *(F.avg(f"d{i}").alias(f"d{i}") for i in range(features)))
     return met.select(*keys, "predict", "bias", F.array(*(f"d{i}" for i in range(features))).alias("contributions"))
 
 
+def _contributions(forest: list[trees.Tree], x: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(x), x.shape[1] + 2))
+    for t in forest:
+        at = t.leaf[t.reached(x)]
+        out[:, 0] += t.value[t.leaves][at]
+        out[:, 1] += t.value[0]
+        out[:, 2:] += t.changes(x.shape[1])[at]
+    return out
+
+
+def interpret_rows(df: DataFrame, nodes: DataFrame, features: Sequence[str], keys: Sequence[str], most: int = trees.NODES) -> DataFrame:
+    """(keys, predict, bias, contributions) of rows with their features, as ``interpret`` gives.  Each row's leaves index an
+    array of the leaves' parts inside one map for each part of the forest: nothing is joined or exchanged."""
+    sums, n = trees.summed(df, nodes, features, keys, len(features) + 2, _contributions, most)
+    mean = F.transform("sums", lambda v: v / n)
+    return sums.select(*(F.col(f"`{k}`") for k in keys), mean[0].alias("predict"), mean[1].alias("bias"), F.slice(mean, 3, max(1, len(features))).alias("contributions"))
+
+
 def long_contributions(interpreted: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, predict, bias, feature, contribution): a row for each feature."""
     return interpreted.select(*keys, "predict", "bias", F.posexplode("contributions").alias("feature", "contribution"))
@@ -106,79 +98,30 @@ def reach_by_rules(df: DataFrame, nodes: DataFrame, features: Sequence[str], key
         right, n = leaf_of(tree, r.right, n)
         return F.when(F.col(features[r.feature]) <= r.threshold, left).otherwise(right), n
 
-    trees = sorted(_walk(nodes).items())
-    reached = F.array(*(F.struct(F.lit(k).alias("tree"), leaf_of(t, _root(t), 0)[0].alias("leaf")) for k, t in trees))
+    forest = sorted(_walk(nodes).items())
+    reached = F.array(*(F.struct(F.lit(k).alias("tree"), leaf_of(t, _root(t), 0)[0].alias("leaf")) for k, t in forest))
     return df.select(*keys, F.explode(reached).alias("at")).select(*keys, "at.tree", "at.leaf")
 
 
 def _walk(nodes: DataFrame) -> dict[int, dict]:
-    """The trees by their nodes; a forest that is sent to tasks as a whole is small."""
-    trees: dict[int, dict] = {}
+    """The trees by their nodes, of small forests that become conditions."""
+    trees_: dict[int, dict] = {}
     for r in nodes.collect():
-        trees.setdefault(r.tree, {})[r.node] = r
-    return trees
+        trees_.setdefault(r.tree, {})[r.node] = r
+    return trees_
 
 
 def _root(tree: dict) -> int:
     return (set(tree) - {c for r in tree.values() for c in (r.left, r.right)}).pop()
 
 
-def _leaf_boxes(tree: dict) -> list[tuple[float, list[tuple[int, float, float, float]]]]:
-    """Of each leaf: its value and, for each feature of its path, the interval (low, high] that leads to
-    it and the share of cover that goes its way."""
-    out = []
-
-    def visit(node, box):
-        r = tree[node]
-        if r.feature < 0:
-            out.append((r.value, [(f, lo, hi, z) for f, (lo, hi, z) in box.items()]))
-            return
-        lo, hi, z = box.get(r.feature, (-np.inf, np.inf, 1.0))
-        share = tree[r.left].cover / r.cover
-        visit(r.left, box | {r.feature: (lo, min(hi, r.threshold), z * share)})
-        visit(r.right, box | {r.feature: (max(lo, r.threshold), hi, z * (1 - share))})
-
-    visit(_root(tree), {})
-    return out
+def _shapley(forest: list[trees.Tree], x: np.ndarray) -> np.ndarray:
+    return np.column_stack([sum(t.shapley(x) for t in forest), np.full(len(x), sum(t.expected() for t in forest))])
 
 
-def shap_values(x: np.ndarray, forest: list[list[tuple]]) -> tuple[np.ndarray, float]:
-    """Path-dependent Shapley values of the rows of ``x``, and their base value.
-
-    A leaf's share for feature i sums, over the subsets of the other path features, the product of what
-    holds (inside the subset) and of cover shares (outside); the sums over subsets of one size are the
-    coefficients of a product of linear terms, so a leaf with m features takes m^2 steps, not 2^m."""
-    out, base = np.zeros(x.shape), 0.0
-    for leaves in forest:
-        for value, box in leaves:
-            m = len(box)
-            base += value * float(np.prod([z for *_, z in box])) / len(forest)
-            if not m:
-                continue
-            one = np.stack([(x[:, f] > lo) & (x[:, f] <= hi) for f, lo, hi, _ in box]).astype(float)
-            weight = np.array([factorial(k) * factorial(m - 1 - k) / factorial(m) for k in range(m)])
-            for i, (f, _, _, z_i) in enumerate(box):
-                poly = np.zeros((m, len(x)))
-                poly[0] = 1.0
-                for n, j in enumerate(k for k in range(m) if k != i):
-                    poly[1 : n + 2] = poly[1 : n + 2] * box[j][3] + poly[: n + 1] * one[j]
-                    poly[0] *= box[j][3]
-                out[:, f] += value * (one[i] - z_i) * (weight @ poly) / len(forest)
-    return out, base
-
-
-def _explained(batches: Iterator[pd.DataFrame], forest, features: list[str], keys: list[str]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        x = pdf[features].to_numpy(float)
-        values, base = shap_values(x, forest)
-        long = pd.concat([pdf[keys].assign(feature=f, shap_value=values[:, i], feature_value=x[:, i], base_value=base) for i, f in enumerate(features)])
-        yield long
-
-
-def tree_shap(df: DataFrame, nodes: DataFrame, features: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    """The explanation (keys, feature, shap_value, feature_value, base_value) by exact tree SHAP.  The
-    forest, whose size the training parameters bound, goes to the tasks; rows stay where they are."""
-    forest = [_leaf_boxes(t) for _, t in sorted(_walk(nodes).items())]
-    types = "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keys)
-    own = df.select(*keys, *(F.col(f).cast("double").alias(f) for f in features))
-    return own.mapInPandas(partial(_explained, forest=forest, features=list(features), keys=list(keys)), types + "feature string, shap_value double, feature_value double, base_value double")
+def tree_shap(df: DataFrame, nodes: DataFrame, features: Sequence[str], keys: Sequence[str], most: int = trees.NODES) -> DataFrame:
+    """The explanation (keys, feature, shap_value, feature_value, base_value) by exact tree SHAP, path-dependent.  The forest
+    goes to the tasks as arrays, in parts of at most ``most`` nodes; rows stay where they are."""
+    sums, n = trees.summed(df, nodes, features, keys, len(features) + 1, _shapley, most)
+    each = F.array(*(F.struct(F.lit(f).alias("feature"), (F.col("sums")[i] / n).alias("shap_value"), F.col(f"`{f}`").alias("feature_value")) for i, f in enumerate(features)))
+    return sums.select(*(F.col(f"`{k}`") for k in keys), (F.col("sums")[len(features)] / n).alias("base_value"), F.explode(each).alias("x")).select(*(F.col(f"`{k}`") for k in keys), "x.*", "base_value")

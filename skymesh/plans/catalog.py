@@ -424,7 +424,7 @@ def reached(spark, sf_dir):
 
 
 def interpreted(spark, sf_dir):
-    return attribution.interpret(reached(spark, sf_dir), attribution.leaf_paths(tiny_forest(spark), 2), ROW_KEY, 2)
+    return attribution.interpret_rows(ml_rows(spark, sf_dir), tiny_forest(spark), TREE, ROW_KEY)
 
 
 def off_balance(got: DataFrame, by: tuple = ()) -> DataFrame:
@@ -601,8 +601,7 @@ def rf_importance(spark, sf_dir):
 
 
 def attributed(spark, rows, model, keys) -> DataFrame:
-    paths = attribution.leaf_paths(attribution.node_table(model, shared(spark, "forest"), spark), len(FEATURES))
-    return attribution.interpret(forest.leaves(model, rows, keys), paths, keys, len(FEATURES))
+    return attribution.interpret_rows(rows, attribution.node_table(model, shared(spark, "forest"), spark), FEATURES, keys)
 
 
 @query()

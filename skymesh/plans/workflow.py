@@ -144,7 +144,7 @@ def explain(spark: SparkSession, path: str, run: str, features: Sequence[str], m
         if mode == "shap":
             one = attribution.tree_shap(rows, nodes, features, keys)
         else:
-            got = attribution.interpret(forest.leaves(model, rows, keys), attribution.leaf_paths(nodes, len(features)), keys, len(features))
+            got = attribution.interpret_rows(rows, nodes, features, keys)
             one = reshape.to_explanation(got, rows, features, keys)
         one = one.withColumn("fold_year", F.lit(r.fold_year))
         out = one if out is None else out.unionByName(one)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skymesh.functions import columns as fn
-from skymesh.operators import attribution, folds, forest, grid, report, reshape, select, stats, temporal
+from skymesh.operators import attribution, folds, forest, grid, report, reshape, select, stats, temporal, trees
 from skymesh.plans.inputs import FEATURES, ROW_KEY, TINY_FOREST, ml_rows, tiny_forest
 from skymesh.sources import manifests, tables
 
@@ -183,16 +183,62 @@ def brute_shapley(tree, x):
     return out, value(0, set())
 
 
+def flat(tree):
+    columns = dict(zip(["tree", "node", "value", "cover", "feature", "threshold", "left", "right"], zip(*tree, strict=True), strict=True))
+    return trees.Tree.of(*(np.array([np.nan if v is None else v for v in columns[c]], float if c in ("threshold", "value", "cover") else np.int64) for c in trees.COLUMNS))
+
+
+def random_tree(rng, features, depth):
+    rows, todo, n = [], [(0, 0, 1000.0)], 1
+    while todo:
+        node, level, cover = todo.pop()
+        if level == depth or cover < 2 or (level and rng.random() < 0.15):
+            rows.append((0, node, float(rng.normal()), cover, -1, None, -1, -1))
+            continue
+        part = round(cover * rng.uniform(0.1, 0.9), 3)
+        rows.append((0, node, float(rng.normal()), cover, int(rng.integers(features)), float(rng.uniform(0, 1)), n, n + 1))
+        todo += [(n, level + 1, part), (n + 1, level + 1, cover - part)]
+        n += 2
+    return rows
+
+
+@pytest.mark.parametrize("features,depth,patterns", [(3, 5, 6), (3, 5, 0), (6, 5, 6), (6, 5, 0), (8, 6, 6), (2, 7, 0)])
+def test_both_ways_to_shapley_values_are_brute_force(monkeypatch, features, depth, patterns):
+    monkeypatch.setattr(trees, "PATTERNS", patterns)
+    rng = np.random.default_rng(features + depth)
+    for _ in range(3):
+        tree = random_tree(rng, features, depth)
+        own = flat(tree)
+        x = rng.uniform(-0.2, 1.2, (4, features))
+        x[0, 0] = np.nan
+        got = own.shapley(x)
+        for i, row in enumerate(np.where(np.isnan(x), np.inf, x)):
+            want, base = brute_shapley(tree, row)
+            assert np.allclose(got[i], want, atol=1e-12) and np.isclose(base, own.expected())
+            assert np.isclose(got[i].sum() + base, own.value[own.reached(x[i : i + 1])[0]])
+
+
+def test_a_forest_in_parts_gives_the_same(spark):
+    rng = np.random.default_rng(7)
+    rows = [(t, *r[1:]) for t in range(5) for r in random_tree(rng, 4, 5)]
+    nodes = spark.createDataFrame(rows, attribution.NODES)
+    df = spark.createDataFrame([(i, *map(float, rng.uniform(0, 1, 4))) for i in range(50)] + [(50, None, 0.5, float("nan"), 0.1)], "k int, a double, b double, c double, d double")
+    names = ["a", "b", "c", "d"]
+    for f in (attribution.tree_shap, attribution.interpret_rows):
+        whole, parted = (f(df, nodes, names, ["k"], most=m) for m in (1 << 20, 10))
+        key = lambda r: (r.k, getattr(r, "feature", ""))
+        for a, b in zip(sorted(whole.collect(), key=key), sorted(parted.collect(), key=key), strict=True):
+            flat_ = lambda r: [x for v in r if not isinstance(v, str) for x in (v if isinstance(v, list) else [np.nan if v is None else v])]
+            assert np.allclose(flat_(a), flat_(b), equal_nan=True)
+    assert "Exchange" not in attribution.interpret_rows(df, nodes, names, ["k"])._jdf.queryExecution().executedPlan().toString()
+
+
 def test_tree_shap_is_brute_force_shapley():
     tree = [(0, 0, 0, 100.0, 0, 1.0, 1, 2), (0, 1, 0, 60.0, 1, 2.0, 3, 4), (0, 2, 9.0, 40.0, -1, None, -1, -1), (0, 3, 1.0, 20.0, -1, None, -1, -1), (0, 4, 0, 40.0, 2, 0.5, 5, 6), (0, 5, 5.0, 10.0, -1, None, -1, -1), (0, 6, 0, 30.0, 0, 0.2, 7, 8), (0, 7, 2.0, 12.0, -1, None, -1, -1), (0, 8, 3.0, 18.0, -1, None, -1, -1)]
 
-    class Row:
-        def __init__(self, r):
-            self.tree, self.node, self.value, self.cover, self.feature, self.threshold, self.left, self.right = r
-
-    forest_ = [attribution._leaf_boxes({r[1]: Row(r) for r in tree})]
+    own = flat(tree)
     x = np.array([[0.1, 3.0, 1.0], [0.5, 1.0, 0.0], [2.0, 2.0, 0.5], [0.2, 2.5, 0.4]])
-    got, base = attribution.shap_values(x, forest_)
+    got, base = own.shapley(x), own.expected()
     for i, row in enumerate(x):
         want, b = brute_shapley(tree, row)
         assert np.allclose(got[i], want) and np.isclose(base, b)
@@ -214,6 +260,9 @@ def test_attribution_adds_up(spark, fitted, tmp_path):
     both = whole.join(long.groupBy(*ROW_KEY).agg(F.sum("contribution").alias("c")), ROW_KEY).join(model.transform(test).select(*ROW_KEY, F.col("predict").alias("p")), ROW_KEY)
     facts = both.agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("p") - F.col("bias") - F.col("c"))).alias("off"), F.max(F.abs(F.col("p") - F.col("predict"))).alias("same")).first()
     assert facts.n == test.count() and facts.off < 1e-8 and facts.same < 1e-8
+    mapped = attribution.interpret_rows(test, nodes, FEATURES, ROW_KEY).select(*ROW_KEY, F.col("predict").alias("m"), F.col("bias").alias("mb"), F.col("contributions").alias("mc"))
+    apart = mapped.join(whole, ROW_KEY).agg(F.max(F.abs(F.col("m") - F.col("predict"))), F.max(F.abs(F.col("mb") - F.col("bias"))), F.max(F.aggregate(F.zip_with("mc", "contributions", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, b: a + b))).first()
+    assert max(apart) < 1e-8
     shap = attribution.tree_shap(test, nodes, FEATURES, ROW_KEY).groupBy(*ROW_KEY).agg((F.sum("shap_value") + F.max("base_value")).alias("s"))
     assert shap.join(both, ROW_KEY).agg(F.max(F.abs(F.col("s") - F.col("p")))).first()[0] < 1e-8
 
