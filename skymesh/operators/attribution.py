@@ -86,8 +86,8 @@ def long_contributions(interpreted: DataFrame, keys: Sequence[str]) -> DataFrame
     return interpreted.select(*keys, "predict", "bias", F.posexplode("contributions").alias("feature", "contribution"))
 
 
-def reach_by_rules(df: DataFrame, nodes: DataFrame, features: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    """(keys, tree, leaf) of rows in a forest given as a node table, by one nested condition for each tree
+def leaves_by_rules(df: DataFrame, nodes: DataFrame, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """``keep`` and ``leaves``, each row's leaf in each tree of a forest given as a node table, by one nested condition for each tree
     (for small forests; a fitted model gives its leaves itself).  A missing value goes right."""
 
     def leaf_of(tree: dict, node: int, first: int):
@@ -98,9 +98,14 @@ def reach_by_rules(df: DataFrame, nodes: DataFrame, features: Sequence[str], key
         right, n = leaf_of(tree, r.right, n)
         return F.when(F.col(features[r.feature]) <= r.threshold, left).otherwise(right), n
 
-    forest = sorted(_walk(nodes).items())
-    reached = F.array(*(F.struct(F.lit(k).alias("tree"), leaf_of(t, _root(t), 0)[0].alias("leaf")) for k, t in forest))
-    return df.select(*keys, F.explode(reached).alias("at")).select(*keys, "at.tree", "at.leaf")
+    return df.select(*keep, F.array(*(leaf_of(t, _root(t), 0)[0] for _, t in sorted(_walk(nodes).items()))).alias("leaves"))
+
+
+def reach_by_rules(df: DataFrame, nodes: DataFrame, features: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """(keys, tree, leaf) of rows in a small forest given as a node table, by ``leaves_by_rules``."""
+    names = F.array(*(F.lit(k) for k in sorted(_walk(nodes))))
+    own = leaves_by_rules(df, nodes, features, keys)
+    return own.select(*keys, F.explode(F.arrays_zip(names.alias("tree"), "leaves")).alias("at")).select(*keys, "at.tree", F.col("at.leaves").alias("leaf"))
 
 
 def _walk(nodes: DataFrame) -> dict[int, dict]:

@@ -47,12 +47,6 @@ def prepare(df: DataFrame, features: Sequence[str], target: str = "target") -> t
     return (None, empty) if not used or out.isEmpty() else (assemble(out, used), empty)
 
 
-def leaf_cap(rows: int, leaves: int) -> dict:
-    """The parameter that keeps a tree under ``leaves`` leaves: each must hold its part of the rows (and a little more, as
-    a bootstrap sample can be larger than the table)."""
-    return {"minInstancesPerNode": max(1, math.ceil((rows + 6 * math.sqrt(rows)) / leaves))}
-
-
 def side_by_side(spark: SparkSession, jobs: Sequence[Callable], at_once: int = 4) -> Iterator:
     """What the jobs give, in their order, ``at_once`` of them running at a time."""
     with ThreadPoolExecutor(at_once) as pool:
@@ -86,34 +80,6 @@ def model_importance(model: RandomForestRegressionModel, spark, features: Sequen
     return spark.createDataFrame([(f, float(total[i]), float(each[:, i].std())) for i, f in enumerate(features)], "feature string, importance double, std double")
 
 
-def permutation_importance(df: DataFrame, model, features: Sequence[str], keys: Sequence[str], repeats: int = 5, seed: int = 1) -> DataFrame:
-    """Mean and deviation of the drop of R2 when a feature's values are permuted.
-
-    Rows are numbered once, in the order of their keys' hash: a random order, so that moving every row on by the same
-    number of places is a random pairing.  Each repeat has its own number; all repeats and features share one join."""
-    own = df.select(*keys, "target", *features)
-    n = own.count()
-    # numbers by hashed bins, so that no window takes all rows; at most 10,000 bins, so their offsets stay small
-    binned = own.withColumn("__h", F.xxhash64(*keys, F.lit(seed))).withColumn("__b", F.pmod("__h", F.lit(min(10_000, max(1, n // 20_000)))))
-    sizes = binned.groupBy("__b").agg(F.count(F.lit(1)).alias("__c"))
-    before = sizes.select("__b", (F.sum("__c").over(Window.orderBy("__b")) - F.col("__c")).alias("__s"))
-    at = F.row_number().over(Window.partitionBy("__b").orderBy("__h", *keys)) - 1 + F.col("__s")
-    base = binned.join(F.broadcast(before), "__b").select(at.alias("at"), "target", *features)
-
-    rng = np.random.default_rng(seed)
-    steps = F.array(*(F.struct(F.lit(r).alias("rep"), F.lit(int(x)).alias("by")) for r, x in enumerate(rng.integers(1, max(2, n), repeats))))
-    moved = base.select("at", *(F.col(f).alias(f"__{f}") for f in features)).withColumn("x", F.explode(steps))
-    moved = moved.select(((F.col("at") + F.col("x.by")) % n).alias("at"), "x.rep", *(f"__{f}" for f in features))
-    both = base.join(moved, "at")
-    rows = F.array(*(F.struct(F.lit(g).alias("permuted"), *((F.col(f"__{f}") if f == g else F.col(f)).alias(f) for f in features)) for g in ["", *features]))
-    scored = model.transform(assemble(both.select("rep", "target", F.explode(rows).alias("x")).select("rep", "target", "x.*"), features))
-    e = (F.col("target") - F.col("predict")) ** 2
-    r2 = scored.groupBy("rep", "permuted").agg((1 - F.sum(e) / (F.var_pop("target") * F.count(F.lit(1)))).alias("r2"))
-    plain = r2.filter("permuted = ''").select("rep", F.col("r2").alias("plain"))
-    drop = r2.filter("permuted <> ''").join(plain, "rep").select(F.col("permuted").alias("feature"), (F.col("plain") - F.col("r2")).alias("drop"))
-    return drop.groupBy("feature").agg(F.avg("drop").alias("importance"), F.stddev_pop("drop").alias("std"))
-
-
 def interval_quantiles(percents: Sequence[float]) -> list[float]:
     """The lower and upper quantiles of central intervals, rounded, sorted and each once; 0 is the median."""
     out = set()
@@ -128,34 +94,47 @@ def leaves(model, df: DataFrame, keep: Sequence[str]) -> DataFrame:
     return model.transform(df).select(*keep, F.posexplode(vector_to_array("leaf")).alias("tree", "leaf"))
 
 
-def quantiles(samples: DataFrame, reached: DataFrame, keys: Sequence[str], at: Sequence[float], bins: int = 256) -> DataFrame:
+def leaf_arrays(model, df: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """``keep`` and ``leaves``, the leaf that the row reaches in each tree."""
+    return model.transform(df).select(*keep, vector_to_array("leaf").cast("array<int>").alias("leaves"))
+
+
+def quantiles(samples: DataFrame, rows: DataFrame, keys: Sequence[str], at: Sequence[float], bins: int = 256) -> DataFrame:
     """Quantiles of the training targets in the leaves that a row reaches.
 
-    ``samples`` (tree, leaf, target) of the training rows, ``reached`` (keys, tree, leaf).  A sample weighs
+    ``samples`` (leaves, target) of the training rows, ``rows`` (keys, leaves), with a leaf for each tree.  A sample weighs
     1 / (trees x size of its leaf); a quantile is the least target whose cumulative weight reaches it.
-    Rows that reach the same leaves share their quantiles.  For these the bin of targets that holds a
-    quantile is found first, and then only its targets are looked at: the result is exact."""
-    where = reached.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("tree", "leaf"))).alias("__leaves"))
-    kinds = where.select("__leaves").distinct().select("__leaves", F.explode("__leaves").alias("x")).select("__leaves", "x.tree", "x.leaf")
-    size = samples.groupBy("tree", "leaf").agg(F.count(F.lit(1)).alias("size"))
-    values = samples.groupBy("tree", "leaf", "target").agg(F.count(F.lit(1)).alias("c")).join(size, ["tree", "leaf"])
+    Rows that reach the same leaves share their quantiles.  The samples of a leaf are sorted arrays of targets and weights, one
+    for each bin of targets: the bin that holds a quantile is found by the bins' weights, then the arrays of its
+    trees are merged up to the quantile, so the result is exact."""
+    kinds = rows.select("leaves").distinct().select("leaves", F.posexplode("leaves").alias("tree", "leaf"))
+    own = samples.select("target", F.posexplode("leaves").alias("tree", "leaf"))
+    size = own.groupBy("tree", "leaf").agg(F.count(F.lit(1)).alias("size"))
+    values = own.groupBy("tree", "leaf", "target").agg(F.count(F.lit(1)).alias("c")).join(size, ["tree", "leaf"])
     values = values.select("tree", "leaf", F.col("target").alias("y"), F.col("target").cast("double").alias("__y"), (F.col("c") / F.col("size")).alias("w"))
     edges = sorted(set(samples.select(F.col("target").cast("double").alias("__y")).approxQuantile("__y", [i / bins for i in range(1, bins)], 0.001))) if bins > 1 else []
     values = Bucketizer(splits=[-math.inf, *edges, math.inf], inputCol="__y", outputCol="bin", handleInvalid="keep").transform(values) if edges else values.withColumn("bin", F.lit(0.0))
+    cells = values.groupBy("tree", "leaf", "bin").agg(F.sum("w").alias("w"), F.sort_array(F.collect_list(F.struct("y", "w"))).alias("ys"))
 
-    met = kinds.join(values.groupBy("tree", "leaf", "bin").agg(F.sum("w").alias("w")), ["tree", "leaf"]).groupBy("__leaves", "bin").agg(F.sum("w").alias("w"))
-    to_bin = Window.partitionBy("__leaves").orderBy("bin")
+    met = kinds.join(cells.select("tree", "leaf", "bin", "w"), ["tree", "leaf"]).groupBy("leaves", "bin").agg(F.sum("w").alias("w"))
+    to_bin = Window.partitionBy("leaves").orderBy("bin")
     upto = F.sum("w").over(to_bin.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     before = F.coalesce(F.sum("w").over(to_bin.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    part = met.select("__leaves", "bin", upto.alias("upto"), before.alias("before"), F.sum("w").over(Window.partitionBy("__leaves")).alias("whole"))
+    part = met.select("leaves", "bin", upto.alias("upto"), before.alias("before"), F.sum("w").over(Window.partitionBy("leaves")).alias("whole"))
     wanted = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q")) for i, q in enumerate(at))))
-    part = part.withColumn("x", wanted).select("__leaves", "bin", "before", "whole", "upto", "x.*")
+    part = part.withColumn("x", wanted).select("leaves", "bin", "before", "whole", "upto", "x.*")
     part = part.filter((F.col("upto") / F.col("whole") >= F.col("q") - 1e-9) & ((F.col("before") == 0) | (F.col("before") / F.col("whole") < F.col("q") - 1e-9)))
 
-    inside = part.join(kinds, "__leaves").join(values, ["tree", "leaf", "bin"]).groupBy("__leaves", "i", "q", "before", "whole", "y").agg(F.sum("w").alias("w"))
-    run = Window.partitionBy("__leaves", "i").orderBy("y").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = inside.select("__leaves", "i", "q", "y", ((F.col("before") + F.sum("w").over(run)) / F.col("whole")).alias("cum"))
+    arrays = part.select("*", F.posexplode("leaves").alias("tree", "leaf")).join(cells.select("tree", "leaf", "bin", "ys"), ["tree", "leaf", "bin"])
+    merged = arrays.groupBy("leaves", "i", "q", "before", "whole").agg(F.array_sort(F.flatten(F.collect_list("ys"))).alias("ys"))
+    y = merged.schema["ys"].dataType.elementType["y"].dataType
+    start = F.struct(F.col("before").alias("cum"), F.lit(None).cast(y).alias("y"))
+
+    def step(acc, x):
+        cum = acc["cum"] + x["w"]
+        return F.when(acc["y"].isNotNull(), acc).otherwise(F.struct(cum.alias("cum"), F.when(cum / F.col("whole") >= F.col("q") - 1e-9, x["y"]).alias("y")))
+
     # the last target of the bin reaches the quantile, whatever the order of the sums rounds to
-    found = cum.groupBy("__leaves", "i").agg(F.coalesce(F.min(F.when(F.col("cum") >= F.col("q") - 1e-9, F.col("y"))), F.max("y")).alias("y"))
-    found = found.groupBy("__leaves").agg(*(F.max(F.when(F.col("i") == i, F.col("y"))).alias("q_" + f"{q:g}".replace(".", "_")) for i, q in enumerate(at)))
-    return where.join(found, "__leaves").drop("__leaves")
+    found = merged.select("leaves", "i", F.coalesce(F.aggregate("ys", start, step)["y"], F.element_at("ys", -1)["y"]).alias("y"))
+    found = found.groupBy("leaves").agg(*(F.max(F.when(F.col("i") == i, F.col("y"))).alias("q_" + f"{q:g}".replace(".", "_")) for i, q in enumerate(at)))
+    return rows.select(*keys, "leaves").join(found, "leaves").drop("leaves")

@@ -1,4 +1,4 @@
-"""Forests as flat arrays that tasks evaluate: leaves reached, contributions, Shapley values.
+"""Forests as flat arrays that tasks evaluate: leaves reached, contributions, Shapley values, caps, permutations.
 
 A tree's nodes are numbered level by level, so children follow their parents and a step over a level is a few array
 operations for all its nodes and a block of rows.  Rows stay where they are: a forest goes to them in parts of at most
@@ -10,10 +10,12 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import cached_property, partial
+from heapq import heappop, heappush
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 COLUMNS = ["node", "feature", "threshold", "left", "right", "value", "cover"]
@@ -264,3 +266,144 @@ def summed(df: DataFrame, nodes: DataFrame, features: Sequence[str], keep: Seque
         count += len(trees)
         out = out.mapInArrow(partial(_added, trees=trees, features=list(features), width=width, give=give), out.schema)
     return out, count
+
+
+# -- leaf caps ------------------------------------------------------------------------------------
+def best_first(tree: Tree, leaves: int) -> np.ndarray:
+    """Which inner nodes stay open when a tree grows from its root, always at the leaf whose split gains most, to ``leaves``
+    leaves.  A split's gain is the cover of its children times the square of their change of value; ties go to the node
+    nearer to the root, then further left."""
+    opened = np.zeros(len(tree.feature), bool)
+    inner = np.flatnonzero(tree.feature >= 0)
+    gain = np.zeros(len(tree.feature))
+    for child in (tree.left, tree.right):
+        gain[inner] += tree.cover[child[inner]] * (tree.value[child[inner]] - tree.value[inner]) ** 2
+    heap = [(-gain[0], 0)] if tree.feature[0] >= 0 else []
+    for _ in range(leaves - 1):
+        if not heap:
+            break
+        _, i = heappop(heap)
+        opened[i] = True
+        for c in (tree.left[i], tree.right[i]):
+            if tree.feature[c] >= 0:
+                heappush(heap, (-gain[c], int(c)))
+    return opened
+
+
+def _capped(pdf: pd.DataFrame, leaves: int) -> pd.DataFrame:
+    own = Tree.of(*(pdf[c].to_numpy(float if c in ("threshold", "value", "cover") else np.int64) for c in COLUMNS))
+    opened = best_first(own, leaves)
+    stays = opened.copy()
+    stays[0] = True
+    for child in (own.left, own.right):
+        stays[child[opened]] = True
+    shown = lambda x, none: np.where(opened, x, none)
+    out = {"tree": int(pdf["tree"].iloc[0]), "node": np.arange(len(opened)), "value": own.value, "cover": own.cover, "feature": shown(own.feature, -1), "threshold": shown(own.threshold, np.nan), "left": shown(own.left, -1), "right": shown(own.right, -1)}
+    out = pd.DataFrame(out)[stays]
+    return out.assign(threshold=out["threshold"].astype(object).where(opened[stays], None))
+
+
+def leaf_capped(nodes: DataFrame, leaves: int) -> DataFrame:
+    """The node table of the forest whose trees have at most ``leaves`` leaves, grown best first; nodes get new numbers.
+
+    A split doesn't depend on the order in which nodes are opened, so this is the tree that growing under the cap would
+    have given.  A tree is one group, whose size the training parameters bound."""
+    if leaves < 1:
+        raise ValueError("a tree has a leaf at least")
+
+    def capped(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _capped(pdf, leaves)
+
+    return nodes.select("tree", *COLUMNS).groupBy("tree").applyInPandas(capped, "tree int, node int, value double, cover double, feature int, threshold double, left int, right int")
+
+
+# -- permutation importance -----------------------------------------------------------------------
+def mixed(x: np.ndarray, key: int) -> np.ndarray:
+    x = (x + np.uint64(key)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(31))
+
+
+def permuted(at: np.ndarray, n: int, key: int) -> np.ndarray:
+    """A bijection of the numbers under ``n``, one for each key: a Feistel network over as many bits as ``n`` needs, walked on
+    until the number is under ``n``."""
+    half = np.uint64(max(1, -(-(max(1, n - 1)).bit_length() // 2)))
+    low = np.uint64((1 << int(half)) - 1)
+    out = np.asarray(at, np.uint64).copy()
+    todo = np.arange(len(out))
+    while len(todo):
+        left, right = out[todo] >> half, out[todo] & low
+        for k in range(6):
+            left, right = right, left ^ (mixed(right, key * 64 + k + 1) & low)
+        out[todo] = left << half | right
+        todo = todo[out[todo] >= n]
+    return out.astype(np.int64)
+
+
+def _moved(batches, n: int, keys: list[int]) -> Iterator[pa.RecordBatch]:
+    """Each row once for each key, at its place of that permutation."""
+    for b in batches:
+        at = b.column("at").to_numpy()
+        for rep, key in enumerate(keys):
+            new = {"at": pa.array(permuted(at, n, key)), "rep": pa.array(np.full(len(at), rep, np.int32))}
+            yield pa.RecordBatch.from_arrays([new["at"], new["rep"], *(b.column(c) for c in b.schema.names if c != "at")], ["at", "rep", *(c for c in b.schema.names if c != "at")])
+
+
+def _lost(batches, forest: list[Tree], features: list[str]) -> Iterator[pa.RecordBatch]:
+    """Squared errors of rows as they are (feature -1) and with one feature from the other row, summed by repeat and feature.
+    Only trees that split by the feature are walked again."""
+    m = len(features)
+    uses = [set(t.feature[t.feature >= 0].tolist()) for t in forest]
+    for b in batches:
+        if not b.num_rows:
+            continue
+        x, other = matrix(b, features), matrix(b, [f"o_{f}" for f in features])
+        y, rep = b.column("target").to_numpy(), b.column("rep").to_numpy()
+        plain = np.stack([t.value[t.reached(x)] for t in forest])
+        total = plain.sum(0)
+        errors = [(y - total / len(forest)) ** 2]
+        for j in range(m):
+            now, kept = total, x[:, j].copy()
+            x[:, j] = other[:, j]
+            for t, u, v in zip(forest, uses, plain, strict=True):
+                if j in u:
+                    now = now + t.value[t.reached(x)] - v
+            x[:, j] = kept
+            errors.append((y - now / len(forest)) ** 2)
+        reps = np.unique(rep)
+        sums = np.array([[e[rep == r].sum() for e in errors] for r in reps])
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(reps, m + 1)), pa.array(np.tile(np.arange(-1, m, dtype=np.int32), len(reps))), pa.array(sums.ravel())], ["rep", "feature", "error"])
+
+
+def numbered(df: DataFrame, keys: Sequence[str], seed: int, columns: Sequence) -> tuple[DataFrame, int]:
+    """``columns`` with ``at``: a dense number from 0 in the order of the keys' hash, and the number of rows.
+
+    Numbers are counted in bins of the hash, so no window takes all rows; there are at most 10,000 bins, so their offsets
+    stay small."""
+    n = df.count()
+    binned = df.withColumn("__h", F.xxhash64(*keys, F.lit(seed))).withColumn("__b", F.pmod("__h", F.lit(min(10_000, max(1, n // 20_000)))))
+    sizes = binned.groupBy("__b").agg(F.count(F.lit(1)).alias("__c"))
+    before = sizes.select("__b", (F.sum("__c").over(Window.orderBy("__b")) - F.col("__c")).alias("__s"))
+    at = F.row_number().over(Window.partitionBy("__b").orderBy("__h", *keys)) - 1 + F.col("__s")
+    return binned.join(F.broadcast(before), "__b").select(at.alias("at"), *columns), n
+
+
+def permutation_importance(df: DataFrame, nodes: DataFrame, features: Sequence[str], keys: Sequence[str], repeats: int = 5, seed: int = 1, most: int = NODES) -> DataFrame:
+    """(feature, importance, std) of a forest: mean and deviation of the drop of R2 when a feature's values are permuted.
+
+    Rows are numbered once in the order of their keys' hash; each repeat pairs them by a bijection of its own.  One join for
+    all repeats and features; the errors are summed where rows are.  The forest goes to tasks as one part."""
+    own = [F.col(f"`{f}`").cast("double").alias(f) for f in features]
+    base, n = numbered(df.select(*keys, "target", *(c for c in features if c not in keys)), keys, seed, [F.col("target").cast("double").alias("target"), *own])
+    forest = [t for lot in parts(nodes, most) for t in lot]
+    rng = np.random.default_rng(seed)
+    moved = base.select("at", *(F.col(f).alias(f"o_{f}") for f in features))
+    types = "at bigint, rep int, " + ", ".join(f"`o_{f}` double" for f in features)
+    moved = moved.mapInArrow(partial(_moved, n=n, keys=[int(k) for k in rng.integers(1, 2**31, repeats)]), types)
+    errors = base.join(moved, "at").mapInArrow(partial(_lost, forest=forest, features=list(features)), "rep int, feature int, error double")
+    spread = base.agg((F.var_pop("target") * F.count(F.lit(1))).alias("spread"))  # one row
+    total = errors.groupBy("rep", "feature").agg(F.sum("error").alias("error"))
+    plain = total.filter("feature = -1").select("rep", F.col("error").alias("plain"))
+    drop = total.filter("feature >= 0").join(plain, "rep").crossJoin(F.broadcast(spread)).select("feature", F.try_divide(F.col("error") - F.col("plain"), "spread").alias("drop"))
+    name = F.element_at(F.array(*(F.lit(f) for f in features)), F.col("feature") + 1)
+    return drop.groupBy("feature").agg(F.avg("drop").alias("importance"), F.stddev_pop("drop").alias("std")).select(name.alias("feature"), "importance", "std")

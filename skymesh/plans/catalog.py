@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skymesh.functions import columns as fn
-from skymesh.operators import attribution, folds, forest, grid, report, reshape, select, stats, temporal
+from skymesh.operators import attribution, folds, forest, grid, report, reshape, select, stats, temporal, trees
 from skymesh.plans import workflow
 from skymesh.plans.inputs import CUBE, FEATURES, LATS, LONS, ML, OBS, ROW_KEY, SITES, VARIABLES, cube_hourly, ml_rows, site_hourly, station_obs, table, tiny_forest
 from skymesh.sources import manifests, tables
@@ -419,10 +419,6 @@ _C1 = "case when l_discount <= 0.03 then -8.0 else 8.0 end"
 TREE = ["l_quantity", "l_discount"]
 
 
-def reached(spark, sf_dir):
-    return attribution.reach_by_rules(ml_rows(spark, sf_dir), tiny_forest(spark), TREE, ROW_KEY)
-
-
 def interpreted(spark, sf_dir):
     return attribution.interpret_rows(ml_rows(spark, sf_dir), tiny_forest(spark), TREE, ROW_KEY)
 
@@ -456,12 +452,9 @@ _LEAF1 = "case when l_discount <= 0.03 then 0 when l_quantity <= 10 then 1 else
 
 @query(f"with {ML}, s as (select *, {_LEAF0} a, {_LEAF1} b from ml), tr as (select 0 tree, a leaf, p_size y from s where year < 1998 union all select 1, b, p_size from s where year < 1998), w as (select tree, leaf, y, count(*) / sum(count(*)) over (partition by tree, leaf) w from tr group by 1, 2, 3), te as (select distinct a, b from s where year >= 1998), m as (select a, b, y, sum(w) / 2 w from te join w on (tree = 0 and leaf = a) or (tree = 1 and leaf = b) group by 1, 2, 3), c as (select a, b, y, sum(w) over (partition by a, b order by y) cum from m), q as (select a, b, min(y) filter (cum >= 0.25 - 1e-9) q_0_25, min(y) filter (cum >= 0.5 - 1e-9) q_0_5, min(y) filter (cum >= 0.9 - 1e-9) q_0_9 from c group by 1, 2) select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, q_0_25, q_0_5, q_0_9 from s join q using (a, b) where year >= 1998")
 def quantile_forest_literal(spark, sf_dir):
-    got = reached(spark, sf_dir).join(ml_rows(spark, sf_dir).select(*ROW_KEY, "year", "p_size"), ROW_KEY)
-    samples = got.filter("year < 1998").select("tree", "leaf", F.col("p_size").alias("target"))
-    # rows that reach the same leaves have the same quantiles: these are found once
-    where = got.filter("year >= 1998").groupBy(*ROW_KEY).agg(F.sort_array(F.collect_list(F.struct("tree", "leaf"))).alias("leaves"))
-    kinds = where.select("leaves").distinct().select("leaves", F.explode("leaves").alias("x")).select("leaves", "x.tree", "x.leaf")
-    return where.join(forest.quantiles(samples, kinds, ["leaves"], [0.25, 0.5, 0.9]), "leaves").drop("leaves")
+    got = attribution.leaves_by_rules(ml_rows(spark, sf_dir), tiny_forest(spark), TREE, [*ROW_KEY, "year", "p_size"])
+    samples = got.filter("year < 1998").select("leaves", F.col("p_size").alias("target"))
+    return forest.quantiles(samples, got.filter("year >= 1998"), ROW_KEY, [0.25, 0.5, 0.9])
 
 
 # Shapley values of the two trees with their covers, written out
@@ -609,18 +602,27 @@ def rf_attribution(spark, sf_dir):
     return folds_of_models(spark, sf_dir, lambda rows, y, m: attribution.long_contributions(attributed(spark, held(rows, y), m, ROW_KEY), ROW_KEY), **FOREST)
 
 
+def model_quantiles(rows, year, model) -> DataFrame:
+    samples = forest.leaf_arrays(model, rows.filter(F.col("year") != year), ["target"])
+    return forest.quantiles(samples, forest.leaf_arrays(model, held(rows, year), ROW_KEY), ROW_KEY, forest.interval_quantiles([90, 0]))
+
+
 @query()
 def rf_quantiles(spark, sf_dir):
     def give(rows, year, model):
-        samples = forest.leaves(model, rows.filter(F.col("year") != year), ["target"])
-        return forest.quantiles(samples, forest.leaves(model, held(rows, year), ROW_KEY), ROW_KEY, forest.interval_quantiles([90, 0]))
+        return model_quantiles(rows, year, model)
 
     return folds_of_models(spark, sf_dir, give, numTrees=5, maxDepth=5, minInstancesPerNode=20)
 
 
+def permuted(spark, rows, model, repeats: int) -> DataFrame:
+    nodes = attribution.node_table(model, shared(spark, "forest"), spark)
+    return trees.permutation_importance(rows, nodes, FEATURES, ROW_KEY, repeats)
+
+
 @query()
 def perm_importance(spark, sf_dir):
-    return folds_of_models(spark, sf_dir, lambda rows, y, m: forest.permutation_importance(held(rows, y), m, FEATURES, ROW_KEY, repeats=5), **FOREST)
+    return folds_of_models(spark, sf_dir, lambda rows, y, m: permuted(spark, held(rows, y), m, 5), **FOREST)
 
 
 @query()
@@ -679,8 +681,7 @@ def rf_shap_local_accuracy(spark, sf_dir):
 def rf_interval_coverage(spark, sf_dir):
     """Of each held-out year: its rows, those with quantiles out of order, and whether 90 % intervals hold 80 % or more."""
     def give(rows, year, model):
-        samples = forest.leaves(model, rows.filter(F.col("year") != year), ["target"])
-        q = forest.quantiles(samples, forest.leaves(model, held(rows, year), ROW_KEY), ROW_KEY, forest.interval_quantiles([90, 0]))
+        q = model_quantiles(rows, year, model)
         met = q.join(held(rows, year).select(*ROW_KEY, "target"), ROW_KEY)
         crossed = ((F.col("q_0_05") > F.col("q_0_5")) | (F.col("q_0_5") > F.col("q_0_95"))).cast("bigint")
         inside = F.avg(F.col("target").between(F.col("q_0_05"), F.col("q_0_95")).cast("double"))
@@ -705,7 +706,7 @@ def perm_importance_order(spark, sf_dir):
     """Of each held-out year: the feature whose permutation costs most, and whether features that the target doesn't
     depend on cost nothing."""
     def give(rows, y, m):
-        own = forest.permutation_importance(held(rows, y), m, FEATURES, ROW_KEY, repeats=3)
+        own = permuted(spark, held(rows, y), m, 3)
         facts = own.agg(F.count(F.lit(1)).cast("int").alias("features"), F.max_by("feature", "importance").alias("best"), (F.max(F.when(F.col("feature").isin("p_size", "l_quantity"), F.col("importance"))) < 0.2).alias("sound"))
         return facts.crossJoin(held(rows, y).agg(F.count(F.lit(1)).alias("n")))
 
@@ -724,13 +725,44 @@ def grid_search_choice(spark, sf_dir):
 @query(f"with {ML} select 6 as trees, cast(0 as bigint) over_cap, count(*) n from ml")
 def leaf_capped_forest(spark, sf_dir):
     """No tree of a forest with a cap of 24 leaves has more of them."""
+    n, per = capped_sizes(spark, sf_dir, 24)
+    return per.agg(F.count(F.lit(1)).cast("int").alias("trees"), F.coalesce(F.sum((F.col("leaves") > 24).cast("bigint")), F.lit(0)).alias("over_cap"), F.lit(n).cast("bigint").alias("n"))
+
+
+def capped_sizes(spark, sf_dir, cap: int) -> tuple[int, DataFrame]:
+    """The number of rows, and of each tree its leaves as fitted and under the cap."""
     rows = training(spark, sf_dir).cache()
     n = rows.count()
-    model = forest.estimator(numTrees=6, maxDepth=10, **forest.leaf_cap(n, 24)).fit(rows)
+    model = forest.estimator(numTrees=6, maxDepth=10).fit(rows)
     nodes = attribution.node_table(model, shared(spark, "forest"), spark)
     rows.unpersist()
-    per = nodes.groupBy("tree").agg(F.count_if(F.col("feature") < 0).alias("leaves"))
-    return per.agg(F.count(F.lit(1)).cast("int").alias("trees"), F.coalesce(F.sum((F.col("leaves") > 24).cast("bigint")), F.lit(0)).alias("over_cap"), F.lit(n).cast("bigint").alias("n"))
+    count = lambda t, name: t.groupBy("tree").agg(F.count_if(F.col("feature") < 0).alias(name))
+    return n, count(nodes, "full").join(count(trees.leaf_capped(nodes, cap), "leaves"), "tree")
+
+
+@query("select cast(t as integer) tree, true as exact, true as capped from range(0, 6) r(t)")
+def leaf_capped_exact(spark, sf_dir):
+    """Each tree has exactly as many leaves as the cap and its splits allow, and the cap is met."""
+    _, per = capped_sizes(spark, sf_dir, 24)
+    return per.select("tree", (F.col("leaves") == F.least("full", F.lit(24))).alias("exact"), (F.col("full") > 24).alias("capped"))
+
+
+#: a tree whose best splits are deep on the right: (tree, node, value, cover, feature, threshold, left, right)
+_DEEP = [
+    (0, 0, 50.0, 100.0, 0, 25.0, 1, 2), (0, 1, 40.0, 50.0, 1, 0.05, 3, 4), (0, 2, 60.0, 50.0, 1, 0.03, 5, 6), (0, 3, 39.0, 25.0, -1, None, -1, -1), (0, 4, 41.0, 25.0, -1, None, -1, -1),
+    (0, 5, 50.0, 25.0, 0, 30.0, 7, 8), (0, 6, 70.0, 25.0, 0, 40.0, 9, 10), (0, 7, 49.5, 12.0, -1, None, -1, -1), (0, 8, 50.5, 13.0, -1, None, -1, -1), (0, 9, 55.0, 10.0, -1, None, -1, -1), (0, 10, 80.0, 15.0, -1, None, -1, -1),
+]
+
+
+@query(f"with {ML}, t as (select *, case when l_quantity <= 25 then 40.0 when l_discount <= 0.03 then 50.0 when l_quantity <= 40 then 55.0 else 80.0 end x4, case when l_quantity <= 25 then 40.0 when l_discount <= 0.03 then 50.0 else 70.0 end x3 from ml) select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, x3 as predict_3, x4 as predict_4 from t")
+def leaf_capped_literal(spark, sf_dir):
+    """Predictions of a literal tree under caps of 3 and 4 leaves: the deep splits on the right gain more than the one on the left."""
+    nodes = spark.createDataFrame(_DEEP, attribution.NODES)
+    own = ml_rows(spark, sf_dir)
+    for cap in (3, 4):
+        got = attribution.interpret_rows(own, trees.leaf_capped(nodes, cap), TREE, [*ROW_KEY, *TREE, *(["predict_3"] if cap == 4 else [])])
+        own = got.withColumnRenamed("predict", f"predict_{cap}").drop("bias", "contributions")
+    return own.drop(*TREE)
 
 
 @query(f"with {ML} select count(*) n, true as good from ml where year >= 2000 and p_size > 25")

@@ -271,15 +271,66 @@ def test_scores_and_quantiles_are_sound(spark, fitted):
     rows, model = fitted
     test = model.transform(rows.filter("year = 1998"))
     assert stats.scores(test).first().r2 > 0.9
-    reach = forest.leaves(model, rows.filter("year = 1998"), ROW_KEY)
-    q = forest.quantiles(forest.leaves(model, rows.filter("year <> 1998"), ["target"]), reach, ROW_KEY, [0.05, 0.5, 0.95])
+    reach = forest.leaf_arrays(model, rows.filter("year = 1998"), ROW_KEY)
+    q = forest.quantiles(forest.leaf_arrays(model, rows.filter("year <> 1998"), ["target"]), reach, ROW_KEY, [0.05, 0.5, 0.95])
     inside = q.join(rows, ROW_KEY).agg(F.avg((F.col("target").between(F.col("q_0_05"), F.col("q_0_95"))).cast("int"))).first()[0]
     assert inside > 0.8 and q.filter("q_0_05 > q_0_5 or q_0_5 > q_0_95").isEmpty()
 
 
-def test_permutation_importance_finds_the_price(spark, fitted):
+@pytest.mark.parametrize("n", [1, 2, 3, 64, 65, 1000, 4097])
+def test_each_repeat_is_a_permutation_of_its_own(n):
+    orders = [trees.permuted(np.arange(n), n, key) for key in (1, 2, 3)]
+    assert all(sorted(x.tolist()) == list(range(n)) for x in orders)
+    if n >= 64:
+        assert len({tuple(x) for x in orders}) == 3 and (np.diff(orders[0]) % n != np.diff(orders[0])[0] % n).any()
+
+
+def test_permutation_importance_by_hand(spark):
+    rng = np.random.default_rng(3)
+    nodes = spark.createDataFrame([(t, *r[1:]) for t in range(3) for r in random_tree(rng, 3, 3)], attribution.NODES)
+    forest_ = [t for lot in trees.parts(nodes) for t in lot]
+    x, y = rng.uniform(0, 1, (40, 3)), rng.normal(size=40)
+    df = spark.createDataFrame([(i, *map(float, r), float(v)) for i, (r, v) in enumerate(zip(x, y, strict=True))], "k int, a double, b double, c double, target double")
+    got = {r.feature: (r.importance, r.std) for r in trees.permutation_importance(df, nodes, ["a", "b", "c"], ["k"], repeats=3, seed=5).collect()}
+    order, n = trees.numbered(df, ["k"], 5, ["k"])
+    at = np.array([r.at for r in order.orderBy("k").collect()])
+    assert n == 40 and sorted(at.tolist()) == list(range(40))
+    predict = lambda v: np.mean([t.value[t.reached(v)] for t in forest_], 0)
+    r2 = lambda v: 1 - ((y - predict(v)) ** 2).sum() / ((y - y.mean()) ** 2).sum()
+    drops = []
+    for key in np.random.default_rng(5).integers(1, 2**31, 3):
+        source = np.empty(40, np.int64)
+        source[trees.permuted(at, 40, int(key))] = np.arange(40)  # the row that comes to a place
+        for j in range(3):
+            v = x.copy()
+            v[:, j] = x[source[at], j]
+            drops.append(r2(x) - r2(v))
+    drops = np.array(drops).reshape(3, 3)
+    for j, f in enumerate("abc"):
+        assert np.allclose(got[f], (drops[:, j].mean(), drops[:, j].std()))
+
+
+@pytest.mark.parametrize("cap", [1, 2, 3, 5, 100])
+def test_leaf_caps_open_the_best_split_first(spark, cap):
+    rng = np.random.default_rng(11)
+    rows = [(t, *r[1:]) for t in range(4) for r in random_tree(rng, 3, 5)]
+    got = trees.leaf_capped(spark.createDataFrame(rows, attribution.NODES), cap).toPandas()
+    for t in range(4):
+        own = {r[1]: r for r in rows if r[0] == t}
+        gain = lambda n, own=own: sum(own[c][3] * (own[c][2] - own[n][2]) ** 2 for c in own[n][6:8])
+        leaves = [0]
+        while len(leaves) < cap and any(own[n][4] >= 0 for n in leaves):
+            best = max((n for n in leaves if own[n][4] >= 0), key=gain)
+            leaves.remove(best)
+            leaves += own[best][6:8]
+        mine = got[got.tree == t]
+        assert sorted(mine[mine.feature < 0].value) == sorted(own[n][2] for n in leaves)
+        assert len(mine) == 2 * len(leaves) - 1
+
+
+def test_permutation_importance_finds_the_price(spark, fitted, tmp_path):
     rows, model = fitted
-    got = forest.permutation_importance(rows.filter("year = 1998"), model, FEATURES, ROW_KEY, repeats=2)
+    got = trees.permutation_importance(rows.filter("year = 1998"), attribution.node_table(model, str(tmp_path / "forest")), FEATURES, ROW_KEY, repeats=2)
     assert got.orderBy(F.desc("importance")).first().feature == "l_extendedprice"
 
 
@@ -338,8 +389,8 @@ def test_quantiles_are_exact(spark):
     rng = np.random.default_rng(4)
     target, leaf = rng.normal(size=400), rng.integers(0, 4, (400, 3))
     reach = rng.integers(0, 4, (30, 3))
-    samples = spark.createDataFrame([(t, int(leaf[i, t]), float(target[i])) for i in range(400) for t in range(3)], "tree int, leaf int, target double")
-    reached = spark.createDataFrame([(k, t, int(reach[k, t])) for k in range(30) for t in range(3)], "k int, tree int, leaf int")
+    samples = spark.createDataFrame([(leaf[i].tolist(), float(target[i])) for i in range(400)], "leaves array<int>, target double")
+    reached = spark.createDataFrame([(k, reach[k].tolist()) for k in range(30)], "k int, leaves array<int>")
     order = np.argsort(target)
     for bins in (1, 2, 50):
         for r in forest.quantiles(samples, reached, ["k"], [0.05, 0.5, 0.95], bins=bins).collect():
