@@ -100,7 +100,7 @@ def read_arc(data: bytes):
 
 
 def http_field(head: bytes, name: bytes) -> int | None:
-    found = re.search(rb"(?im)^" + name + rb":[ \t]*(\d+)", head)
+    found = re.search(rb"(?im)^" + name + rb":[ \t]*(-?\d+)", head)
     return int(found[1]) if found else None
 
 

@@ -186,13 +186,15 @@ def items_of(tests: DataFrame, k: int, blocks: int) -> list[tuple[str, str]]:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = 13, block_bytes: int = 4 << 20) -> DataFrame:
-    """The rows of ``docs`` that aren't contaminated.  With a benchmark of one block they are filtered in place, row by
-    row; else rows without doc_id stay, and rows that share one go together."""
+    """The rows of ``docs`` that aren't contaminated, each judged by its own text, whatever its doc_id."""
     tests, blocks = blocks_of(benchmark, block_bytes)
     if blocks == 1:
         return filtered_in_place(docs, partial(_judged, items=items_of(tests, 0, 1), size=size), "contaminated")
-    found = contamination(docs, benchmark, size, block_bytes).filter("contaminated").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))
+    # a block sees its own items only: verdicts are put together by text, then rows are judged by it
+    key = F.xxhash64(docs["text"].cast("string"))
+    found = contamination(docs.select(key.alias("doc_id"), "text").dropDuplicates(["doc_id"]), benchmark, size, block_bytes)
+    bad = found.filter("contaminated").select(F.col("doc_id").alias("bad"))
+    return docs.join(bad, key == bad["bad"], "left_anti")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, block_bytes: int = 4 << 20) -> DataFrame:

@@ -240,10 +240,14 @@ def _labelled(batches, field: Field | None):
 def learn(docs: DataFrame, per_language: int = 200) -> Field | None:
     """The field from at most ``per_language`` documents of each language."""
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
-    usable = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang")).filter("doc_id is not null and lang is not null").filter(crc % 4 != 2)
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id"))
-    chosen = usable.withColumn("place", place).filter(F.col("place") <= per_language).drop("place")
-    sample = written(texts(docs).join(F.broadcast(chosen), "doc_id").filter("text is not null"), "language-sample")
+    keys = ["doc_id", "lang", "key"]
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    own = own.filter("doc_id is not null and lang is not null").filter(crc % 4 != 2).withColumn("key", F.xxhash64("text"))
+    # rows of one doc_id are told apart by language and text; equal rows are one
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id", "key"))
+    chosen = own.select(*keys).distinct().withColumn("place", place).filter(F.col("place") <= per_language).drop("place")
+    sample = own.join(F.broadcast(chosen), keys).filter("text is not null").groupBy(*keys).agg(F.min("text").alias("text"))
+    sample = written(sample, "language-sample")
     rows = [(r.text, r.lang) for r in sample.orderBy("doc_id", "text", "lang").collect()]
     return fit(rows) if rows else None
 

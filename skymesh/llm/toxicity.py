@@ -160,7 +160,8 @@ def learn(docs: DataFrame, labels: DataFrame, toxic: int = 2000, other: int = 40
     rows, rate = sum(count.values()), count.get(1, 0) / sum(count.values())
     seen = sample.select("text", "toxic").mapInArrow(_frequencies, "term bigint, n bigint, p bigint").groupBy("term").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
     n, p, e = F.col("n"), F.col("p"), F.col("n") * F.lit(rate)
-    chi2 = F.pow(p - e, F.lit(2)) / (e * F.lit(max(1e-9, 1 - rate)) * F.greatest(F.lit(1e-9), (1 - n / F.lit(rows + 1.0))))
+    # labels of one kind select nothing: every document gets their constant rate
+    chi2 = F.try_divide(F.pow(p - e, F.lit(2)), e * F.lit(max(1e-9, 1 - rate)) * F.greatest(F.lit(1e-9), (1 - n / F.lit(rows + 1.0))))
     picked = seen.filter((n >= 4) & (p * F.lit(1 - rate) >= least_share * (p * F.lit(1 - rate) + (n - p) * F.lit(rate)))).withColumn("chi2", chi2).filter(F.col("chi2") >= least_chi2).collect()
     picked.sort(key=lambda r: r.term)
     term = np.array([r.term for r in picked], np.int64)
