@@ -32,6 +32,16 @@ def block_folds(df: DataFrame, k: int, order: Sequence[str], bins: Sequence[str]
     return at.withColumn("fold", fold.cast("int")).drop("__at", "__before", "__all")
 
 
+def shuffled_folds(df: DataFrame, k: int, keys: Sequence[str], seed: int = 0) -> DataFrame:
+    """Folds of a random order of the rows; the first ``n % k`` folds are one larger.
+
+    The order is that of an MD5 of the seed and the keys (then the keys themselves), so it depends neither on partitions nor
+    on the order of the input.  Rows are ranked inside bins of the hash, whose sizes give the offsets."""
+    text = F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in keys)).cast("binary"))
+    own = df.withColumn("__hash", text).withColumn("__bin", F.substring("__hash", 1, 4))
+    return block_folds(own, k, ["__hash", *keys], ["__bin"]).drop("__hash", "__bin")
+
+
 def months(text: str) -> list[int]:
     """``1-12``, ``1-12:2`` or ``1,3,5`` as a list."""
     out: list[int] = []

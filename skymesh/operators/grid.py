@@ -22,11 +22,12 @@ METRICS = {
 
 def match_to_grid(obs: DataFrame, lats: Sequence[float], lons: Sequence[float], metrics: Sequence[str], value: str = "value", tag: str = "obs", centre: bool = False) -> DataFrame:
     """Metrics of each date and cell, in one aggregation.  A cell is labelled by its lower latitude edge and
-    its upper longitude edge (or by its centre); points outside the grid are left out."""
+    its upper longitude edge (or by its centre); points outside the grid are left out.  Axes may be
+    given in either direction."""
     unknown = [m for m in metrics if m not in METRICS]
     if unknown:
         raise ValueError(f"unknown metrics {unknown}")
-    lat_edges, lon_edges = [*lats, 90.0], [-180.0, *lons]
+    lat_edges, lon_edges = [*sorted(lats), 90.0], [-180.0, *sorted(lons)]
     i, j = edge_index(F.col("lat"), lat_edges), edge_index(F.col("lon"), lon_edges)
     inside = obs.select("date", value, i.alias("lat_i"), j.alias("lon_i")).filter("lat_i is not null and lon_i is not null")
     out = inside.groupBy("date", "lat_i", "lon_i").agg(*(METRICS[m](value).alias(f"{tag}_{m}") for m in metrics))

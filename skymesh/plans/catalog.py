@@ -973,6 +973,93 @@ def resample_week_with_gaps(spark, sf_dir):
     return temporal.resample_calendar(cube_hourly(spark, sf_dir).filter("weekofyear(time) % 2 = 1"), "week", "count", ["gas_click"])
 
 
+@query("with h as (select o_orderkey, row_number() over (order by md5('11|' || o_orderkey), o_orderkey) - 1 p, count(*) over () n from orders) select o_orderkey, cast(case when p < (n % 7) * (n // 7 + 1) then p // (n // 7 + 1) else n % 7 + (p - (n % 7) * (n // 7 + 1)) // (n // 7) end as integer) fold from h")
+def kfold_shuffled(spark, sf_dir):
+    return folds.shuffled_folds(table(spark, sf_dir, "orders").select("o_orderkey"), 7, ["o_orderkey"], seed=11)
+
+
+@query("select event_type as input, case event_type when 'view' then 2 when 'error' then 2 else 1 end::bigint entries, 'ok' as status, count(*)::bigint as logged, count(*) n, round(sum(value), 4) total from events group by 1")
+def refresh_of_outputs(spark, sf_dir):
+    """An input that fails once and one that has changed are written by the second refresh, the others not again; every output is there
+    once, with the rows that the log says."""
+    e, out, path = table(spark, sf_dir, "events"), shared(spark, "outputs"), shared(spark, "log")
+    kinds = e.select(F.col("event_type").alias("input")).distinct()
+
+    def process(kind: str, broken: tuple = ()) -> DataFrame:
+        if kind in broken:
+            raise ValueError(f"{kind} can't be read")
+        return e.filter(F.col("event_type") == kind).select("event_id", "value")
+
+    first = manifests.refresh(spark, kinds.withColumn("fingerprint", F.lit("1")), lambda k: process(k, ("error",)), out, path)
+    changed = F.when(F.col("input") == "view", "2").otherwise("1")
+    if first.filter("status = 'failed'").count() == 1:
+        manifests.refresh(spark, kinds.withColumn("fingerprint", changed), process, out, path)
+    there = spark.read.parquet(out).groupBy("input").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return there.join(manifests.state(spark, path).select("input", "entries", "status", F.col("rows").alias("logged")), "input")
+
+
+@query(f"with {CUBE} select lat, lon, time, {r6(V)} from cube where month(time) = 1 and lat between -45 and 10 and lon between 10 and 110")
+def cube_by_tiles(spark, sf_dir):
+    """A month and a box of a cube that is stored by month and tile: other files aren't listed."""
+    path = shared(spark, "cube")
+    tables.save_cube(cube_hourly(spark, sf_dir), path)
+    own = select.sel_month(tables.read_cube(spark, path), 1)
+    return rounded(select.sel_regions(own, {"box": {"lat": (10, -45), "lon": (10, 110)}}, dropna=False).select("lat", "lon", "time", *VARIABLES))
+
+
+def overlapping(spark, sf_dir) -> tuple[str, DataFrame]:
+    """A cube as three files: two that share cells and variables, and one with another variable."""
+    cube, path = cube_hourly(spark, sf_dir), shared(spark, "overlap")
+    two = cube.select("lat", "lon", "time", "gas_click", "gas_view")
+    two.filter("lat <= 20").write.parquet(f"{path}/a1")
+    two.filter("lat >= 0").write.parquet(f"{path}/a2")
+    cube.filter("lon > 100").select("lat", "lon", "time", "gas_error", "gas_click").write.parquet(f"{path}/b1")
+    return path, cube
+
+
+@query(f"with {CUBE} select lat, lon, time, round(gas_click, 6) gas_click, round(gas_view, 6) gas_view, round(case when lon > 100 then gas_error end, 6) gas_error from cube")
+def read_cube_overlapping(spark, sf_dir):
+    """Globs that match a file twice and sources that share coordinates and variables: a row for each coordinate."""
+    path, _ = overlapping(spark, sf_dir)
+    return rounded(tables.read_cube(spark, f"{path}/a*", f"{path}/a2", f"{path}/b1").select("lat", "lon", "time", "gas_click", "gas_view", "gas_error"))
+
+
+@query(f"with {CUBE} select lat, lon, time, 'gas_click' as variable, round(gas_click, 6) low, round(gas_click + 1, 6) high, 2::bigint n_values from cube where lat between 0 and 20 and gas_click is not null")
+def cube_conflicts(spark, sf_dir):
+    """Where two sources have different values, with both."""
+    path, cube = overlapping(spark, sf_dir)
+    other = cube.filter("lat between 0 and 20").select("lat", "lon", "time", (F.col("gas_click") + 1).alias("gas_click"), "gas_view")
+    return rounded(tables.conflicts_of([tables.read_cube(spark, f"{path}/a1"), other]))
+
+
+@query(f"with {SITES}, s as (select *, row_number() over (partition by site order by ts) k from sites) select 'net' network, site station, cast(10.5 as double) lon, cast(length(site) as double) lat, ts datetime, case when k % 5 in (1, 2) or k % 5 = 3 then null else round(value, 6) end as mean from s where k % 5 <> 4")
+def station_json_odd(spark, sf_dir):
+    """Station files with ``NaN``, values that are no numbers, missing values and dates that can't be read: only these are lost."""
+    path = shared(spark, "station-json")
+    rows = site_hourly(spark, sf_dir).withColumn("k", F.row_number().over(Window.partitionBy("site").orderBy("ts")) % 5)
+    value = F.when(F.col("k") == 1, "NaN").when(F.col("k") == 2, '"n/a"').when(F.col("k") == 3, "null").otherwise(F.format_string("%.9f", "value"))
+    date = F.concat(F.lit('"'), F.when(F.col("k") == 4, "31.2.24").otherwise(F.col("ts").cast("string")), F.lit('"'))
+    joined = lambda c: F.concat(F.lit("["), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ts", date.alias("d"), value.alias("v")))), lambda x: x[c]), ", "), F.lit("]"))
+    meta = F.to_json(F.struct(F.lit("net").alias("network_name"), F.col("site").alias("station_id"), F.lit(10.5).alias("station_lon"), F.length("site").cast("double").alias("station_lat")))
+    text = rows.groupBy("site").agg(joined("d").alias("d"), joined("v").alias("v")).select(F.concat(F.lit('{"datetime": '), "d", F.lit(', "mean": '), "v", F.lit(', "metadata": '), meta, F.lit("}")))
+    text.repartition(8).write.option("maxRecordsPerFile", 1).text(path)
+    return rounded(tables.read_station_json(spark, path)[0])
+
+
+@query(f"with {OBS}, c as (select date, cast(20 * floor(least(lat, 80) / 20) as double) lat, cast(30 * (floor((lon + 180) / 30) + 1) - 180 as double) lon, value from obs where lat between -80 and 90 and lon between -180 and 180) select date, lat, lon, round(avg(value), 6) obs_mean, count(value) obs_count from c group by 1, 2, 3")
+def match_grid_north_to_south(spark, sf_dir):
+    """Axes from north to south and from east to west give the cells that they give the other way round."""
+    return rounded(grid.match_to_grid(station_obs(spark, sf_dir), LATS[::-1], LONS[::-1], ["mean", "count"]))
+
+
+@query("with p as (select cast(l_quantity as double) x, cast(round(l_discount * 100) as double) y, count(*) c from lineitem group by 1, 2) select a.x, a.y, round(sum(b.c * exp(-((a.x - b.x) ** 2 + (a.y - b.y) ** 2) / 128)) / (select sum(c) from p) / (128 * pi()), 9) density from p a join p b on abs(a.x - b.x) <= 32 and abs(a.y - b.y) <= 32 group by 1, 2")
+def density_by_kernels(spark, sf_dir):
+    """Kernel density at each point; these stand on whole numbers, where only the stated cut-off counts."""
+    own = table(spark, sf_dir, "lineitem").select(F.col("l_quantity").cast("double").alias("x"), F.round(F.col("l_discount") * 100).cast("double").alias("y"))
+    points = own.withColumns({"kx": F.col("x"), "ky": F.col("y")})
+    return rounded(report.kernel_density(points, ["kx", "ky"], 8.0, "x", "y").join(own.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")), (F.col("kx") == F.col("x")) & (F.col("ky") == F.col("y"))).select("x", "y", (F.col("density") / F.col("n")).alias("density")), 9)
+
+
 @query("select event_id, user_id from events")
 def fixed_splits(spark, sf_dir):
     """Rows dealt into seven ranges and put together again are the same rows."""

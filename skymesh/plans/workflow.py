@@ -62,6 +62,7 @@ def load(spark: SparkSession, spec: Spec, cube: DataFrame | None = None) -> tupl
         df = select.sel_month(df, spec.month)
     if spec.drop:
         df = select.drop_date(df, **spec.drop)
+    df = df.drop(*select.PARTS)
     for name, (low, high, value) in spec.replace.items():
         df = df.withColumn(name, replace_values(name, low, high, value))
     df = select.with_calculated(df, spec.calc)
