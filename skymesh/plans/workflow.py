@@ -86,7 +86,12 @@ def train(rows: DataFrame, features: Sequence[str], years: Sequence[int], path:
     own, empty = forest.prepare(rows, features)
     if own is None:
         raise ValueError("no complete row")
-    used = [f for f in features if f not in empty]
+    _stored_folds(own, [f for f in features if f not in empty], years, path, run, month, test, **params)
+    return rescore(own.sparkSession, path, run).filter(F.col("month").cast("string") == month)
+
+
+def _stored_folds(own: DataFrame, used: Sequence[str], years: Sequence[int], path: str, run: str, month: str, test: DataFrame | None = None, **params) -> None:
+    """Models and predictions of prepared rows, stored by fold."""
     own = own.withColumn("year", F.year("time")).cache()
     if test is None:
         folds_ = forest.by_year(own, years, **params)
@@ -102,20 +107,40 @@ def train(rows: DataFrame, features: Sequence[str], years: Sequence[int], path:
         model.write().overwrite().save(f"{path}/model/run={run}/month={month}/fold_year={year}")
         tables.save_object(predicted.select(*select.KEYS, *used, "target", "predict"), path, "predict", where)
     own.unpersist()
-    return rescore(own.sparkSession, path, run).filter(F.col("month").cast("string") == month)
 
 
-def train_months(spark: SparkSession, spec: Spec, months: str, years: Sequence[int], path: str, run: str, cube: DataFrame | None = None, **params) -> DataFrame:
-    """One run for each calendar month of ``months`` (``1-12``, ``1-12:2``, ``1,3,5``); the scores of all."""
-    scores = None
-    for m in folds.months(months):
-        rows, features = load(spark, replace(spec, month=m), cube)
-        if forest.prepare(rows, features)[0] is None:
-            log.warning("no complete row in month %s", m)
-            continue
-        one = train(rows, features, years, path, run, tables.MONTHS[m - 1], **params)
-        scores = one if scores is None else scores.unionByName(one)
-    return scores
+def train_months(spark: SparkSession, spec: Spec, months: str, years: Sequence[int], path: str, run: str, cube: DataFrame | None = None, at_once: int = 3, **params) -> DataFrame | None:
+    """One run for each calendar month of ``months`` (``1-12``, ``1-12:2``, ``1,3,5``); the scores of all, None if no month has a
+    complete row.
+
+    The rows of all months are loaded once and stored by month under ``path``, so the cube is read once and a month's jobs read
+    their own part; ``at_once`` months run side by side, each in a scheduler pool of its own.  Resampling, thinning and
+    scaling depend on the month's rows alone: with these each month is loaded by itself."""
+    wanted = folds.months(months)
+    if spec.days or spec.every or spec.scale:
+        own = {m: load(spark, replace(spec, month=m), cube) for m in wanted}
+    else:
+        rows, features = load(spark, replace(spec, month=None), cube)
+        place = f"{path}/rows/run={run}"
+        tables.overwrite_partitions(rows.withColumn("part_month", F.month("time")).filter(F.col("part_month").isin(wanted)).repartition("part_month", F.year("time")), place, "part_month")
+        stored = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}, part_month int").parquet(place)
+        own = {m: (stored.filter(F.col("part_month") == m).drop("part_month"), features) for m in wanted}
+
+    def job(m: int):
+        def of_month() -> bool:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", tables.MONTHS[m - 1])
+            rows, features = own[m]
+            ready, empty = forest.prepare(rows, features)
+            if ready is None:
+                log.warning("no complete row in month %s", m)
+                return False
+            _stored_folds(ready, [f for f in features if f not in empty], years, path, run, tables.MONTHS[m - 1], **params)
+            return True
+
+        return of_month
+
+    done = [tables.MONTHS[m - 1] for m, ok in zip(wanted, forest.side_by_side(spark, [job(m) for m in wanted], at_once), strict=True) if ok]
+    return rescore(spark, path, run).filter(F.col("month").cast("string").isin(done)) if done else None
 
 
 def resampled_points(rows: DataFrame, features: Sequence[str], days: int = 3) -> DataFrame:

@@ -49,3 +49,28 @@ def test_streams_agree_with_tables(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.table("cells").agg(F.sum("n")).first()[0] == obs.filter("value is not null and lat >= -40").count()
+
+
+def test_months_are_read_once_and_scored_by_what_is_stored(spark, tmp_path, monkeypatch):
+    days = spark.range(0, 360, 3).select(F.col("id").alias("d")).crossJoin(spark.range(0, 3).select((F.col("id") * 10.0).alias("lat")))
+    years = F.explode(F.array(*(F.lit(y) for y in (2021, 2022, 2023))))
+    rows = days.withColumn("y", years).select("lat", (F.col("lat") + 5).alias("lon"), (F.make_timestamp_ntz("y", F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0.0)) + F.make_dt_interval(F.col("d").cast("int"))).alias("time"), F.sin(F.col("d") * 7 + F.col("y")).alias("a"), F.when(F.month(F.make_timestamp_ntz("y", F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0.0)) + F.make_dt_interval(F.col("d").cast("int"))) != 5, F.cos(F.col("d") * 3)).alias("b"))
+    rows.withColumn("t", F.col("a") * 2 + F.coalesce("b", F.lit(0.0))).write.parquet(str(tmp_path / "cube"))
+    spec = workflow.Spec(target="t", globs=[str(tmp_path / "cube")], variables=["a", "b"])
+    reads, read = [], workflow.tables.read_cube
+    monkeypatch.setattr(workflow.tables, "read_cube", lambda *a, **k: reads.append(a) or read(*a, **k))
+    out = str(tmp_path / "out")
+    scores = workflow.train_months(spark, spec, "3-5,8", [2021, 2022, 2023, 2024], out, "r", numTrees=3, maxDepth=4)
+    got = {(r.month, r.fold_year): r for r in scores.collect()}
+    assert len(reads) == 1 and set(got) == {(m, y) for m in ("mar", "apr", "may", "aug") for y in (2021, 2022, 2023)}
+    stored = spark.read.parquet(f"{out}/predict").toPandas()
+    for (month, year), r in got.items():
+        own = stored[(stored.month == month) & (stored.fold_year == year)]
+        e = own.target - own.predict
+        assert len(own) == r.n and abs((e**2).mean() ** 0.5 - r.rmse) < 1e-9 and abs(1 - (e**2).sum() / ((own.target - own.target.mean()) ** 2).sum() - r.r2) < 1e-9
+        assert set(own.time.dt.year) == {year} and len(set(own.time.dt.month)) == 1 and r.r2 > 0.5
+    # a month without any value of a feature does without it
+    assert stored[stored.month == "may"].b.isna().all() and stored[stored.month == "mar"].b.notna().all()
+    one = workflow.train(*workflow.load(spark, workflow.replace(spec, month=8)), [2021, 2022, 2023], str(tmp_path / "one"), "r", "aug", numTrees=3, maxDepth=4)
+    assert {r.fold_year: r.n for r in one.collect()} == {y: got["aug", y].n for y in (2021, 2022, 2023)}
+    assert workflow.train_months(spark, workflow.Spec(target="t", globs=[str(tmp_path / "cube")], variables=["a"], ranges={"lat": (70, 80)}), "1", [2021], str(tmp_path / "none"), "r", numTrees=1) is None
