@@ -18,8 +18,8 @@ full sets.  So no link is lost, however a group is built.
 Components are found by repeated least-label steps; labels, links and sets stay in Spark.
 
 Defined results: texts without words (null, empty, blank) have an empty set and are linked with nothing;
-rows that share a doc_id are one document
-(and should be equal); rows without doc_id are left out of comparisons and
+rows that share a doc_id but not their text are documents of their own
+(so each of them links, and a component's id is the least doc_id of its rows); rows without doc_id are left out of comparisons and
 kept, with a null component; other columns are ignored.
 """
 
@@ -157,6 +157,22 @@ def near_duplicates(docs: DataFrame, size: int = 3, similar: int = 85, permutati
     """One row for each row of ``docs`` (doc_id, text): the size of its shingle set, the least doc_id
     reachable over links of Jaccard similarity ``similar`` per cent, and whether that is its own."""
     own = texts(docs)
+    again = written(own.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"), "minmax-ids")
+    if again.isEmpty():
+        return _grouped(own, size, similar, permutations, rows, stars)
+    # rows of one id are told apart by a name that their text gives them, and components get the least id of their rows
+    name = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+    named = written(own.join(again.withColumn("shared", F.lit(True)), "doc_id", "left").select(F.when(F.col("shared"), name).otherwise(F.col("doc_id")).alias("doc_id"), "text", F.col("doc_id").alias("own_id")), "minmax-named")
+    got = written(_grouped(named.select("doc_id", "text"), size, similar, permutations, rows, stars).withColumnRenamed("doc_id", "name"), "minmax-rows")
+    ids = named.select(F.col("doc_id").alias("name"), "own_id").filter("own_id is not null").distinct()
+    rows_ = got.join(ids, "name", "left")
+    least = rows_.filter("component_id is not null").groupBy("component_id").agg(F.min("own_id").alias("least"))
+    out = rows_.join(least, "component_id", "left")
+    return out.select(F.col("own_id").alias("doc_id"), "n_shingles", F.col("least").alias("component_id"), F.coalesce(F.col("least") == F.col("own_id"), F.lit(True)).alias("kept"))
+
+
+def _grouped(own: DataFrame, size: int, similar: int, permutations: int, rows: int, stars: int) -> DataFrame:
+    """``near_duplicates`` of rows (doc_id, text) whose ids are those of their texts."""
     known = own.filter("doc_id is not null")
     signed = written(own.mapInArrow(partial(_signed, size=size, permutations=permutations, rows=rows), SIGNED), "minmax")
     named = signed.filter("doc_id is not null")

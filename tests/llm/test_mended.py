@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from skymesh.llm import archive, decontaminate, langid, toxicity
+from skymesh.llm import archive, decontaminate, langid, neardup, toxicity
 
 DOCS = [(1, "some plain text here"), (2, None), (3, ""), (4, "another text, quite harmless"), (5, "word " * 5000)]
 
@@ -59,3 +59,14 @@ def test_clean_judges_rows_by_their_text(spark, block):
     tests = spark.createDataFrame([("a", item), ("b", other), ("c", "unrelated words " * 7)], "item_id string, text string")
     got = decontaminate.clean(docs, tests, block_bytes=block)
     assert got.columns == docs.columns and sorted((r.doc_id or -1, r.text or "") for r in got.collect()) == [(-1, "no id"), (1, "clean text"), (3, ""), (4, "")]
+
+
+@pytest.mark.parametrize("parts", [1, 3, 7])
+def test_near_duplicates_of_rows_that_share_an_id(spark, parts):
+    base = [f"w{i}" for i in range(60)]
+    other = [f"v{i}" for i in range(60)]
+    near = lambda words, i: " ".join(words[:i] + ["x"] + words[i + 1 :])
+    rows = [(5, " ".join(base)), (5, " ".join(other)), (9, near(base, 0)), (3, near(other, 59)), (5, None), (7, "alone here now"), (7, "alone here now"), (None, " ".join(base)), (12, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"shared": F.lit(0), "own_id": F.lit(1)}).repartition(parts)
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(docs).collect())
+    assert got == sorted([(5, 58, 5, True), (9, 58, 5, False), (5, 58, 3, False), (3, 58, 3, True), (5, 0, 5, True), (7, 1, 7, True), (7, 1, 7, True), (-1, 58, None, True), (12, 0, 12, True)])
