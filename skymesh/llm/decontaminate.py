@@ -84,9 +84,11 @@ class TestSuffixes:
         order = np.lexsort(grid.T[::-1])
         new = np.append(True, (grid[order][1:] != grid[order][:-1]).any(1))[: len(order)]
         self.grid, self.length = grid[order][new], length[at][order][new]
-        self.entry = np.cumsum(new) - 1  # of each (item, place) in order
-        self.item, self.place = words.doc[at][order], (at - words.first[words.doc[at]])[order]
-        self.begin = np.searchsorted(self.entry, np.arange(len(self.grid) + 1))
+        entry = np.cumsum(new) - 1  # of each (item, place) in order
+        item, place = words.doc[at][order], (at - words.first[words.doc[at]])[order]
+        # an item of one window can't match any further, so only a text's first occurrence of it counts
+        alone = words.count[item] <= size
+        self.places = [(np.searchsorted(entry[x], np.arange(len(self.grid) + 1)), item[x], place[x]) for x in (~alone, alone)]
 
     def match(self, words: Words):
         """(position, entry) of every window that begins in a shard."""
@@ -112,6 +114,13 @@ class TestSuffixes:
         return array[np.repeat(lo, n) + step], np.repeat(entry, n)
 
 
+def met(pos, entry, length, begin, item, place) -> tuple[np.ndarray, ...]:
+    """Occurrences with each place of their entry: (position, length, item, place)."""
+    n = begin[entry + 1] - begin[entry]
+    at = np.repeat(begin[entry], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(pos, n), np.repeat(length, n), item[at], place[at]
+
+
 def _match(batches, items, size: int):
     tests = TestSuffixes(items, size)
     for batch in batches:
@@ -127,11 +136,11 @@ def _match(batches, items, size: int):
                 key = np.unique(np.stack([doc, pos - words.first[doc], length]), axis=1)
                 for d, s, n in key.T.tolist():
                     spans[d].append(s << BITS | n)
-                # every occurrence with every place of its window in an item
-                n = tests.begin[entry + 1] - tests.begin[entry]
-                place = np.repeat(tests.begin[entry], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                p, m, item = np.repeat(pos, n), np.repeat(length, n), tests.item[place]
-                diagonal = p - tests.place[place]
+                # every occurrence with every place of its window in a longer item, the first one with the others
+                order = np.lexsort((pos, entry, doc))
+                new = np.append(True, (entry[order][1:] != entry[order][:-1]) | (doc[order][1:] != doc[order][:-1]))
+                p, m, item, place = map(np.concatenate, zip(*(met(pos, entry, length, *x) for pos, entry, length, x in ((pos, entry, length, tests.places[0]), (*(y[order[new]] for y in (pos, entry, length)), tests.places[1]))), strict=True))
+                diagonal = p - place
                 order = np.lexsort((p, diagonal, item))
                 p, m, item, diagonal = p[order], m[order], item[order], diagonal[order]
                 d = words.doc[p]

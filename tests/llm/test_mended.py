@@ -1,5 +1,7 @@
 """Rows and tables that once went wrong: labels of one kind, negative ids, rows that share an id."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,3 +72,14 @@ def test_near_duplicates_of_rows_that_share_an_id(spark, parts):
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"shared": F.lit(0), "own_id": F.lit(1)}).repartition(parts)
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(docs).collect())
     assert got == sorted([(5, 58, 5, True), (9, 58, 5, False), (5, 58, 3, False), (3, 58, 3, True), (5, 0, 5, True), (7, 1, 7, True), (7, 1, 7, True), (-1, 58, None, True), (12, 0, 12, True)])
+
+
+def test_many_short_items_meet_a_text_once_each(spark):
+    items = [(f"i{k:04d}", ["again", "again and", "and again and again"][k % 3]) for k in range(1500)] + [("long", "and again " * 20), ("none", "other words")]
+    docs = spark.createDataFrame([(1, "again and " * 3000), (2, "x and again"), (3, "nothing")], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r for r in decontaminate.contamination(docs, spark.createDataFrame(items, "item_id string, text string")).collect()}
+    assert time.time() - began < 60
+    assert (got[1].n_items, got[1].n_hit, got[1].longest_words, got[1].longest_item, got[1].longest_start) == (1501, 6000, 40, "long", 1)
+    assert (got[2].n_items, got[2].n_hit, got[2].longest_words, got[2].longest_item, got[2].longest_start) == (500, 1, 1, "i0000", 2)
+    assert got[3].n_items == 0 and not got[3].contaminated
