@@ -1,11 +1,13 @@
 """Rows and tables that once went wrong: labels of one kind, negative ids, rows that share an id."""
 
+import math
 import time
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
-from skymesh.llm import archive, decontaminate, langid, neardup, toxicity
+from skymesh.llm import archive, decontaminate, langid, mixing, neardup, toxicity
 
 DOCS = [(1, "some plain text here"), (2, None), (3, ""), (4, "another text, quite harmless"), (5, "word " * 5000)]
 
@@ -83,3 +85,17 @@ def test_many_short_items_meet_a_text_once_each(spark):
     assert (got[1].n_items, got[1].n_hit, got[1].longest_words, got[1].longest_item, got[1].longest_start) == (1501, 6000, 40, "long", 1)
     assert (got[2].n_items, got[2].n_hit, got[2].longest_words, got[2].longest_item, got[2].longest_start) == (500, 1, 1, "i0000", 2)
     assert got[3].n_items == 0 and not got[3].contaminated
+
+
+@pytest.mark.parametrize("weight", [[1], [5, 3, 1], [1, 1, 1], [70, 20, 7, 2, 1], [9, 9, 1]])
+def test_schedule_is_earliest_deadline_first(weight):
+    """By exact fractions: in each slot the released block with the earliest deadline, the first source on ties."""
+    total, turn, want = sum(weight), [0] * len(weight), []
+    for t in range(3 * total):
+        ready = [(math.ceil(Fraction((turn[i] + 1) * total, w)), i) for i, w in enumerate(weight) if math.floor(Fraction(turn[i] * total, w)) <= t]
+        due, i = min(ready)
+        assert t < due
+        want.append((i, turn[i]))
+        turn[i] += 1
+        assert all(abs(turn[k] - Fraction((t + 1) * w, total)) < 1 for k, w in enumerate(weight))
+    assert list(mixing.schedule(weight, 3 * total)) == want
