@@ -98,3 +98,17 @@ def test_other_tokenizers_get_whole_texts(library):
     texts = ["Some Words here, and more.", "", "x"]
     ids, count = tokens.encoded(pa.array(texts), other)
     assert ids.tolist() == [x for t in texts for x in plain(Tokenizer.from_file(other), t)]
+
+
+def test_files_of_many_tasks_follow_each_other(spark, library):
+    rows = [(i * 3 % 211, f"text {i} " * (i % 9)) for i in range(211)]
+    keys = {"spark.sql.shuffle.partitions": "17", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        got = tokens.binary_ids(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), PATH, size=100)
+        assert {r.doc_id: tuple(r)[1:] for r in got.collect()} == wanted(library, rows)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)

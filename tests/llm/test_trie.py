@@ -95,3 +95,18 @@ def test_turnless_conversations_are_members_of_the_root(spark):
     rows = [r for r in rows if r[0] != 700]
     got = shape(trie.prefix_trie(spark.createDataFrame(rows, SCHEMA)))
     assert got == plain_trie(rows) and got[701, 0][1] == 59
+
+
+def test_conversations_that_go_on_in_other_ranges(spark):
+    """Many ranges, none put together: long conversations are counted across several tasks."""
+    rows = [(c, t, "user", f"{t % 7}") for c in (100, 101, 150) for t in range(300)] + [(100, None, "user", "first"), (7, 1, "a", "b")]
+    keys = {"spark.sql.shuffle.partitions": "23", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        ranked = trie.numbered(spark.createDataFrame(rows, SCHEMA).repartition(5)).groupBy("conv_id").agg(F.sort_array(F.collect_list("rank")).alias("r"), F.count(F.lit(1)).alias("n")).collect()
+        assert all(r.r == list(range(1, r.n + 1)) for r in ranked) and {r.conv_id: r.n for r in ranked} == {100: 301, 101: 300, 150: 300, 7: 1}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
