@@ -8,6 +8,7 @@ values of stored folds.
 from __future__ import annotations
 
 import logging
+import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
@@ -152,13 +153,16 @@ def resampled_points(rows: DataFrame, features: Sequence[str], days: int = 3) ->
 
 def explain(spark: SparkSession, path: str, run: str, features: Sequence[str], mode: str = "shap", work: str | None = None, regions: Mapping | None = None, days: int | None = None) -> DataFrame:
     """Explanations of all stored folds of a run: (keys, fold_year, feature, shap_value, feature_value,
-    base_value).  ``mode``: shap (exact) or path (differences along the path).  With ``days``, of means over as many."""
+    base_value).  ``mode``: shap (exact) or path (differences along the path).  With ``days``, of means over as many.
+
+    Each fold is explained and written by itself, under ``work`` or ``path``: neither a plan nor the driver holds the forests of
+    all folds."""
     if mode not in ("shap", "path"):
         raise ValueError(f"unknown mode {mode!r}")
     stored = tables.load_objects(spark, path, ["predict"], run=run)["predict"]
     if stored is None:
         raise FileNotFoundError(f"no predictions of {run} in {path}")
-    out, keys = None, list(select.KEYS)
+    keys, places, folder = list(select.KEYS), [], f"{work or path}/explained-{uuid.uuid4().hex}"
     for r in tables.folds_of(stored).collect():
         rows = stored.filter((F.col("fold_year") == r.fold_year) & (F.col("month") == r.month)).dropna("any")
         if regions:
@@ -172,9 +176,9 @@ def explain(spark: SparkSession, path: str, run: str, features: Sequence[str], m
         else:
             got = attribution.interpret_rows(rows, nodes, features, keys)
             one = reshape.to_explanation(got, rows, features, keys)
-        one = one.withColumn("fold_year", F.lit(r.fold_year))
-        out = one if out is None else out.unionByName(one)
-    return out
+        places.append(f"{folder}/{r.month}-{r.fold_year}")
+        one.withColumn("fold_year", F.lit(r.fold_year)).write.parquet(places[-1])
+    return spark.read.parquet(*places) if places else None
 
 
 def rescore(spark: SparkSession, path: str, run: str) -> DataFrame:
