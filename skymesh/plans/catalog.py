@@ -488,7 +488,7 @@ def shap_dependence(spark, sf_dir):
     return rounded(report.shap_dependence(explained(spark, sf_dir), "l_quantity", "l_discount", ROW_KEY))
 
 
-@query(f"with {ML}, {_SHAP}, l as (select *, abs(round(sq, 9)) > abs(round(sd, 9)) qfirst from shap where l_orderkey % 10 = 0) select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, k as rank, case when (k = 1) = qfirst then 'l_quantity' else 'l_discount' end feature, round(case when (k = 1) = qfirst then sq else sd end, 6) shap_value, round(base, 6) base_value, round(case when k = 2 then base + sq + sd when qfirst then base + sq else base + sd end, 6) upto from l, (values (1), (2)) t(k)".replace(" where l_orderkey % 10 = 0", ""))
+@query(f"with {ML}, {_SHAP}, l as (select *, abs(round(sq, 9)) > abs(round(sd, 9)) qfirst from shap) select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, k as rank, case when (k = 1) = qfirst then 'l_quantity' else 'l_discount' end feature, round(case when (k = 1) = qfirst then sq else sd end, 6) shap_value, round(base, 6) base_value, round(case when k = 2 then base + sq + sd when qfirst then base + sq else base + sd end, 6) upto from l, (values (1), (2)) t(k)")
 def waterfall(spark, sf_dir):
     own = explained(spark, sf_dir).withColumn("shap_value", F.round("shap_value", 9))
     return rounded(report.waterfall(own, ROW_KEY))
@@ -904,7 +904,7 @@ def save_by_month_twice(spark, sf_dir):
     return spark.read.parquet(path).filter("month = 'm'").groupBy("year_of", "month_of").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("l_orderkey").alias("orders"))
 
 
-@query("select event_type as variable, count(*) n, round(sum(value), 4) total from events where event_type in ('click', 'view') group by 1".replace("select event_type as variable", "select case event_type when 'view' then 'seen' else event_type end as variable"))
+@query("select case event_type when 'view' then 'seen' else event_type end as variable, count(*) n, round(sum(value), 4) total from events where event_type in ('click', 'view') group by 1")
 def consolidate_folders(spark, sf_dir):
     """The files of two variables as partitions of one table, one renamed; done twice, with the same result."""
     path, e = shared(spark, "folders"), table(spark, sf_dir, "events")
@@ -959,7 +959,7 @@ def mda8_gaps(spark, sf_dir):
     return rounded(temporal.max_daily_mean(own), 9)
 
 
-@query(f"with {CUBE}, f as (select date_trunc('day', min(time)) a, max(time) b from cube), bins as (select unnest(generate_series(a, b, interval 6 hour)) bin from f), cells as (select distinct lat, lon from cube) select cells.lat, cells.lon, bin, round(avg(gas_click), 9) gas_click, round(max(gas_view), 9) gas_view from cells cross join bins left join cube on cube.lat = cells.lat and cube.lon = cells.lon and time >= bin and time < bin + interval 6 hour group by 1, 2, 3".replace("round(max(gas_view), 9) gas_view", "round(avg(gas_view), 9) gas_view"))
+@query(f"with {CUBE}, f as (select date_trunc('day', min(time)) a, max(time) b from cube), bins as (select unnest(generate_series(a, b, interval 6 hour)) bin from f), cells as (select distinct lat, lon from cube) select cells.lat, cells.lon, bin, round(avg(gas_click), 9) gas_click, round(avg(gas_view), 9) gas_view from cells cross join bins left join cube on cube.lat = cells.lat and cube.lon = cells.lon and time >= bin and time < bin + interval 6 hour group by 1, 2, 3")
 def resample_6h_mean(spark, sf_dir):
     return rounded(temporal.resample_hours(cube_hourly(spark, sf_dir), 6, "mean", ["gas_click", "gas_view"]), 9)
 
