@@ -123,7 +123,7 @@ def calc_expr_target(spark, sf_dir):
     return rounded(select.with_target(cube_hourly(spark, sf_dir), "(gas_click) - 2 * (gas_view)"))
 
 
-@query(f"with {CUBE} select lat, lon, time, round(gas_click / nullif(gas_view, 0), 6) ratio, round(gas_click / nullif(gas_view, 0) + gas_error, 6) both from cube".replace(" both ", " total "))
+@query(f"with {CUBE} select lat, lon, time, round(gas_click / nullif(gas_view, 0), 6) ratio, round(gas_click / nullif(gas_view, 0) + gas_error, 6) total from cube")
 def calc_features(spark, sf_dir):
     own = select.with_calculated(cube_hourly(spark, sf_dir), {"ratio": "(gas_click) / (gas_view)", "total": "(ratio) + (gas_error)"})
     return rounded(own.select("lat", "lon", "time", "ratio", "total"))
