@@ -5,8 +5,12 @@ w, the source's j-th block (from 0) is released at slot floor(j / w) and due by
 each slot goes to the released block with the earliest deadline (then of the heavier source, then by
 name), so after any number t of slots a source has had less than one block more or less than w * t.
 Weights are exact, in whole numbers of any size; only with ``period`` they are first rounded to multiples
-of 1 / ``period``.  The schedule is written as a table by one task, as a stream: it holds one entry for each
-source, whatever the number of blocks.  A source whose blocks run out starts again (epoch 1, 2, ...).
+of 1 / ``period``.  A source whose blocks run out starts again (epoch 1, 2, ...).
+
+The schedule is written as a table, in stretches of ``stretch`` slots (or four windows of the lightest source, if that
+is more), each by a task of its own as a stream that holds one entry for each source.  Tasks agree on the turns that
+each source has had where stretches meet (``turns_at``), so no task waits for another, and the schedule as a whole
+meets every release and deadline.
 
 By default weights follow the sources' document counts to the power ``temperature``, and the mix is just
 as long as it takes for every source to come through once: no document is left out, and small sources
@@ -67,35 +71,64 @@ def whole(weights: Mapping) -> dict:
     return {k: int(exact[k] * unit) for k in sorted(exact, key=lambda k: (-exact[k], k is not None, str(k)))}
 
 
-def schedule(weight: Sequence[int], slots: int) -> Iterator[tuple[int, int]]:
-    """(number of the source, turn) of each slot: the earliest deadline among released turns."""
+def schedule(weight: Sequence[int], slots: int, start: int = 0, had: Sequence[int] | None = None, goal: Sequence[int] | None = None) -> Iterator[tuple[int, int]]:
+    """(number of the source, turn) of each slot from ``start`` to ``slots``: the earliest deadline among released
+    turns.  ``had``: turns that each source has had at ``start``; ``goal``: those it must have had at the end."""
     total = sum(weight)
-    ready = [(-(-total // w), i, 0) for i, w in enumerate(weight)]
-    heapify(ready)
-    waiting: list = []
-    for t in range(slots):
+
+    def due(i: int, j: int) -> int:
+        end = -(-(j + 1) * total // weight[i])
+        return end if goal is None else min(end, slots)
+
+    waiting = [(j * total // weight[i], due(i, j), i, j) for i, j in enumerate(had or [0] * len(weight)) if goal is None or j < goal[i]]
+    heapify(waiting)
+    ready: list = []
+    for t in range(start, slots):
         while waiting and waiting[0][0] <= t:
             heappush(ready, heappop(waiting)[1:])
         _, i, j = heappop(ready)
         yield i, j
         j += 1
-        due = -(-(j + 1) * total // weight[i])
-        heappush(waiting, (j * total // weight[i], due, i, j))
-
-
-def _planned(batches, weight: list[int], blocks: list[int], slots: int):
-    for _ in batches:
-        pass
-    own, t, count = schedule(weight, slots), 0, np.array(blocks, np.int64)
-    while part := list(islice(own, 1 << 16)):
-        source, turn = np.array(part, np.int64).T
-        epoch = turn // count[source]
-        values = (source, turn % count[source], epoch, epoch // TOGETHER, np.arange(t, t + len(part)))
-        yield pa.RecordBatch.from_arrays([pa.array(v) for v in values], [x.split()[0] for x in PLAN.split(", ")])
-        t += len(part)
-
-
-def mixed(docs: DataFrame, weights: Mapping | None = None, block: int = 16, period: int | None = None, slots: int | None = None, temperature: float = 0.7, seed: int = 11, bin_rows: int = 1000) -> DataFrame:
+        if goal is None or j < goal[i]:
+            heappush(waiting, (j * total // weight[i], due(i, j), i, j))
+
+
+def lead_in(weight: Sequence[int]) -> int:
+    """Slots of the longest window between release and deadline of any turn, but for rounding."""
+    return -(-sum(weight) // min(weight))
+
+
+def turns_at(weight: Sequence[int], t: int) -> list[int]:
+    """Turns that each source has had at slot ``t``, from which all deadlines before and after ``t`` can be met.
+
+    At the slot ``lead_in`` earlier, each source has had its exact share rounded down; what is left over of the slots
+    goes to the begun turns of earliest deadline, so that none of the turns that come can be late.  From there on
+    turns follow by deadline.  All windows that reach over ``t`` begin in between, so that turns before fit as well.
+    """
+    total, start = sum(weight), max(0, t - lead_in(weight))
+    had = [start * w // total for w in weight]
+    begun = sorted((-(-(j + 1) * total // w), i) for i, (j, w) in enumerate(zip(had, weight, strict=True)) if start * w % total)
+    for _, i in begun[: start - sum(had)]:
+        had[i] += 1
+    for i, j in schedule(weight, t, start, had):
+        had[i] = j + 1
+    return had
+
+
+def _planned(batches, weight: list[int], blocks: list[int], slots: int, length: int):
+    count = np.array(blocks, np.int64)
+    for k in (k for b in batches for k in b.column(0).to_pylist()):
+        t, stop = k * length, min(slots, (k + 1) * length)
+        own = schedule(weight, stop, t, turns_at(weight, t), turns_at(weight, stop) if stop < slots else None)
+        while part := list(islice(own, 1 << 16)):
+            source, turn = np.array(part, np.int64).T
+            epoch = turn // count[source]
+            values = (source, turn % count[source], epoch, epoch // TOGETHER, np.arange(t, t + len(part)))
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in values], [x.split()[0] for x in PLAN.split(", ")])
+            t += len(part)
+
+
+def mixed(docs: DataFrame, weights: Mapping | None = None, block: int = 16, period: int | None = None, slots: int | None = None, temperature: float = 0.7, seed: int = 11, bin_rows: int = 1000, stretch: int = 1 << 18) -> DataFrame:
     """The mix: a row for each document and epoch, with its ``slot`` and its ``place`` (a dense order of
     whole blocks is slot, place)."""
     spark = docs.sparkSession
@@ -134,8 +167,10 @@ def mixed(docs: DataFrame, weights: Mapping | None = None, block: int = 16, peri
     index = F.col("__before") + F.col("__n") - 1
 
     # a row for each slot, met by the documents of its block
-    one = spark.range(0, 1, 1, 1).mapInArrow(partial(_planned, weight=list(weight.values()), blocks=list(blocks.values()), slots=slots), PLAN)
-    plan = written(one, "mix-plan")
+    length = max(stretch, 4 * lead_in(list(weight.values())))
+    n = -(-slots // length)
+    stretches = spark.range(0, n, 1, min(n, 20_000))
+    plan = written(stretches.mapInArrow(partial(_planned, weight=list(weight.values()), blocks=list(blocks.values()), slots=slots, length=length), PLAN), "mix-plan")
     out = numbered.withColumn("block_no", F.floor(index / block).cast("bigint")).withColumn("place", index % block)
     out = out.withColumn("__far", F.explode(F.sequence(F.lit(0).cast("bigint"), "__most")))
     out = out.join(plan, ["__no", "block_no", "__far"])

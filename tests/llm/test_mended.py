@@ -99,3 +99,34 @@ def test_schedule_is_earliest_deadline_first(weight):
         turn[i] += 1
         assert all(abs(turn[k] - Fraction((t + 1) * w, total)) < 1 for k, w in enumerate(weight))
     assert list(mixing.schedule(weight, 3 * total)) == want
+
+
+@pytest.mark.parametrize("length", [1, 7, 40])
+@pytest.mark.parametrize("weight", [[1], [5, 3, 1], [70, 20, 7, 2, 1], [9, 9, 1], [331, 250, 97, 61, 3, 3], [1] * 9])
+def test_stretches_of_a_schedule_fit_together(weight, length):
+    """Each stretch is planned by itself; every turn follows its source's last one, inside its own window."""
+    total, had, slots = sum(weight), [0] * len(weight), 700
+    for start in range(0, slots, length):
+        stop = min(slots, start + length)
+        goal = mixing.turns_at(weight, stop) if stop < slots else None
+        for t, (i, j) in enumerate(mixing.schedule(weight, stop, start, mixing.turns_at(weight, start), goal), start):
+            assert j == had[i]
+            assert j * total // weight[i] <= t < -(-(j + 1) * total // weight[i])
+            had[i] += 1
+            assert all(abs(h * total - (t + 1) * w) < total for h, w in zip(had, weight, strict=True))
+        assert sum(had) == stop
+
+
+def test_mix_of_many_stretches(spark):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.least(F.col("id") % 7, F.lit(4)).cast("string")).alias("source"))
+    got = mixing.mixed(docs, block=2, stretch=60).toPandas()
+    assert set(got.doc_id) == set(range(4000)) and not got.duplicated(["slot", "place"]).any()
+    count = {r.source: r["count"] for r in docs.groupBy("source").count().collect()}
+    weight = {k: n**0.7 for k, n in count.items()}
+    order = got.drop_duplicates("slot").sort_values("slot")
+    assert len(order) > 10 * 4 * 7 and (order.slot.to_numpy() == range(len(order))).all()
+    for k, w in weight.items():
+        assert abs((order.source == k).cumsum().to_numpy() - (order.slot.to_numpy() + 1) * w / sum(weight.values())).max() < 1
+        own = order[order.source == k]
+        blocks = -(-count[k] // 2)
+        assert (own.epoch * blocks + own.block_no).tolist() == list(range(len(own)))
