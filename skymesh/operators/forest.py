@@ -37,14 +37,25 @@ def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="features").transform(df)
 
 
+def spread(df: DataFrame, rows: int, least: int = 20_000, most: int = 1_000_000) -> DataFrame:
+    """``df``, of about so many ``rows``, dealt evenly to all cores, at least ``least`` rows to each.
+
+    Training costs far more than reading, and a small table comes from few files: one core would do all of it.  A table of over
+    ``most`` rows for each core stays as it was read, as its files give every core enough; so what is exchanged is bounded."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    n = min(cores, -(-rows // least))
+    return df.repartition(n) if n > 1 and rows <= most * cores else df
+
+
 def prepare(df: DataFrame, features: Sequence[str], target: str = "target") -> tuple[DataFrame | None, list[str]]:
-    """Finite, complete rows with a feature vector, and the features without any value (left out); no
+    """Finite, complete rows with a feature vector, spread over the cores, and the features without any value (left out); no
     frame if no row is left."""
     own = all_finite(df, [*features, target])
-    empty = [r.variable for r in non_null_counts(own, features).filter("empty").collect()]
+    counts = non_null_counts(own, features).collect()
+    empty = [r.variable for r in counts if r.empty]
     used = [f for f in features if f not in empty]
     out = drop_incomplete(own, used, target)
-    return (None, empty) if not used or out.isEmpty() else (assemble(out, used), empty)
+    return (None, empty) if not used or out.isEmpty() else (assemble(spread(out, min(r.n for r in counts if not r.empty)), used), empty)
 
 
 def side_by_side(spark: SparkSession, jobs: Sequence[Callable], at_once: int = 4) -> Iterator:
@@ -99,7 +110,7 @@ def leaf_arrays(model, df: DataFrame, keep: Sequence[str]) -> DataFrame:
     return model.transform(df).select(*keep, vector_to_array("leaf").cast("array<int>").alias("leaves"))
 
 
-def quantiles(samples: DataFrame, rows: DataFrame, keys: Sequence[str], at: Sequence[float], bins: int = 256) -> DataFrame:
+def quantiles(samples: DataFrame, rows: DataFrame, keys: Sequence[str], at: Sequence[float], bins: int = 1024) -> DataFrame:
     """Quantiles of the training targets in the leaves that a row reaches.
 
     ``samples`` (leaves, target) of the training rows, ``rows`` (keys, leaves), with a leaf for each tree.  A sample weighs
@@ -108,15 +119,13 @@ def quantiles(samples: DataFrame, rows: DataFrame, keys: Sequence[str], at: Sequ
     for each bin of targets: the bin that holds a quantile is found by the bins' weights, then the arrays of its
     trees are merged up to the quantile, so the result is exact."""
     kinds = rows.select("leaves").distinct().select("leaves", F.posexplode("leaves").alias("tree", "leaf"))
-    own = samples.select("target", F.posexplode("leaves").alias("tree", "leaf"))
-    size = own.groupBy("tree", "leaf").agg(F.count(F.lit(1)).alias("size"))
-    values = own.groupBy("tree", "leaf", "target").agg(F.count(F.lit(1)).alias("c")).join(size, ["tree", "leaf"])
-    values = values.select("tree", "leaf", F.col("target").alias("y"), F.col("target").cast("double").alias("__y"), (F.col("c") / F.col("size")).alias("w"))
-    edges = sorted(set(samples.select(F.col("target").cast("double").alias("__y")).approxQuantile("__y", [i / bins for i in range(1, bins)], 0.001))) if bins > 1 else []
-    values = Bucketizer(splits=[-math.inf, *edges, math.inf], inputCol="__y", outputCol="bin", handleInvalid="keep").transform(values) if edges else values.withColumn("bin", F.lit(0.0))
-    cells = values.groupBy("tree", "leaf", "bin").agg(F.sum("w").alias("w"), F.sort_array(F.collect_list(F.struct("y", "w"))).alias("ys"))
-
-    met = kinds.join(cells.select("tree", "leaf", "bin", "w"), ["tree", "leaf"]).groupBy("leaves", "bin").agg(F.sum("w").alias("w"))
+    edges = sorted(set(samples.select(F.col("target").cast("double").alias("__y")).approxQuantile("__y", [i / bins for i in range(1, bins)], 0.5 / bins))) if bins > 1 else []
+    own = samples.select("leaves", F.col("target").alias("y"), F.col("target").cast("double").alias("__y"))
+    own = Bucketizer(splits=[-math.inf, *edges, math.inf], inputCol="__y", outputCol="bin", handleInvalid="keep").transform(own) if edges else own.withColumn("bin", F.lit(0.0))
+    values = own.select("y", "bin", F.posexplode("leaves").alias("tree", "leaf")).groupBy("tree", "leaf", "bin", "y").agg(F.count(F.lit(1)).alias("c"))
+    size = values.groupBy("tree", "leaf").agg(F.sum("c").alias("size"))
+    weights = values.groupBy("tree", "leaf", "bin").agg(F.sum("c").alias("n")).join(size, ["tree", "leaf"]).select("tree", "leaf", "bin", (F.col("n") / F.col("size")).alias("w"))
+    met = kinds.join(weights, ["tree", "leaf"]).groupBy("leaves", "bin").agg(F.sum("w").alias("w"))
     to_bin = Window.partitionBy("leaves").orderBy("bin")
     upto = F.sum("w").over(to_bin.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     before = F.coalesce(F.sum("w").over(to_bin.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
@@ -125,8 +134,10 @@ def quantiles(samples: DataFrame, rows: DataFrame, keys: Sequence[str], at: Sequ
     part = part.withColumn("x", wanted).select("leaves", "bin", "before", "whole", "upto", "x.*")
     part = part.filter((F.col("upto") / F.col("whole") >= F.col("q") - 1e-9) & ((F.col("before") == 0) | (F.col("before") / F.col("whole") < F.col("q") - 1e-9)))
 
-    arrays = part.select("*", F.posexplode("leaves").alias("tree", "leaf")).join(cells.select("tree", "leaf", "bin", "ys"), ["tree", "leaf", "bin"])
-    merged = arrays.groupBy("leaves", "i", "q", "before", "whole").agg(F.array_sort(F.flatten(F.collect_list("ys"))).alias("ys"))
+    lists = values.groupBy("tree", "leaf", "bin").agg(F.sort_array(F.collect_list(F.struct("y", "c"))).alias("yc")).join(size, ["tree", "leaf"])
+    lists = lists.select("tree", "leaf", "bin", F.transform("yc", lambda x: F.struct(x["y"].alias("y"), (x["c"] / F.col("size")).alias("w"))).alias("ys"))
+    arrays = part.select("*", F.posexplode("leaves").alias("tree", "leaf")).join(lists, ["tree", "leaf", "bin"])
+    merged = arrays.groupBy("leaves", "i", "q", "before", "whole").agg(F.sort_array(F.flatten(F.collect_list("ys"))).alias("ys"))
     y = merged.schema["ys"].dataType.elementType["y"].dataType
     start = F.struct(F.col("before").alias("cum"), F.lit(None).cast(y).alias("y"))
 

@@ -430,3 +430,14 @@ def test_bins_of_regular_and_other_axes(spark, edges):
     got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", fn.edge_index(F.col("x"), edges).alias("i")).collect()
     for r in got:
         assert r.i == (None if not edges[0] <= r.x <= edges[-1] else sum(r.x >= e for e in edges[1:-1])), r
+
+
+def test_training_rows_are_spread_over_the_cores(spark):
+    """A table of one partition is dealt to all cores with the same rows; a small or a very large one stays as it is."""
+    df = spark.range(0, 50_000, 1, 1).select(F.col("id").cast("double").alias("a"), (F.col("id") * 2).cast("double").alias("target"))
+    rows, _ = forest.prepare(df, ["a"])
+    sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == min(3, spark.sparkContext.defaultParallelism) and max(sizes) - min(sizes) <= 1 + 50_000 // 100
+    assert rows.agg(F.sum("a"), F.count_distinct("a")).first()[:] == (sum(range(50_000)), 50_000)
+    for same in (forest.spread(df, 20_000), forest.spread(df, 50_000, most=1)):
+        assert same is df
