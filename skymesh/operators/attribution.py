@@ -124,6 +124,13 @@ def _shapley(forest: list[trees.Tree], x: np.ndarray) -> np.ndarray:
     return np.column_stack([sum(t.shapley(x) for t in forest), np.full(len(x), sum(t.expected() for t in forest))])
 
 
+def shapley_rows(df: DataFrame, nodes: DataFrame, features: Sequence[str], keep: Sequence[str], most: int = trees.NODES) -> DataFrame:
+    """``keep``, ``shap_values`` (an array in the order of the features) and ``base_value``, a row for each row, as ``tree_shap``."""
+    sums, n = trees.summed(df, nodes, features, keep, len(features) + 1, _shapley, most)
+    mean = F.transform("sums", lambda v: v / n)
+    return sums.select(*(F.col(f"`{k}`") for k in keep), F.slice(mean, 1, max(1, len(features))).alias("shap_values"), mean[len(features)].alias("base_value"))
+
+
 def tree_shap(df: DataFrame, nodes: DataFrame, features: Sequence[str], keys: Sequence[str], most: int = trees.NODES) -> DataFrame:
     """The explanation (keys, feature, shap_value, feature_value, base_value) by exact tree SHAP, path-dependent.  The forest
     goes to the tasks as arrays, in parts of at most ``most`` nodes; rows stay where they are."""

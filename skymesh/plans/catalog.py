@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skymesh.functions import columns as fn
-from skymesh.operators import attribution, folds, forest, grid, report, reshape, select, stats, temporal, trees
+from skymesh.operators import attribution, folds, forest, grid, growth, report, reshape, select, stats, temporal, trees
 from skymesh.plans import workflow
 from skymesh.plans.inputs import CUBE, FEATURES, LATS, LONS, ML, OBS, ROW_KEY, SITES, VARIABLES, cube_hourly, ml_rows, site_hourly, station_obs, table, tiny_forest
 from skymesh.sources import manifests, tables
@@ -566,12 +566,27 @@ def by_fold(spark, jobs) -> DataFrame:
     return spark.read.parquet(*forest.side_by_side(spark, [stored(y, j) for y, j in jobs], 3))
 
 
-def folds_of_models(spark, sf_dir, give, **params) -> DataFrame:
-    """What ``give(rows, year, model)`` gives for each held-out year, over one cached table of vectors."""
-    rows = training(spark, sf_dir).cache()
-    out = by_fold(spark, [(y, lambda y=y, m=m: give(rows, y, m)) for y, m, _ in forest.by_year(rows, YEARS, **params)])
-    rows.unpersist()
-    return out
+def stored_training(spark, sf_dir) -> DataFrame:
+    """The training rows without vectors, stored by year: folds read theirs from files, and nothing stays in memory."""
+    path = shared(spark, "training")
+    training(spark, sf_dir).select(*ROW_KEY, *FEATURES, "target", "year").write.partitionBy("year").parquet(path)
+    return spark.read.parquet(path)
+
+
+def folds_of_forests(spark, sf_dir, give, kind=growth.forests, others: bool = False, **params) -> DataFrame:
+    """What ``give(rows, node rows)`` gives for each held-out year, rows being the year's (and third, with ``others``, all other
+    years' rows); the trees of all years grow together."""
+    rows, number = stored_training(spark, sf_dir), {y: i for i, y in enumerate(YEARS)}
+    edges = growth.bin_edges(rows, FEATURES)
+    fold = F.coalesce(*(F.when(F.col("year") == y, F.lit(i)) for y, i in number.items()), F.lit(len(number)))
+    path = shared(spark, "points")
+    growth.points(rows.filter("year is not null"), FEATURES, ROW_KEY, fold, edges).write.parquet(path)
+    nodes = kind(spark.read.parquet(path), edges, len(number), **params)
+    return by_fold(spark, [(y, lambda y=y, i=i: give(held(rows, y), nodes[i], *([rows.filter(F.col("year") != y)] if others else []))) for y, i in number.items()])
+
+
+def nodes_of(spark, nodes) -> DataFrame:
+    return spark.createDataFrame(nodes, attribution.NODES)
 
 
 def held(rows: DataFrame, year: int) -> DataFrame:
@@ -579,7 +594,7 @@ def held(rows: DataFrame, year: int) -> DataFrame:
 
 
 def fold_scores(spark, sf_dir, **params) -> DataFrame:
-    return folds_of_models(spark, sf_dir, lambda rows, y, m: stats.scores(m.transform(held(rows, y))), **params)
+    return folds_of_forests(spark, sf_dir, lambda rows, nodes: stats.scores(growth.predicted(rows, nodes_of(spark, nodes), FEATURES, ["target"])), **params)
 
 
 @query()
@@ -593,36 +608,34 @@ def rf_importance(spark, sf_dir):
     return report.importance_bars(forest.model_importance(model, spark, FEATURES))
 
 
-def attributed(spark, rows, model, keys) -> DataFrame:
-    return attribution.interpret_rows(rows, attribution.node_table(model, shared(spark, "forest"), spark), FEATURES, keys)
+def attributed(spark, sf_dir, give=lambda df: df) -> DataFrame:
+    return folds_of_forests(spark, sf_dir, lambda rows, nodes: give(attribution.interpret_rows(rows, nodes_of(spark, nodes), FEATURES, ROW_KEY)), **FOREST)
 
 
 @query()
 def rf_attribution(spark, sf_dir):
-    return folds_of_models(spark, sf_dir, lambda rows, y, m: attribution.long_contributions(attributed(spark, held(rows, y), m, ROW_KEY), ROW_KEY), **FOREST)
+    return attribution.long_contributions(attributed(spark, sf_dir), [*ROW_KEY, "fold"]).select(*ROW_KEY, "predict", "bias", "feature", "contribution", "fold")
 
 
-def model_quantiles(rows, year, model) -> DataFrame:
-    samples = forest.leaf_arrays(model, rows.filter(F.col("year") != year), ["target"])
-    return forest.quantiles(samples, forest.leaf_arrays(model, held(rows, year), ROW_KEY), ROW_KEY, forest.interval_quantiles([90, 0]))
+def forest_quantiles(spark, rows, nodes, others, keep=ROW_KEY) -> DataFrame:
+    nodes = nodes_of(spark, nodes)
+    leaves = lambda df, names: attribution.leaves_by_rules(df, nodes, FEATURES, names)
+    return forest.quantiles(leaves(others, ["target"]), leaves(rows, keep), keep, forest.interval_quantiles([90, 0]))
 
 
 @query()
 def rf_quantiles(spark, sf_dir):
-    def give(rows, year, model):
-        return model_quantiles(rows, year, model)
-
-    return folds_of_models(spark, sf_dir, give, numTrees=5, maxDepth=5, minInstancesPerNode=20)
+    give = lambda rows, nodes, others: forest_quantiles(spark, rows, nodes, others)
+    return folds_of_forests(spark, sf_dir, give, others=True, numTrees=5, maxDepth=5, minInstancesPerNode=20)
 
 
-def permuted(spark, rows, model, repeats: int) -> DataFrame:
-    nodes = attribution.node_table(model, shared(spark, "forest"), spark)
-    return trees.permutation_importance(rows, nodes, FEATURES, ROW_KEY, repeats)
+def permuted(spark, rows, nodes, repeats: int) -> DataFrame:
+    return trees.permutation_importance(rows, nodes_of(spark, nodes), FEATURES, ROW_KEY, repeats)
 
 
 @query()
 def perm_importance(spark, sf_dir):
-    return folds_of_models(spark, sf_dir, lambda rows, y, m: permuted(spark, held(rows, y), m, 5), **FOREST)
+    return folds_of_forests(spark, sf_dir, lambda rows, nodes: permuted(spark, rows, nodes, 5), **FOREST)
 
 
 @query()
@@ -646,71 +659,65 @@ def rf_scores_are_good(spark, sf_dir):
 
 @query(f"{_FOLDS}, true as good {_HELD}")
 def gbt_scores_are_good(spark, sf_dir):
-    def give(rows, y, _):
-        model = forest.estimator("GradientBoostingRegressor", maxIter=5, maxDepth=4).fit(rows.filter(F.col("year") != y))
-        return stats.scores(model.transform(held(rows, y)))
+    def give(rows, nodes):
+        return stats.scores(growth.predicted(rows, nodes_of(spark, nodes), FEATURES, ["target"], total=True))
 
-    rows = training(spark, sf_dir).cache()
-    got = by_fold(spark, [(y, lambda y=y: give(rows, y, None)) for y in YEARS])
-    rows.unpersist()
+    got = folds_of_forests(spark, sf_dir, give, growth.boosted, maxIter=5, maxDepth=4)
     return got.select("fold", "n", (F.col("r2") > 0.9).alias("good"))
 
 
 @query(f"{_FOLDS}, cast(0 as bigint) violations {_HELD}")
 def rf_additivity(spark, sf_dir):
     """Of each held-out year: its rows, and those whose prediction isn't bias plus contributions."""
-    got = folds_of_models(spark, sf_dir, lambda rows, y, m: attributed(spark, held(rows, y), m, ROW_KEY), **FOREST)
-    return off_balance(got, ("fold",))
+    return attributed(spark, sf_dir, off_balance)
 
 
 @query(f"{_FOLDS}, cast(0 as bigint) violations {_HELD}")
 def rf_shap_local_accuracy(spark, sf_dir):
     """Of each held-out year: its rows, and those whose prediction isn't the base value plus the Shapley values."""
-    def give(rows, y, m):
-        nodes = attribution.node_table(m, shared(spark, "forest"), spark)
-        long = attribution.tree_shap(held(rows, y), nodes, FEATURES, ROW_KEY)
-        total = long.groupBy(*ROW_KEY).agg((F.sum("shap_value") + F.max("base_value")).alias("total"))
-        both = total.join(m.transform(held(rows, y)).select(*ROW_KEY, "predict"), ROW_KEY)
-        off = F.abs(F.col("total") - F.col("predict")) > 1e-9 * F.greatest(F.lit(1.0), F.abs("predict"))
+    def give(rows, nodes):
+        nodes = nodes_of(spark, nodes)
+        own = growth.predicted(rows, nodes, FEATURES, [*ROW_KEY, *FEATURES])
+        both = attribution.shapley_rows(own, nodes, FEATURES, ["predict"])
+        off = F.abs(F.aggregate("shap_values", F.col("base_value"), lambda a, x: a + x) - F.col("predict")) > 1e-9 * F.greatest(F.lit(1.0), F.abs("predict"))
         return both.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(off.cast("bigint")), F.lit(0)).alias("violations"))
 
-    return folds_of_models(spark, sf_dir, give, numTrees=3, maxDepth=4)
+    return folds_of_forests(spark, sf_dir, give, numTrees=3, maxDepth=4)
 
 
 @query(f"{_FOLDS}, cast(0 as bigint) crossed, true as covered {_HELD}")
 def rf_interval_coverage(spark, sf_dir):
     """Of each held-out year: its rows, those with quantiles out of order, and whether 90 % intervals hold 80 % or more."""
-    def give(rows, year, model):
-        q = model_quantiles(rows, year, model)
-        met = q.join(held(rows, year).select(*ROW_KEY, "target"), ROW_KEY)
+    def give(rows, nodes, others):
+        met = forest_quantiles(spark, rows, nodes, others, [*ROW_KEY, "target"])
         crossed = ((F.col("q_0_05") > F.col("q_0_5")) | (F.col("q_0_5") > F.col("q_0_95"))).cast("bigint")
         inside = F.avg(F.col("target").between(F.col("q_0_05"), F.col("q_0_95")).cast("double"))
         return met.agg(F.count(F.lit(1)).alias("n"), F.sum(crossed).alias("crossed"), (inside >= 0.8).alias("covered"))
 
-    return folds_of_models(spark, sf_dir, give, numTrees=5, maxDepth=5, minInstancesPerNode=20)
+    return folds_of_forests(spark, sf_dir, give, others=True, numTrees=5, maxDepth=5, minInstancesPerNode=20)
 
 
 @query(f"{_FOLDS}, 5 as features, 1.0::double as total, 'l_extendedprice' as best {_HELD}")
 def rf_importance_sums(spark, sf_dir):
     """Of each held-out year: its rows, the number and sum of importances, and the feature with the greatest."""
-    def give(rows, y, m):
-        bars = forest.model_importance(m, spark, FEATURES)
+    def give(rows, nodes):
+        bars = growth.importance(nodes, spark, FEATURES)
         facts = bars.agg(F.count(F.lit(1)).cast("int").alias("features"), F.round(F.sum("importance"), 9).alias("total"), F.max_by("feature", "importance").alias("best"))
-        return facts.crossJoin(held(rows, y).agg(F.count(F.lit(1)).alias("n")))
+        return facts.crossJoin(rows.agg(F.count(F.lit(1)).alias("n")))
 
-    return folds_of_models(spark, sf_dir, give, **FOREST)
+    return folds_of_forests(spark, sf_dir, give, **FOREST)
 
 
 @query(f"{_FOLDS}, 5 as features, 'l_extendedprice' as best, true as sound {_HELD}")
 def perm_importance_order(spark, sf_dir):
     """Of each held-out year: the feature whose permutation costs most, and whether features that the target doesn't
     depend on cost nothing."""
-    def give(rows, y, m):
-        own = permuted(spark, held(rows, y), m, 3)
+    def give(rows, nodes):
+        own = permuted(spark, rows, nodes, 3)
         facts = own.agg(F.count(F.lit(1)).cast("int").alias("features"), F.max_by("feature", "importance").alias("best"), (F.max(F.when(F.col("feature").isin("p_size", "l_quantity"), F.col("importance"))) < 0.2).alias("sound"))
-        return facts.crossJoin(held(rows, y).agg(F.count(F.lit(1)).alias("n")))
+        return facts.crossJoin(rows.agg(F.count(F.lit(1)).alias("n")))
 
-    return folds_of_models(spark, sf_dir, give, **FOREST)
+    return folds_of_forests(spark, sf_dir, give, **FOREST)
 
 
 @query("select 2 as tried, 5 as best_depth, true as ordered")
