@@ -47,15 +47,23 @@ def spread(df: DataFrame, rows: int, least: int = 20_000, most: int = 1_000_000)
     return df.repartition(n) if n > 1 and rows <= most * cores else df
 
 
+def bounded(df: DataFrame, rows: int, most: int = 1_000_000) -> DataFrame:
+    """``df``, of about so many ``rows``, ``spread``, or dealt to tasks of at most ``most`` rows: a fit keeps its rows by partition, and
+    reads whole partitions."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    n = -(-rows // (most * cores)) * cores
+    return spread(df, rows) if n <= cores else df.repartition(n)
+
+
 def prepare(df: DataFrame, features: Sequence[str], target: str = "target") -> tuple[DataFrame | None, list[str]]:
-    """Finite, complete rows with a feature vector, spread over the cores, and the features without any value (left out); no
+    """Finite, complete rows with a feature vector, spread over the cores and bounded in each task, and the features without any value (left out); no
     frame if no row is left."""
     own = all_finite(df, [*features, target])
     counts = non_null_counts(own, features).collect()
     empty = [r.variable for r in counts if r.empty]
     used = [f for f in features if f not in empty]
     out = drop_incomplete(own, used, target)
-    return (None, empty) if not used or out.isEmpty() else (assemble(spread(out, min(r.n for r in counts if not r.empty)), used), empty)
+    return (None, empty) if not used or out.isEmpty() else (assemble(bounded(out, min(r.n for r in counts if not r.empty)), used), empty)
 
 
 def side_by_side(spark: SparkSession, jobs: Sequence[Callable], at_once: int = 4) -> Iterator:

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skymesh.operators import attribution, growth
+from skymesh.operators import attribution, forest, growth
 
 
 @pytest.fixture(scope="module")
@@ -94,3 +94,12 @@ def test_importances_add_up(spark, small):
     nodes = growth.forests(small[4], small[3], 1, numTrees=4, maxDepth=3)[0]
     got = growth.importance(nodes, spark, ["a", "b"]).toPandas()
     assert abs(got.importance.sum() - 1) < 1e-9 and (got["std"] > 0).all()
+
+
+def test_large_tables_are_dealt_to_bounded_tasks(spark):
+    df = spark.range(0, 50_000, 1, 1)
+    cores = spark.sparkContext.defaultParallelism
+    own = forest.bounded(df, 50_000, most=3_000)
+    sizes = [r["count"] for r in own.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) % cores == 0 and max(sizes) <= 3_000 + 300 and own.count() == 50_000
+    assert forest.bounded(df, 20_000) is df
