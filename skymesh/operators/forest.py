@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import Bucketizer, VectorAssembler
@@ -118,42 +119,60 @@ def leaf_arrays(model, df: DataFrame, keep: Sequence[str]) -> DataFrame:
     return model.transform(df).select(*keep, vector_to_array("leaf").cast("array<int>").alias("leaves"))
 
 
+def _reached_in_bin(samples: pa.Table, wanted: pa.Table) -> pa.Table:
+    """The quantiles that fall into one bin: of each wanted one, the samples of its leaves are merged up to it."""
+    y, c = samples["y"].to_numpy(), samples["c"].to_numpy()
+    order = np.argsort(y, kind="stable")
+    y, c = y[order], c[order]
+    lists = lambda t, name: t[name].combine_chunks().flatten().to_numpy()
+    leaf = lists(samples, "leaves").reshape(len(y), -1)[order] if len(y) else np.zeros((0, 1), np.int32)
+    found = np.full(wanted.num_rows, np.nan)
+    if len(y) and wanted.num_rows:
+        kinds, sizes = (lists(wanted, n).reshape(wanted.num_rows, -1) for n in ("leaves", "sizes"))
+        places = np.argsort(leaf, 0, kind="stable")  # of each tree, the samples by leaf, then target
+        edges = [[np.searchsorted(leaf[places[:, t], t], kinds[:, t], side) for side in ("left", "right")] for t in range(leaf.shape[1])]
+        for r, (q, before, whole) in enumerate(zip(*(wanted[n].to_numpy() for n in ("q", "before", "whole")), strict=True)):
+            own = [places[a[r] : b[r], t] for t, (a, b) in enumerate(edges)]
+            at = np.concatenate(own)
+            weight = c[at] / np.repeat(sizes[r], [len(o) for o in own])
+            up = np.argsort(at, kind="stable")
+            reached = (before + np.cumsum(weight[up])) / whole >= q - 1e-9
+            # the last target of the bin reaches the quantile, whatever the order of the sums rounds to
+            found[r] = y[at[up[reached.argmax() if reached.any() else -1]]]
+    return pa.table({"leaves": wanted["leaves"], "i": wanted["i"], "y": pa.array(found)})
+
+
 def quantiles(samples: DataFrame, rows: DataFrame, keys: Sequence[str], at: Sequence[float], bins: int = 256) -> DataFrame:
     """Quantiles of the training targets in the leaves that a row reaches.
 
     ``samples`` (leaves, target) of the training rows, ``rows`` (keys, leaves), with a leaf for each tree.  A sample weighs
     1 / (trees x size of its leaf); a quantile is the least target whose cumulative weight reaches it.
-    Rows that reach the same leaves share their quantiles.  The samples of a leaf are sorted arrays of targets and weights, one
-    for each bin of targets: the bin that holds a quantile is found by the bins' weights, then the arrays of its
-    trees are merged up to the quantile, so the result is exact."""
+    Rows that reach the same leaves share their quantiles.  Samples are counted by tree, leaf and bin of the target, which finds the
+    bin of each quantile; then each sample goes once to its bin, where the samples of the leaves asked for are merged up to the
+    quantile, so the result is exact.  A bin has at most about 50,000 samples; equal ones are counted."""
+    y = samples.schema["target"].dataType
+    own = samples.select(F.col("target").cast("double").alias("y"), F.col("leaves").cast("array<int>").alias("leaves")).filter("y is not null")
+    rows = rows.withColumn("leaves", F.col("leaves").cast("array<int>"))
+    bins = max(bins, own.count() // 50_000) if bins > 1 else bins
+    edges = sorted(set(own.approxQuantile("y", [i / bins for i in range(1, bins)], 0.25 / bins))) if bins > 1 else []
+    own = Bucketizer(splits=[-math.inf, *edges, math.inf], inputCol="y", outputCol="bin", handleInvalid="keep").transform(own) if edges else own.withColumn("bin", F.lit(0.0))
+    cells = own.select("bin", F.posexplode("leaves").alias("tree", "leaf")).groupBy("tree", "leaf", "bin").agg(F.count(F.lit(1)).alias("c"))
+    cells = cells.withColumn("size", F.sum("c").over(Window.partitionBy("tree", "leaf")))  # a row for each bin
+
     kinds = rows.select("leaves").distinct().select("leaves", F.posexplode("leaves").alias("tree", "leaf"))
-    own = samples.select("target", F.posexplode("leaves").alias("tree", "leaf"))
-    size = own.groupBy("tree", "leaf").agg(F.count(F.lit(1)).alias("size"))
-    values = own.groupBy("tree", "leaf", "target").agg(F.count(F.lit(1)).alias("c")).join(size, ["tree", "leaf"])
-    values = values.select("tree", "leaf", F.col("target").alias("y"), F.col("target").cast("double").alias("__y"), (F.col("c") / F.col("size")).alias("w"))
-    edges = sorted(set(samples.select(F.col("target").cast("double").alias("__y")).approxQuantile("__y", [i / bins for i in range(1, bins)], 0.001))) if bins > 1 else []
-    values = Bucketizer(splits=[-math.inf, *edges, math.inf], inputCol="__y", outputCol="bin", handleInvalid="keep").transform(values) if edges else values.withColumn("bin", F.lit(0.0))
-    cells = values.groupBy("tree", "leaf", "bin").agg(F.sum("w").alias("w"), F.sort_array(F.collect_list(F.struct("y", "w"))).alias("ys"))
-
-    met = kinds.join(cells.select("tree", "leaf", "bin", "w"), ["tree", "leaf"]).groupBy("leaves", "bin").agg(F.sum("w").alias("w"))
+    met = kinds.join(cells, ["tree", "leaf"]).groupBy("leaves", "bin").agg(F.sum(F.col("c") / F.col("size")).alias("w"), F.collect_set(F.struct("tree", "size")).alias("has"))
     to_bin = Window.partitionBy("leaves").orderBy("bin")
     upto = F.sum("w").over(to_bin.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     before = F.coalesce(F.sum("w").over(to_bin.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    part = met.select("leaves", "bin", upto.alias("upto"), before.alias("before"), F.sum("w").over(Window.partitionBy("leaves")).alias("whole"))
+    part = met.select("leaves", "bin", "has", upto.alias("upto"), before.alias("before"), F.sum("w").over(Window.partitionBy("leaves")).alias("whole"))
     wanted = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q")) for i, q in enumerate(at))))
-    part = part.withColumn("x", wanted).select("leaves", "bin", "before", "whole", "upto", "x.*")
+    part = part.withColumn("x", wanted).select("leaves", "bin", "has", "before", "whole", "upto", "x.*")
     part = part.filter((F.col("upto") / F.col("whole") >= F.col("q") - 1e-9) & ((F.col("before") == 0) | (F.col("before") / F.col("whole") < F.col("q") - 1e-9)))
+    # a leaf without samples in this bin gives none, so its size isn't needed
+    size = F.transform("leaves", lambda _, t: F.coalesce(F.element_at(F.map_from_entries("has"), t), F.lit(1)).cast("double"))
+    part = part.select("bin", "leaves", "i", "q", "before", "whole", size.alias("sizes"))
 
-    arrays = part.select("*", F.posexplode("leaves").alias("tree", "leaf")).join(cells.select("tree", "leaf", "bin", "ys"), ["tree", "leaf", "bin"])
-    merged = arrays.groupBy("leaves", "i", "q", "before", "whole").agg(F.array_sort(F.flatten(F.collect_list("ys"))).alias("ys"))
-    y = merged.schema["ys"].dataType.elementType["y"].dataType
-    start = F.struct(F.col("before").alias("cum"), F.lit(None).cast(y).alias("y"))
-
-    def step(acc, x):
-        cum = acc["cum"] + x["w"]
-        return F.when(acc["y"].isNotNull(), acc).otherwise(F.struct(cum.alias("cum"), F.when(cum / F.col("whole") >= F.col("q") - 1e-9, x["y"]).alias("y")))
-
-    # the last target of the bin reaches the quantile, whatever the order of the sums rounds to
-    found = merged.select("leaves", "i", F.coalesce(F.aggregate("ys", start, step)["y"], F.element_at("ys", -1)["y"]).alias("y"))
-    found = found.groupBy("leaves").agg(*(F.max(F.when(F.col("i") == i, F.col("y"))).alias("q_" + f"{q:g}".replace(".", "_")) for i, q in enumerate(at)))
+    equal = own.groupBy(F.col("bin").alias("__bin"), "y", "leaves").agg(F.count(F.lit(1)).cast("double").alias("c"))
+    found = equal.groupBy("__bin").cogroup(part.groupBy("bin")).applyInArrow(_reached_in_bin, "leaves array<int>, i int, y double")
+    found = found.groupBy("leaves").agg(*(F.max(F.when(F.col("i") == i, F.col("y"))).cast(y).alias("q_" + f"{q:g}".replace(".", "_")) for i, q in enumerate(at)))
     return rows.select(*keys, "leaves").join(found, "leaves").drop("leaves")

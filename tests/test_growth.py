@@ -103,3 +103,21 @@ def test_large_tables_are_dealt_to_bounded_tasks(spark):
     sizes = [r["count"] for r in own.groupBy(F.spark_partition_id()).count().collect()]
     assert len(sizes) % cores == 0 and max(sizes) <= 3_000 + 300 and own.count() == 50_000
     assert forest.bounded(df, 20_000) is df
+
+
+def test_quantiles_of_equal_targets_and_empty_leaves(spark):
+    """One value for half of the samples, and a leaf that no sample reaches."""
+    rng = np.random.default_rng(8)
+    target = np.where(rng.random(300) < 0.5, 2.0, rng.normal(size=300).round(1))
+    leaf = rng.integers(0, 3, (300, 2))
+    reach = np.array([[0, 1], [2, 2], [1, 7], [7, 7]])
+    samples = spark.createDataFrame([(leaf[i].tolist(), float(target[i])) for i in range(300)], "leaves array<int>, target double")
+    rows = spark.createDataFrame([(k, reach[k].tolist()) for k in range(4)], "k int, leaves array<int>")
+    order = np.argsort(target, kind="stable")
+    for bins in (1, 4, 40):
+        got = {r.k: [r.q_0_05, r.q_0_5, r.q_0_95] for r in forest.quantiles(samples, rows, ["k"], [0.05, 0.5, 0.95], bins=bins).collect()}
+        assert set(got) == {0, 1, 2}
+        for k, have in got.items():
+            met = [leaf[:, t] == reach[k, t] for t in range(2) if (leaf[:, t] == reach[k, t]).any()]
+            w = sum(m / m.sum() for m in met)[order] / len(met)
+            assert have == [target[order][np.argmax(np.cumsum(w) >= q - 1e-9)] for q in (0.05, 0.5, 0.95)]
