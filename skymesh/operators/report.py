@@ -93,5 +93,22 @@ def waterfall(explanation: DataFrame, keys: Sequence[str], most: int = 10) -> Da
     return short.withColumn("upto", F.col("base_value") + F.sum("shap_value").over(run))
 
 
+def waterfall_rows(explained: DataFrame, features: Sequence[str], keys: Sequence[str], most: int = 10) -> DataFrame:
+    """``waterfall`` of rows with ``shap_values`` (in the order of ``features``) and ``base_value``: each row is sorted inside itself, so nothing is
+    exchanged."""
+    pairs = F.arrays_zip(F.col("shap_values").alias("v"), F.array(*(F.lit(f) for f in features)).alias("feature"))
+    sized = F.array_sort(F.transform(pairs, lambda x: F.struct((-F.abs(x["v"])).alias("size"), x["feature"].alias("feature"), x["v"].alias("v"))))
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x["v"])
+    if len(features) > most:
+        rest = F.struct(F.lit(0.0).alias("size"), F.lit("other").alias("feature"), total(F.slice("__s", most, len(features))).alias("v"))
+        shown = F.concat(F.slice("__s", 1, most - 1), F.array(rest))
+    else:
+        shown = F.col("__s")
+    steps = F.transform("__s", lambda x, i: F.struct(x["feature"].alias("feature"), x["v"].alias("shap_value"), (F.col("base_value") + total(F.slice("__s", F.lit(1), i + 1))).alias("upto")))
+    own = explained.select(*keys, "base_value", sized.alias("__s")).select(*keys, "base_value", shown.alias("__s"))
+    long = own.select(*keys, "base_value", F.posexplode(steps).alias("at", "x"))
+    return long.select(*keys, (F.col("at") + 1).alias("rank"), "x.feature", "x.shap_value", "base_value", "x.upto")
+
+
 def mean_explanation(explanation: DataFrame, points: DataFrame, keys: Sequence[str]) -> DataFrame:
     return explanation.join(points, list(keys), "left_semi").groupBy("feature").agg(F.avg("shap_value").alias("shap_value"), F.avg("feature_value").alias("feature_value"), F.avg("base_value").alias("base_value"))

@@ -490,8 +490,9 @@ def shap_dependence(spark, sf_dir):
 
 @query(f"with {ML}, {_SHAP}, l as (select *, abs(round(sq, 9)) > abs(round(sd, 9)) qfirst from shap) select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, k as rank, case when (k = 1) = qfirst then 'l_quantity' else 'l_discount' end feature, round(case when (k = 1) = qfirst then sq else sd end, 6) shap_value, round(base, 6) base_value, round(case when k = 2 then base + sq + sd when qfirst then base + sq else base + sd end, 6) upto from l, (values (1), (2)) t(k)")
 def waterfall(spark, sf_dir):
-    own = explained(spark, sf_dir).withColumn("shap_value", F.round("shap_value", 9))
-    return rounded(report.waterfall(own, ROW_KEY))
+    own = attribution.shapley_rows(ml_rows(spark, sf_dir), tiny_forest(spark), TREE, ROW_KEY)
+    own = own.withColumn("shap_values", F.transform("shap_values", lambda v: F.round(v, 9)))
+    return rounded(report.waterfall_rows(own, TREE, ROW_KEY))
 
 
 @query(f"with {ML}, {_SHAP} select 'l_quantity' feature, round(avg(sq), 6) shap_value, round(avg(l_quantity), 6) feature_value, round(avg(base), 6) base_value from shap where l_suppkey < 50 union all select 'l_discount', round(avg(sd), 6), round(avg(l_discount), 6), round(avg(base), 6) from shap where l_suppkey < 50")

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skymesh.operators import attribution, forest, growth
+from skymesh.operators import attribution, forest, growth, report
 
 
 @pytest.fixture(scope="module")
@@ -121,3 +121,14 @@ def test_quantiles_of_equal_targets_and_empty_leaves(spark):
             met = [leaf[:, t] == reach[k, t] for t in range(2) if (leaf[:, t] == reach[k, t]).any()]
             w = sum(m / m.sum() for m in met)[order] / len(met)
             assert have == [target[order][np.argmax(np.cumsum(w) >= q - 1e-9)] for q in (0.05, 0.5, 0.95)]
+
+
+def test_waterfalls_of_rows_are_those_of_long_explanations(spark):
+    names = ["b", "a", "c", "d"]
+    rows = [(1, [1.0, -1.0, 0.5, 3.0], 2.0), (2, [0.0, 0.0, 0.0, -0.25], 7.0)]
+    wide = spark.createDataFrame(rows, "k int, shap_values array<double>, base_value double")
+    long = spark.createDataFrame([(k, f, x, b) for k, v, b in rows for f, x in zip(names, v, strict=True)], "k int, feature string, shap_value double, base_value double")
+    for most in (2, 3, 4, 10):
+        one, other = report.waterfall_rows(wide, names, ["k"], most), report.waterfall(long, ["k"], most).select("k", "rank", "feature", "shap_value", "base_value", "upto")
+        assert one.dtypes == other.dtypes and sorted(map(tuple, one.collect())) == sorted(map(tuple, other.collect()))
+        assert "Exchange" not in one._jdf.queryExecution().executedPlan().toString()
