@@ -73,10 +73,11 @@ def _contributions(forest: list[trees.Tree], x: np.ndarray) -> np.ndarray:
     return out
 
 
-def interpret_rows(df: DataFrame, nodes: DataFrame, features: Sequence[str], keys: Sequence[str], most: int = trees.NODES) -> DataFrame:
+def interpret_rows(df: DataFrame, nodes: DataFrame, features: Sequence[str], keys: Sequence[str], most: int = trees.NODES, forests: trees.Forests = None) -> DataFrame:
     """(keys, predict, bias, contributions) of rows with their features, as ``interpret`` gives.  Each row's leaves index an
-    array of the leaves' parts inside one map for each part of the forest: nothing is joined or exchanged."""
-    sums, n = trees.summed(df, nodes, features, keys, len(features) + 2, _contributions, most)
+    array of the leaves' parts inside one map for each part of the forest: nothing is joined or exchanged.  ``forests`` as in
+    ``trees.summed``."""
+    sums, n = trees.summed(df, nodes, features, keys, len(features) + 2, _contributions, most, forests)
     mean = F.transform("sums", lambda v: v / n)
     return sums.select(*(F.col(f"`{k}`") for k in keys), mean[0].alias("predict"), mean[1].alias("bias"), F.slice(mean, 3, max(1, len(features))).alias("contributions"))
 
@@ -124,9 +125,9 @@ def _shapley(forest: list[trees.Tree], x: np.ndarray) -> np.ndarray:
     return np.column_stack([sum(t.shapley(x) for t in forest), np.full(len(x), sum(t.expected() for t in forest))])
 
 
-def shapley_rows(df: DataFrame, nodes: DataFrame, features: Sequence[str], keep: Sequence[str], most: int = trees.NODES) -> DataFrame:
+def shapley_rows(df: DataFrame, nodes: DataFrame, features: Sequence[str], keep: Sequence[str], most: int = trees.NODES, forests: trees.Forests = None) -> DataFrame:
     """``keep``, ``shap_values`` (an array in the order of the features) and ``base_value``, a row for each row, as ``tree_shap``."""
-    sums, n = trees.summed(df, nodes, features, keep, len(features) + 1, _shapley, most)
+    sums, n = trees.summed(df, nodes, features, keep, len(features) + 1, _shapley, most, forests)
     mean = F.transform("sums", lambda v: v / n)
     return sums.select(*(F.col(f"`{k}`") for k in keep), F.slice(mean, 1, max(1, len(features))).alias("shap_values"), mean[len(features)].alias("base_value"))
 

@@ -56,15 +56,15 @@ def bounded(df: DataFrame, rows: int, most: int = 1_000_000) -> DataFrame:
     return spread(df, rows) if n <= cores else df.repartition(n)
 
 
-def prepare(df: DataFrame, features: Sequence[str], target: str = "target") -> tuple[DataFrame | None, list[str]]:
+def prepare(df: DataFrame, features: Sequence[str], target: str = "target", deal: Callable = bounded) -> tuple[DataFrame | None, list[str]]:
     """Finite, complete rows with a feature vector, spread over the cores and bounded in each task, and the features without any value (left out); no
-    frame if no row is left."""
+    frame if no row is left.  With ``deal=spread`` a large table isn't exchanged, for what reads its rows as a stream."""
     own = all_finite(df, [*features, target])
     counts = non_null_counts(own, features).collect()
     empty = [r.variable for r in counts if r.empty]
     used = [f for f in features if f not in empty]
     out = drop_incomplete(own, used, target)
-    return (None, empty) if not used or out.isEmpty() else (assemble(bounded(out, min(r.n for r in counts if not r.empty)), used), empty)
+    return (None, empty) if not used or out.isEmpty() else (assemble(deal(out, min(r.n for r in counts if not r.empty)), used), empty)
 
 
 def side_by_side(spark: SparkSession, jobs: Sequence[Callable], at_once: int = 4) -> Iterator:

@@ -246,26 +246,57 @@ def matrix(batch: pa.RecordBatch, features: Sequence[str]) -> np.ndarray:
     return np.column_stack([batch.column(f).to_numpy(zero_copy_only=False).astype(float) for f in features]) if features else np.zeros((batch.num_rows, 0))
 
 
-def _added(batches, trees: list[Tree], features: list[str], width: int, give) -> Iterator[pa.RecordBatch]:
+#: a column, and of each forest in order the value that its rows have there
+Forests = tuple[str, Sequence] | None
+
+
+def _given(b: pa.RecordBatch, own: dict, by: str | None, x: np.ndarray, width: int, give) -> np.ndarray:
+    """What each row's forest gives; ``own`` has the trees by the value of the column ``by``, or all under None."""
+    if by is None:
+        return give(own[None], x)
+    out, value = np.zeros((len(x), width)), b.column(by).to_numpy(zero_copy_only=False)
+    for v, forest in own.items():
+        rows = np.flatnonzero(value == v)
+        if len(rows) == len(x):
+            return give(forest, x)
+        if len(rows):
+            out[rows] = give(forest, x[rows])
+    return out
+
+
+def _added(batches, own: dict, by: str | None, features: list[str], width: int, give) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if not b.num_rows:
             continue
-        sums = b.column("sums").flatten().to_numpy().reshape(b.num_rows, width) + give(trees, matrix(b, features))
+        sums = _given(b, own, by, matrix(b, features), width, give)
+        names = [n for n in b.schema.names if n != "sums"]
+        if len(names) < b.num_columns:
+            sums = sums + b.column("sums").flatten().to_numpy().reshape(b.num_rows, width)
         ends = pa.array(np.arange(0, sums.size + 1, width, dtype=np.int32))
-        new = pa.ListArray.from_arrays(ends, pa.array(sums.ravel()))
-        yield pa.RecordBatch.from_arrays([new if n == "sums" else b.column(n) for n in b.schema.names], b.schema.names)
+        yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.ListArray.from_arrays(ends, pa.array(sums.ravel()))], [*names, "sums"])
 
 
-def summed(df: DataFrame, nodes: DataFrame, features: Sequence[str], keep: Sequence[str], width: int, give, most: int = NODES) -> tuple[DataFrame, int]:
+def summed(df: DataFrame, nodes: DataFrame, features: Sequence[str], keep: Sequence[str], width: int, give, most: int = NODES, forests: Forests = None) -> tuple[DataFrame, int]:
     """``keep`` and the features of each row with ``sums``: what ``give(trees, rows)`` gives, ``width`` numbers a row, summed over the
-    forest's parts; and the number of trees."""
+    forest's parts; and the number of trees.  With ``forests`` the table has several forests of equally many trees, one after the other, and
+    each row takes the trees of its own, by its value of a column (in ``keep``)."""
     names = list(dict.fromkeys([*keep, *features]))
-    out = df.select(*(F.col(f"`{c}`").cast("double").alias(c) if c in features else F.col(f"`{c}`") for c in names), F.array_repeat(F.lit(0.0), width).alias("sums"))
-    count = 0
-    for trees in parts(nodes, most):
-        count += len(trees)
-        out = out.mapInArrow(partial(_added, trees=trees, features=list(features), width=width, give=give), out.schema)
-    return out, count
+    out = df.select(*(F.col(f"`{c}`").cast("double").alias(c) if c in features else F.col(f"`{c}`") for c in names))
+    schema = out.select("*", F.array_repeat(F.lit(0.0), width).alias("sums")).schema
+    by, values = forests or (None, [None])
+    lots, count = [], 0
+    for lot in parts(nodes, most):
+        lots.append((count, lot))
+        count += len(lot)
+    each = max(1, count // len(values))
+    if count != each * len(values):
+        raise ValueError(f"{count} trees are no {len(values)} forests of equally many")
+    for first, lot in lots:
+        own: dict = {}
+        for k, tree in enumerate(lot, first):
+            own.setdefault(values[k // each], []).append(tree)
+        out = out.mapInArrow(partial(_added, own=own, by=by, features=list(features), width=width, give=give), schema)
+    return out, each
 
 
 # -- leaf caps ------------------------------------------------------------------------------------

@@ -8,6 +8,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -543,8 +544,8 @@ def workflow_rows(spark, sf_dir):
 
 
 # -- trained models (no SQL trains a forest: rows and invariants are tested instead) -----------------
-def training(spark, sf_dir):
-    rows, _ = forest.prepare(ml_rows(spark, sf_dir), FEATURES)
+def training(spark, sf_dir, deal=forest.bounded):
+    rows, _ = forest.prepare(ml_rows(spark, sf_dir), FEATURES, deal=deal)
     return rows
 
 
@@ -567,23 +568,38 @@ def by_fold(spark, jobs) -> DataFrame:
     return spark.read.parquet(*forest.side_by_side(spark, [stored(y, j) for y, j in jobs], 3))
 
 
-def stored_training(spark, sf_dir) -> DataFrame:
-    """The training rows without vectors, stored by year: folds read theirs from files, and nothing stays in memory."""
+def stored_training(spark, sf_dir, by_year: bool = False) -> DataFrame:
+    """The training rows without vectors, stored, so that nothing stays in memory.  With ``by_year`` folds read theirs from files, and tasks
+    sort bounded parts of the rows; else a large table is neither exchanged nor sorted."""
     path = shared(spark, "training")
-    training(spark, sf_dir).select(*ROW_KEY, *FEATURES, "target", "year").write.partitionBy("year").parquet(path)
+    rows = training(spark, sf_dir, forest.bounded if by_year else forest.spread).select(*ROW_KEY, *FEATURES, "target", "year")
+    rows.write.partitionBy(*(["year"] if by_year else [])).parquet(path)
     return spark.read.parquet(path)
 
 
-def folds_of_forests(spark, sf_dir, give, kind=growth.forests, others: bool = False, **params) -> DataFrame:
-    """What ``give(rows, node rows)`` gives for each held-out year, rows being the year's (and third, with ``others``, all other
-    years' rows); the trees of all years grow together."""
-    rows, number = stored_training(spark, sf_dir), {y: i for i, y in enumerate(YEARS)}
+def grown_folds(spark, sf_dir, kind=growth.forests, by_year: bool = False, **params) -> tuple[DataFrame, list[list[tuple]]]:
+    """The stored rows, and of each held-out year the node rows of its forest; the trees of all years grow together."""
+    rows, number = stored_training(spark, sf_dir, by_year), {y: i for i, y in enumerate(YEARS)}
     edges = growth.bin_edges(rows, FEATURES)
     fold = F.coalesce(*(F.when(F.col("year") == y, F.lit(i)) for y, i in number.items()), F.lit(len(number)))
-    path = shared(spark, "points")
-    growth.points(rows.filter("year is not null"), FEATURES, ROW_KEY, fold, edges).write.parquet(path)
-    nodes = kind(spark.read.parquet(path), edges, len(number), **params)
-    return by_fold(spark, [(y, lambda y=y, i=i: give(held(rows, y), nodes[i], *([rows.filter(F.col("year") != y)] if others else []))) for y, i in number.items()])
+    points = growth.stored(growth.points(rows.filter("year is not null"), FEATURES, ROW_KEY, fold, edges), shared(spark, "points"))
+    return rows, kind(points, edges, len(number), **params)
+
+
+def folds_of_forests(spark, sf_dir, give, others: bool = False, **params) -> DataFrame:
+    """What ``give(rows, node rows)`` gives for each held-out year, rows being the year's (and third, with ``others``, all other
+    years' rows)."""
+    rows, nodes = grown_folds(spark, sf_dir, by_year=True, **params)
+    return by_fold(spark, [(y, lambda y=y, own=own: give(held(rows, y), own, *([rows.filter(F.col("year") != y)] if others else []))) for y, own in zip(YEARS, nodes, strict=True)])
+
+
+#: rows with their ``fold`` take the forest of that year
+OWN_FOREST = ("fold", YEARS)
+
+
+def held_rows(rows: DataFrame) -> DataFrame:
+    """The rows of all held-out years with their ``fold``, so that one pass does what is done row by row."""
+    return rows.filter(F.col("year").between(YEARS[0], YEARS[-1])).withColumn("fold", F.col("year").cast("int"))
 
 
 def nodes_of(spark, nodes) -> DataFrame:
@@ -594,8 +610,10 @@ def held(rows: DataFrame, year: int) -> DataFrame:
     return rows.filter(F.col("year") == year)
 
 
-def fold_scores(spark, sf_dir, **params) -> DataFrame:
-    return folds_of_forests(spark, sf_dir, lambda rows, nodes: stats.scores(growth.predicted(rows, nodes_of(spark, nodes), FEATURES, ["target"])), **params)
+def fold_scores(spark, sf_dir, kind=growth.forests, **params) -> DataFrame:
+    rows, nodes = grown_folds(spark, sf_dir, kind, **params)
+    got = growth.predicted(held_rows(rows), nodes_of(spark, growth.in_one(nodes)), FEATURES, ["target", "fold"], kind is growth.boosted, OWN_FOREST)
+    return stats.scores(got, by=["fold"]).select("mape", "rmse", "r2", "r", "n", "fold")
 
 
 @query()
@@ -609,8 +627,9 @@ def rf_importance(spark, sf_dir):
     return report.importance_bars(forest.model_importance(model, spark, FEATURES))
 
 
-def attributed(spark, sf_dir, give=lambda df: df) -> DataFrame:
-    return folds_of_forests(spark, sf_dir, lambda rows, nodes: give(attribution.interpret_rows(rows, nodes_of(spark, nodes), FEATURES, ROW_KEY)), **FOREST)
+def attributed(spark, sf_dir, keys=("fold", *ROW_KEY)) -> DataFrame:
+    rows, nodes = grown_folds(spark, sf_dir, **FOREST)
+    return attribution.interpret_rows(held_rows(rows), nodes_of(spark, growth.in_one(nodes)), FEATURES, keys, forests=OWN_FOREST)
 
 
 @query()
@@ -660,30 +679,25 @@ def rf_scores_are_good(spark, sf_dir):
 
 @query(f"{_FOLDS}, true as good {_HELD}")
 def gbt_scores_are_good(spark, sf_dir):
-    def give(rows, nodes):
-        return stats.scores(growth.predicted(rows, nodes_of(spark, nodes), FEATURES, ["target"], total=True))
-
-    got = folds_of_forests(spark, sf_dir, give, growth.boosted, maxIter=5, maxDepth=4)
+    got = fold_scores(spark, sf_dir, growth.boosted, maxIter=5, maxDepth=4)
     return got.select("fold", "n", (F.col("r2") > 0.9).alias("good"))
 
 
 @query(f"{_FOLDS}, cast(0 as bigint) violations {_HELD}")
 def rf_additivity(spark, sf_dir):
     """Of each held-out year: its rows, and those whose prediction isn't bias plus contributions."""
-    return attributed(spark, sf_dir, off_balance)
+    return off_balance(attributed(spark, sf_dir, ["fold"]), ["fold"])
 
 
 @query(f"{_FOLDS}, cast(0 as bigint) violations {_HELD}")
 def rf_shap_local_accuracy(spark, sf_dir):
     """Of each held-out year: its rows, and those whose prediction isn't the base value plus the Shapley values."""
-    def give(rows, nodes):
-        nodes = nodes_of(spark, nodes)
-        own = growth.predicted(rows, nodes, FEATURES, [*ROW_KEY, *FEATURES])
-        both = attribution.shapley_rows(own, nodes, FEATURES, ["predict"])
-        off = F.abs(F.aggregate("shap_values", F.col("base_value"), lambda a, x: a + x) - F.col("predict")) > 1e-9 * F.greatest(F.lit(1.0), F.abs("predict"))
-        return both.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(off.cast("bigint")), F.lit(0)).alias("violations"))
-
-    return folds_of_forests(spark, sf_dir, give, numTrees=3, maxDepth=4)
+    rows, nodes = grown_folds(spark, sf_dir, numTrees=3, maxDepth=4)
+    nodes = nodes_of(spark, growth.in_one(nodes))
+    own = growth.predicted(held_rows(rows), nodes, FEATURES, [*FEATURES, "fold"], forests=OWN_FOREST)
+    both = attribution.shapley_rows(own, nodes, FEATURES, ["predict", "fold"], forests=OWN_FOREST)
+    off = F.abs(F.aggregate("shap_values", F.col("base_value"), lambda a, x: a + x) - F.col("predict")) > 1e-9 * F.greatest(F.lit(1.0), F.abs("predict"))
+    return both.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(off.cast("bigint")), F.lit(0)).alias("violations"))
 
 
 @query(f"{_FOLDS}, cast(0 as bigint) crossed, true as covered {_HELD}")
@@ -701,12 +715,10 @@ def rf_interval_coverage(spark, sf_dir):
 @query(f"{_FOLDS}, 5 as features, 1.0::double as total, 'l_extendedprice' as best {_HELD}")
 def rf_importance_sums(spark, sf_dir):
     """Of each held-out year: its rows, the number and sum of importances, and the feature with the greatest."""
-    def give(rows, nodes):
-        bars = growth.importance(nodes, spark, FEATURES)
-        facts = bars.agg(F.count(F.lit(1)).cast("int").alias("features"), F.round(F.sum("importance"), 9).alias("total"), F.max_by("feature", "importance").alias("best"))
-        return facts.crossJoin(rows.agg(F.count(F.lit(1)).alias("n")))
-
-    return folds_of_forests(spark, sf_dir, give, **FOREST)
+    rows, nodes = grown_folds(spark, sf_dir, **FOREST)
+    bars = reduce(DataFrame.unionByName, (growth.importance(own, spark, FEATURES).withColumn("fold", F.lit(y)) for y, own in zip(YEARS, nodes, strict=True)))
+    facts = bars.groupBy("fold").agg(F.count(F.lit(1)).cast("int").alias("features"), F.round(F.sum("importance"), 9).alias("total"), F.max_by("feature", "importance").alias("best"))
+    return facts.join(held_rows(rows).groupBy("fold").agg(F.count(F.lit(1)).alias("n")), "fold")
 
 
 @query(f"{_FOLDS}, 5 as features, 'l_extendedprice' as best, true as sound {_HELD}")

@@ -132,3 +132,32 @@ def test_waterfalls_of_rows_are_those_of_long_explanations(spark):
         one, other = report.waterfall_rows(wide, names, ["k"], most), report.waterfall(long, ["k"], most).select("k", "rank", "feature", "shap_value", "base_value", "upto")
         assert one.dtypes == other.dtypes and sorted(map(tuple, one.collect())) == sorted(map(tuple, other.collect()))
         assert "Exchange" not in one._jdf.queryExecution().executedPlan().toString()
+
+
+def test_points_are_stored_in_blocks(spark, small, tmp_path):
+    """A level moves a few large values, not a row for each row of the table, and row groups stay small; none is lost."""
+    x, y, _, edges, points = small
+    got = growth.stored(points, str(tmp_path / "points")).toPandas()
+    assert len(got) < 60 and sum(len(v) for v in got["y"]) == 600 * 8
+    bins = np.concatenate([np.frombuffer(c, np.uint8).reshape(2, -1) for c in got["codes"]], 1)
+    have = sorted(zip(*bins.tolist(), np.concatenate([np.frombuffer(v) for v in got["y"]]).tolist(), strict=True))
+    assert have == sorted(zip(*(np.searchsorted(e, x[:, j]).tolist() for j, e in enumerate(edges)), y.tolist(), strict=True))
+
+
+def test_rows_of_all_folds_take_their_own_forest_in_one_pass(spark, small):
+    """In parts of any size, mixed in a batch: what each fold gives alone; nothing is exchanged, whatever the number of folds."""
+    _, _, df, edges, points = small
+    nodes = growth.forests(points, edges, 3, numTrees=4, maxDepth=3)
+    table = lambda rows: spark.createDataFrame(rows, attribution.NODES)
+    forests = ("part", range(3))
+    plain = lambda rows: [[r.k, r.predict, *r.contributions] for r in rows]
+    alone = [r for f in range(3) for r in plain(attribution.interpret_rows(df.filter(F.col("part") == f), table(nodes[f]), ["a", "b"], ["k"]).collect())]
+    for most in (1, 40, 1 << 20):
+        got = attribution.interpret_rows(df, table(growth.in_one(nodes)), ["a", "b"], ["k", "part"], most, forests)
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+        assert np.allclose(sorted(plain(got.collect())), sorted(alone))
+        shap = attribution.shapley_rows(df, table(growth.in_one(nodes)), ["a", "b"], ["k", "part"], most, forests)
+        sums = {r.k: r.base_value + sum(r.shap_values) for r in shap.collect()}
+        assert all(abs(sums[k] - p) < 1e-9 for k, p, *_ in alone)
+    with pytest.raises(ValueError, match="equally many"):
+        attribution.interpret_rows(df, table(nodes[0]), ["a", "b"], ["k", "part"], forests=forests)
