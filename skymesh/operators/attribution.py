@@ -7,13 +7,14 @@ leaves.  The table of a Spark model is read from what its writer saves.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skymesh.operators import trees
+from skymesh.operators import growth, trees
 
 NODES = "tree int, node int, value double, cover double, feature int, threshold double, left int, right int"
 
@@ -63,23 +64,36 @@ def interpret(reached: DataFrame, paths: DataFrame, keys: Sequence[str], feature
     return met.select(*keys, "predict", "bias", F.array(*(f"d{i}" for i in range(features))).alias("contributions"))
 
 
+def _parts(tree: trees.Tree, features: int) -> np.ndarray:
+    """Of each leaf, in order: its value, the root's, and the changes of value on the way by feature."""
+    return np.column_stack([tree.value[tree.leaves], np.full(len(tree.leaves), tree.value[0]), tree.changes(features)])
+
+
 def _contributions(forest: list[trees.Tree], x: np.ndarray) -> np.ndarray:
     out = np.zeros((len(x), x.shape[1] + 2))
     for t in forest:
-        at = t.leaf[t.reached(x)]
-        out[:, 0] += t.value[t.leaves][at]
-        out[:, 1] += t.value[0]
-        out[:, 2:] += t.changes(x.shape[1])[at]
+        out += _parts(t, x.shape[1])[t.leaf[t.reached(x)]]
     return out
 
 
+def _interpreted(sums: DataFrame, keys: Sequence[str], features: int, count: int) -> DataFrame:
+    mean = F.transform("sums", lambda v: v / count)
+    return sums.select(*(F.col(f"`{k}`") for k in keys), mean[0].alias("predict"), mean[1].alias("bias"), F.slice(mean, 3, max(1, features)).alias("contributions"))
+
+
+def interpret_held(points: DataFrame, forests: Sequence[Sequence[tuple]], edges: Sequence[np.ndarray]) -> DataFrame:
+    """(number, predict, bias, contributions) of the rows of ``growth.points`` that each fold holds out, by the fold's forest (its node
+    rows), as ``interpret_rows``: for what needs no keys, a block of rows costs one value where each row has one for each feature."""
+    own = growth.held_out(points, forests, edges, len(edges) + 2, partial(_parts, features=len(edges)))
+    return _interpreted(own, ["number"], len(edges), len({n[0] for n in forests[0]}))
+
+
 def interpret_rows(df: DataFrame, nodes: DataFrame, features: Sequence[str], keys: Sequence[str], most: int = trees.NODES, forests: trees.Forests = None) -> DataFrame:
     """(keys, predict, bias, contributions) of rows with their features, as ``interpret`` gives.  Each row's leaves index an
     array of the leaves' parts inside one map for each part of the forest: nothing is joined or exchanged.  ``forests`` as in
     ``trees.summed``."""
     sums, n = trees.summed(df, nodes, features, keys, len(features) + 2, _contributions, most, forests)
-    mean = F.transform("sums", lambda v: v / n)
-    return sums.select(*(F.col(f"`{k}`") for k in keys), mean[0].alias("predict"), mean[1].alias("bias"), F.slice(mean, 3, max(1, len(features))).alias("contributions"))
+    return _interpreted(sums, keys, len(features), n)
 
 
 def long_contributions(interpreted: DataFrame, keys: Sequence[str]) -> DataFrame:

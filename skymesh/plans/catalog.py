@@ -577,13 +577,20 @@ def stored_training(spark, sf_dir, by_year: bool = False) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def grown_folds(spark, sf_dir, kind=growth.forests, by_year: bool = False, **params) -> tuple[DataFrame, list[list[tuple]]]:
-    """The stored rows, and of each held-out year the node rows of its forest; the trees of all years grow together."""
-    rows, number = stored_training(spark, sf_dir, by_year), {y: i for i, y in enumerate(YEARS)}
+def grown_points(spark, rows, kind=growth.forests, **params) -> tuple[DataFrame, list, list[list[tuple]]]:
+    """The rows in blocks, the edges of their bins, and of each held-out year the node rows of its forest; the trees of all years grow
+    together."""
+    number = {y: i for i, y in enumerate(YEARS)}
     edges = growth.bin_edges(rows, FEATURES)
     fold = F.coalesce(*(F.when(F.col("year") == y, F.lit(i)) for y, i in number.items()), F.lit(len(number)))
     points = growth.stored(growth.points(rows.filter("year is not null"), FEATURES, ROW_KEY, fold, edges), shared(spark, "points"))
-    return rows, kind(points, edges, len(number), **params)
+    return points, edges, kind(points, edges, len(number), **params)
+
+
+def grown_folds(spark, sf_dir, kind=growth.forests, by_year: bool = False, **params) -> tuple[DataFrame, list[list[tuple]]]:
+    """The stored rows, and of each held-out year the node rows of its forest."""
+    rows = stored_training(spark, sf_dir, by_year)
+    return rows, grown_points(spark, rows, kind, **params)[2]
 
 
 def folds_of_forests(spark, sf_dir, give, others: bool = False, **params) -> DataFrame:
@@ -611,9 +618,9 @@ def held(rows: DataFrame, year: int) -> DataFrame:
 
 
 def fold_scores(spark, sf_dir, kind=growth.forests, **params) -> DataFrame:
-    rows, nodes = grown_folds(spark, sf_dir, kind, **params)
-    got = growth.predicted(held_rows(rows), nodes_of(spark, growth.in_one(nodes)), FEATURES, ["target", "fold"], kind is growth.boosted, OWN_FOREST)
-    return stats.scores(got, by=["fold"]).select("mape", "rmse", "r2", "r", "n", "fold")
+    points, edges, nodes = grown_points(spark, stored_training(spark, sf_dir), kind, **params)
+    got = growth.held_predicted(points, nodes, edges, kind is growth.boosted)
+    return stats.scores(got.withColumn("fold", F.col("number") + YEARS[0]), by=["fold"]).select("mape", "rmse", "r2", "r", "n", "fold")
 
 
 @query()
@@ -627,14 +634,11 @@ def rf_importance(spark, sf_dir):
     return report.importance_bars(forest.model_importance(model, spark, FEATURES))
 
 
-def attributed(spark, sf_dir, keys=("fold", *ROW_KEY)) -> DataFrame:
-    rows, nodes = grown_folds(spark, sf_dir, **FOREST)
-    return attribution.interpret_rows(held_rows(rows), nodes_of(spark, growth.in_one(nodes)), FEATURES, keys, forests=OWN_FOREST)
-
-
 @query()
 def rf_attribution(spark, sf_dir):
-    return attribution.long_contributions(attributed(spark, sf_dir), [*ROW_KEY, "fold"]).select(*ROW_KEY, "predict", "bias", "feature", "contribution", "fold")
+    rows, nodes = grown_folds(spark, sf_dir, **FOREST)
+    own = attribution.interpret_rows(held_rows(rows), nodes_of(spark, growth.in_one(nodes)), FEATURES, ["fold", *ROW_KEY], forests=OWN_FOREST)
+    return attribution.long_contributions(own, [*ROW_KEY, "fold"]).select(*ROW_KEY, "predict", "bias", "feature", "contribution", "fold")
 
 
 def forest_quantiles(spark, rows, nodes, others, keep=ROW_KEY) -> DataFrame:
@@ -686,7 +690,8 @@ def gbt_scores_are_good(spark, sf_dir):
 @query(f"{_FOLDS}, cast(0 as bigint) violations {_HELD}")
 def rf_additivity(spark, sf_dir):
     """Of each held-out year: its rows, and those whose prediction isn't bias plus contributions."""
-    return off_balance(attributed(spark, sf_dir, ["fold"]), ["fold"])
+    points, edges, nodes = grown_points(spark, stored_training(spark, sf_dir), **FOREST)
+    return off_balance(attribution.interpret_held(points, nodes, edges).withColumn("fold", F.col("number") + YEARS[0]), ["fold"])
 
 
 @query(f"{_FOLDS}, cast(0 as bigint) violations {_HELD}")

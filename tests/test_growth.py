@@ -161,3 +161,19 @@ def test_rows_of_all_folds_take_their_own_forest_in_one_pass(spark, small):
         assert all(abs(sums[k] - p) < 1e-9 for k, p, *_ in alone)
     with pytest.raises(ValueError, match="equally many"):
         attribution.interpret_rows(df, table(nodes[0]), ["a", "b"], ["k", "part"], forests=forests)
+
+
+def test_held_out_rows_are_evaluated_over_blocks(spark, small):
+    """By bins as by features, row by row, for small trees and for trees of over 62 leaves; rows that no fold holds out aren't given."""
+    _, _, df, edges, points = small
+    for depth in (3, 9):
+        nodes = growth.forests(points, edges, 2, numTrees=2, maxDepth=depth)
+        assert max(sum(n[0] == 0 and n[4] < 0 for n in own) for own in nodes) > (62 if depth == 9 else 1)
+        own = {"df": df.filter("part < 2"), "nodes": spark.createDataFrame(growth.in_one(nodes), attribution.NODES), "features": ["a", "b"], "forests": ("part", [0, 1])}
+        for total in (False, True):
+            got = growth.held_predicted(points, nodes, edges, total).collect()
+            want = growth.predicted(keep=["part", "target"], total=total, **own).collect()
+            assert len(got) == 400 and sorted(map(tuple, got)) == sorted(map(tuple, want))
+        got = attribution.interpret_held(points, nodes, edges).collect()
+        want = attribution.interpret_rows(keys=["part"], **own).collect()
+        assert sorted((*r[:3], *r[3]) for r in got) == sorted((*r[:3], *r[3]) for r in want)
