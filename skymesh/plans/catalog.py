@@ -568,11 +568,11 @@ def by_fold(spark, jobs) -> DataFrame:
     return spark.read.parquet(*forest.side_by_side(spark, [stored(y, j) for y, j in jobs], 3))
 
 
-def stored_training(spark, sf_dir, by_year: bool = False) -> DataFrame:
-    """The training rows without vectors, stored, so that nothing stays in memory.  With ``by_year`` folds read theirs from files, and tasks
-    sort bounded parts of the rows; else a large table is neither exchanged nor sorted."""
+def stored_training(spark, sf_dir, by_year: bool = False, keys=ROW_KEY) -> DataFrame:
+    """The training rows without vectors, with ``keys`` and the hash of all keys (``id``), stored, so that nothing stays in memory.  With
+    ``by_year`` folds read theirs from files, and tasks sort bounded parts of the rows; else a large table is neither exchanged nor sorted."""
     path = shared(spark, "training")
-    rows = training(spark, sf_dir, forest.bounded if by_year else forest.spread).select(*ROW_KEY, *FEATURES, "target", "year")
+    rows = training(spark, sf_dir, forest.bounded if by_year else forest.spread).select(*keys, growth.identity(ROW_KEY), *FEATURES, "target", "year")
     rows.write.partitionBy(*(["year"] if by_year else [])).parquet(path)
     return spark.read.parquet(path)
 
@@ -583,13 +583,13 @@ def grown_points(spark, rows, kind=growth.forests, **params) -> tuple[DataFrame,
     number = {y: i for i, y in enumerate(YEARS)}
     edges = growth.bin_edges(rows, FEATURES)
     fold = F.coalesce(*(F.when(F.col("year") == y, F.lit(i)) for y, i in number.items()), F.lit(len(number)))
-    points = growth.stored(growth.points(rows.filter("year is not null"), FEATURES, ROW_KEY, fold, edges), shared(spark, "points"))
+    points = growth.stored(growth.points(rows.filter("year is not null"), FEATURES, None, fold, edges), shared(spark, "points"))
     return points, edges, kind(points, edges, len(number), **params)
 
 
-def grown_folds(spark, sf_dir, kind=growth.forests, by_year: bool = False, **params) -> tuple[DataFrame, list[list[tuple]]]:
+def grown_folds(spark, sf_dir, kind=growth.forests, by_year: bool = False, keys=ROW_KEY, **params) -> tuple[DataFrame, list[list[tuple]]]:
     """The stored rows, and of each held-out year the node rows of its forest."""
-    rows = stored_training(spark, sf_dir, by_year)
+    rows = stored_training(spark, sf_dir, by_year, keys)
     return rows, grown_points(spark, rows, kind, **params)[2]
 
 
@@ -618,7 +618,7 @@ def held(rows: DataFrame, year: int) -> DataFrame:
 
 
 def fold_scores(spark, sf_dir, kind=growth.forests, **params) -> DataFrame:
-    points, edges, nodes = grown_points(spark, stored_training(spark, sf_dir), kind, **params)
+    points, edges, nodes = grown_points(spark, stored_training(spark, sf_dir, keys=()), kind, **params)
     got = growth.held_predicted(points, nodes, edges, kind is growth.boosted)
     return stats.scores(got.withColumn("fold", F.col("number") + YEARS[0]), by=["fold"]).select("mape", "rmse", "r2", "r", "n", "fold")
 
@@ -690,14 +690,14 @@ def gbt_scores_are_good(spark, sf_dir):
 @query(f"{_FOLDS}, cast(0 as bigint) violations {_HELD}")
 def rf_additivity(spark, sf_dir):
     """Of each held-out year: its rows, and those whose prediction isn't bias plus contributions."""
-    points, edges, nodes = grown_points(spark, stored_training(spark, sf_dir), **FOREST)
+    points, edges, nodes = grown_points(spark, stored_training(spark, sf_dir, keys=()), **FOREST)
     return off_balance(attribution.interpret_held(points, nodes, edges).withColumn("fold", F.col("number") + YEARS[0]), ["fold"])
 
 
 @query(f"{_FOLDS}, cast(0 as bigint) violations {_HELD}")
 def rf_shap_local_accuracy(spark, sf_dir):
     """Of each held-out year: its rows, and those whose prediction isn't the base value plus the Shapley values."""
-    rows, nodes = grown_folds(spark, sf_dir, numTrees=3, maxDepth=4)
+    rows, nodes = grown_folds(spark, sf_dir, keys=(), numTrees=3, maxDepth=4)
     nodes = nodes_of(spark, growth.in_one(nodes))
     own = growth.predicted(held_rows(rows), nodes, FEATURES, [*FEATURES, "fold"], forests=OWN_FOREST)
     both = attribution.shapley_rows(own, nodes, FEATURES, ["predict", "fold"], forests=OWN_FOREST)
@@ -720,7 +720,7 @@ def rf_interval_coverage(spark, sf_dir):
 @query(f"{_FOLDS}, 5 as features, 1.0::double as total, 'l_extendedprice' as best {_HELD}")
 def rf_importance_sums(spark, sf_dir):
     """Of each held-out year: its rows, the number and sum of importances, and the feature with the greatest."""
-    rows, nodes = grown_folds(spark, sf_dir, **FOREST)
+    rows, nodes = grown_folds(spark, sf_dir, keys=(), **FOREST)
     bars = reduce(DataFrame.unionByName, (growth.importance(own, spark, FEATURES).withColumn("fold", F.lit(y)) for y, own in zip(YEARS, nodes, strict=True)))
     facts = bars.groupBy("fold").agg(F.count(F.lit(1)).cast("int").alias("features"), F.round(F.sum("importance"), 9).alias("total"), F.max_by("feature", "importance").alias("best"))
     return facts.join(held_rows(rows).groupBy("fold").agg(F.count(F.lit(1)).alias("n")), "fold")

@@ -177,3 +177,19 @@ def test_held_out_rows_are_evaluated_over_blocks(spark, small):
         got = attribution.interpret_held(points, nodes, edges).collect()
         want = attribution.interpret_rows(keys=["part"], **own).collect()
         assert sorted((*r[:3], *r[3]) for r in got) == sorted((*r[:3], *r[3]) for r in want)
+
+
+def test_points_are_sent_by_rows_and_named_once(spark, small, tmp_path):
+    """While points are stored no limit in bytes is checked for each row; the session keeps its own.  Rows that have their identity give the
+    same points as rows with keys."""
+    _, _, df, edges, points = small
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    with growth.by_rows(spark):
+        assert spark.conf.get(key) == str(2**31 - 1)
+    with growth.by_rows(spark, most=1):
+        assert spark.conf.get(key) == before
+    named = growth.points(df.select("a", "b", "target", "part", growth.identity(["k"])), ["a", "b"], None, F.col("part"), edges)
+    assert growth.stored(named, f"{tmp_path}/p").count() and spark.conf.get(key) == before
+    hashes = lambda p: sorted(i for b in p.collect() for i in np.frombuffer(b.ids, np.int64).tolist())
+    assert hashes(named) == hashes(points) and len(hashes(named)) == 600
