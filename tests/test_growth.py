@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skymesh.operators import attribution, forest, growth, report
+from skymesh.plans import catalog
 
 
 @pytest.fixture(scope="module")
@@ -193,3 +194,11 @@ def test_points_are_sent_by_rows_and_named_once(spark, small, tmp_path):
     assert growth.stored(named, f"{tmp_path}/p").count() and spark.conf.get(key) == before
     hashes = lambda p: sorted(i for b in p.collect() for i in np.frombuffer(b.ids, np.int64).tolist())
     assert hashes(named) == hashes(points) and len(hashes(named)) == 600
+
+
+def test_scores_of_folds_read_no_features_again(spark):
+    """Scores of all folds are computed over the stored blocks alone: the last step scans one folder, and no column of a feature or key."""
+    got = catalog.fold_scores(spark, "/root/testdata/sf0.001", numTrees=2, maxDepth=3)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "codes" in plan and not any(name in plan for name in [*catalog.FEATURES, *catalog.ROW_KEY])
+    assert [r.fold for r in got.orderBy("fold").collect()] == list(catalog.YEARS)
