@@ -569,12 +569,14 @@ def by_fold(spark, jobs) -> DataFrame:
 
 
 def stored_training(spark, sf_dir, by_year: bool = False, keys=ROW_KEY) -> DataFrame:
-    """The training rows without vectors, with ``keys`` and the hash of all keys (``id``), stored, so that nothing stays in memory.  With
-    ``by_year`` folds read theirs from files, and tasks sort bounded parts of the rows; else a large table is neither exchanged nor sorted."""
-    path = shared(spark, "training")
-    rows = training(spark, sf_dir, forest.bounded if by_year else forest.spread).select(*keys, growth.identity(ROW_KEY), *FEATURES, "target", "year")
-    rows.write.partitionBy(*(["year"] if by_year else [])).parquet(path)
-    return spark.read.parquet(path)
+    """The training rows without vectors, with ``keys`` and the hash of all keys (``id``), stored, so that nothing stays in memory.  They
+    are joined once, whatever is counted later, and dealt by the number of rows that the files' footers name.  With ``by_year`` folds read
+    theirs from files, and tasks sort bounded parts of the rows; else a large table is neither exchanged nor sorted."""
+    path, deal = shared(spark, "training"), forest.bounded if by_year else forest.spread
+    rows = ml_rows(spark, sf_dir).select(*keys, growth.identity(ROW_KEY), *FEATURES, "target", "year")
+    deal(rows, table(spark, sf_dir, "lineitem").count()).write.partitionBy(*(["year"] if by_year else [])).parquet(path)
+    ready, _ = forest.prepare(spark.read.parquet(path), FEATURES, deal=lambda df, _: df)
+    return ready.drop("features")
 
 
 def grown_points(spark, rows, kind=growth.forests, **params) -> tuple[DataFrame, list, list[list[tuple]]]:

@@ -202,3 +202,27 @@ def test_scores_of_folds_read_no_features_again(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "codes" in plan and not any(name in plan for name in [*catalog.FEATURES, *catalog.ROW_KEY])
     assert [r.fold for r in got.orderBy("fold").collect()] == list(catalog.YEARS)
+
+
+@pytest.mark.parametrize("by_year", [False, True])
+def test_training_rows_are_joined_once(spark, monkeypatch, by_year):
+    """Counts and checks read what is stored; incomplete rows, NaN and infinities are left out as before."""
+    seen, plain = spark.sparkContext.accumulator(0), catalog.ml_rows
+    odd = F.when(F.col("l_linenumber") == 2, float("nan")).when(F.col("l_linenumber") == 3, None).when(F.col("l_linenumber") == 4, float("inf")).otherwise(F.col("l_tax"))
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    def rows(*args):
+        own = plain(*args).withColumn("l_tax", odd)
+        return own.mapInArrow(counted, own.schema)
+
+    monkeypatch.setattr(catalog, "ml_rows", rows)
+    path = "/root/testdata/sf0.001"
+    got = catalog.stored_training(spark, path, by_year).drop("id").orderBy(*catalog.ROW_KEY).collect()
+    own = plain(spark, path)
+    assert seen.value == own.count()
+    want = own.filter("l_linenumber not in (2, 3, 4)").select(*catalog.ROW_KEY, *catalog.FEATURES, "target", "year").orderBy(*catalog.ROW_KEY).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(want) < seen.value
