@@ -655,13 +655,15 @@ def rf_quantiles(spark, sf_dir):
     return folds_of_forests(spark, sf_dir, give, others=True, numTrees=5, maxDepth=5, minInstancesPerNode=20)
 
 
-def permuted(spark, rows, nodes, repeats: int) -> DataFrame:
-    return trees.permutation_importance(rows, nodes_of(spark, nodes), FEATURES, ROW_KEY, repeats)
+def permuted(spark, sf_dir, repeats: int) -> DataFrame:
+    """(feature, importance, std, n, fold) of the forests of all held-out years."""
+    points, edges, nodes = grown_points(spark, stored_training(spark, sf_dir, keys=()), **FOREST)
+    return growth.permutation_importance(points, nodes, edges, FEATURES, repeats).select("feature", "importance", "std", "n", (F.col("number") + YEARS[0]).alias("fold"))
 
 
 @query()
 def perm_importance(spark, sf_dir):
-    return folds_of_forests(spark, sf_dir, lambda rows, nodes: permuted(spark, rows, nodes, 5), **FOREST)
+    return permuted(spark, sf_dir, 5).drop("n")
 
 
 @query()
@@ -732,12 +734,8 @@ def rf_importance_sums(spark, sf_dir):
 def perm_importance_order(spark, sf_dir):
     """Of each held-out year: the feature whose permutation costs most, and whether features that the target doesn't
     depend on cost nothing."""
-    def give(rows, nodes):
-        own = permuted(spark, rows, nodes, 3)
-        facts = own.agg(F.count(F.lit(1)).cast("int").alias("features"), F.max_by("feature", "importance").alias("best"), (F.max(F.when(F.col("feature").isin("p_size", "l_quantity"), F.col("importance"))) < 0.2).alias("sound"))
-        return facts.crossJoin(rows.agg(F.count(F.lit(1)).alias("n")))
-
-    return folds_of_forests(spark, sf_dir, give, **FOREST)
+    sound = F.max(F.when(F.col("feature").isin("p_size", "l_quantity"), F.col("importance"))) < 0.2
+    return permuted(spark, sf_dir, 3).groupBy("fold", "n").agg(F.count(F.lit(1)).cast("int").alias("features"), F.max_by("feature", "importance").alias("best"), sound.alias("sound"))
 
 
 @query("select 2 as tried, 5 as best_depth, true as ordered")

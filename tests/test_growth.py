@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skymesh.operators import attribution, forest, growth, report
+from skymesh.operators import attribution, forest, growth, report, trees
 from skymesh.plans import catalog
 
 
@@ -226,3 +226,60 @@ def test_training_rows_are_joined_once(spark, monkeypatch, by_year):
     assert seen.value == own.count()
     want = own.filter("l_linenumber not in (2, 3, 4)").select(*catalog.ROW_KEY, *catalog.FEATURES, "target", "year").orderBy(*catalog.ROW_KEY).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(want) < seen.value
+
+
+def test_permutation_importance_over_blocks_by_hand(small):
+    """Each fold's rows in the order of part and hash; a bijection gives each a place in the sorted column.  Any parts, any partitions, for
+    equal hashes too."""
+    x, y, df, edges, _ = small
+    for keys in (["k"], ["twin"]):
+        named = df.withColumn("twin", F.floor(F.col("k") / 6)).withColumn("l_one", F.lit(1.0))
+        own = growth.points(named, ["a", "b", "l_one"], keys, F.col("part"), [*edges, np.zeros(0)])
+        own.cache()
+        nodes = growth.forests(own, [*edges, np.zeros(0)], 2, numTrees=3, maxDepth=3)
+        got = {(r.number, r.feature): r for r in growth.permutation_importance(own, nodes, [*edges, np.zeros(0)], ["a", "b", "l_one"], repeats=4, seed=5).collect()}
+        dealt = growth.points(named.repartition(7), ["a", "b", "l_one"], keys, F.col("part"), [*edges, np.zeros(0)])
+        again = growth.permutation_importance(dealt, nodes, [*edges, np.zeros(0)], ["a", "b", "l_one"], repeats=4, seed=5).collect()
+        assert len(got) == len(again) == 6 and all(np.allclose(tuple(got[r.number, r.feature])[2:], tuple(r)[2:]) for r in again)
+        if keys == ["twin"]:
+            continue
+        ids = np.array([r.id for r in named.select("k", growth.identity(keys)).orderBy("k").collect()])
+        for f in range(2):
+            rows = np.flatnonzero(np.arange(600) % 3 == f)
+            shapes = [(s, t.value) for t, s in growth.by_bins(nodes[f], edges)]
+            bins = np.stack([*(np.searchsorted(e, x[rows, j]) for j, e in enumerate(edges)), np.zeros(200, int)])
+            predict = lambda b, shapes=shapes: np.mean([v[growth._at(s, b)] for s, v in shapes], 0)
+            at = np.argsort(np.argsort(ids[rows]))
+            r2 = lambda b, rows=rows, predict=predict: 1 - ((y[rows] - predict(b)) ** 2).sum() / ((y[rows] - y[rows].mean()) ** 2).sum()
+            for j, name in enumerate(["a", "b", "l_one"]):
+                drops = []
+                for key in np.random.default_rng(5).integers(1, 2**31, 4):
+                    moved = bins.copy()
+                    moved[j] = np.sort(bins[j])[trees.permuted(at, 200, int(key))]
+                    assert sorted(moved[j]) == sorted(bins[j])
+                    drops.append(r2(bins) - r2(moved))
+                have = got[f, name]
+                assert have.n == 200 and np.allclose([have.importance, have["std"]], [np.mean(drops), np.std(drops)])
+        small_parts = growth.permutation_importance(own, nodes, [*edges, np.zeros(0)], ["a", "b", "l_one"], repeats=40, each=50).collect()
+        one_part = growth.permutation_importance(own, nodes, [*edges, np.zeros(0)], ["a", "b", "l_one"], repeats=40).collect()
+        near = {(r.number, r.feature): r for r in one_part}
+        assert len(small_parts) == 6 and all(abs(r.importance - near[r.number, r.feature].importance) < 0.05 for r in small_parts)
+
+
+def test_rows_are_dealt_once_as_blocks(small):
+    """What is exchanged is the bytes of each row of a fold, once, whatever the repeats; none is lost."""
+    *_, points = small
+    own = growth.dealt(points, lambda y, ids, fold: np.where(fold < 2, growth._part(ids, 5), -1), 5, 2, most=90).toPandas()
+    ids = np.concatenate([np.frombuffer(v, np.int64) for v in own["ids"]])
+    every, folds = (np.concatenate([np.frombuffer(b[c], t) for b in points.collect()]) for c, t in (("ids", np.int64), ("folds", np.int32)))
+    assert sorted(ids) == sorted(every[folds < 2]) and growth.row_count(points) == 600
+    assert sum(len(v) for c in ("codes", "y", "ids", "folds") for v in own[c]) == 400 * (2 + 8 + 8 + 4)
+    assert all((growth._part(np.frombuffer(v, np.int64), 5) == p).all() for p, v in zip(own["part"], own["ids"], strict=True))
+
+
+def test_permutations_store_no_rows_by_fold(spark, monkeypatch):
+    """Rows are stored once as they are and once in blocks; no year's rows are read, joined or written again."""
+    names, plain = [], catalog.shared
+    monkeypatch.setattr(catalog, "shared", lambda spark, name: names.append(name) or plain(spark, name))
+    got = catalog.perm_importance(spark, "/root/testdata/sf0.001").collect()
+    assert names == ["training", "points"] and len(got) == 35 and {r.fold for r in got} == set(catalog.YEARS)
