@@ -649,10 +649,19 @@ def forest_quantiles(spark, rows, nodes, others, keep=ROW_KEY) -> DataFrame:
     return forest.quantiles(leaves(others, ["target"]), leaves(rows, keep), keep, forest.interval_quantiles([90, 0]))
 
 
+def grown_quantiles(spark, sf_dir, keys) -> tuple:
+    """The stored rows, their blocks, edges and node rows, and the quantiles of each kind of held-out rows."""
+    rows = stored_training(spark, sf_dir, keys=keys)
+    points, edges, nodes = grown_points(spark, rows, numTrees=5, maxDepth=5, minInstancesPerNode=20)
+    store = lambda df, name: growth.stored(df, shared(spark, name))
+    return rows, points, edges, nodes, growth.quantiles(points, nodes, edges, forest.interval_quantiles([90, 0]), rows, store)
+
+
 @query()
 def rf_quantiles(spark, sf_dir):
-    give = lambda rows, nodes, others: forest_quantiles(spark, rows, nodes, others)
-    return folds_of_forests(spark, sf_dir, give, others=True, numTrees=5, maxDepth=5, minInstancesPerNode=20)
+    rows, _, edges, nodes, found = grown_quantiles(spark, sf_dir, ROW_KEY)
+    own = growth.kinds_of(held_rows(rows), nodes, edges, FEATURES, [*ROW_KEY, "fold"], OWN_FOREST)
+    return own.join(found, "kind").select(*ROW_KEY, *(c for c in found.columns if c != "kind"), "fold")
 
 
 def permuted(spark, sf_dir, repeats: int) -> DataFrame:

@@ -283,3 +283,58 @@ def test_permutations_store_no_rows_by_fold(spark, monkeypatch):
     monkeypatch.setattr(catalog, "shared", lambda spark, name: names.append(name) or plain(spark, name))
     got = catalog.perm_importance(spark, "/root/testdata/sf0.001").collect()
     assert names == ["training", "points"] and len(got) == 35 and {r.fold for r in got} == set(catalog.YEARS)
+
+
+@pytest.mark.parametrize("heavy", [False, True])
+def test_quantiles_over_blocks_are_those_of_samples_by_leaves(spark, small, tmp_path, heavy):
+    """For any parts, with a value that half of the rows have, for trees of over 62 leaves: what each fold's samples give alone."""
+    _, _, df, _, _ = small
+    own = df.withColumn("target", F.when(F.col("k") % 2 == 0, 50.0).otherwise(F.round("target", 1))) if heavy else df
+    edges = growth.bin_edges(own, ["a", "b"])
+    points = growth.points(own, ["a", "b"], ["k"], F.col("part"), edges).repartition(5).cache()
+    at = [0.0, 0.05, 0.5, 0.95, 1.0]
+    names = ["q_0", "q_0_05", "q_0_5", "q_0_95", "q_1"]
+    store = lambda d, name: growth.stored(d, f"{tmp_path}/{name}-{len(list(tmp_path.iterdir()))}")
+    for depth in (2, 9):
+        nodes = growth.forests(points, edges, 2, numTrees=2, maxDepth=depth)
+        leaves = lambda d, keep, n: attribution.leaves_by_rules(d, spark.createDataFrame(n, attribution.NODES), ["a", "b"], keep)
+        want = []
+        for f in range(2):
+            rows, others = own.filter(F.col("part") == f), own.filter(F.col("part") != f)
+            want += forest.quantiles(leaves(others, ["target"], nodes[f]), leaves(rows, ["k"], nodes[f]), ["k"], at).select("k", *names).collect()
+        for params in ({"each": 7}, {"each": 60}, {"each": 10_000}, {"each": 7, "numbers": 1}, {"each": 30, "few": 0}):
+            found = growth.quantiles(points, nodes, edges, at, own, store, **params)
+            got = growth.kinds_of(own, nodes, edges, ["a", "b"], ["k", "part"], ("part", [0, 1])).join(found, "kind").select("k", *names).collect()
+            assert len(got) == 400 and sorted(map(tuple, got)) == sorted(map(tuple, want))
+        held = growth.held_kinds(points, nodes, edges).join(found, "kind").select("number", "target", *names).collect()
+        both = own.select("k", "part", "target").join(spark.createDataFrame(want), "k").select("part", "target", *names).collect()
+        assert sorted(map(tuple, held)) == sorted(map(tuple, both))
+
+
+def test_a_value_of_many_samples_is_in_no_part(spark, small, tmp_path):
+    """Samples that share a value are counted where they are; the others are exchanged once for all folds, and each part stays small."""
+    _, _, df, _, _ = small
+    own = df.withColumn("target", F.when(F.col("k") % 2 == 0, 50.0).otherwise(F.col("target")))
+    edges = growth.bin_edges(own, ["a", "b"])
+    points = growth.points(own, ["a", "b"], ["k"], F.col("part"), edges).cache()
+    kept = {}
+
+    def store(d, name):
+        kept[name] = growth.stored(d, f"{tmp_path}/{name}")
+        return kept[name]
+
+    growth.quantiles(points, growth.forests(points, edges, 3, numTrees=2, maxDepth=3), edges, [0.5], own, store, each=30)
+    parts = [np.frombuffer(r.y) for r in kept["samples"].collect()]
+    assert 200 < sum(map(len, parts)) <= 300 and max(map(len, parts)) <= 60
+    assert all((np.diff(y) >= 0).all() and 50.0 not in y for y in parts)
+    assert max(y.max() for y in parts) == own.agg(F.max("target")).first()[0]
+
+
+@pytest.mark.parametrize("name", ["rf_quantiles"])
+def test_quantiles_of_all_folds_are_found_in_one_pass(spark, monkeypatch, name):
+    """Samples of all folds are dealt once, not a year at a time."""
+    names, plain = [], catalog.shared
+    monkeypatch.setattr(catalog, "shared", lambda spark, n: names.append(n) or plain(spark, n))
+    got = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert got.count() == (7 if name == "rf_interval_coverage" else catalog.ml_rows(spark, "/root/testdata/sf0.001").count())
+    assert names == ["training", "points", "samples", "kinds", "wanted", "quantiles"]
