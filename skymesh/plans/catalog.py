@@ -554,20 +554,6 @@ FOREST = {"numTrees": 10, "maxDepth": 5}
 YEARS = range(1995, 2002)
 
 
-def by_fold(spark, jobs) -> DataFrame:
-    """The rows that each job gives for its year (year, job), each written once, a few at a time, so that no plan holds all
-    folds."""
-    def stored(year, job):
-        def run():
-            path = shared(spark, "fold")
-            job().withColumn("fold", F.lit(year)).write.parquet(path)
-            return path
-
-        return run
-
-    return spark.read.parquet(*forest.side_by_side(spark, [stored(y, j) for y, j in jobs], 3))
-
-
 def stored_training(spark, sf_dir, by_year: bool = False, keys=ROW_KEY) -> DataFrame:
     """The training rows without vectors, with ``keys`` and the hash of all keys (``id``), stored, so that nothing stays in memory.  They
     are joined once, whatever is counted later, and dealt by the number of rows that the files' footers name.  With ``by_year`` folds read
@@ -589,19 +575,12 @@ def grown_points(spark, rows, kind=growth.forests, **params) -> tuple[DataFrame,
     return points, edges, kind(points, edges, len(number), **params)
 
 
-def grown_folds(spark, sf_dir, kind=growth.forests, by_year: bool = False, keys=ROW_KEY, **params) -> tuple[DataFrame, list[list[tuple]]]:
+def grown_folds(spark, sf_dir, kind=growth.forests, keys=ROW_KEY, **params) -> tuple[DataFrame, list[list[tuple]]]:
     """The stored rows, and of each held-out year the node rows of its forest."""
-    rows = stored_training(spark, sf_dir, by_year, keys)
+    rows = stored_training(spark, sf_dir, keys=keys)
     return rows, grown_points(spark, rows, kind, **params)[2]
 
 
-def folds_of_forests(spark, sf_dir, give, others: bool = False, **params) -> DataFrame:
-    """What ``give(rows, node rows)`` gives for each held-out year, rows being the year's (and third, with ``others``, all other
-    years' rows)."""
-    rows, nodes = grown_folds(spark, sf_dir, by_year=True, **params)
-    return by_fold(spark, [(y, lambda y=y, own=own: give(held(rows, y), own, *([rows.filter(F.col("year") != y)] if others else []))) for y, own in zip(YEARS, nodes, strict=True)])
-
-
 #: rows with their ``fold`` take the forest of that year
 OWN_FOREST = ("fold", YEARS)
 
@@ -643,12 +622,6 @@ def rf_attribution(spark, sf_dir):
     return attribution.long_contributions(own, [*ROW_KEY, "fold"]).select(*ROW_KEY, "predict", "bias", "feature", "contribution", "fold")
 
 
-def forest_quantiles(spark, rows, nodes, others, keep=ROW_KEY) -> DataFrame:
-    nodes = nodes_of(spark, nodes)
-    leaves = lambda df, names: attribution.leaves_by_rules(df, nodes, FEATURES, names)
-    return forest.quantiles(leaves(others, ["target"]), leaves(rows, keep), keep, forest.interval_quantiles([90, 0]))
-
-
 def grown_quantiles(spark, sf_dir, keys) -> tuple:
     """The stored rows, their blocks, edges and node rows, and the quantiles of each kind of held-out rows."""
     rows = stored_training(spark, sf_dir, keys=keys)
@@ -721,13 +694,11 @@ def rf_shap_local_accuracy(spark, sf_dir):
 @query(f"{_FOLDS}, cast(0 as bigint) crossed, true as covered {_HELD}")
 def rf_interval_coverage(spark, sf_dir):
     """Of each held-out year: its rows, those with quantiles out of order, and whether 90 % intervals hold 80 % or more."""
-    def give(rows, nodes, others):
-        met = forest_quantiles(spark, rows, nodes, others, [*ROW_KEY, "target"])
-        crossed = ((F.col("q_0_05") > F.col("q_0_5")) | (F.col("q_0_5") > F.col("q_0_95"))).cast("bigint")
-        inside = F.avg(F.col("target").between(F.col("q_0_05"), F.col("q_0_95")).cast("double"))
-        return met.agg(F.count(F.lit(1)).alias("n"), F.sum(crossed).alias("crossed"), (inside >= 0.8).alias("covered"))
-
-    return folds_of_forests(spark, sf_dir, give, others=True, numTrees=5, maxDepth=5, minInstancesPerNode=20)
+    _, points, edges, nodes, found = grown_quantiles(spark, sf_dir, ())
+    met = growth.held_kinds(points, nodes, edges).join(found, "kind")
+    crossed = ((F.col("q_0_05") > F.col("q_0_5")) | (F.col("q_0_5") > F.col("q_0_95"))).cast("bigint")
+    inside = F.avg(F.col("target").between(F.col("q_0_05"), F.col("q_0_95")).cast("double"))
+    return met.groupBy((F.col("number") + YEARS[0]).alias("fold")).agg(F.count(F.lit(1)).alias("n"), F.sum(crossed).alias("crossed"), (inside >= 0.8).alias("covered"))
 
 
 @query(f"{_FOLDS}, 5 as features, 1.0::double as total, 'l_extendedprice' as best {_HELD}")

@@ -330,7 +330,7 @@ def test_a_value_of_many_samples_is_in_no_part(spark, small, tmp_path):
     assert max(y.max() for y in parts) == own.agg(F.max("target")).first()[0]
 
 
-@pytest.mark.parametrize("name", ["rf_quantiles"])
+@pytest.mark.parametrize("name", ["rf_quantiles", "rf_interval_coverage"])
 def test_quantiles_of_all_folds_are_found_in_one_pass(spark, monkeypatch, name):
     """Samples of all folds are dealt once, not a year at a time."""
     names, plain = [], catalog.shared
